@@ -133,3 +133,38 @@ DOC_SQL = f"""doc AS (
   SELECT d.doc_id AS row_id, CAST(n_chars AS DOUBLE) AS n_chars, lang, source, quality AS y,
          {_split_sql('quality', 'd.doc_id')} AS split
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL)"""
+
+
+# ---------------------------------------------------------------- evx
+def evx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ev`` plus ``xv``: value with +Inf, -Inf, NaN and NULL cells injected by id hash,
+    a constant column, a constant column with nulls and a column missing on the test side."""
+    d = ev(spark, sf_dir)
+    h = F.pmod(id_hash("row_id", 5), F.lit(20))
+    xv = (F.when(h == 0, F.lit(float("inf"))).when(h == 1, F.lit(float("-inf")))
+          .when(h == 2, F.lit(float("nan"))).when(h == 3, F.lit(None).cast("double"))
+          .otherwise(F.col("value")))
+    return d.select("*", xv.alias("xv"), F.lit(1.0).alias("const"),
+                    F.when(h == 4, F.lit(None).cast("double")).otherwise(F.lit(2.0)).alias("const_null"),
+                    F.when(F.col("split") == "test", F.lit(None).cast("double"))
+                    .otherwise(F.col("user_id")).alias("test_null"))
+
+
+EVX_SQL = EV_SQL + f""",
+evx AS (
+  SELECT *, CASE {id_hash_sql('row_id', 5)} % 20 WHEN 0 THEN CAST('Infinity' AS DOUBLE)
+              WHEN 1 THEN CAST('-Infinity' AS DOUBLE) WHEN 2 THEN CAST('NaN' AS DOUBLE)
+              WHEN 3 THEN NULL ELSE value END AS xv,
+         1.0 AS const,
+         CASE WHEN {id_hash_sql('row_id', 5)} % 20 = 4 THEN NULL ELSE 2.0 END AS const_null,
+         CASE WHEN split = 'test' THEN NULL ELSE user_id END AS test_null
+  FROM ev)"""
+
+
+# ---------------------------------------------------------------- suite (per nation datasets)
+def cust_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as 25 datasets (one per nation): dataset_id, row_id, split, c_acctbal, y."""
+    c = load(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isNotNull())
+    df = c.select(F.col("c_nationkey").cast("long").alias("dataset_id"), F.col("c_custkey").alias("row_id"),
+                  "c_acctbal", F.col("c_mktsegment").alias("y"))
+    return df
