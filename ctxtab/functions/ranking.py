@@ -8,6 +8,7 @@ local running count -- the DataFrame form of ``zipWithIndex``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,12 @@ def prefix_count(df: DataFrame, order: list[str | Column], flag: Column | None =
     """
     flag = F.lit(1) if flag is None else flag.cast("int")
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The range bounds are sampled when the exchange runs; both uses below must
+    # see the same partitioning, so the partitioned rows are persisted once
+    # (a lost block is recomputed through the same shuffle dependency).
     s = (df.withColumn("_fl", flag).repartitionByRange(n, *order)
-         .withColumn("_pid", F.spark_partition_id()))
+         .withColumn("_pid", F.spark_partition_id())
+         .persist(StorageLevel.MEMORY_AND_DISK))
     per = s.groupBy("_pid").agg(F.sum("_fl").alias("_pc"))
     offs = per.select("_pid", (F.sum("_pc").over(Window.orderBy("_pid")) - F.col("_pc")).alias("_off"))
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -222,7 +222,8 @@ def local_relabel_inverse(scores: DataFrame, mapping: DataFrame, classes: DataFr
         "score", F.coalesce(F.col("score"), F.lit(float("-inf"))))
 
 
-def target_rank(df: DataFrame, c: str, split: str = "split", out: str | None = None) -> DataFrame:
+def target_rank(df: DataFrame, c: str, split: str = "split", out: str | None = None,
+                id_col: str = "row_id") -> DataFrame:
     """Value -> number of distinct train values strictly below it.
 
     Distinct train values and all rows are merged into one globally ordered
@@ -233,7 +234,7 @@ def target_rank(df: DataFrame, c: str, split: str = "split", out: str | None = N
     marks = (df.filter(F.col(split) == "train").select(F.col(c).cast("double").alias("_v"))
              .filter(F.col("_v").isNotNull()).distinct())
     rows = df.withColumn("_v", F.col(c).cast("double")).withColumn("_is_t", F.lit(0)) \
-        .withColumn("_oid", F.monotonically_increasing_id())
+        .withColumn("_oid", F.col(id_col).cast("long"))
     marks = marks.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields],
                          "_v", F.lit(1).alias("_is_t"), F.lit(None).cast("long").alias("_oid"))
     allc = rows.unionByName(marks)
@@ -253,7 +254,7 @@ def _mod_1e12_of_hex(h: F.Column) -> F.Column:
 
 
 def row_fingerprint(df: DataFrame, cols: list[str], salt: int = 0, id_col: str = "row_id",
-                    out: str = "fingerprint") -> DataFrame:
+                    out: str = "fingerprint", code_col: str | None = None) -> DataFrame:
     """Salted SHA-256 of the row's canonical text, mod 1e12, / 1e12.
 
     Duplicate rows get an increment ``k = 0, 1, ...`` (by row id) that is
@@ -264,7 +265,10 @@ def row_fingerprint(df: DataFrame, cols: list[str], salt: int = 0, id_col: str =
     d = df.withColumn("_txt", text).withColumn("_dig", F.sha2(F.col("_txt"), 256))
     d = d.withColumn("_k", F.row_number().over(Window.partitionBy("_dig").orderBy(id_col)) - 1)
     h = F.sha2(F.concat(F.col("_txt"), F.lit("|"), (F.lit(salt) + F.col("_k")).cast("string")), 256)
-    return d.withColumn(out, _mod_1e12_of_hex(h) / F.lit(1e12)).drop("_txt", "_dig", "_k")
+    d = d.withColumn("_code", _mod_1e12_of_hex(h)).withColumn(out, F.col("_code") / F.lit(1e12))
+    if code_col:
+        d = d.withColumnRenamed("_code", code_col)
+    return d.drop("_txt", "_dig", "_k", "_code")
 
 
 def interaction_pairs(n_features: int, max_pairs: int = 100, seed: int = 0) -> list[tuple[int, int]]:
@@ -299,9 +303,8 @@ def rbf_basis(df: DataFrame, c: str, n_centers: int = 11, lo: float = 0.0, hi: f
     mant = F.when(ax > 0, ax / F.pow(F.lit(10.0), expo)).otherwise(F.lit(0.0))
     centers = [lo + (hi - lo) * i / (n_centers - 1) for i in range(n_centers)]
     d = df.withColumn(f"{c}_sign", F.signum(x)).withColumn(f"{c}_exp", expo).withColumn(f"{c}_mant", mant)
-    kern = F.array(*[F.exp(-F.pow(F.col(f"{c}_mant") - F.lit(ct), 2) / F.lit(2 * sigma * sigma))
-                     for ct in centers])
-    return d.withColumn(f"{c}_rbf", kern)
+    return d.withColumns({f"{c}_rbf{i}": F.exp(-F.pow(F.col(f"{c}_mant") - F.lit(ct), 2) / F.lit(2 * sigma * sigma))
+                          for i, ct in enumerate(centers)})
 
 
 def missing_indicator(df: DataFrame, cols: list[str], split: str = "split") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxtab.functions.exprs import id_hash, id_hash_sql
+from ctxtab.functions.ranking import global_index
 from ctxtab.operators.split import stratified_split
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -46,17 +47,24 @@ LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items: four numeric features, line status; target return flag."""
-    df = (load(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isNotNull())
-          .select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("row_id"),
-                  *LINE_FEATURES, "l_linestatus", F.col("l_returnflag").alias("y")))
+    li = load(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isNotNull())
+    # (l_orderkey, l_linenumber) is not unique in the driver tables: the row id is
+    # the position in the order of all key and value columns (distributed index)
+    li = global_index(li, LINE_ORDER, "row_id")
+    df = li.select("row_id", *LINE_FEATURES, "l_linestatus", F.col("l_returnflag").alias("y"))
     return stratified_split(df)
 
 
-LINE_SQL = f"""line AS (
-  SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS row_id, l_quantity, l_extendedprice,
-         l_discount, l_tax, l_linestatus, l_returnflag AS y,
-         {_split_sql('l_returnflag', 'CAST(l_orderkey * 8 + l_linenumber AS BIGINT)')} AS split
-  FROM lineitem WHERE l_returnflag IS NOT NULL)"""
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+LINE_SQL = f"""li AS (
+  SELECT row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}) - 1 AS row_id, *
+  FROM lineitem WHERE l_returnflag IS NOT NULL),
+line AS (
+  SELECT row_id, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus, l_returnflag AS y,
+         {_split_sql('l_returnflag', 'row_id')} AS split
+  FROM li)"""
 
 
 # ---------------------------------------------------------------- cust
@@ -155,8 +163,8 @@ evx AS (
   SELECT *, CASE {id_hash_sql('row_id', 5)} % 20 WHEN 0 THEN CAST('Infinity' AS DOUBLE)
               WHEN 1 THEN CAST('-Infinity' AS DOUBLE) WHEN 2 THEN CAST('NaN' AS DOUBLE)
               WHEN 3 THEN NULL ELSE value END AS xv,
-         1.0 AS const,
-         CASE WHEN {id_hash_sql('row_id', 5)} % 20 = 4 THEN NULL ELSE 2.0 END AS const_null,
+         CAST(1 AS DOUBLE) AS const,
+         CASE WHEN {id_hash_sql('row_id', 5)} % 20 = 4 THEN NULL ELSE CAST(2 AS DOUBLE) END AS const_null,
          CASE WHEN split = 'test' THEN NULL ELSE user_id END AS test_null
   FROM ev)"""
 
