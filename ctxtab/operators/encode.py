@@ -212,12 +212,13 @@ def local_relabel(ctx: DataFrame, group: str = "test_id", y: str = "ctx_y") -> D
     return ctx.withColumn("local_y", (F.dense_rank().over(w) - 1).cast("int"))
 
 
-def local_relabel_inverse(scores: DataFrame, mapping: DataFrame, classes: DataFrame,
+def local_relabel_inverse(scores: DataFrame, mapping: DataFrame, classes: list,
                           group: str = "test_id") -> DataFrame:
-    """E12 inverse: scatter local scores to global classes; absent classes get -inf."""
+    """E12 inverse: scatter local scores to the global class list (driver
+    metadata, K values); absent classes get -inf."""
     m = mapping.select(group, "local_y", F.col("ctx_y").alias("class")).distinct()
     s = scores.join(m, [group, "local_y"]).select(group, "class", "score")
-    grid = scores.select(group).distinct().crossJoin(F.broadcast(classes.select("class")))
+    grid = scores.select(group).distinct().withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes])))
     return grid.join(s, [group, "class"], "left").withColumn(
         "score", F.coalesce(F.col("score"), F.lit(float("-inf"))))
 

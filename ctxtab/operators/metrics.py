@@ -49,7 +49,10 @@ def log_loss(probs: DataFrame, truth: DataFrame, eps: float = 1e-15, keys: list[
     keys = list(keys or [])
     w = Window.partitionBy(*keys, "test_id")
     p = probs.withColumn("_p", F.col("p") / F.sum("p").over(w))
-    j = p.join(truth.select(*keys, "test_id", F.col("y").alias("class")), [*keys, "test_id", "class"])
+    # a true class missing from a row's probabilities counts as probability 0
+    j = truth.select(*keys, "test_id", F.col("y").alias("class")).join(
+        p.select(*keys, "test_id", "class", "_p"), [*keys, "test_id", "class"], "left") \
+        .withColumn("_p", F.coalesce(F.col("_p"), F.lit(0.0)))
     clipped = F.greatest(F.least(F.col("_p"), F.lit(1 - eps)), F.lit(eps))
     return j.groupBy(*keys).agg(F.avg(-F.log(clipped)).alias("logloss"))
 
@@ -57,15 +60,18 @@ def log_loss(probs: DataFrame, truth: DataFrame, eps: float = 1e-15, keys: list[
 def ece(pred: DataFrame, n_bins: int = 10, keys: list[str] | None = None) -> DataFrame:
     """V4: bins ``(i/B, (i+1)/B]`` on confidence ``p_max``; sum share x |acc - conf|."""
     keys = list(keys or [])
-    b = F.ceil(F.col("p_max") * F.lit(n_bins)).cast("int")
-    d = pred.withColumn("_bin", b).filter((F.col("p_max") > 0) & (F.col("p_max") <= 1))
-    tot = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    edges = [i / n_bins for i in range(n_bins + 1)]  # fixed bin edges, as np.linspace(0, 1, B + 1)
+    b = F.lit(None).cast("int")
+    for i in range(n_bins - 1, -1, -1):
+        b = F.when((F.col("p_max") > F.lit(edges[i])) & (F.col("p_max") <= F.lit(edges[i + 1])), F.lit(i)).otherwise(b)
+    d = pred.withColumn("_bin", b)
     per = d.groupBy(*keys, "_bin").agg(
         F.count(F.lit(1)).alias("_c"), F.avg((F.col("pred") == F.col("y")).cast("double")).alias("_acc"),
         F.avg("p_max").alias("_conf"))
-    j = per.join(tot, keys) if keys else per.crossJoin(tot)
-    return j.groupBy(*keys).agg(F.sum(F.col("_c") / F.col("_n") * F.abs(F.col("_acc") - F.col("_conf")))
-                                .alias("ece"))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    per = per.withColumn("_n", F.sum("_c").over(w)).filter(F.col("_bin").isNotNull())
+    return per.groupBy(*keys).agg(F.sum(F.col("_c") / F.col("_n") * F.abs(F.col("_acc") - F.col("_conf")))
+                                  .alias("ece"))
 
 
 def auc_binary(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -89,21 +95,28 @@ def auc_binary(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def auc_ovo(probs: DataFrame, truth: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """V6: Hand & Till one-vs-one macro AUC: mean over class pairs (a, b) of
-    (AUC(a vs b using p_a) + AUC(b vs a using p_b)) / 2, on rows of class a or b."""
+    """V6: Hand & Till one-vs-one macro AUC over the classes present in ``truth``.
+
+    Mean over ordered class pairs (a, b) of AUC(a vs b scored by p_a) on the
+    rows labelled a or b.  Each row fans out to the other K-1 classes of its
+    dataset (class list packed per dataset, exploded), twice -- once as the
+    positive of (y, o), once as the negative of (o, y).
+    """
     keys = list(keys or [])
+    kk = keys or ["_k"]
     t = truth.select(*keys, "test_id", F.col("y").alias("ty"))
-    cls = t.select(*keys, F.col("ty").alias("a")).distinct()
-    pairs = cls.join(cls.withColumnRenamed("a", "b"), keys, "inner") if keys else \
-        cls.crossJoin(cls.withColumnRenamed("a", "b"))
-    pairs = pairs.filter(F.col("a") != F.col("b"))
-    rows = t.join(pairs, [*keys], "inner") if keys else t.crossJoin(F.broadcast(pairs))
-    rows = rows.filter((F.col("ty") == F.col("a")) | (F.col("ty") == F.col("b")))
+    t = t if keys else t.withColumn("_k", F.lit(0))
+    cls = t.groupBy(*kk).agg(F.collect_set("ty").alias("_cls"))
+    r = t.join(cls, kk).select(*kk, "test_id", "ty", F.explode("_cls").alias("o")).filter(F.col("o") != F.col("ty"))
+    pos = r.select(*kk, "test_id", F.col("ty").alias("a"), F.col("o").alias("b"), F.lit(1).alias("label"))
+    neg = r.select(*kk, "test_id", F.col("o").alias("a"), F.col("ty").alias("b"), F.lit(0).alias("label"))
+    rows = pos.unionByName(neg)
     p = probs.select(*keys, "test_id", F.col("class").alias("a"), F.col("p").alias("score"))
-    rows = rows.join(p, [*keys, "test_id", "a"], "left").fillna(0.0, ["score"])
-    rows = rows.withColumn("label", (F.col("ty") == F.col("a")).cast("int"))
-    per = auc_binary(rows, [*keys, "a", "b"])
-    return per.groupBy(*keys).agg(F.avg("auc").alias("auc_ovo"))
+    p = p if keys else p.withColumn("_k", F.lit(0))
+    rows = rows.join(p, [*kk, "test_id", "a"], "left").fillna(0.0, ["score"])
+    per = auc_binary(rows, [*kk, "a", "b"])
+    out = per.groupBy(*kk).agg(F.avg("auc").alias("auc_ovo"))
+    return out if keys else out.drop("_k")
 
 
 def rmse(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:

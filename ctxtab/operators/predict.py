@@ -100,32 +100,39 @@ def ensemble_mean_values(members: DataFrame, keys: list[str] | None = None) -> D
 
 
 def sharded_average(shard_probs: DataFrame, shard_sizes: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """M6: weight each shard's probabilities by its share of train rows, divide by total weight."""
+    """M6: weight each shard's probabilities by its share of train rows, divide by the weight sum.
+
+    ``shard_sizes`` has one row per (keys, shard); the weight sum per dataset
+    comes from a window over that small table, so no row-level cross product.
+    """
     keys = list(keys or [])
-    tot = shard_sizes.groupBy(*keys).agg(F.sum("n").alias("_tot"))
-    wts = shard_sizes.join(tot, keys) if keys else shard_sizes.crossJoin(F.broadcast(tot))
-    wts = wts.select(*keys, "shard", (F.col("n") / F.col("_tot")).alias("_sw"))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    wts = shard_sizes.select(*keys, "shard", (F.col("n") / F.sum("n").over(w)).alias("_sw"))
+    wts = wts.withColumn("_ws", F.sum("_sw").over(w))
     j = shard_probs.join(wts, [*keys, "shard"])
-    wsum = wts.groupBy(*keys).agg(F.sum("_sw").alias("_ws"))
-    agg = j.groupBy(*keys, "test_id", "class").agg(F.sum(F.col("p") * F.col("_sw")).alias("_s"))
-    agg = agg.join(wsum, keys) if keys else agg.crossJoin(F.broadcast(wsum))
-    return agg.select(*keys, "test_id", "class", (F.col("_s") / F.col("_ws")).alias("p"))
+    return (j.groupBy(*keys, "test_id", "class")
+            .agg((F.sum(F.col("p") * F.col("_sw")) / F.first("_ws")).alias("p")))
 
 
 def align_classes(probs: DataFrame, classes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """M7: scatter to the global class list, renormalise; all-zero rows become uniform.
 
-    ``classes`` holds one row per global class (``class``); it is small and
-    bounded by the class count, and joined per test row.
+    ``classes`` has one row per (keys, class).  Each dataset's class list (at
+    most K values) is packed into an array, joined to its rows on the keys and
+    exploded -- a bounded fan-out of K per row, not a cross join.
     """
     keys = list(keys or [])
+    kk = keys or ["_k"]
+    cl = classes if keys else classes.withColumn("_k", F.lit(0))
+    cl = cl.groupBy(*kk).agg(F.collect_set("class").alias("_cls"))
     rows = probs.select(*keys, "test_id").distinct()
-    n_cls = F.count(F.lit(1)).over(Window.partitionBy(*keys, "test_id"))
-    grid = rows.join(F.broadcast(classes.select("class")), how="cross") if not keys else \
-        rows.join(classes.select(*keys, "class"), keys)
-    full = grid.join(probs, [*keys, "test_id", "class"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    rows = rows if keys else rows.withColumn("_k", F.lit(0))
+    grid = rows.join(cl, kk).select(*kk, "test_id", F.explode("_cls").alias("class"))
+    full = grid.drop(*([] if keys else ["_k"])).join(probs, [*keys, "test_id", "class"], "left") \
+        .withColumn("p", F.coalesce("p", F.lit(0.0)))
     w = Window.partitionBy(*keys, "test_id")
     tot = F.sum("p").over(w)
+    n_cls = F.count(F.lit(1)).over(w)
     return full.withColumn("p", F.when(tot == 0, F.lit(1.0) / n_cls).otherwise(F.col("p") / tot))
 
 

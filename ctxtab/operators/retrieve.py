@@ -206,6 +206,7 @@ def mass_context(test: DataFrame, train: DataFrame, vec_col: str, threshold: flo
     do not reach the threshold are re-scored with twice as many candidates
     until every row is resolved (exact, no cap).
     """
+    from ctxtab.session import cut_lineage
     keys = _group_keys(keys)
     L = max(int(retrieval_len), 1)
     K = L
@@ -215,6 +216,9 @@ def mass_context(test: DataFrame, train: DataFrame, vec_col: str, threshold: flo
         cand = top_k_context(pending, train, vec_col, K, keys, id_col=id_col, **kw)
         w = Window.partitionBy(*keys, "test_id").orderBy("rank")
         cand = cand.withColumn("_cum", F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        # each round reads the previous round's unresolved rows: cut the lineage
+        # with a reliable checkpoint so rounds do not re-run earlier rounds
+        cand = cut_lineage(cand)
         reach = (cand.filter(F.col("_cum") >= F.lit(threshold))
                  .groupBy(*keys, "test_id").agg(F.min("rank").alias("_need")))
         full = cand.groupBy(*keys, "test_id").agg(F.max("rank").alias("_have"), F.max("n_ctx").alias("_nc"))
@@ -223,12 +227,12 @@ def mass_context(test: DataFrame, train: DataFrame, vec_col: str, threshold: flo
             need = F.greatest(F.coalesce(F.col("_need"), F.col("_nc")), F.lit(L))
         else:
             need = F.least(F.coalesce(F.col("_need"), F.lit(L)), F.lit(L))
-        st = st.withColumn("_len", F.least(need, F.col("_nc")))
+        st = cut_lineage(st.withColumn("_len", F.least(need, F.col("_nc"))))
         resolved = st.filter(F.col("_len") <= F.col("_have"))
         parts.append(cand.join(resolved.select(*keys, "test_id", "_len"), [*keys, "test_id"])
                      .filter(F.col("rank") <= F.col("_len")).drop("_cum"))
         todo = st.filter(F.col("_len") > F.col("_have")).select(*keys, F.col("test_id").alias(id_col))
-        if mixed_method != "max" or todo.limit(1).count() == 0:
+        if mixed_method != "max" or todo.isEmpty():
             break
         pending = test.join(todo, [*keys, id_col], "left_semi")
         K *= 2

@@ -27,4 +27,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the query modules (each registers itself)."""
-    from ctxtab.plans import q_clean, q_encode, q_retrieve, q_scale, q_split, q_sources, q_suite  # noqa: F401
+    from ctxtab.plans import (q_clean, q_encode, q_predict, q_retrieve, q_scale, q_sources,  # noqa: F401
+                              q_split, q_suite)

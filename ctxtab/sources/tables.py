@@ -176,3 +176,22 @@ def cust_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = c.select(F.col("c_nationkey").cast("long").alias("dataset_id"), F.col("c_custkey").alias("row_id"),
                   "c_acctbal", F.col("c_mktsegment").alias("y"))
     return df
+
+
+# ---------------------------------------------------------------- prt (regression)
+def prt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts: size and brand number as features, retail price as regression target."""
+    from ctxtab.operators.split import plain_split
+    p = load(spark, sf_dir, "part").filter(F.col("p_retailprice").isNotNull())
+    df = p.select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("p_size"),
+                  F.expr("try_cast(substr(p_brand, 7) AS DOUBLE)").alias("brand_no"),
+                  F.col("p_retailprice").alias("y"))
+    return plain_split(df)
+
+
+PRT_SQL = f"""prt AS (
+  SELECT p_partkey AS row_id, CAST(p_size AS DOUBLE) AS p_size, try_cast(substr(p_brand, 7) AS DOUBLE) AS brand_no,
+         p_retailprice AS y,
+         CASE WHEN row_number() OVER (ORDER BY {id_hash_sql('p_partkey')}, p_partkey) <= ceil(0.2 * count(*) OVER ())
+              THEN 'test' ELSE 'train' END AS split
+  FROM part WHERE p_retailprice IS NOT NULL)"""
