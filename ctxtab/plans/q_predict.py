@@ -177,10 +177,10 @@ def q12_restore_order(spark, sf_dir):
 # ------------------------------------------------------------------ M2 / M3 / M9 (regression + imputation)
 PF = ["p_size", "brand_no"]
 PRT_Z_SQL = tables.PRT_SQL + """,
-pst AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in PF) + """
+prtst AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in PF) + """
         FROM prt WHERE split = 'train'),
 pz AS (SELECT row_id, split, y, p_size AS raw_size, brand_no AS raw_brand, """ + ", ".join(
-    f"({c} - m_{c}) / s_{c} AS {c}" for c in PF) + " FROM prt, pst)" + ctx_chain(
+    f"({c} - m_{c}) / s_{c} AS {c}" for c in PF) + " FROM prt, prtst)" + ctx_chain(
     "p", "SELECT t.row_id AS test_id, r.row_id AS train_id, r.y AS ty, (t.p_size * r.p_size + t.brand_no * r.brand_no)"
          " / sqrt(2) AS score FROM pz t JOIN pz r ON t.split = 'test' AND r.split = 'train'") + """,
 preds AS (SELECT k.test_id, sum(k.weight * k.ty) / sum(k.weight) AS pred FROM prk k WHERE k.rank <= 10 GROUP BY k.test_id),
