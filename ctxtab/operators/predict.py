@@ -183,9 +183,14 @@ def score_with_model(train: DataFrame, test: DataFrame, group_col: str, model_fn
                              "class": np.tile(np.arange(k, dtype=np.int64), len(te)),
                              "score": s.ravel()})
 
+    # fresh aliases: both sides may descend from one assignment table, and the
+    # co-group needs distinct grouping attributes on each side
+    def fresh(df, names):
+        return df.select(*[F.col(c).alias(c) for c in names])
+
     cols = [group_col, id_col, label_col, *feature_cols]
-    return (train.select(*cols).groupBy(group_col)
-            .cogroup(test.select(group_col, id_col, *feature_cols).groupBy(group_col))
+    return (fresh(train, cols).groupBy(group_col)
+            .cogroup(fresh(test, [group_col, id_col, *feature_cols]).groupBy(group_col))
             .applyInPandas(run, schema))
 
 

@@ -398,8 +398,8 @@ def v5_auc_binary(spark, sf_dir):
 
 
 @register("v6_auc_ovo", "WITH " + PROBS_SQL + """,
-cls AS (SELECT DISTINCT y AS c FROM truth),
-pr AS (SELECT a.c AS a, b.c AS b FROM cls a, cls b WHERE a.c <> b.c),
+ycls AS (SELECT DISTINCT y AS c FROM truth),
+pr AS (SELECT a.c AS a, b.c AS b FROM ycls a, ycls b WHERE a.c <> b.c),
 sc AS (SELECT pr.a, pr.b, t.test_id, CASE WHEN t.y = pr.a THEN 1 ELSE 0 END AS label, coalesce(p.p, 0) AS score
        FROM pr JOIN truth t ON t.y = pr.a OR t.y = pr.b LEFT JOIN probs p ON p.test_id = t.test_id AND p.class = pr.a),
 g AS (SELECT a, b, score, count(*) AS c, sum(label) AS pos FROM sc GROUP BY a, b, score),
