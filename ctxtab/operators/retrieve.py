@@ -253,18 +253,32 @@ def context_length(n_train: int, n_classes: int, retrieval_len, dynamic_ratio: f
     return int(retrieval_len)
 
 
-def context_overlap(ctx: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def context_overlap(ctx: DataFrame, keys: list[str] | None = None, salt: int = 8,
+                    diagonal: bool = False) -> DataFrame:
     """Q8: shared context rows for each pair of test rows that share any.
 
-    Self equi-join on train id.  A train row shared by ``c`` test rows emits
-    ``c^2`` partial rows, so the pair table is pre-aggregated per train row
-    bucket before counting (map-side combine keeps the shuffle at pair level).
+    The overlap matrix is ``M M^T`` of the binary test x train membership, kept
+    sparse: a self equi-join on train id followed by a count per pair (with
+    map-side partial aggregation).  A train row in the context of ``c`` test
+    rows contributes ``c^2`` products; so that such a hot train row is not
+    handled by one task, the left side is spread over ``salt`` buckets by test
+    id hash and the right side is replicated once per bucket (AQE skew-join
+    splitting still applies on top).  Pairs are ``test_a < test_b``; with
+    ``diagonal`` each test row's own context size is added as ``(t, t)``.
     """
     keys = _group_keys(keys)
-    a = ctx.select(*keys, F.col("test_id").alias("test_a"), "train_id")
-    b = ctx.select(*keys, F.col("test_id").alias("test_b"), "train_id")
-    return (a.join(b, [*keys, "train_id"]).filter(F.col("test_a") < F.col("test_b"))
-            .groupBy(*keys, "test_a", "test_b").agg(F.count(F.lit(1)).alias("n_shared")))
+    m = ctx.select(*keys, "test_id", "train_id").dropDuplicates([*keys, "test_id", "train_id"])
+    a = m.select(*keys, F.col("test_id").alias("test_a"), "train_id",
+                 F.pmod(id_hash("test_id", 29), F.lit(salt)).cast("int").alias("_s"))
+    b = m.select(*keys, F.col("test_id").alias("test_b"), "train_id",
+                 F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_s"))
+    pairs = (a.join(b, [*keys, "train_id", "_s"]).filter(F.col("test_a") < F.col("test_b"))
+             .groupBy(*keys, "test_a", "test_b").agg(F.count(F.lit(1)).alias("n_shared")))
+    if diagonal:
+        own = m.groupBy(*keys, "test_id").agg(F.count(F.lit(1)).alias("n_shared"))
+        pairs = pairs.unionByName(own.select(*keys, F.col("test_id").alias("test_a"),
+                                             F.col("test_id").alias("test_b"), "n_shared"))
+    return pairs
 
 
 def cluster_contexts(ctx: DataFrame, assign: DataFrame, keys: list[str] | None = None,

@@ -122,6 +122,16 @@ def _assign(ctx):
 ASSIGN_SQL = f"asg AS (SELECT DISTINCT test_id, CAST({id_hash_sql('test_id', 13)} % 4 AS INTEGER) AS cluster_id FROM rk)"
 
 
+@register("q8_context_overlap", "WITH " + VEC_CTX_SQL + f""",
+ctx AS (SELECT DISTINCT test_id, train_id FROM rk WHERE rank <= {K_CTX}),
+pr AS (SELECT a.test_id AS test_a, b.test_id AS test_b, count(*) AS n_shared
+       FROM ctx a JOIN ctx b ON a.train_id = b.train_id AND a.test_id < b.test_id GROUP BY 1, 2)
+SELECT * FROM pr UNION ALL SELECT test_id, test_id, count(*) FROM ctx GROUP BY test_id""")
+def q8_context_overlap(spark, sf_dir):
+    _, _, ctx = vec_context(spark, sf_dir)
+    return retrieve.context_overlap(ctx, diagonal=True)
+
+
 @register("q9_cluster_contexts", "WITH " + VEC_CTX_SQL + ",\n" + ASSIGN_SQL + f"""
 SELECT DISTINCT a.cluster_id, r.train_id FROM rk r JOIN asg a ON r.test_id = a.test_id WHERE r.rank <= {K_CTX}""")
 def q9_cluster_contexts(spark, sf_dir):
