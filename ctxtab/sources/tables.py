@@ -195,3 +195,95 @@ PRT_SQL = f"""prt AS (
          CASE WHEN row_number() OVER (ORDER BY {id_hash_sql('p_partkey')}, p_partkey) <= ceil(0.2 * count(*) OVER ())
               THEN 'test' ELSE 'train' END AS split
   FROM part WHERE p_retailprice IS NOT NULL)"""
+
+
+# ---------------------------------------------------------------- suite bookkeeping (from part / supplier)
+SUITE_BENCHMARKS = ["cc18", "tabarena", "tabzilla", "talent"]
+
+
+def suite_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One dataset task per part: benchmark by key, paired files unless p_size % 3 = 0,
+    a test file only for even sizes; cc18 ids carry an OpenML id."""
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_size")
+    bench = F.element_at(F.array(*[F.lit(b) for b in SUITE_BENCHMARKS]),
+                         (F.pmod(F.col("p_partkey"), F.lit(4)) + 1).cast("int"))
+    name = F.concat(F.lit("ds_"), F.col("p_partkey").cast("string"))
+    d = p.select("p_partkey", "p_size", bench.alias("benchmark"), name.alias("dataset_name"))
+    d = d.withColumn("dataset_dir", F.concat(F.lit("/suite/"), "benchmark", F.lit("/"), "dataset_name"))
+    stem = F.concat(F.col("dataset_dir"), F.lit("/"), F.col("dataset_name"))
+    paired = F.pmod(F.col("p_size"), F.lit(3)) != 0
+    return d.select(
+        "benchmark",
+        F.when(F.col("benchmark") == "cc18", F.concat(F.lit("OpenML-ID-"), F.col("p_partkey").cast("string")))
+        .otherwise(F.col("dataset_name")).alias("dataset_id"),
+        "dataset_name", "dataset_dir",
+        F.when(~paired, F.concat(stem, F.lit(".csv"))).alias("single_csv"),
+        F.when(paired, F.concat(stem, F.lit("_train.csv"))).alias("train_csv"),
+        F.when(paired & (F.pmod(F.col("p_size"), F.lit(2)) == 0), F.concat(stem, F.lit("_test.csv"))).alias("test_csv"))
+
+
+SUITE_TASKS_SQL = """tasks AS (
+  SELECT b AS benchmark, CASE WHEN b = 'cc18' THEN 'OpenML-ID-' || p_partkey ELSE 'ds_' || p_partkey END AS dataset_id,
+         'ds_' || p_partkey AS dataset_name, '/suite/' || b || '/ds_' || p_partkey AS dataset_dir,
+         CASE WHEN p_size % 3 = 0 THEN '/suite/' || b || '/ds_' || p_partkey || '/ds_' || p_partkey || '.csv' END AS single_csv,
+         CASE WHEN p_size % 3 <> 0 THEN '/suite/' || b || '/ds_' || p_partkey || '/ds_' || p_partkey || '_train.csv' END AS train_csv,
+         CASE WHEN p_size % 3 <> 0 AND p_size % 2 = 0
+              THEN '/suite/' || b || '/ds_' || p_partkey || '/ds_' || p_partkey || '_test.csv' END AS test_csv
+  FROM (SELECT p_partkey, p_size, ['cc18', 'tabarena', 'tabzilla', 'talent'][p_partkey % 4 + 1] AS b FROM part))"""
+
+
+def suite_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows of an earlier run: none for keys divisible by 7, ``fail`` when p_size % 10 = 0."""
+    from ctxtab.operators.suite import TASK_KEYS
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    t = suite_tasks(spark, sf_dir).withColumn("p_partkey", F.expr("CAST(substr(dataset_name, 4) AS BIGINT)"))
+    d = t.select(*TASK_KEYS, "p_partkey").join(p, "p_partkey").filter(F.pmod(F.col("p_partkey"), F.lit(7)) != 0)
+    fail = F.pmod(F.col("p_size"), F.lit(10)) == 0
+    acc = (F.col("p_retailprice") - F.lit(900.0)) / F.lit(100.0)
+    return d.select(
+        *TASK_KEYS,
+        F.when(fail, 0).otherwise(F.col("p_size") * 40).cast("long").alias("n_train"),
+        F.when(fail, 0).otherwise(F.col("p_size") * 10).cast("long").alias("n_test"),
+        F.when(fail, 0).otherwise(F.pmod(F.col("p_partkey"), F.lit(30)) + 1).cast("long").alias("n_features"),
+        F.when(fail, None).otherwise(F.pmod(F.col("p_size"), F.lit(9)) + 2).cast("long").alias("n_classes"),
+        F.when(fail, None).otherwise(acc).alias("accuracy"),
+        F.when(fail, None).otherwise(acc * 0.9).alias("f1_macro"),
+        F.when(fail, None).otherwise(F.lit(1.0) - acc).alias("logloss"),
+        (F.col("p_retailprice") / 100.0).alias("predict_seconds"),
+        F.when(fail, "fail").otherwise("ok").alias("status"),
+        F.when(fail, F.lit("ValueError: Not enough valid rows after dropping missing targets.")).alias("error"))
+
+
+SUITE_RESULTS_SQL = SUITE_TASKS_SQL + """,
+results AS (
+  SELECT t.benchmark, t.dataset_id, t.dataset_dir, t.dataset_name,
+         CAST(CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size * 40 END AS BIGINT) AS n_train,
+         CAST(CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size * 10 END AS BIGINT) AS n_test,
+         CAST(CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_partkey % 30 + 1 END AS BIGINT) AS n_features,
+         CAST(CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_size % 9 + 2 END AS BIGINT) AS n_classes,
+         CASE WHEN p_size % 10 = 0 THEN NULL ELSE (p_retailprice - 900.0) / 100.0 END AS accuracy,
+         CASE WHEN p_size % 10 = 0 THEN NULL ELSE (p_retailprice - 900.0) / 100.0 * 0.9 END AS f1_macro,
+         CASE WHEN p_size % 10 = 0 THEN NULL ELSE 1.0 - (p_retailprice - 900.0) / 100.0 END AS logloss,
+         p_retailprice / 100.0 AS predict_seconds,
+         CASE WHEN p_size % 10 = 0 THEN 'fail' ELSE 'ok' END AS status,
+         CASE WHEN p_size % 10 = 0 THEN 'ValueError: Not enough valid rows after dropping missing targets.' END AS error
+  FROM tasks t JOIN part ON t.dataset_name = 'ds_' || p_partkey
+  WHERE p_partkey % 7 <> 0)"""
+
+
+def skip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw skip-list text, one line per fifth supplier, names written in several forms."""
+    s = load(spark, sf_dir, "supplier").select("s_suppkey").filter(F.pmod("s_suppkey", F.lit(5)) == 0)
+    k = (F.col("s_suppkey") * 7).cast("string")
+    form = F.pmod(F.col("s_suppkey"), F.lit(3))
+    v = (F.when(form == 0, F.concat(F.lit("/x/DS_"), k, F.lit("_TRAIN.csv")))
+         .when(form == 1, F.concat(F.lit("ds_"), k, F.lit(".csv")))
+         .otherwise(F.concat(F.lit(" ds_"), k, F.lit(" ,OpenML-ID-"), (F.col("s_suppkey") * 11).cast("string"))))
+    return s.select(v.alias("value"))
+
+
+SKIP_SQL = """skipraw AS (
+  SELECT CASE s_suppkey % 3 WHEN 0 THEN '/x/DS_' || (s_suppkey * 7) || '_TRAIN.csv'
+                            WHEN 1 THEN 'ds_' || (s_suppkey * 7) || '.csv'
+                            ELSE ' ds_' || (s_suppkey * 7) || ' ,OpenML-ID-' || (s_suppkey * 11) END AS value
+  FROM supplier WHERE s_suppkey % 5 = 0)"""
