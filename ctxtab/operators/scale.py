@@ -13,6 +13,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +76,43 @@ def mean_impute(df, cols, split="split", fit_on="train"):
 
 
 # ------------------------------------------------------------------ quantile grids
+LITERAL_GRID_MAX = 256  # longer quantile grids are not built as literal expression arrays
+
+
+def _positional_quantiles(df: DataFrame, c: str, probs: list[float]) -> list[float]:
+    """Exact linear-interpolated quantiles for a long probability grid.
+
+    The non-missing values are ranked by a distributed sort (global index);
+    only the rows at the ``2 * len(probs)`` needed positions are fetched (a
+    join against the position list), so the driver receives at most twice
+    the grid size whatever the row count.
+    """
+    from ctxtab.functions.ranking import global_index
+    spark = df.sparkSession
+    v = df.select(nonfinite_to_null(c).alias("v")).filter(F.col("v").isNotNull())
+    n = v.count()
+    if n == 0:
+        return []
+    h = (n - 1) * np.asarray(probs, dtype=float)
+    lo = np.floor(h).astype(np.int64)
+    hi = np.minimum(lo + 1, n - 1)
+    need = sorted(set(lo.tolist()) | set(hi.tolist()))
+    pos = spark.createDataFrame([(int(i),) for i in need], "i long")
+    got = dict(global_index(v, ["v"], "i").join(pos, "i").select("i", "v").collect())
+    xl = np.array([got[i] for i in lo.tolist()])
+    xh = np.array([got[i] for i in hi.tolist()])
+    return (xl + (h - lo) * (xh - xl)).tolist()
+
+
 def _quantiles(df: DataFrame, cols: list[str], probs: dict[str, list[float]], n_rows: int) -> dict:
-    """Linear-interpolated quantiles per column, exact below EXACT_QUANTILE_ROWS."""
+    """Linear-interpolated quantiles per column, exact below EXACT_QUANTILE_ROWS.
+
+    Long grids (more than ``LITERAL_GRID_MAX`` probabilities) go through
+    :func:`_positional_quantiles` (exact at any size)."""
+    out = {c: _positional_quantiles(df, c, probs[c]) for c in cols if len(probs[c]) > LITERAL_GRID_MAX}
+    cols = [c for c in cols if c not in out]
+    if not cols:
+        return out
     aggs = []
     for c in cols:
         arr = F.array(*[F.lit(float(p)) for p in probs[c]])
@@ -86,7 +122,8 @@ def _quantiles(df: DataFrame, cols: list[str], probs: dict[str, list[float]], n_
         else:
             aggs.append(F.percentile_approx(x, arr, 100_000).alias(c))
     row = df.agg(*aggs).first()
-    return {c: [float(v) for v in (row[c] or [])] for c in cols}
+    out.update({c: [float(v) for v in (row[c] or [])] for c in cols})
+    return out
 
 
 def _grid(xs: list[float], refs: list[float]):
@@ -114,6 +151,8 @@ def grid_map(df: DataFrame, col: str, xs: list[float], refs: list[float], out: s
     u, lo, hi = _grid(xs, refs)
     if not u:
         return df.withColumn(out, F.lit(None).cast("double"))
+    if len(u) > LITERAL_GRID_MAX:
+        return df.withColumn(out, _grid_map_udf(u, lo, hi)(nonfinite_to_null(col)))
     tmp_in, tmp_b = f"__{col}_in", f"__{col}_b"
     x = nonfinite_to_null(col)
     d = df.withColumn(tmp_in, F.coalesce(x, F.lit(0.0)))
@@ -135,6 +174,31 @@ def grid_map(df: DataFrame, col: str, xs: list[float], refs: list[float], out: s
     return d.withColumn(out, F.when(x.isNull(), F.lit(None).cast("double")).otherwise(val)).drop(tmp_in, tmp_b)
 
 
+def _grid_map_udf(u: list[float], lo: list[float], hi: list[float]):
+    """Arrow-batched twin of the literal grid map for long grids.
+
+    The knots travel with the function; their number is capped by the
+    quantile subsample (``n_quantiles_for``), not by the data size.
+    """
+    from pyspark.sql.functions import pandas_udf
+    U, LO, HI = (np.asarray(a, dtype=float) for a in (u, lo, hi))
+
+    @pandas_udf("double")
+    def fmap(x: pd.Series) -> pd.Series:
+        v = x.to_numpy(dtype=float, na_value=np.nan)
+        b = np.searchsorted(U, v, side="right")          # U[b-1] <= v < U[b]
+        bi = np.clip(b, 1, len(U)) - 1
+        bj = np.clip(b, 0, len(U) - 1)
+        u0, u1 = U[bi], U[bj]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inner = HI[bi] + (v - u0) / (u1 - u0) * (LO[bj] - HI[bi])
+        r = np.where(b == 0, LO[0], np.where(v == u0, (LO[bi] + HI[bi]) / 2.0,
+                                             np.where(b >= len(U), HI[-1], inner)))
+        return pd.Series(np.where(np.isnan(v), np.nan, r))
+
+    return fmap
+
+
 def n_quantiles_for(n_train: int, variant: str, subsample: int = 100_000) -> int:
     """R3 grid size: n/10, n/5 or all rows; at least 2, capped by rows and subsample."""
     base = {"10": n_train // 10, "5": n_train // 5, "all_data": n_train}[variant]
