@@ -105,3 +105,28 @@ def test_sweep_contexts_are_prefixes(spark):
     got = suite.sweep_contexts(ctx, params).groupBy("param_id", "test_id").agg(F.max("rank").alias("m")).collect()
     # k=2 keeps ranks 1-2; threshold 0.75 keeps rows whose preceding mass < 0.75: ranks 1-3
     assert {(r.param_id, r.m) for r in got} == {(0, 2), (1, 3)}
+
+
+def test_metadata_helpers(spark):
+    from ctxtab.operators import meta
+    spec = meta.PipelineSpec.load([{"a": 1}, {"a": 2}])
+    assert spec.with_overrides(softmax_temperature=0.5, seed=3).seed == 3
+    try:
+        meta.PipelineSpec.load([])
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("empty spec accepted")
+    order, cat = meta.shuffle_features(["a", "b", "c", "d"], ["b"], mode="rotate", offset=1)
+    assert order == ["d", "a", "b", "c"] and cat == ["b"]
+    order2, _ = meta.shuffle_features(["a", "b", "c", "d"], [], seed=7)
+    assert sorted(order2) == ["a", "b", "c", "d"]
+    assert meta.resolve_tag("quantile") == "identity" and meta.resolve_tag("kdi_uni_alpha_0.3") == "kdi_uni_alpha_0.3"
+    tr = spark.createDataFrame([(1.0, "a")], "x double, y string")
+    te = spark.createDataFrame([(1.0,)], "z double")
+    try:
+        meta.check_features(tr, te, ["x"])
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("missing test feature accepted")
