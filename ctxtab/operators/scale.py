@@ -216,6 +216,8 @@ def quantile_fit(df, cols, variant="10", split="split", fit_on="train"):
 
 def quantile_uniform(df, cols, variant="10", split="split", fit_on="train", suffix=""):
     """Map to [0, 1] through the train quantile grid."""
+    from ctxtab.session import reuse
+    df = reuse(df)  # count pass, quantile pass(es) and the transform scan it
     grids = quantile_fit(df, cols, variant, split, fit_on)
     for c in cols:
         df = grid_map(df, c, grids[c][0], grids[c][1], out=c + suffix)
@@ -300,6 +302,8 @@ def yeo_johnson_fit(df, cols, split="split", fit_on="train", grid=None) -> dict[
 
 def yeo_johnson(df, cols, split="split", fit_on="train"):
     """Power transform with fitted lambda, non-finite to missing, mean fill, standardise."""
+    from ctxtab.session import reuse
+    df = reuse(df)  # two lambda passes, two moment passes and the transform scan it
     lam = yeo_johnson_fit(df, cols, split, fit_on)
     d = df.withColumns({c: nonfinite_to_null(_yj(nonfinite_to_null(c), lam[c])) for c in cols})
     d = mean_impute(d, cols, split, fit_on)

@@ -49,6 +49,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a derived input that several fit passes scan (memory, spilling to disk).
+
+    A lost block is recomputed from lineage, so executor loss is survived;
+    Spark evicts it under memory pressure.  Used where one operator runs
+    several aggregations plus the transform over the same derived table.
+    """
+    from pyspark import StorageLevel
+    return df if df.storageLevel.useMemory or df.storageLevel.useDisk else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local one."""
     ensure_checkpoint_dir(df.sparkSession)
