@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The reference keeps no streaming state (no watermark, window or late data),
+so nothing is built here.  The fitted transforms in ``ctxtab.operators`` are
+plain selects and joins against small fitted tables, so they apply unchanged
+to a streaming DataFrame from ``spark.readStream``.
+"""
