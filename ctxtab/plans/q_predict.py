@@ -328,7 +328,19 @@ def m8b_sharded_argmax(spark, sf_dir):
     return predict.argmax_class(p).select("test_id", "pred")
 
 
-@register("m10_score_with_model")
+M10_SQL = "WITH " + VEC_CTX_SQL + ",\n" + ASSIGN_SQL + f""",
+trg AS (SELECT DISTINCT a.cluster_id, r.train_id FROM rk r JOIN asg a ON r.test_id = a.test_id WHERE r.rank <= {K_CTX}),
+vx AS (SELECT row_id, y, generate_subscripts(emb, 1) AS i, CAST(unnest(emb) AS DOUBLE) AS x FROM vec),
+cent AS (SELECT t.cluster_id, v.y AS class, v.i, avg(v.x) AS c FROM trg t JOIN vx v ON v.row_id = t.train_id GROUP BY 1, 2, 3),
+dist AS (SELECT a.cluster_id, a.test_id, c.class, sum((v.x - c.c) * (v.x - c.c)) AS d
+         FROM asg a JOIN vx v ON v.row_id = a.test_id JOIN cent c ON c.cluster_id = a.cluster_id AND c.i = v.i
+         GROUP BY 1, 2, 3),
+grid AS (SELECT a.cluster_id, a.test_id, CAST(g.cls AS BIGINT) AS class FROM asg a, range(10) g(cls))
+SELECT g.cluster_id, g.test_id, g.class, round(coalesce(-d.d, -1e300), 6) AS score
+FROM grid g LEFT JOIN dist d ON g.cluster_id = d.cluster_id AND g.test_id = d.test_id AND g.class = d.class"""
+
+
+@register("m10_score_with_model", M10_SQL)
 def m10_score_with_model(spark, sf_dir):
     """Nearest-centroid user model per cluster group (a stand-in user callable)."""
     import numpy as np
@@ -350,7 +362,8 @@ def m10_score_with_model(spark, sf_dir):
         d = ((Xt[:, None, :] - cents[None, :, :]) ** 2).sum(-1)
         return -np.where(np.isfinite(d), d, 1e300)
 
-    return predict.score_with_model(trg, teg, "cluster_id", centroid_model, cols)
+    out = predict.score_with_model(trg, teg, "cluster_id", centroid_model, cols)
+    return out.select("cluster_id", "test_id", "class", r6("score", "score"))
 
 
 # ------------------------------------------------------------------ metrics V2-V9
