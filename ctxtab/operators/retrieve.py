@@ -221,7 +221,8 @@ def mass_context(test: DataFrame, train: DataFrame, vec_col: str, threshold: flo
         cand = cut_lineage(cand)
         reach = (cand.filter(F.col("_cum") >= F.lit(threshold))
                  .groupBy(*keys, "test_id").agg(F.min("rank").alias("_need")))
-        full = cand.groupBy(*keys, "test_id").agg(F.max("rank").alias("_have"), F.max("n_ctx").alias("_nc"))
+        full = cand.groupBy(*keys, "test_id").agg(F.max("rank").alias("_have"), F.max("n_ctx").alias("_nc"),
+                                                  F.max("_cum").alias("_mass"))
         st = full.join(reach, [*keys, "test_id"], "left")
         if mixed_method == "max":
             need = F.greatest(F.coalesce(F.col("_need"), F.col("_nc")), F.lit(L))
@@ -231,11 +232,17 @@ def mass_context(test: DataFrame, train: DataFrame, vec_col: str, threshold: flo
         resolved = st.filter(F.col("_len") <= F.col("_have"))
         parts.append(cand.join(resolved.select(*keys, "test_id", "_len"), [*keys, "test_id"])
                      .filter(F.col("rank") <= F.col("_len")).drop("_cum"))
-        todo = st.filter(F.col("_len") > F.col("_have")).select(*keys, F.col("test_id").alias(id_col))
-        if mixed_method != "max" or todo.isEmpty():
+        todo_st = st.filter(F.col("_len") > F.col("_have"))
+        if mixed_method != "max":
             break
-        pending = test.join(todo, [*keys, id_col], "left_semi")
-        K *= 2
+        # next candidate count: at least double, and at least the linear
+        # extrapolation of the mass still missing (one small aggregate)
+        nxt = todo_st.agg(F.max(F.lit(float(threshold)) / F.greatest(F.col("_mass"), F.lit(1e-12))).alias("r"),
+                          F.max("_nc").alias("nc")).first()
+        if nxt["r"] is None:
+            break
+        pending = test.join(todo_st.select(*keys, F.col("test_id").alias(id_col)), [*keys, id_col], "left_semi")
+        K = int(min(max(2 * K, math.ceil(K * float(nxt["r"]) * 1.25)), max(int(nxt["nc"]), 2 * K)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
