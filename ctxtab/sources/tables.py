@@ -3,6 +3,11 @@
 A task table is ``(row_id BIGINT, split STRING, <features>, y)``; every
 operator is keyed by ``row_id`` (plus ``dataset_id`` for suites).  Each
 builder has an SQL twin used by the independent oracle check.
+
+A task table is scanned many times by one query (test side, train side,
+truth, fit statistics), so the split table is kept once (memory and disk,
+recomputed from lineage if a block is lost) instead of re-deriving the
+split from the source scan every time.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import functions as F
 from ctxtab.functions.exprs import id_hash, id_hash_sql
 from ctxtab.functions.ranking import global_index
 from ctxtab.operators.split import stratified_split
+from ctxtab.session import reuse
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -33,7 +39,7 @@ def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = (load(spark, sf_dir, "embeddings").filter(F.col("label").isNotNull())
           .select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("emb"),
                   F.col("label").alias("y")))
-    return stratified_split(df)
+    return reuse(stratified_split(df))
 
 
 VEC_SQL = f"""vec AS (
@@ -52,7 +58,7 @@ def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the position in the order of all key and value columns (distributed index)
     li = global_index(li, LINE_ORDER, "row_id")
     df = li.select("row_id", *LINE_FEATURES, "l_linestatus", F.col("l_returnflag").alias("y"))
-    return stratified_split(df)
+    return reuse(stratified_split(df))
 
 
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -78,7 +84,7 @@ def cust(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.col("c_nationkey").cast("double").alias("c_nationkey"),
                   F.col("n_regionkey").cast("double").alias("n_regionkey"),
                   F.col("c_mktsegment").alias("y")))
-    return stratified_split(df)
+    return reuse(stratified_split(df))
 
 
 CUST_SQL = f"""cust AS (
@@ -99,7 +105,7 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.col("user_id").cast("double").alias("user_id"),
                   F.length("props").cast("double").alias("props_len"),
                   F.col("event_type").alias("y"))
-    return stratified_split(df)
+    return reuse(stratified_split(df))
 
 
 EV_SQL = f"""ev AS (
@@ -117,7 +123,7 @@ def ord_(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = o.select(F.col("o_orderkey").alias("row_id"), "o_orderpriority", "o_orderstatus",
                   F.col("o_custkey").cast("double").alias("o_custkey"),
                   F.col("o_totalprice").alias("y"))
-    return stratified_split(df.withColumn("_s", F.col("o_orderstatus")), y="_s").drop("_s")
+    return reuse(stratified_split(df.withColumn("_s", F.col("o_orderstatus")), y="_s").drop("_s"))
 
 
 ORD_SQL = f"""ord AS (
@@ -134,7 +140,7 @@ def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = (d.join(lab, "doc_id").filter(F.col("quality").isNotNull())
           .select(F.col("doc_id").alias("row_id"), F.col("n_chars").cast("double").alias("n_chars"),
                   "lang", "source", F.col("quality").alias("y")))
-    return stratified_split(df)
+    return reuse(stratified_split(df))
 
 
 DOC_SQL = f"""doc AS (
@@ -186,7 +192,7 @@ def prt(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = p.select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("p_size"),
                   F.expr("try_cast(substr(p_brand, 7) AS DOUBLE)").alias("brand_no"),
                   F.col("p_retailprice").alias("y"))
-    return plain_split(df)
+    return reuse(plain_split(df))
 
 
 PRT_SQL = f"""prt AS (
