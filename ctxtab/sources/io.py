@@ -192,16 +192,19 @@ def export_table(df: DataFrame, num_cols: list[str], cat_cols: list[str], y: str
 
 
 def dataset_profile(df: DataFrame, num_cols: list[str], cat_cols: list[str], keys: list[str] | None = None,
-                    test_frac: float = 0.2, seed: int = 42) -> DataFrame:
+                    test_frac: float = 0.2, seed: int = 42, task: str = "cls") -> DataFrame:
     """Per dataset n_train, n_test, feature counts, sorted class list and split settings,
-    in one aggregation pass."""
+    in one aggregation pass.  The class list is bounded by the class count; for
+    regression (``task="reg"``) it is null rather than every distinct target."""
     keys = list(keys or [])
     g = df.groupBy(*keys) if keys else df.groupBy()
+    classes = (F.sort_array(F.collect_set(F.col("y").cast("string"))) if task == "cls"
+               else F.lit(None).cast("array<string>"))
     return g.agg(
         F.count_if(F.col("split") == "train").alias("n_train"),
         F.count_if(F.col("split") == "test").alias("n_test"),
         F.lit(len(num_cols)).alias("n_num_features"),
         F.lit(len(cat_cols)).alias("n_cat_features"),
-        F.sort_array(F.collect_set(F.col("y").cast("string"))).alias("y_classes"),
+        classes.alias("y_classes"),
         F.struct(F.lit(test_frac).alias("test_size"), F.lit(seed).alias("random_state"),
                  F.lit(True).alias("stratify")).alias("split_setting"))
