@@ -257,12 +257,13 @@ def _yj(x: Column, lam: float) -> Column:
 def yeo_johnson_fit(df, cols, split="split", fit_on="train", grid=None) -> dict[str, float]:
     """R6 fit: lambda maximising the Yeo-Johnson profile log-likelihood.
 
-    One aggregation evaluates every (column, lambda) of a coarse grid (sum
-    and sum of squares of the transform plus the Jacobian term); a second
-    aggregation refines around the best coarse lambda.
+    One aggregation evaluates every (column, lambda) of a grid (sum and sum
+    of squares of the transform plus the Jacobian term); the profile
+    likelihood is concave in lambda, so two more aggregations refine around
+    the best value with 5x finer steps (0.25, 0.05, 0.01 on [-2, 2]).
     """
     tr = _train(df, split, fit_on)
-    grid = grid or np.linspace(-2, 2, 41).tolist()
+    grid = grid or np.linspace(-2, 2, 17).tolist()
 
     def best(lams: dict[str, list[float]]) -> dict[str, float]:
         aggs = []
@@ -294,10 +295,12 @@ def yeo_johnson_fit(df, cols, split="split", fit_on="train", grid=None) -> dict[
             res[c] = bestl
         return res
 
-    coarse = best({c: grid for c in cols})
-    step = (grid[1] - grid[0]) if len(grid) > 1 else 0.1
-    fine = {c: np.linspace(coarse[c] - step, coarse[c] + step, 21).tolist() for c in cols}
-    return best(fine)
+    cur = best({c: grid for c in cols})
+    step = (grid[1] - grid[0]) if len(grid) > 1 else 0.25
+    for _ in range(2):
+        cur = best({c: np.linspace(cur[c] - step, cur[c] + step, 11).tolist() for c in cols})
+        step /= 5.0
+    return cur
 
 
 def yeo_johnson(df, cols, split="split", fit_on="train"):
