@@ -22,7 +22,7 @@ DEFAULT = [
     "r2_standard_scale", "r3_quantile_uniform", "r13_soft_clip_outliers",
     "p1_stratified_split", "p4_stratified_shards", "p5_mask_cells",
     "q4_top_k_context", "q5_mass_context", "q8_context_overlap",
-    "m1_predict_classes", "m2_predict_values", "m8_argmax_class",
+    "m1_predict_classes", "m2_predict_values", "m8_argmax_class", "m10_score_with_model",
     "v2_f1", "v6_auc_ovo", "v10_suite_summary", "v13_skip_filter", "v16_sweep",
 ]
 
