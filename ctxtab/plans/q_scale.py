@@ -84,7 +84,35 @@ def r3_quantile_uniform(spark, sf_dir):
     return _out(scale.quantile_uniform(_line(spark, sf_dir, R3_COLS), R3_COLS, "10"), R3_COLS)
 
 
-@register("r4_quantile_norm")
+def _horner_sql(coefs: list[float], x: str) -> str:
+    out = repr(coefs[-1])
+    for c in reversed(coefs[:-1]):
+        out = f"({out}) * {x} + {c!r}"
+    return out
+
+
+def _probit_sql(p: str) -> str:
+    """SQL form of the published AS241 inverse normal CDF (DuckDB has none built in)."""
+    from ctxtab.functions import exprs as X
+    q = f"({p} - 0.5)"
+    t = f"(0.180625 - {q} * {q})"
+    rr = f"sqrt(-ln(greatest(least({p}, 1 - {p}), 1e-300)))"
+    central = f"{q} * ({_horner_sql(X._AS241_A, t)}) / ({_horner_sql(X._AS241_B, t)})"
+    near = f"({_horner_sql(X._AS241_C, f'({rr} - 1.6)')}) / ({_horner_sql(X._AS241_D, f'({rr} - 1.6)')})"
+    far = f"({_horner_sql(X._AS241_E, f'({rr} - 5.0)')}) / ({_horner_sql(X._AS241_F, f'({rr} - 5.0)')})"
+    tail = f"(CASE WHEN {rr} <= 5.0 THEN {near} ELSE {far} END)"
+    return (f"CASE WHEN {p} IS NULL THEN NULL WHEN abs({q}) <= 0.425 THEN {central} "
+            f"WHEN {q} < 0 THEN -{tail} ELSE {tail} END")
+
+
+def _clip_sql(v: str) -> str:
+    return f"least(greatest({v}, {scale.BOUNDS!r}), {1 - scale.BOUNDS!r})"
+
+
+@register("r4_quantile_norm", W + "," + ",".join(_quantile_sql(c, 5) for c in R3_COLS) + f""",
+pc AS (SELECT a.row_id, {_clip_sql('a.v')} AS pa, {_clip_sql('b.v')} AS pb
+       FROM r_l_quantity a JOIN r_l_extendedprice b ON a.row_id = b.row_id)
+SELECT row_id, round({_probit_sql('pa')}, 6) AS l_quantity, round({_probit_sql('pb')}, 6) AS l_extendedprice FROM pc""")
 def r4_quantile_norm(spark, sf_dir):
     return _out(scale.quantile_normal(_line(spark, sf_dir, R3_COLS), R3_COLS, "5"), R3_COLS)
 
