@@ -71,3 +71,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets have Jaccard 0.75 or more."""
     from ctxtab.llm.ngram_join import jaccard_components
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query()
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources to their target weights takes from each document."""
+    from ctxtab.llm.mixing import mixed
+    out = mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")

@@ -21,15 +21,16 @@ the bytes of text; nothing is capped.
 
 from __future__ import annotations
 
-import zlib
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ctxtab.llm.words import Words, mix, pieces, sequence_hashes, text_buffer, window_starts
+from ctxtab.llm.words import Words, mix, pack_sorted, pieces, sequence_hashes, text_buffer, unpack_sorted, window_starts
 
 DEPTH = 2
 CHUNK_BYTES = 8 << 20
@@ -39,24 +40,6 @@ _BLOB = pa.schema([("slice", pa.int64()), ("chunk", pa.int64()), ("row", pa.int3
 _BLOB_DDL = "slice long, chunk long, row int, blob binary"
 
 
-def _pack(sorted_values: np.ndarray) -> bytes:
-    """Sorted integers as byte planes of their differences (the high planes compress well)."""
-    d = np.diff(sorted_values, prepend=0).astype(np.uint64)
-    planes = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    low = (d & np.uint64(255)).astype(np.uint8).tobytes()
-    high = b"".join(((d >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8).tobytes() for k in range(1, planes))
-    return len(d).to_bytes(8, "little") + low + zlib.compress(high, 1)
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    d = np.frombuffer(blob, np.uint8, n, 8).astype(np.int64)
-    high = np.frombuffer(zlib.decompress(blob[8 + n:]), np.uint8)
-    for k in range(len(high) // n if n else 0):
-        d += high[k * n:(k + 1) * n].astype(np.int64) << (8 * (k + 1))
-    return np.cumsum(d)
-
-
 def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_BLOB)], schema=_BLOB)
 
@@ -101,7 +84,7 @@ def _sketch(width: int, bits: int, slices: int):
         for r, cells in enumerate(_sorted_cells(tbl, width, bits)):
             cells = cells[np.diff(cells, prepend=-1) > 0]
             at = np.searchsorted(cells, edges)
-            rows += [(k, chunk, r, _pack(cells[at[k]:at[k + 1]] - edges[k])) for k in range(slices) if at[k] < at[k + 1]]
+            rows += [(k, chunk, r, pack_sorted(cells[at[k]:at[k + 1]] - edges[k])) for k in range(slices) if at[k] < at[k + 1]]
         return _rows(rows)
 
     return fn
@@ -114,9 +97,9 @@ def _merge(bits: int, slices: int):
         k, r = tbl["slice"][0].as_py(), tbl["row"][0].as_py()
         count = np.zeros(edges[k + 1] - edges[k], np.uint8)
         for blob in tbl["blob"]:
-            cells = _unpack(blob.as_py())
+            cells = unpack_sorted(blob.as_py())
             count[cells] = np.minimum(count[cells] + 1, 2)
-        return _rows([(k, c.as_py(), r, np.packbits(count[_unpack(b.as_py())] == 2).tobytes()) for c, b in zip(tbl["chunk"], tbl["blob"])])
+        return _rows([(k, c.as_py(), r, np.packbits(count[unpack_sorted(b.as_py())] == 2).tobytes()) for c, b in zip(tbl["chunk"], tbl["blob"])])
 
     return fn
 
@@ -234,7 +217,6 @@ def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts (windows do not reach across rows), so of equal rows the first keeps its words.  Columns
     named like the three results are replaced; others pass through.  Empty table: empty result.
     """
-    spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed", "kept_text")
     nbytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
     slices = max(LEAST_CHUNKS, -(-int(nbytes) // CHUNK_BYTES))
@@ -242,16 +224,12 @@ def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     dealt = docs.select(
         F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))), F.lit(slices)).alias("_chunk"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"),
-        *[F.col(c) for c in docs.columns if c != text_col])
-    out = spark.createDataFrame([], dealt.drop("_chunk", "_id", "_text").schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    schema = to_arrow_schema(out.schema)
-    for name, kind in (("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())):
-        schema = schema.append(pa.field(name, kind))
-    ddl = out.schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_doc"))
+    kept = T.StructType([dealt.schema["_doc"], *[T.StructField(n, t) for n, t in
+                         (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()))]])
     chunks = dealt.groupBy("_chunk")
     merged = (chunks.applyInArrow(_sketch(width, bits, slices), _BLOB_DDL)
               .groupBy("slice", "row").applyInArrow(_merge(bits, slices), _BLOB_DDL))
     later = (chunks.cogroup(merged.groupBy("chunk")).applyInArrow(_candidates(width, bits, slices), _BLOB_DDL)
              .groupBy("slice").applyInArrow(_later, _BLOB_DDL))
-    return chunks.cogroup(later.groupBy("chunk")).applyInArrow(_cut(width, schema), ddl)
+    return chunks.cogroup(later.groupBy("chunk")).applyInArrow(_cut(width, to_arrow_schema(kept)), kept).select("_doc.*", "n_words", "n_removed", "kept_text")

@@ -9,6 +9,8 @@ sums, and the hash of ``k`` consecutive words comes from a second prefix sum.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -113,3 +115,21 @@ def pieces(col: pa.Array, most: int = 2 << 20):
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
         yield at, to
         at = to
+
+
+def pack_sorted(sorted_values: np.ndarray) -> bytes:
+    """Sorted integers as byte planes of their differences (the high planes compress well)."""
+    d = np.diff(sorted_values, prepend=0).astype(np.uint64)
+    planes = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
+    low = (d & np.uint64(255)).astype(np.uint8).tobytes()
+    high = b"".join(((d >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8).tobytes() for k in range(1, planes))
+    return len(d).to_bytes(8, "little") + low + zlib.compress(high, 1)
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    d = np.frombuffer(blob, np.uint8, n, 8).astype(np.int64)
+    high = np.frombuffer(zlib.decompress(blob[8 + n:]), np.uint8)
+    for k in range(len(high) // n if n else 0):
+        d += high[k * n:(k + 1) * n].astype(np.int64) << (8 * (k + 1))
+    return np.cumsum(d)
