@@ -79,3 +79,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ctxtab.llm.mixing import mixed
     out = mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query()
+def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal row counts, copies of a text together."""
+    from ctxtab.llm.sharding import sharded
+    return sharded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
