@@ -30,7 +30,7 @@ def _sha(col: str):
 
 @_query("""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 win AS (
   SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS k
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)),
@@ -55,7 +55,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+                                                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (
   SELECT DISTINCT doc_id, array_to_string(ws[s:s + 4], ' ') AS g
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS s FROM w WHERE len(ws) > 0)),
@@ -86,3 +86,20 @@ def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal row counts, copies of a text together."""
     from ctxtab.llm.sharding import sharded
     return sharded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
+""")
+def op1_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every fiftieth vector against all others."""
+    from ctxtab.llm.topk_search import top_k
+    vecs = _table(spark, sf_dir, "embeddings")
+    return top_k(vecs.where("vec_id % 50 = 0"), vecs)
