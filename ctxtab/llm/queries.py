@@ -103,3 +103,10 @@ def op1_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ctxtab.llm.topk_search import top_k
     vecs = _table(spark, sf_dir, "embeddings")
     return top_k(vecs.where("vec_id % 50 = 0"), vecs)
+
+
+@_query()
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95 found by sign hashing, and their components."""
+    from ctxtab.llm.embedding_dedup import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
