@@ -110,3 +110,13 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at cosine 0.95 found by sign hashing, and their components."""
     from ctxtab.llm.embedding_dedup import near_duplicates
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@_query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the labelled documents that are not held out."""
+    from ctxtab.llm import language_id as lid
+    docs = _table(spark, sf_dir, "documents")
+    model = lid.fit(docs.where(~lid.held_out()))
+    texts = docs.select("doc_id", "text", lid.held_out().alias("held_out"))
+    return lid.predict(texts, model).select("doc_id", "held_out", "lang_pred", "score")
