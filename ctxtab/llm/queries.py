@@ -120,3 +120,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lid.fit(docs.where(~lid.held_out()))
     texts = docs.select("doc_id", "text", lid.held_out().alias("held_out"))
     return lid.predict(texts, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query()
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text and the text decoded from them, as digests."""
+    from ctxtab.llm import byte_bpe as bpe
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.decode(bpe.encode(docs).drop("text"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest("ids").alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"))
