@@ -184,7 +184,7 @@ def _later(tbl: pa.Table) -> pa.Table:
     return _rows(rows)
 
 
-def _cut(width: int, schema: pa.Schema):
+def _cut(width: int, whole: bool, schema: pa.Schema):
     def fn(docs: pa.Table, late: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -198,6 +198,8 @@ def _cut(width: int, schema: pa.Schema):
         np.add.at(cover, np.minimum(at + width, first[-1]), -1)
         keep = np.cumsum(cover)[:-1] == 0
         kept = [b" ".join(t if (k := keep[a:a + len(t)]).all() else compress(t, k)).decode("utf-8", "surrogatepass") for t, a in zip(texts, first)]
+        if whole:
+            kept = [k if t is None or not keep[a:a + n].all() else t for k, t, a, n in zip(kept, docs["_text"].to_pylist(), first, size)]
         gone = size - np.add.reduceat(np.append(keep, False).astype(np.int64), first[:-1]) * (size > 0) if len(size) else size
         out = docs.drop_columns(["_chunk", "_id", "_text"])
         for name, col in (("n_words", pa.array(size)), ("n_removed", pa.array(gone)), ("kept_text", pa.array(kept, pa.string()))):
@@ -207,7 +209,8 @@ def _cut(width: int, schema: pa.Schema):
     return fn
 
 
-def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
+def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20,
+                         whole: bool = False) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space).
 
     A word goes when some window of ``width`` words that covers it has a word sequence that also
@@ -216,6 +219,7 @@ def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null ids come after all others.  Rows that share an id are one sequence in the order of their
     texts (windows do not reach across rows), so of equal rows the first keeps its words.  Columns
     named like the three results are replaced; others pass through.  Empty table: empty result.
+    ``whole``: a text that loses nothing is returned as it is, with its own white space.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
     nbytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
@@ -232,4 +236,4 @@ def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
               .groupBy("slice", "row").applyInArrow(_merge(bits, slices), _BLOB_DDL))
     later = (chunks.cogroup(merged.groupBy("chunk")).applyInArrow(_candidates(width, bits, slices), _BLOB_DDL)
              .groupBy("slice").applyInArrow(_later, _BLOB_DDL))
-    return chunks.cogroup(later.groupBy("chunk")).applyInArrow(_cut(width, to_arrow_schema(kept)), kept).select("_doc.*", "n_words", "n_removed", "kept_text")
+    return chunks.cogroup(later.groupBy("chunk")).applyInArrow(_cut(width, whole, to_arrow_schema(kept)), kept).select("_doc.*", "n_words", "n_removed", "kept_text")
