@@ -48,6 +48,13 @@ def id_hash_sql(expr: str, salt: int = 0) -> str:
     return h
 
 
+def class_list(df, col: str) -> Column:
+    """All distinct values of ``col`` as one array literal (a class list: one value for each class)."""
+    kind = df.schema[col].dataType
+    values = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+    return F.array(*[F.lit(v).cast(kind) for v in values]).cast(f"array<{kind.simpleString()}>")
+
+
 def r6(c: str | Column, name: str | None = None) -> Column:
     out = F.round(col_(c), 6)
     return out.alias(name) if name else out

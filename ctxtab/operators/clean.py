@@ -107,7 +107,7 @@ def filter_valid_features(df: DataFrame, cols: list[str], split: str = "split"):
     v = {r["feature"]: r["valid"] for r in feature_validity(df, cols, split).collect()}
     kept = [c for c in cols if v[c]]
     if not kept:
-        raise ValueError("All features are constant")
+        raise ValueError("no feature varies and has values on both sides")
     return df.drop(*[c for c in cols if not v[c]]), kept, [c for c in cols if not v[c]]
 
 

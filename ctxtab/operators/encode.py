@@ -8,7 +8,7 @@ the driver.
 
 from __future__ import annotations
 
-import itertools
+import random
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxtab.functions.exprs import HASH_MOD, id_hash
-from ctxtab.functions.ranking import global_index, prefix_count
+from ctxtab.functions.ranking import global_index, prefix_sum
 
 MISSING = "__MISSING__"
 
@@ -153,12 +153,11 @@ def shuffle_codes(df: DataFrame, cols: list[str], seed: int = 0, id_col: str = "
     return out
 
 
-def one_hot(df: DataFrame, cols: list[str], max_cells: int | None = None, id_col: str = "row_id") -> DataFrame:
+def one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
     """One indicator per level; binary columns keep only the second level;
     NULL is its own level; unseen values give all zeros.
 
-    The level lists are small metadata collected from a distinct pass.  With
-    ``max_cells`` set, encoding is skipped when rows x width would reach it.
+    The level lists are metadata from a distinct pass: they become column names.
     """
     levels = {}
     for c in cols:
@@ -166,10 +165,6 @@ def one_hot(df: DataFrame, cols: list[str], max_cells: int | None = None, id_col
         nn = sorted(v for v in vals if v is not None)
         lv = nn + ([None] if None in vals else [])
         levels[c] = lv[1:] if len(lv) == 2 else lv
-    if max_cells is not None:
-        width = sum(len(v) for v in levels.values()) + len(df.columns) - len(cols)
-        if df.count() * width >= max_cells:
-            return df
     out = []
     for c in cols:
         for v in levels[c]:
@@ -180,16 +175,15 @@ def one_hot(df: DataFrame, cols: list[str], max_cells: int | None = None, id_col
 
 
 def class_permutations(n_classes: int, n_members: int, seed: int = 0, factor: int = 3) -> list[list[int]]:
-    """E10 (driver metadata): draw ``factor x members`` random class orders,
-    keep the unique ones, repeat them evenly and fill the rest at random."""
-    rng = np.random.default_rng(seed)
-    noise = rng.random((n_members * factor, n_classes))
-    uniq = np.unique(np.argsort(noise, axis=1), axis=0)
-    perms = list(itertools.chain.from_iterable(itertools.repeat(u, n_members // len(uniq)) for u in uniq))
-    rest = n_members % len(uniq)
-    if rest:
-        perms += [uniq[i] for i in rng.choice(len(uniq), size=rest)]
-    return [[int(x) for x in p] for p in perms]
+    """E10 (driver metadata): one class order for each member.
+
+    The pool is what remains of ``factor`` draws a member once repeated orders are dropped; every
+    order of the pool serves equally often and seeded extra picks fill up.
+    """
+    rnd = random.Random(seed)
+    pool = sorted({tuple(rnd.sample(range(n_classes), n_classes)) for _ in range(factor * n_members)})
+    each, spare = divmod(n_members, len(pool))
+    return [list(order) for order in pool * each + rnd.choices(pool, k=spare)]
 
 
 def apply_class_permutation(df: DataFrame, perm: list[int], y: str = "y_code", out: str = "y_perm") -> DataFrame:
@@ -227,22 +221,15 @@ def target_rank(df: DataFrame, c: str, split: str = "split", out: str | None = N
                 id_col: str = "row_id") -> DataFrame:
     """Value -> number of distinct train values strictly below it.
 
-    Distinct train values and all rows are merged into one globally ordered
-    stream (range partitioned, no single-task window); a row's rank is the
-    number of train marks before it, with marks sorting after equal rows.
+    Only distinct values are sorted (one range shuffle and a distributed prefix
+    sum of train marks); rows get their value's rank by an equi-join.
     """
     out = out or f"{c}_rank"
-    marks = (df.filter(F.col(split) == "train").select(F.col(c).cast("double").alias("_v"))
-             .filter(F.col("_v").isNotNull()).distinct())
-    rows = df.withColumn("_v", F.col(c).cast("double")).withColumn("_is_t", F.lit(0)) \
-        .withColumn("_oid", F.col(id_col).cast("long"))
-    marks = marks.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields],
-                         "_v", F.lit(1).alias("_is_t"), F.lit(None).cast("long").alias("_oid"))
-    allc = rows.unionByName(marks)
-    ranked = prefix_count(allc, ["_v", "_is_t", "_oid"], F.col("_is_t") == 1, "_r")
-    res = ranked.filter(F.col("_is_t") == 0)
-    return res.withColumn(out, F.when(F.col("_v").isNull(), None).otherwise(F.col("_r"))) \
-        .drop("_v", "_is_t", "_oid", "_r")
+    rows = df.withColumn("_v", F.col(c).cast("double"))
+    values = (rows.filter(F.col("_v").isNotNull()).groupBy("_v")
+              .agg(F.max((F.col(split) == "train").cast("long")).alias("_seen")))
+    ranked = prefix_sum(values, ["_v"], "_seen", "_r").select("_v", F.col("_r").alias(out))
+    return rows.drop(*[x for x in [out] if x in df.columns]).join(ranked, "_v", "left").drop("_v")
 
 
 def _mod_1e12_of_hex(h: F.Column) -> F.Column:

@@ -6,54 +6,59 @@ DataFrame operators emit and move no data themselves.
 from __future__ import annotations
 
 import json
-import os
-from dataclasses import dataclass, field, replace
+import random
+from dataclasses import dataclass, replace
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 
 @dataclass(frozen=True)
 class PipelineSpec:
-    """The ensemble members (one dict per member) plus run-time knobs."""
-    members: list[dict] = field(default_factory=list)
+    """What each ensemble member does (a dict of step settings) and the run-time knobs."""
+    members: tuple[dict, ...]
     softmax_temperature: float = 0.9
     seed: int = 0
 
-    @staticmethod
-    def load(config: list | str, softmax_temperature: float = 0.9, seed: int = 0) -> PipelineSpec:
-        """From a list of member dicts or a JSON file path; an empty list is rejected."""
-        if isinstance(config, str):
-            if not os.path.isfile(config):
-                raise ValueError(f"inference_config is not a config file path: {config}")
-            with open(config) as f:
-                config = json.load(f)
-        if not config:
-            raise ValueError("Invalid configuration: the number of pipelines is 0")
-        return PipelineSpec(list(config), softmax_temperature, seed)
-
-    def with_overrides(self, config: list | str | None = None, softmax_temperature: float | None = None,
-                       seed: int | None = None) -> PipelineSpec:
-        """Swap members, temperature or seed at run time (unset values are kept)."""
-        s = PipelineSpec.load(config, self.softmax_temperature, self.seed) if config is not None else self
-        return replace(s, softmax_temperature=self.softmax_temperature if softmax_temperature is None
-                       else softmax_temperature, seed=self.seed if seed is None else seed)
+    def __post_init__(self):
+        if len(self.members) == 0:
+            raise ValueError("an ensemble needs at least one member")
+
+    @classmethod
+    def load(cls, source: list | str, **knobs) -> PipelineSpec:
+        """Members given as dicts, or named by the path of a JSON file that lists them."""
+        if not isinstance(source, str):
+            return cls(tuple(source), **knobs)
+        with open(source, encoding="utf-8") as f:
+            return cls(tuple(json.load(f)), **knobs)
+
+    def with_overrides(self, config: list | str | None = None, **knobs) -> PipelineSpec:
+        """The same spec with other members, temperature or seed; what is None stays."""
+        changes = {k: v for k, v in knobs.items() if v is not None}
+        if config is not None:
+            changes["members"] = PipelineSpec.load(config).members
+        return replace(self, **changes)
+
+
+def _rotated(columns: list[str], offset: int, seed: int) -> list[str]:
+    k = -offset % max(len(columns), 1)
+    return columns[k:] + columns[:k]
+
+
+def _dealt(columns: list[str], offset: int, seed: int) -> list[str]:
+    return random.Random(seed).sample(columns, len(columns))
+
+
+ORDERINGS = {None: lambda columns, offset, seed: list(columns), "rotate": _rotated, "shuffle": _dealt}
 
 
 def shuffle_features(columns: list[str], categorical: list[str], mode: str | None = "shuffle",
                      offset: int = 0, seed: int = 0) -> tuple[list[str], list[str]]:
-    """New column order (seeded permutation, roll by ``offset`` or none) and
-    the categorical columns in that order.  Apply with ``df.select(order)``."""
-    idx = np.arange(len(columns))
-    if mode == "rotate":
-        idx = np.roll(idx, offset)
-    elif mode == "shuffle":
-        idx = np.random.default_rng(seed).permutation(idx)
-    elif mode is not None:
-        raise ValueError(f"Unsupported reordering mode: {mode}")
-    order = [columns[i] for i in idx]
-    cat = set(categorical)
-    return order, [c for c in order if c in cat]
+    """Columns in a seeded, rolled or unchanged order, and which of them are
+    categorical.  Apply with ``df.select(order)``."""
+    if mode not in ORDERINGS:
+        raise ValueError(f"feature order {mode!r} is none of {sorted(map(str, ORDERINGS))}")
+    order = ORDERINGS[mode](columns, offset, seed)
+    return order, [c for c in order if c in set(categorical)]
 
 
 def check_features(train: DataFrame, test: DataFrame, features: list[str], label: str = "y") -> None:

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ctxtab.functions.exprs import class_list
+from ctxtab.functions.ranking import prefix_sum
+
 
 def accuracy(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """V1."""
@@ -27,16 +30,16 @@ def f1(pred: DataFrame, average: str = "macro", pos_label=1, keys: list[str] | N
     Empty denominators count as 0 (sklearn's zero_division=0 behaviour).
     """
     keys = list(keys or [])
-    tp = pred.filter(F.col("y") == F.col("pred")).groupBy(*keys, F.col("y").alias("c")).agg(
-        F.count(F.lit(1)).alias("tp"))
-    fp = pred.filter(F.col("y") != F.col("pred")).groupBy(*keys, F.col("pred").alias("c")).agg(
-        F.count(F.lit(1)).alias("fp"))
-    fn = pred.filter(F.col("y") != F.col("pred")).groupBy(*keys, F.col("y").alias("c")).agg(
-        F.count(F.lit(1)).alias("fn"))
-    cls = (pred.select(*keys, F.col("y").alias("c")).union(pred.select(*keys, F.col("pred").alias("c")))
-           .distinct())
-    t = (cls.join(tp, [*keys, "c"], "left").join(fp, [*keys, "c"], "left").join(fn, [*keys, "c"], "left")
-         .fillna(0, ["tp", "fp", "fn"]))
+    # one scan: every cell of the confusion table counts for its true and for its predicted class
+    hit = F.col("y") == F.col("pred")
+    sides = F.array(
+        F.struct(F.col("y").alias("c"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"),
+                 F.when(hit, 0).otherwise(F.col("n")).alias("fn")),
+        F.struct(F.col("pred").alias("c"), F.lit(0).cast("long").alias("tp"), F.when(hit, 0).otherwise(F.col("n")).alias("fp"),
+                 F.lit(0).cast("long").alias("fn")))
+    t = (confusion(pred.withColumn("pred", F.col("pred").cast(pred.schema["y"].dataType)), keys)
+         .select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*")
+         .groupBy(*keys, "c").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")))
     den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
     t = t.withColumn("_f1", F.when(den == 0, F.lit(0.0)).otherwise(2 * F.col("tp") / den))
     if average == "binary":
@@ -48,7 +51,7 @@ def log_loss(probs: DataFrame, truth: DataFrame, eps: float = 1e-15, keys: list[
     """V3: rows renormalised, probabilities clipped to [eps, 1-eps]."""
     keys = list(keys or [])
     w = Window.partitionBy(*keys, "test_id")
-    p = probs.withColumn("_p", F.col("p") / F.sum("p").over(w))
+    p = probs.withColumn("_p", F.try_divide(F.col("p"), F.sum("p").over(w)))  # an all-zero row counts as probability 0
     # a true class missing from a row's probabilities counts as probability 0
     j = truth.select(*keys, "test_id", F.col("y").alias("class")).join(
         p.select(*keys, "test_id", "class", "_p"), [*keys, "test_id", "class"], "left") \
@@ -78,18 +81,19 @@ def auc_binary(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """V5: ROC AUC of ``score`` for ``label`` 1 vs 0 by the mid-rank (Mann-Whitney) formula.
 
     Distributed: rows are counted per distinct score (map-side combine),
-    then a running sum over the distinct scores gives mid-ranks.  NULL when
-    only one label is present.
+    then a distributed prefix sum over the distinct scores (range sort by
+    keys and score) gives mid-ranks.  NULL when only one label is present.
     """
     keys = list(keys or [])
     g = scores.groupBy(*keys, "score").agg(
         F.count(F.lit(1)).alias("_c"), F.sum(F.col("label").cast("long")).alias("_pos"))
-    w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("_mid", F.sum("_c").over(w) - F.col("_c") + (F.col("_c") + 1) / 2.0)
-    a = g.groupBy(*keys).agg(F.sum(F.col("_mid") * F.col("_pos")).alias("_rs"),
+    g = prefix_sum(g, [*keys, "score"], "_c")
+    mid = F.col("_before") + (F.col("_c") + 1) / 2.0
+    a = g.groupBy(*keys).agg(F.sum(mid * F.col("_pos")).alias("_rs"), F.min("_before").alias("_base"),
                              F.sum("_pos").alias("_np"), F.sum("_c").alias("_n"))
+    a = a.withColumn("_rs", F.col("_rs") - F.col("_base") * F.col("_np"))  # ranks start anew for each key
     nn = F.col("_n") - F.col("_np")
-    auc = (F.col("_rs") - F.col("_np") * (F.col("_np") + 1) / 2.0) / (F.col("_np") * nn)
+    auc = F.try_divide(F.col("_rs") - F.col("_np") * (F.col("_np") + 1) / 2.0, F.col("_np") * nn)
     return a.select(*keys, F.when((F.col("_np") == 0) | (nn == 0), F.lit(None).cast("double"))
                     .otherwise(auc).alias("auc"))
 
@@ -103,20 +107,19 @@ def auc_ovo(probs: DataFrame, truth: DataFrame, keys: list[str] | None = None) -
     positive of (y, o), once as the negative of (o, y).
     """
     keys = list(keys or [])
-    kk = keys or ["_k"]
     t = truth.select(*keys, "test_id", F.col("y").alias("ty"))
-    t = t if keys else t.withColumn("_k", F.lit(0))
-    cls = t.groupBy(*kk).agg(F.collect_set("ty").alias("_cls"))
-    r = t.join(cls, kk).select(*kk, "test_id", "ty", F.explode("_cls").alias("o")).filter(F.col("o") != F.col("ty"))
-    pos = r.select(*kk, "test_id", F.col("ty").alias("a"), F.col("o").alias("b"), F.lit(1).alias("label"))
-    neg = r.select(*kk, "test_id", F.col("o").alias("a"), F.col("ty").alias("b"), F.lit(0).alias("label"))
+    if keys:
+        t = t.join(t.groupBy(*keys).agg(F.collect_set("ty").alias("_cls")), keys)
+    else:  # one class list: a literal, so that no join on a constant is needed
+        t = t.withColumn("_cls", class_list(t, "ty"))
+    r = t.select(*keys, "test_id", "ty", F.explode("_cls").alias("o")).filter(F.col("o") != F.col("ty"))
+    pos = r.select(*keys, "test_id", F.col("ty").alias("a"), F.col("o").alias("b"), F.lit(1).alias("label"))
+    neg = r.select(*keys, "test_id", F.col("o").alias("a"), F.col("ty").alias("b"), F.lit(0).alias("label"))
     rows = pos.unionByName(neg)
     p = probs.select(*keys, "test_id", F.col("class").alias("a"), F.col("p").alias("score"))
-    p = p if keys else p.withColumn("_k", F.lit(0))
-    rows = rows.join(p, [*kk, "test_id", "a"], "left").fillna(0.0, ["score"])
-    per = auc_binary(rows, [*kk, "a", "b"])
-    out = per.groupBy(*kk).agg(F.avg("auc").alias("auc_ovo"))
-    return out if keys else out.drop("_k")
+    rows = rows.join(p, [*keys, "test_id", "a"], "left").fillna(0.0, ["score"])
+    per = auc_binary(rows, [*keys, "a", "b"])
+    return per.groupBy(*keys).agg(F.avg("auc").alias("auc_ovo"))
 
 
 def rmse(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -126,11 +129,11 @@ def rmse(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def r2(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """V8: ``1 - SS_res / SS_tot`` in one pass (SS_tot = sum y^2 - n*mean^2)."""
+    """V8: ``1 - SS_res / SS_tot`` in one pass; NULL for a constant target."""
     keys = list(keys or [])
     a = pred.groupBy(*keys).agg(F.sum(F.pow(F.col("pred") - F.col("y"), 2)).alias("_res"),
                                 F.var_pop("y").alias("_v"), F.count(F.lit(1)).alias("_n"))
-    return a.select(*keys, (F.lit(1.0) - F.col("_res") / (F.col("_v") * F.col("_n"))).alias("r2"))
+    return a.select(*keys, (F.lit(1.0) - F.try_divide(F.col("_res"), F.col("_v") * F.col("_n"))).alias("r2"))
 
 
 def imputation_error(truth: DataFrame, imputed: DataFrame, categorical: list[str] | None = None,

@@ -10,23 +10,31 @@ follow the reference.  :func:`score_with_model` is the hook for a real model.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ctxtab.functions.exprs import class_list
+
 
 def class_logits(ctx: DataFrame, train: DataFrame, label_col: str = "y", id_col: str = "row_id",
                  keys: list[str] | None = None) -> DataFrame:
     """M1 (kernel form): ``(test_id, class, logit)`` with logit = log(sum of weights).
 
-    Classes absent from a row's context are absent here (logit -inf).
+    Classes absent from a row's context are absent here (logit -inf).  Sums are
+    taken relative to the best score of the class, so no weight underflows.
     """
     keys = list(keys or [])
     t = train.select(*keys, F.col(id_col).alias("train_id"), F.col(label_col).alias("class"))
-    return (ctx.join(t, [*keys, "train_id"])
-            .groupBy(*keys, "test_id", "class").agg(F.log(F.sum("weight")).alias("logit")))
+    best = F.max("score").over(Window.partitionBy(*keys, "test_id", "class"))
+    return (ctx.join(t, [*keys, "train_id"]).withColumn("_best", best)
+            .groupBy(*keys, "test_id", "class")
+            .agg((F.max("_best") - F.max("lse") + F.log(F.sum(F.exp(F.col("score") - F.col("_best"))))).alias("logit")))
+
+
+def _relative(ctx: DataFrame, by: list[str]) -> DataFrame:
+    """``ctx`` with ``_w``: weights relative to the best context row of each ``by`` group (never all zero)."""
+    return ctx.withColumn("_w", F.exp(F.col("score") - F.max("score").over(Window.partitionBy(*by))))
 
 
 def temperature_softmax(logits: DataFrame, temperature: float = 0.9,
@@ -51,8 +59,8 @@ def predict_values(ctx: DataFrame, train: DataFrame, label_col: str = "y", id_co
     """M2: weighted mean of the context targets ``(test_id, pred)``."""
     keys = list(keys or [])
     t = train.select(*keys, F.col(id_col).alias("train_id"), F.col(label_col).cast("double").alias("_y"))
-    return (ctx.join(t, [*keys, "train_id"]).groupBy(*keys, "test_id")
-            .agg((F.sum(F.col("weight") * F.col("_y")) / F.sum("weight")).alias("pred")))
+    return (_relative(ctx.join(t, [*keys, "train_id"]).filter(F.col("_y").isNotNull()), [*keys, "test_id"])
+            .groupBy(*keys, "test_id").agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("pred")))
 
 
 def impute_cells(ctx: DataFrame, train: DataFrame, feature_cols: list[str], id_col: str = "row_id",
@@ -66,16 +74,16 @@ def impute_cells(ctx: DataFrame, train: DataFrame, feature_cols: list[str], id_c
     cells = (train.select(F.col(id_col).alias("train_id"),
                           F.expr(f"stack({len(feature_cols)}, {stack}) AS (feature, v)"))
              .filter(F.col("v").isNotNull()))
-    j = ctx.select("test_id", "train_id", "weight").join(cells, "train_id")
+    j = _relative(ctx.select("test_id", "train_id", "score").join(cells, "train_id"), ["test_id", "feature"])
     num = (j.filter(~F.col("feature").isin(list(categorical)) if categorical else F.lit(True))
            .groupBy("test_id", "feature")
-           .agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("imputed")))
+           .agg((F.sum(F.col("_w") * F.col("v")) / F.sum("_w")).alias("imputed")))
     if not categorical:
         return num
     votes = (j.filter(F.col("feature").isin(list(categorical)))
-             .groupBy("test_id", "feature", "v").agg(F.sum("weight").alias("_w")))
+             .groupBy("test_id", "feature", "v").agg(F.sum("_w").alias("_votes")))
     mode = votes.groupBy("test_id", "feature").agg(
-        F.max_by("v", F.struct(F.col("_w"), -F.col("v"))).alias("imputed"))
+        F.max_by("v", F.struct(F.col("_votes"), -F.col("v"))).alias("imputed"))
     return num.unionByName(mode)
 
 
@@ -90,7 +98,7 @@ def ensemble_average(members: DataFrame, keys: list[str] | None = None, value: s
     avg = (members.groupBy(*keys, "test_id", "class")
            .agg((F.sum(value) / F.lit(n_members)).alias("_a")))
     w = Window.partitionBy(*keys, "test_id")
-    return avg.withColumn(value, F.col("_a") / F.sum("_a").over(w)).drop("_a")
+    return avg.withColumn(value, F.try_divide(F.col("_a"), F.sum("_a").over(w))).drop("_a")
 
 
 def ensemble_mean_values(members: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -102,34 +110,34 @@ def ensemble_mean_values(members: DataFrame, keys: list[str] | None = None) -> D
 def sharded_average(shard_probs: DataFrame, shard_sizes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """M6: weight each shard's probabilities by its share of train rows, divide by the weight sum.
 
-    ``shard_sizes`` has one row per (keys, shard); the weight sum per dataset
-    comes from a window over that small table, so no row-level cross product.
+    ``shard_sizes`` has one row per (keys, shard).
     """
     keys = list(keys or [])
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    wts = shard_sizes.select(*keys, "shard", (F.col("n") / F.sum("n").over(w)).alias("_sw"))
-    wts = wts.withColumn("_ws", F.sum("_sw").over(w))
-    j = shard_probs.join(wts, [*keys, "shard"])
+    if keys:
+        total = shard_sizes.groupBy(*keys).agg(F.sum("n").alias("_ws"))
+        j = shard_probs.join(shard_sizes.select(*keys, "shard", "n"), [*keys, "shard"]).join(total, keys)
+    else:
+        total = shard_sizes.agg(F.sum("n")).first()[0]
+        j = shard_probs.join(shard_sizes.select("shard", "n"), "shard").withColumn("_ws", F.lit(total))
     return (j.groupBy(*keys, "test_id", "class")
-            .agg((F.sum(F.col("p") * F.col("_sw")) / F.first("_ws")).alias("p")))
+            .agg((F.sum(F.col("p") * F.col("n") / F.col("_ws"))).alias("p")))
 
 
 def align_classes(probs: DataFrame, classes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """M7: scatter to the global class list, renormalise; all-zero rows become uniform.
 
     ``classes`` has one row per (keys, class).  Each dataset's class list (at
-    most K values) is packed into an array, joined to its rows on the keys and
-    exploded -- a bounded fan-out of K per row, not a cross join.
+    most K values) is packed into an array -- joined on the keys, or a literal
+    when there is one dataset -- and exploded: a bounded fan-out of K per row.
     """
     keys = list(keys or [])
-    kk = keys or ["_k"]
-    cl = classes if keys else classes.withColumn("_k", F.lit(0))
-    cl = cl.groupBy(*kk).agg(F.collect_set("class").alias("_cls"))
     rows = probs.select(*keys, "test_id").distinct()
-    rows = rows if keys else rows.withColumn("_k", F.lit(0))
-    grid = rows.join(cl, kk).select(*kk, "test_id", F.explode("_cls").alias("class"))
-    full = grid.drop(*([] if keys else ["_k"])).join(probs, [*keys, "test_id", "class"], "left") \
-        .withColumn("p", F.coalesce("p", F.lit(0.0)))
+    if keys:
+        rows = rows.join(classes.groupBy(*keys).agg(F.collect_set("class").alias("_cls")), keys)
+    else:
+        rows = rows.withColumn("_cls", class_list(classes, "class"))
+    grid = rows.select(*keys, "test_id", F.explode("_cls").alias("class"))
+    full = grid.join(probs, [*keys, "test_id", "class"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
     w = Window.partitionBy(*keys, "test_id")
     tot = F.sum("p").over(w)
     n_cls = F.count(F.lit(1)).over(w)
@@ -199,7 +207,3 @@ def undo_class_permutation(probs: DataFrame, perm: list[int]) -> DataFrame:
     inv = {int(p): c for c, p in enumerate(perm)}
     arr = F.array(*[F.lit(inv[i]) for i in range(len(perm))])
     return probs.withColumn("class", F.element_at(arr, F.col("class").cast("int") + 1))
-
-
-def logit_or_neg_inf(c: str) -> F.Column:
-    return F.coalesce(F.col(c), F.lit(-math.inf))

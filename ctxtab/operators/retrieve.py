@@ -6,9 +6,9 @@ over all train rows, ``w_ij = exp(s_ij - lse_i)``.
 
 Physical design (blocked score job).  Both sides are packed into blocks of
 about ``block_rows`` rows by id hash.  Test block ``tb`` is paired with every
-train block ``rb`` of its group through an equi-join on ``(group, rb)``
-(the block product of distributed matrix multiplication, so the shuffle moves
-blocks, not pairs).  One Arrow task computes one block product with numpy and
+train block ``rb`` of its group through an equi-join on the grid cell ``(group,
+rb, tb)`` (the block product of distributed matrix multiplication, so the
+shuffle moves blocks, not pairs, and no block is a hot key).  One Arrow task computes one block product with numpy and
 emits, per test row, the block max ``m``, ``z = sum exp(s - m)`` and the
 block's best ``K`` candidates -- never the pairs.  A single shuffle on
 ``(group, test_id)`` then merges blocks with a streaming log-sum-exp and
@@ -32,6 +32,7 @@ from ctxtab.functions.exprs import id_hash
 
 DEFAULT_BLOCK_ROWS = 2048
 DEFAULT_BROADCAST_BYTES = 64 << 20
+BROADCAST_GROUPS = 100_000  # group count up to which the small table of block counts is broadcast
 
 
 def _group_keys(keys: list[str] | None) -> list[str]:
@@ -112,64 +113,62 @@ def block_scores(test: DataFrame, train: DataFrame, vec_col: str, K: int,
     keys = _group_keys(keys)
     test = test.filter(F.col(vec_col).isNotNull())
     train = train.filter(F.col(vec_col).isNotNull())
-    gk = keys or ["_g"]
-    if not keys:
-        test, train = test.withColumn("_g", F.lit(0)), train.withColumn("_g", F.lit(0))
     # one statistics pass per side: rows per group and vector width
-    rs = train.groupBy(*gk).agg(F.count(F.lit(1)).alias("_nr"), F.max(F.size(vec_col)).alias("_d"))
-    ts = test.groupBy(*gk).agg(F.count(F.lit(1)).alias("_nt"))
-    tot = rs.agg(F.sum("_nr"), F.max("_d"), F.max("_nr")).first()
+    rs = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"), F.max(F.size(vec_col)).alias("_d"))
+    ts = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nt"))
+    tot = rs.agg(F.sum("_nr"), F.max("_d"), F.count(F.lit(1))).first()
     n_train, d = int(tot[0] or 0), int(tot[1] or 0)
     if scale is None:
         scale = 1.0 / math.sqrt(max(d, 1))
-    nb = (rs.join(ts, gk, "inner")
-          .withColumn("_br", F.greatest(F.lit(1), F.ceil(F.col("_nr") / block_rows)).cast("long"))
-          .withColumn("_bt", F.greatest(F.lit(1), F.ceil(F.col("_nt") / block_rows)).cast("long"))
-          .select(*gk, "_br", "_bt"))
-
-    tb = (test.join(nb, gk).withColumn("_tb", F.pmod(id_hash(id_col, 11), F.col("_bt")))
-          .groupBy(*gk, "_tb", "_br")
-          .agg(F.collect_list(F.struct(F.col(id_col).cast("long").alias("id"),
-                                       F.col(vec_col).alias("v"))).alias("_t")))
-    rb = (train.join(nb, gk).withColumn("_rb", F.pmod(id_hash(id_col, 11), F.col("_br")))
-          .groupBy(*gk, "_rb")
-          .agg(F.collect_list(F.struct(F.col(id_col).cast("long").alias("id"),
-                                       F.col(vec_col).alias("v"))).alias("_r")))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block_rows)).cast("long")
+    if keys:
+        nb = rs.join(ts, keys).select(*keys, blocks(F.col("_nr")).alias("_br"), blocks(F.col("_nt")).alias("_bt"))
+        nb = F.broadcast(nb) if int(tot[2]) <= BROADCAST_GROUPS else nb
+        test, train = test.join(nb, keys), train.join(nb, keys)
+    else:  # one group: its block counts are literals, no join on a constant
+        one = ts.first()
+        counts = {"_br": blocks(F.lit(n_train)), "_bt": blocks(F.lit(int(one["_nt"]) if one else 0))}
+        test, train = test.withColumns(counts), train.withColumns(counts)
+
+    def packed(df: DataFrame, mine: str, count: str, keep: list[str], name: str) -> DataFrame:
+        return (df.withColumn(mine, F.pmod(id_hash(id_col, 11), F.col(count))).groupBy(*keys, mine, *keep)
+                .agg(F.collect_list(F.struct(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))).alias(name)))
+
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    tb = packed(test, "_tb", "_bt", ["_br"], "_t").withColumn("_rb", every("_br"))
+    rb = packed(train, "_rb", "_br", ["_bt"], "_r")
     # size check: broadcast the packed train side only under a measured bound
-    train_bytes = n_train * (8 + 8 * max(d, 1))
-    if train_bytes <= broadcast_bytes:
-        rb = F.broadcast(rb)
-    pairs = (tb.withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_br") - 1)))
-             .join(rb, [*gk, "_rb"]).select(*gk, "_t", "_r"))
+    if n_train * (8 + 8 * max(d, 1)) <= broadcast_bytes:
+        pairs = tb.join(F.broadcast(rb.drop("_bt")), [*keys, "_rb"])
+    else:  # both sides meet in the cells of a block grid, so no block is a hot key
+        pairs = tb.join(rb.withColumn("_tb", every("_bt")).drop("_bt"), [*keys, "_rb", "_tb"])
+    pairs = pairs.select(*keys, "_t", "_r")
     schema = T.StructType(
-        [pairs.schema[k] for k in gk]
+        [pairs.schema[k] for k in keys]
         + [T.StructField("test_id", T.LongType()), T.StructField("_m", T.DoubleType()),
            T.StructField("_z", T.DoubleType()), T.StructField("_n", T.LongType()),
            T.StructField("_cid", T.ArrayType(T.LongType())),
            T.StructField("_cs", T.ArrayType(T.DoubleType()))])
     from pyspark.sql.pandas.types import to_arrow_type
-    key_types = [to_arrow_type(pairs.schema[k].dataType) for k in gk]
-    out = pairs.mapInArrow(_kernel_factory(gk, K, float(scale), key_types), schema)
-    return out if keys else out.drop("_g")
+    key_types = [to_arrow_type(pairs.schema[k].dataType) for k in keys]
+    return pairs.mapInArrow(_kernel_factory(keys, K, float(scale), key_types), schema)
 
 
 def _merge(blocks: DataFrame, keys: list[str], k: int | None) -> DataFrame:
-    """Streaming log-sum-exp over blocks plus exact rank of candidates."""
+    """Log-sum-exp over a test row's blocks, then the exact rank of their candidates.
+
+    Block rows (not candidates) go through the windows of the normaliser; only
+    then are candidates exploded and ranked, in the same partitioning.
+    """
     w = Window.partitionBy(*keys, "test_id")
-    e = blocks.select(*keys, "test_id", "_m", "_z", "_n",
-                      F.posexplode_outer(F.arrays_zip(F.col("_cid").alias("i"), F.col("_cs").alias("s"))))
-    e = e.select(*keys, "test_id", "_m", "_z", "_n", "pos",
-                 F.col("col.i").alias("train_id"), F.col("col.s").alias("score"))
-    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    big_m = F.max("_m").over(w)
-    e = (e.withColumn("max_score", big_m)
-         .withColumn("_part", F.when(first, F.col("_z") * F.exp(F.col("_m") - F.col("max_score"))))
-         .withColumn("lse", F.col("max_score") + F.log(F.sum("_part").over(w)))
-         .withColumn("n_ctx", F.sum(F.when(first, F.col("_n"))).over(w)))
+    e = blocks.withColumn("max_score", F.max("_m").over(w))
+    e = (e.withColumn("lse", F.col("max_score") + F.log(F.sum(F.col("_z") * F.exp(F.col("_m") - F.col("max_score"))).over(w)))
+         .withColumn("n_ctx", F.sum("_n").over(w)))
     if k is None:
-        return (e.filter(first).select(*keys, "test_id", "n_ctx", "max_score", "lse")
-                .dropDuplicates([*keys, "test_id"]))
-    e = e.filter(F.col("train_id").isNotNull())
+        return e.groupBy(*keys, "test_id").agg(*[F.max(c).alias(c) for c in ("n_ctx", "max_score", "lse")])
+    e = e.select(*keys, "test_id", "lse", "n_ctx",
+                 F.explode(F.arrays_zip(F.col("_cid").alias("i"), F.col("_cs").alias("s"))).alias("c"))
+    e = e.select(*keys, "test_id", F.col("c.i").alias("train_id"), F.col("c.s").alias("score"), "lse", "n_ctx")
     e = e.withColumn("rank", F.row_number().over(w.orderBy(F.col("score").desc(), F.col("train_id"))))
     return (e.filter(F.col("rank") <= k)
             .withColumn("weight", F.exp(F.col("score") - F.col("lse")))

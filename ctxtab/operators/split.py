@@ -18,16 +18,20 @@ from pyspark.sql import functions as F
 from ctxtab.functions.exprs import HASH_MOD, id_hash
 
 
+BUCKET_ROWS = 8192
+
+
 def group_rank(df: DataFrame, keys: list[str], hash_col: str, id_col: str,
                name: str = "grp_rank", total: str | None = None,
-               buckets: int = 4096) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """Exact 1-based rank by ``(hash_col, id_col)`` within each ``keys`` group.
 
     ``hash_col`` must lie in ``[0, 2^32)``.  The optional ``total`` column
     receives the group size.  Work per task is bounded by a bucket, not by
-    the largest group.
+    the largest group; ``buckets`` follows the row count (``BUCKET_ROWS`` each).
     """
-    width = HASH_MOD // buckets
+    buckets = buckets or max(1, -(-df.count() // BUCKET_ROWS))
+    width = -(-HASH_MOD // buckets)
     d = df.withColumn("_gb", F.floor(F.col(hash_col) / F.lit(width)).cast("int"))
     counts = d.groupBy(*keys, "_gb").agg(F.count(F.lit(1)).alias("_gn"))
     wk = Window.partitionBy(*keys).orderBy("_gb")
@@ -47,7 +51,7 @@ def stratified_split(df: DataFrame, y: str = "y", id_col: str = "row_id",
     If the smallest class has fewer than 2 rows a stratified split is not
     defined and the plain split (P2) is used, as the reference does.
     """
-    min_class = df.groupBy(y).count().agg(F.min("count")).first()[0]
+    min_class = df.groupBy(y).count().agg(F.min("count")).first()[0]  # decides the form of the plan
     if min_class is None or min_class < 2:
         return plain_split(df, id_col=id_col, test_frac=test_frac, salt=salt, out=out)
     d = df.withColumn("_h", id_hash(id_col, salt))
@@ -79,9 +83,9 @@ def stratified_shards(df: DataFrame, shard_rows: int, y: str = "y", id_col: str
                       salt: int = 0, out: str = "shard") -> DataFrame:
     """Deal each class round-robin (after a hash shuffle) into ceil(n/size) shards.
 
-    Shards left with fewer than 2 classes are merged into the largest other
-    shard.  The merge runs on the driver over a per-shard statistics table
-    (one row per shard), never over rows.
+    A shard with a single class joins the largest shard that has several (ties: lowest number); if
+    none has, all rows are shard 0.  The rule is a join with the shard table; the driver sees the one
+    target only.
     """
     n = df.count()
     if shard_rows <= 0 or n <= shard_rows:
@@ -90,25 +94,10 @@ def stratified_shards(df: DataFrame, shard_rows: int, y: str = "y", id_col: str
     d = df.withColumn("_h", id_hash(id_col, salt))
     d = group_rank(d, [y], "_h", id_col, name="_r")
     d = d.withColumn(out, F.pmod(F.col("_r") - 1, F.lit(n_shards)).cast("int")).drop("_h", "_r")
-    stats = (d.groupBy(out).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(y).alias("k"),
-                                F.min(y).alias("one")).orderBy(out).collect())
-    shards = [[r[out], r["n"], r["k"], r["one"], [r[out]]] for r in stats]
-    while len(shards) > 1:
-        bad = next((i for i, s in enumerate(shards) if s[2] < 2), None)
-        if bad is None:
-            break
-        tgt = max((i for i in range(len(shards)) if i != bad), key=lambda i: shards[i][1])
-        t, b = shards[tgt], shards[bad]
-        k = 2 if (t[2] >= 2 or b[2] >= 2 or (t[3] != b[3] and t[2] and b[2])) else max(t[2], b[2])
-        shards[tgt] = [t[0], t[1] + b[1], k, t[3] if t[2] else b[3], t[4] + b[4]]
-        del shards[bad]
-    remap = {src: s[0] for s in shards for src in s[4] if src != s[0]}
-    if not remap:
-        return d
-    expr = F.col(out)
-    for src, dst in remap.items():
-        expr = F.when(F.col(out) == src, F.lit(dst)).otherwise(expr)
-    return d.withColumn(out, expr.cast("int"))
+    stats = d.groupBy(out).agg(F.count(F.lit(1)).alias("_n"), (F.min(y) != F.max(y)).alias("_mixed"))
+    home = stats.filter("_mixed").agg(F.max_by(out, F.struct("_n", -F.col(out))).alias("s")).first()["s"]
+    moved = F.coalesce(F.when(F.col("_mixed"), F.col(out)), F.lit(0 if home is None else home)).cast("int")
+    return d.join(stats.select(out, "_mixed"), out).withColumn(out, moved).drop("_mixed").select(*df.columns, out)
 
 
 def mask_cells(df: DataFrame, feature_cols: list[str], frac: float = 0.3,

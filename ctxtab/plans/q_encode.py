@@ -116,16 +116,28 @@ def e8_one_hot(spark, sf_dir):
     return encode.one_hot(d, ["l_linestatus", "y"])
 
 
-PERM = encode.class_permutations(5, 4, seed=0)[0]
+N_MEMBERS = 4
 
 
 @register("e10_class_permutations", "WITH " + tables.CUST_SQL + ",\n" + _sorted_dict_sql("dy", "cust", "y", "split = 'train'")
           + f"""
-SELECT c.row_id, dy.code AS y_code, CAST(list_extract({PERM}, dy.code + 1) AS INTEGER) AS y_perm
-FROM cust c JOIN dy ON c.y = dy.v""")
+SELECT c.row_id, m.member, dy.code AS y_code, dy.code AS y_back, 5 AS n_codes
+FROM cust c JOIN dy ON c.y = dy.v, (SELECT unnest(range({N_MEMBERS}))::INTEGER AS member) m""")
 def e10_class_permutations(spark, sf_dir):
+    """Every member's permutation is applied to the codes and undone; a permutation uses all codes."""
+    from ctxtab.operators.predict import undo_class_permutation
     d, _ = encode.label_encode(tables.cust(spark, sf_dir))
-    return encode.apply_class_permutation(d.filter("y_code >= 0"), PERM).select("row_id", "y_code", "y_perm")
+    d = d.filter("y_code >= 0").select("row_id", "y_code")
+    parts = []
+    for k, perm in enumerate(encode.class_permutations(5, N_MEMBERS, seed=0)):
+        p = encode.apply_class_permutation(d, perm)
+        back = undo_class_permutation(p.withColumn("class", F.col("y_perm")), perm)
+        parts.append(back.select("row_id", F.lit(k).alias("member"), "y_code", F.col("class").cast("int").alias("y_back"),
+                                 F.lit(len(set(perm))).alias("n_codes")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @register("e11_limit_classes", "WITH " + tables.VEC_SQL + """,
