@@ -35,7 +35,7 @@ ROUNDS = 4           # of expectation maximisation
 SMOOTH = 0.02        # added to the expected count of each piece
 UNKNOWN = 1e-7       # probability of a character outside the vocabulary
 MARK = "▁"
-CACHE = 200_000      # distinct words whose scores a task keeps; more only means scoring some again
+CACHE = 300_000      # distinct words whose scores a task keeps; more only means scoring some again
 PART = 64            # characters of a word that are fitted at once
 LETTER = regex.compile(r"\p{L}")
 
@@ -51,15 +51,67 @@ def vocabulary(path: str | None = None) -> list[str]:
     return [sp.id_to_piece(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
 
 
+class _Lookup:
+    """Hash to piece for whole arrays: a table, and a second one without clashes for the keys that clash in the first."""
+
+    BITS = 19
+
+    def __init__(self, keys: np.ndarray, none: int):
+        self.none, shift = none, np.uint64(64 - self.BITS)
+        self.levels = []
+        values, rng = np.arange(len(keys), dtype=np.int32), np.random.default_rng(0)
+        while len(keys):
+            best = None
+            for _ in range(8):
+                by = rng.integers(1, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                slot = (keys * by) >> shift
+                first = np.unique(slot, return_index=True)[1]
+                if best is None or len(first) > len(best[2]):
+                    best = by, slot, first
+            by, slot, first = best
+            table, value = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, none, np.int32)
+            table[slot[first]], value[slot[first]] = keys[first], values[first]
+            self.levels.append((by, table, value))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values = keys[rest], values[rest]
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(h.shape, self.none, np.int32)
+        for by, table, value in self.levels:
+            slot = (h * by) >> np.uint64(64 - self.BITS)
+            hit = table[slot] == h
+            out[hit] = value[slot[hit]]
+        return out
+
+
 class Lattice:
-    """Pieces inside words: which piece, if any, lies at each (start, length)."""
+    """Pieces inside words: which piece, if any, lies at each (start, length); found by polynomial hashes of substrings."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, vocab: list[str]):
-        self.index = {p: i for i, p in enumerate(vocab)}
         self.unknown = len(vocab)
         self.none = len(vocab) + 1
         self.longest = max(map(len, vocab), default=1)
-        self.prefixes = {p[:k] for p in vocab for k in range(1, len(p) + 1)}
+        keys = np.zeros(len(vocab), np.uint64)
+        for n in {len(v) for v in vocab}:
+            at = [i for i, v in enumerate(vocab) if len(v) == n]
+            for h in self._substrings([vocab[i] for i in at], n, n):
+                pass
+            keys[at] = h[:, 0]
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces of the vocabulary share a hash")
+        self.find = _Lookup(keys, self.none)
+
+    def _substrings(self, words: list[str], n: int, most: int):
+        """Hashes of the substrings of length 1, 2, ... most of words of n characters."""
+        codes = np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+        h = codes
+        yield h
+        for m in range(2, most + 1):
+            h = h[:, :n - m + 1] * self.BASE + codes[:, m - 1:]
+            yield h
 
     def by_length(self, words: Iterable[str]):
         """(positions of the words, piece ids of shape words x starts x lengths) for words of one length."""
@@ -75,15 +127,8 @@ class Lattice:
     def _ids(self, words: list[str], n: int) -> np.ndarray:
         most = min(n, self.longest)
         ids = np.full((len(words), n, most), self.none, np.int32)
-        get, prefixes = self.index.get, self.prefixes
-        for row, w in zip(ids, words):
-            for i in range(n):
-                for m in range(1, min(most, n - i) + 1):
-                    p = w[i:i + m]
-                    if p not in prefixes:
-                        break
-                    if (k := get(p)) is not None:
-                        row[i, m - 1] = k
+        for m, h in enumerate(self._substrings(words, n, most), 1):
+            ids[:, :n - m + 1, m - 1] = self.find(h)
         lone = ids[:, :, 0]
         lone[lone == self.none] = self.unknown
         return ids
@@ -107,7 +152,12 @@ def forward(ids: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     for i in range(1, length + 1):
         total = np.zeros((n, k))
         for m in range(1, min(most, i) + 1):
-            total += alpha[:, i - m] * table[ids[:, i - m, m - 1]]
+            piece = ids[:, i - m, m - 1]
+            if m > 4:  # long pieces are rare: only the words that have one
+                at = np.flatnonzero(piece < len(table) - 1)
+                total[at] += alpha[at, i - m] * table[piece[at]]
+            else:
+                total += alpha[:, i - m] * table[piece]
         alpha[:, i] = total
         scale[:, i] = scale[:, i - 1]
         if i % 8 == 0 and i < length:
