@@ -4,10 +4,11 @@ Texts are cut into the spans of the public pre-tokenization pattern.  A task kee
 spans it has met; the spans of a piece of input that are new are encoded together:
 
 * all their symbols lie in one array (linked to the next and the previous symbol of the same span),
-* an index maps each adjacent pair that has a merge rank to all positions where it occurs,
-* a heap holds the active ranks.  The lowest rank is applied to all its positions at once, from
-  left to right; the pairs that a merge ends are looked up as stale, those it creates are added to
-  the index, and their ranks become active.
+* an index maps each adjacent pair that has a merge rank to all positions where it occurs (exact
+  lists for the present window of ranks, one common list for those beyond),
+* a heap holds the active ranks.  The lowest rank is applied to all its positions at once, of
+  overlapping ones to the left; places that a merge has changed are skipped, the pairs it creates
+  are added to the index, and their ranks become active.
 
 This is the order in which each span alone would be merged (lowest rank first, leftmost first),
 since spans do not share symbols.  Decoding joins the bytes of the ids; invalid UTF-8 becomes
@@ -19,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections import defaultdict
+from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxtab.llm.words import pieces
+from ctxtab.llm.words import ArrayLookup, pieces
 
 # Fixed value: the pattern of the public byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WINDOW = 1024        # ranks whose lists are kept exactly
+BATCH = 16 << 20     # bytes of text whose new spans are merged together
 CACHE = 400_000      # spans that a task keeps; more only means encoding some again
 
 
@@ -64,10 +68,17 @@ class Vocabulary:
         self.single = np.zeros(256, np.int64)
         for c, b in byte.items():
             self.single[b] = ids[c]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
-        for r, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.rank[ids[a], ids[b]] = (r, ids[a + b])
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.pairs = np.array([(ids[a], ids[b]) for a, b in merges], np.int64).reshape(-1, 2)  # by rank
+        self.merged = np.array([ids[a + b] for a, b in merges], np.int64)
+
+
+class _Spans(dict):
+    """Number of each span, given at first sight."""
+
+    def __missing__(self, span):
+        self[span] = n = len(self)
+        return n
 
 
 class Encoder:
@@ -77,34 +88,47 @@ class Encoder:
         self.vocab = vocab
         self.spans = regex.compile(PATTERN)
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.added, key=len, reverse=True))) + ")") if vocab.added else None
-        self.known: dict[str, int] = {}
-        self.ids, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.none = len(vocab.pairs)
+        self.rank = ArrayLookup(_pair_keys(vocab.pairs[:, 0], vocab.pairs[:, 1]), self.none)
+        self._forget()
 
-    def _split(self, text: str) -> list:
-        """Spans of a text, and the ids (integers) of added tokens in it."""
+    def _forget(self) -> None:
+        self.known, self.ids, self.first = _Spans(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _split(self, text: str) -> list[str]:
+        """Spans of a text; an added token in it is a span of its own, marked as such."""
         if self.added is None or not any(t in text for t in self.vocab.added):
             return self.spans.findall(text)
-        out: list = []
+        out: list[str] = []
         for k, part in enumerate(self.added.split(text)):
-            out += [self.vocab.added[part]] if k % 2 else self.spans.findall(part)
+            out += [(part,)] if k % 2 else self.spans.findall(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self._split(t) for t in texts]
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """Ids of each text; the new spans of all of them are merged together."""
         if len(self.known) > CACHE:
-            self.known, self.ids, self.first = {}, self.ids[:0], self.first[:1]
-        new = [s for s in set().union(*split) - self.known.keys() if isinstance(s, str)]
+            self._forget()
+        number = self.known.__getitem__
+        rows = [np.fromiter(map(number, self._split(t)), np.int32) for t in texts]
+        new = list(islice(self.known, len(self.first) - 1, None))
         if new:
-            ids, first = self._merge_all([s.encode("utf-8", "surrogatepass") for s in new])
-            self.known.update(zip(new, range(len(self.first) - 1, len(self.first) - 1 + len(new))))
+            plain = [s for s in new if isinstance(s, str)]
+            ids, first = self._merge_all([s.encode("utf-8", "surrogatepass") for s in plain])
+            if len(plain) < len(new):
+                size = np.array([0 if isinstance(s, str) else 1 for s in new])
+                size[size == 0] = np.diff(first)
+                ends = np.cumsum(size)
+                out = np.zeros(ends[-1], np.int32)
+                added = np.array([not isinstance(s, str) for s in new])
+                out[(ends - size)[added]] = [self.vocab.added[s[0]] for s in new if not isinstance(s, str)]
+                rest = np.ones(len(out), bool)
+                rest[(ends - size)[added]] = False
+                out[rest] = ids
+                ids, first = out, np.concatenate([[0], ends])
             self.first = np.concatenate([self.first, first[1:] + len(self.ids)])
             self.ids = np.concatenate([self.ids, ids])
         out = []
-        for spans in split:
-            if any(isinstance(s, int) for s in spans):
-                out.append(np.concatenate([np.array([s], np.int64) if isinstance(s, int) else self.ids[self.first[k := self.known[s]]:self.first[k + 1]] for s in spans]))
-                continue
-            k = np.array([self.known[s] for s in spans], np.int64)
+        for k in rows:
             n = self.first[k + 1] - self.first[k]
             ends = np.cumsum(n)
             out.append(self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[k] - (ends - n), n)])
@@ -112,50 +136,85 @@ class Encoder:
 
     def _merge_all(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all spans, one after the other, and where each begins."""
-        sizes = np.array([len(s) for s in spans])
-        start = np.concatenate([[0], np.cumsum(sizes)])
+        start = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int64)
         symbol = self.vocab.single[np.frombuffer(b"".join(spans), np.uint8)]
         n = len(symbol)
-        nxt = np.arange(1, n + 1)
+        nxt, prev = np.arange(1, n + 1), np.arange(-1, n - 1)
         nxt[start[1:] - 1] = -1
-        prev = np.arange(-1, n - 1)
         prev[start[:-1]] = -1
-        rank, symbol, nxt, prev = self.vocab.rank, symbol.tolist(), nxt.tolist(), prev.tolist()
-        where: dict[tuple[int, int], list[int]] = defaultdict(list)   # the index; positions may be stale
-        heap, active = [], set()
-        for i, j in enumerate(nxt):
-            if j >= 0 and (pair := (symbol[i], symbol[j])) in rank:
-                where[pair].append(i)
-        for pair in where:
-            heap.append((rank[pair][0], pair))
-            active.add(pair)
-        heapq.heapify(heap)
-        while heap:
-            _, pair = heapq.heappop(heap)
-            active.discard(pair)
-            a, b = pair
-            merged = rank[pair][1]
-            for i in sorted(where.pop(pair)):
-                j = nxt[i]
-                if symbol[i] != a or j < 0 or symbol[j] != b:
-                    continue  # a merge has changed this place
-                symbol[i], symbol[j] = merged, -1
-                after = nxt[i] = nxt[j]
-                if after >= 0:
-                    prev[after] = i
-                    self._note((merged, symbol[after]), i, where, heap, active)
-                if (before := prev[i]) >= 0:
-                    self._note((symbol[before], merged), before, where, heap, active)
-        symbol = np.array(symbol, np.int64)
+        at = np.flatnonzero(nxt >= 0)
+        later = self._ranked(symbol[at], symbol[nxt[at]], at)
+        later = [later[0]], [later[1]]               # occurrences of pairs beyond the present window of ranks
+        while sum(map(len, later[0])):
+            rank, at = np.concatenate(later[0]), np.concatenate(later[1])
+            top = (int(rank.min()) // WINDOW + 1) * WINDOW
+            now = rank < top
+            later = [rank[~now]], [at[~now]]
+            where: dict[int, list[np.ndarray]] = {}  # the index of this window: all positions of each pair, by rank
+            self._index(rank[now], at[now], where)
+            heap = sorted(where)
+            while heap:
+                r = heapq.heappop(heap)
+                if r not in where:
+                    continue
+                rank, at = self._apply(r, where.pop(r), symbol, nxt, prev)
+                now = rank < top
+                if now.any():
+                    for r in self._index(rank[now], at[now], where):
+                        heapq.heappush(heap, r)
+                    rank, at = rank[~now], at[~now]
+                later[0].append(rank)
+                later[1].append(at)
         live = symbol >= 0
-        return symbol[live], np.concatenate([[0], np.cumsum(live)])[start]
-
-    def _note(self, pair, at, where, heap, active):
-        if pair in self.vocab.rank:
-            where[pair].append(at)
-            if pair not in active:
-                active.add(pair)
-                heapq.heappush(heap, (self.vocab.rank[pair][0], pair))
+        return symbol[live].astype(np.int32), np.concatenate([[0], np.cumsum(live)])[start]
+
+    def _ranked(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, position) of the pairs that merge at all."""
+        rank = self.rank(_pair_keys(a, b))
+        some = rank < self.none
+        return rank[some], at[some]
+
+    @staticmethod
+    def _index(rank: np.ndarray, at: np.ndarray, where: dict[int, list[np.ndarray]]) -> list[int]:
+        """Add occurrences to the lists of their pairs; the ranks touched."""
+        order = np.argsort(rank, kind="stable")
+        rank, at = rank[order], at[order]
+        cut = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+        ranks = rank[np.concatenate([[0], cut])].tolist()
+        for r, part in zip(ranks, np.split(at, cut)):
+            where.setdefault(r, []).append(part)
+        return ranks
+
+    def _apply(self, r: int, parts: list[np.ndarray], symbol, nxt, prev) -> tuple[np.ndarray, np.ndarray]:
+        """Merge one pair at all its positions; the occurrences of ranked pairs that this creates."""
+        a, b = self.vocab.pairs[r]
+        merged = self.vocab.merged[r]
+        i = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        j = nxt[i]
+        fine = (symbol[i] == a) & (j >= 0) & (symbol[j] == b)   # others have been changed by a merge
+        i = i[fine]
+        if a == b or len(parts) > 1:
+            i = np.unique(i)
+        if a == b and len(i) > 1:  # of overlapping places the left one counts
+            taken, keep = -1, []
+            for x, y in zip(i.tolist(), nxt[i].tolist()):
+                if x != taken:
+                    keep.append(x)
+                    taken = y
+            i = np.array(keep)
+        j = nxt[i]
+        after = nxt[j]
+        symbol[i], symbol[j], nxt[i] = merged, -1, after
+        right = after >= 0
+        prev[after[right]] = i[right]
+        before = prev[i]
+        left = before >= 0
+        at = np.concatenate([i[right], before[left]])
+        return self._ranked(symbol[at], symbol[nxt[at]], at)
+
+
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint64) << np.uint64(32)) + b.astype(np.uint64) + np.uint64(1)
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -171,8 +230,8 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
         encoder = Encoder(shared.value)
         for batch in batches:
             text = batch.column("_text").fill_null("")
-            for a, b in pieces(text):
-                ids = [x.astype(np.int32) for x in encoder.encode(text.slice(a, b - a).to_pylist())]
+            for a, b in pieces(text, BATCH):
+                ids = encoder.encode(t.as_py() for t in text.slice(a, b - a))
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("_doc").slice(a, b - a), lists], ["_doc", "_ids"])

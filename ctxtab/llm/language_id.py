@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxtab.llm.words import pieces
+from ctxtab.llm.words import ArrayLookup, pieces
 from ctxtab.session import cut_lineage
 
 SAMPLE = 2000        # labelled rows for each language that a model is fitted on, in expectation
@@ -51,40 +51,6 @@ def vocabulary(path: str | None = None) -> list[str]:
     return [sp.id_to_piece(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
 
 
-class _Lookup:
-    """Hash to piece for whole arrays: a table, and a second one without clashes for the keys that clash in the first."""
-
-    BITS = 19
-
-    def __init__(self, keys: np.ndarray, none: int):
-        self.none, shift = none, np.uint64(64 - self.BITS)
-        self.levels = []
-        values, rng = np.arange(len(keys), dtype=np.int32), np.random.default_rng(0)
-        while len(keys):
-            best = None
-            for _ in range(8):
-                by = rng.integers(1, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                slot = (keys * by) >> shift
-                first = np.unique(slot, return_index=True)[1]
-                if best is None or len(first) > len(best[2]):
-                    best = by, slot, first
-            by, slot, first = best
-            table, value = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, none, np.int32)
-            table[slot[first]], value[slot[first]] = keys[first], values[first]
-            self.levels.append((by, table, value))
-            rest = np.ones(len(keys), bool)
-            rest[first] = False
-            keys, values = keys[rest], values[rest]
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(h.shape, self.none, np.int32)
-        for by, table, value in self.levels:
-            slot = (h * by) >> np.uint64(64 - self.BITS)
-            hit = table[slot] == h
-            out[hit] = value[slot[hit]]
-        return out
-
-
 class Lattice:
     """Pieces inside words: which piece, if any, lies at each (start, length); found by polynomial hashes of substrings."""
 
@@ -102,7 +68,7 @@ class Lattice:
             keys[at] = h[:, 0]
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces of the vocabulary share a hash")
-        self.find = _Lookup(keys, self.none)
+        self.find = ArrayLookup(keys, self.none)
 
     def _substrings(self, words: list[str], n: int, most: int):
         """Hashes of the substrings of length 1, 2, ... most of words of n characters."""

@@ -133,3 +133,37 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     for k in range(len(high) // n if n else 0):
         d += high[k * n:(k + 1) * n].astype(np.int64) << (8 * (k + 1))
     return np.cumsum(d)
+
+
+class ArrayLookup:
+    """Position of 64-bit keys, for whole arrays: a hash table, and further ones for the keys that clash in it."""
+
+    BITS = 19
+
+    def __init__(self, keys: np.ndarray, none: int):
+        self.none, shift = none, np.uint64(64 - self.BITS)
+        self.levels = []
+        values, rng = np.arange(len(keys), dtype=np.int32), np.random.default_rng(0)
+        while len(keys):
+            best = None
+            for _ in range(8):
+                by = rng.integers(1, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                slot = (keys * by) >> shift
+                first = np.unique(slot, return_index=True)[1]
+                if best is None or len(first) > len(best[2]):
+                    best = by, slot, first
+            by, slot, first = best
+            table, value = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, none, np.int32)
+            table[slot[first]], value[slot[first]] = keys[first], values[first]
+            self.levels.append((by, table, value))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values = keys[rest], values[rest]
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(h.shape, self.none, np.int32)
+        for by, table, value in self.levels:
+            slot = (h * by) >> np.uint64(64 - self.BITS)
+            hit = table[slot] == h
+            out[hit] = value[slot[hit]]
+        return out
