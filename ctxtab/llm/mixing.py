@@ -97,8 +97,8 @@ def _taken_before(at: str, block: int):
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240601,
-          weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """``docs`` with size, source_size, target, taken, passes, rest_from, rest_to.
+          weights=WEIGHTS, most: int = MOST, block: int = BLOCK, with_text: bool = True) -> DataFrame:
+    """``docs`` with size, source_size, target, taken, passes and rest; ``with_text=False`` leaves the text behind.
 
     ``taken`` words are ``passes`` whole copies of the text and the words of the selected blocks;
     ``rest`` describes those (see ``selected_words``).  Null text: size 0, nothing taken.  A null
@@ -112,7 +112,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     shards = max(1, -(-docs.count() // ROWS_PER_SHARD))
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
     sized = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c != text_col]).alias("_doc"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
         F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col).cast("string")), F.lit(shards)).alias("_shard"),
         key.alias("_order"), F.xxhash64(F.col(text_col)).alias("_tie"),
         F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col), F.lit("")).alias("_name"))

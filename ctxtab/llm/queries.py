@@ -77,7 +77,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of the sources to their target weights takes from each document."""
     from ctxtab.llm.mixing import mixed
-    out = mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), with_text=False)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
