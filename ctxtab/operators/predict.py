@@ -87,6 +87,13 @@ def impute_cells(ctx: DataFrame, train: DataFrame, feature_cols: list[str], id_c
     return num.unionByName(mode)
 
 
+def fill_gaps(masked: DataFrame, imputed: DataFrame, feature_cols: list[str], id_col: str = "test_id") -> DataFrame:
+    """M3: null cells of ``masked`` from the long imputed table; observed cells stay."""
+    wide = imputed.groupBy(id_col).agg(*[F.max(F.when(F.col("feature") == c, F.col("imputed"))).alias(f"_{c}") for c in feature_cols])
+    return masked.join(wide, id_col, "left").select(
+        *[c for c in masked.columns if c not in feature_cols], *[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in feature_cols])
+
+
 def ensemble_average(members: DataFrame, keys: list[str] | None = None, value: str = "p") -> DataFrame:
     """M5: mean over members then renormalise per test row.
 

@@ -44,14 +44,12 @@ def c3_inf_to_null(spark, sf_dir):
 C4_COLS = ["value", "xv", "const", "empty"]
 
 
-@register("c4_drop_all_null_columns", "WITH " + tables.EVX_SQL + ",\nz AS (SELECT *, CAST(NULL AS DOUBLE) AS empty, "
-          "CASE WHEN isnan(xv) OR isinf(xv) THEN NULL ELSE xv END AS xc FROM evx)\n" + _union(
-              [f"SELECT '{c}' AS feature, count({'xc' if c == 'xv' else c}) AS n_values, "
-               f"count({'xc' if c == 'xv' else c}) > 0 AS kept FROM z" for c in C4_COLS]))
+@register("c4_drop_all_null_columns", "WITH " + tables.EVX_SQL + """
+SELECT row_id, value, CASE WHEN isnan(xv) OR isinf(xv) THEN NULL ELSE xv END AS xv, const FROM evx""")
 def c4_drop_all_null_columns(spark, sf_dir):
     d = clean.inf_to_null(tables.evx(spark, sf_dir).withColumn("empty", F.lit(None).cast("double")), ["xv"])
-    st = clean.long_cells(d, C4_COLS).groupBy("feature").agg(F.count("value").alias("n_values"))
-    return st.withColumn("kept", F.col("n_values") > 0)
+    out, kept = clean.drop_all_null_columns(d.select("row_id", *C4_COLS), C4_COLS)
+    return out.select("row_id", *kept)
 
 
 C5_COLS = ["value", "user_id", "props_len", "xv", "const", "const_null", "test_null"]
@@ -126,15 +124,25 @@ lg AS (SELECT split, 'lang' AS feature, lang AS value FROM d2 UNION ALL
        SELECT split, 'source', source FROM d2 UNION ALL SELECT split, 'nchar_s', nchar_s FROM d2),
 un AS (SELECT feature, count(*) AS n_unseen FROM (
          SELECT DISTINCT feature, value FROM lg WHERE split = 'test'
-         EXCEPT SELECT DISTINCT feature, value FROM lg WHERE split = 'train') GROUP BY feature)
-SELECT f.feature, coalesce(n_unseen, 0) AS n_unseen, coalesce(n_unseen, 0) = 0 AS kept
-FROM (SELECT DISTINCT feature FROM lg) f LEFT JOIN un ON f.feature = un.feature"""
+         EXCEPT SELECT DISTINCT feature, value FROM lg WHERE split = 'train') GROUP BY feature),
+kept AS (SELECT f.feature FROM (SELECT DISTINCT feature FROM lg) f LEFT JOIN un ON f.feature = un.feature
+         WHERE coalesce(n_unseen, 0) = 0),
+codes AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS code
+          FROM (SELECT DISTINCT feature, value FROM lg WHERE split = 'train' AND value IS NOT NULL)),
+cells AS (SELECT row_id, 'lang' AS feature, lang AS value FROM d2 UNION ALL
+          SELECT row_id, 'source', source FROM d2 UNION ALL SELECT row_id, 'nchar_s', nchar_s FROM d2)
+SELECT c.row_id, c.feature, CAST(codes.code AS INTEGER) AS code
+FROM cells c JOIN kept k ON c.feature = k.feature LEFT JOIN codes ON c.feature = codes.feature AND c.value = codes.value"""
 
 
 @register("c10_encode_or_drop", "WITH " + C10_SQL)
 def c10_encode_or_drop(spark, sf_dir):
+    """Codes of the columns that are kept, in long form (which ones are kept depends on the data)."""
+    cols = ["lang", "source", "nchar_s"]
     d = tables.doc(spark, sf_dir).withColumn("nchar_s", F.col("n_chars").cast("long").cast("string"))
-    return clean.unseen_counts(d, ["lang", "source", "nchar_s"])
+    out, kept = clean.encode_or_drop(d.select("row_id", "split", *cols), cols)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("code")) for c in kept])
+    return out.select("row_id", F.explode(cells).alias("c")).select("row_id", "c.feature", "c.code")
 
 
 SUITE_SPLIT_SQL = f"CASE WHEN {id_hash_sql('c_custkey')} % 5 = 0 THEN 'test' ELSE 'train' END"

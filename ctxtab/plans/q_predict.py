@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ctxtab.functions.exprs import id_hash, id_hash_sql, r6
@@ -216,32 +215,59 @@ def m2_predict_values(spark, sf_dir):
     return pr.select("test_id", r6("pred", "pred"))
 
 
-IMP_SQL = PRT_Z_SQL + """,
-cells AS (SELECT row_id, 'p_size' AS feature, raw_size AS v FROM pz WHERE split = 'train' AND raw_size IS NOT NULL
-          UNION ALL SELECT row_id, 'brand_no', raw_brand FROM pz WHERE split = 'train' AND raw_brand IS NOT NULL),
-imp AS (SELECT k.test_id, c.feature, sum(k.weight * c.v) / sum(k.weight) AS imputed
-        FROM prk k JOIN cells c ON k.train_id = c.row_id WHERE k.rank <= 10 GROUP BY 1, 2)"""
-
-
-def prt_imputed(spark, sf_dir):
-    d, _, _, ctx = prt_context(spark, sf_dir)
-    return d, predict.impute_cells(ctx, d.filter("split = 'train'"), PF)
-
-
-@register("m3_impute_cells", "WITH " + IMP_SQL + "\nSELECT test_id, feature, round(imputed, 6) AS imputed FROM imp")
+CAT = ["brand_no"]
+IMP_SQL = tables.PRT_SQL + """,
+tcells AS (SELECT row_id, 'p_size' AS feature, p_size AS value FROM prt WHERE split = 'test' AND p_size IS NOT NULL
+           UNION ALL SELECT row_id, 'brand_no', brand_no FROM prt WHERE split = 'test' AND brand_no IS NOT NULL),
+c2 AS (SELECT *, row_id * 2 + CASE feature WHEN 'p_size' THEN 0 ELSE 1 END AS cid FROM tcells),
+rr AS (SELECT *, row_number() OVER (ORDER BY """ + id_hash_sql("cid", 7) + """, cid) AS rk, count(*) OVER () AS n FROM c2),
+truth_ AS (SELECT row_id AS test_id, feature, value FROM rr WHERE rk <= floor(0.3 * n)),
+mk AS (SELECT row_id, split, """ + ", ".join(
+    f"CASE WHEN NOT EXISTS (SELECT 1 FROM truth_ h WHERE h.test_id = prt.row_id AND h.feature = '{c}') THEN {c} END AS {c}" for c in PF) + """
+       FROM prt),
+prtst AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in PF) + """
+          FROM prt WHERE split = 'train'),
+mz AS (SELECT row_id, split, """ + ", ".join(f"coalesce(({c} - m_{c}) / s_{c}, 0) AS {c}" for c in PF) + " FROM mk, prtst)" + ctx_chain(
+    "i", "SELECT t.row_id AS test_id, r.row_id AS train_id, (t.p_size * r.p_size + t.brand_no * r.brand_no) / sqrt(2) AS score"
+         " FROM mz t JOIN mz r ON t.split = 'test' AND r.split = 'train'") + """,
+near AS (SELECT k.test_id, k.weight, t.p_size, t.brand_no FROM irk k JOIN prt t ON k.train_id = t.row_id WHERE k.rank <= 10),
+votes AS (SELECT test_id, brand_no AS v, sum(weight) AS w FROM near WHERE brand_no IS NOT NULL GROUP BY 1, 2),
+imp AS (SELECT test_id, 'p_size' AS feature, sum(weight * p_size) / sum(weight) AS imputed FROM near WHERE p_size IS NOT NULL GROUP BY 1
+        UNION ALL
+        SELECT test_id, 'brand_no', v FROM (
+          SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY round(w, 12) DESC, v) AS r FROM votes) WHERE r = 1)"""
+
+
+def prt_masked(spark, sf_dir, k=10):
+    """Test cells hidden, contexts and imputed values found from what is left: (test table, truth, imputed cells)."""
+    d = tables.prt(spark, sf_dir)
+    train = d.filter("split = 'train'")
+    masked, truth = split.mask_cells(d.filter("split = 'test'").select("row_id", *PF), PF, 0.3)
+    sc = StandardScaler(PF).fit(d)
+    vec = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in PF])  # a missing cell is at the train mean
+    ctx = retrieve.top_k_context(sc.transform(masked).withColumn("v", vec), sc.transform(train).withColumn("v", vec), "v", k)
+    return masked, truth.withColumnRenamed("row_id", "test_id"), predict.impute_cells(ctx, train, PF, categorical=CAT)
+
+
+@register("m3_impute_cells", "WITH " + IMP_SQL + """
+SELECT k.row_id AS test_id, """ + ", ".join(
+    f"round(coalesce(k.{c}, max(CASE WHEN i.feature = '{c}' THEN imputed END)), 6) AS {c}" for c in PF) + """
+FROM mk k LEFT JOIN imp i ON k.row_id = i.test_id WHERE k.split = 'test' GROUP BY k.row_id, k.p_size, k.brand_no""")
 def m3_impute_cells(spark, sf_dir):
-    _, imp = prt_imputed(spark, sf_dir)
-    return imp.select("test_id", "feature", r6("imputed", "imputed"))
+    """The masked test table with its gaps filled; observed cells are kept."""
+    masked, _, imp = prt_masked(spark, sf_dir)
+    return predict.fill_gaps(masked.withColumnRenamed("row_id", "test_id"), imp, PF).select("test_id", *[r6(c, c) for c in PF])
 
 
 @register("m9_snap_to_category", "WITH " + IMP_SQL + """,
-known AS (SELECT DISTINCT raw_size AS kv FROM pz WHERE split = 'train' AND raw_size IS NOT NULL),
+known AS (SELECT DISTINCT p_size AS kv FROM prt WHERE split = 'train' AND p_size IS NOT NULL),
 sn AS (SELECT i.test_id, arg_min(kv, (abs(kv - i.imputed), kv)) AS snapped
        FROM imp i, known WHERE i.feature = 'p_size' GROUP BY i.test_id)
 SELECT test_id, snapped AS p_size FROM sn""")
 def m9_snap_to_category(spark, sf_dir):
-    d, imp = prt_imputed(spark, sf_dir)
-    known = [r[0] for r in d.filter("split = 'train' AND p_size IS NOT NULL").select("p_size").distinct().collect()]
+    _, _, imp = prt_masked(spark, sf_dir)
+    train = tables.prt(spark, sf_dir).filter("split = 'train' AND p_size IS NOT NULL")
+    known = [r[0] for r in train.select("p_size").distinct().collect()]  # the category list of one column
     s = predict.snap_to_category(imp.filter("feature = 'p_size'"), "imputed", known, out="p_size")
     return s.select("test_id", "p_size")
 
@@ -437,10 +463,15 @@ def v6_auc_ovo(spark, sf_dir):
     return metrics.auc_ovo(probs, truth).select(r6("auc_ovo", "auc_ovo"))
 
 
-@register("v7_rmse", "WITH " + PRT_Z_SQL + "\nSELECT round(sqrt(avg(pow(pred - y, 2))), 6) AS rmse FROM rtab")
+@register("v7_rmse", "WITH " + PRT_Z_SQL + """,
+ts AS (SELECT stddev_samp(y) AS s FROM prt WHERE split = 'train')
+SELECT round(sqrt(avg(pow((pred - rtab.y) / s, 2))), 6) AS rmse FROM rtab, ts""")
 def v7_rmse(spark, sf_dir):
-    _, _, pr = prt_preds(spark, sf_dir)
-    return metrics.rmse(pr).select(r6("rmse", "rmse"))
+    """On the standardised target, as predictions are scored before they are scaled back."""
+    from ctxtab.operators.scale import TargetScaler
+    d, _, pr = prt_preds(spark, sf_dir)
+    ts = TargetScaler(ddof=1).fit(d)
+    return metrics.rmse(ts.transform(ts.transform(pr, "pred", "pred"), "y", "y")).select(r6("rmse", "rmse"))
 
 
 @register("v8_r2", "WITH " + PRT_Z_SQL + """
@@ -451,20 +482,11 @@ def v8_r2(spark, sf_dir):
 
 
 @register("v9_imputation_error", "WITH " + IMP_SQL + """,
-tcells AS (SELECT row_id, 'p_size' AS feature, raw_size AS value FROM pz WHERE split = 'test' AND raw_size IS NOT NULL
-           UNION ALL SELECT row_id, 'brand_no', raw_brand FROM pz WHERE split = 'test' AND raw_brand IS NOT NULL),
-c2 AS (SELECT *, row_id * 2 + CASE feature WHEN 'p_size' THEN 0 ELSE 1 END AS cid FROM tcells),
-rr AS (SELECT *, row_number() OVER (ORDER BY """ + id_hash_sql("cid", 7) + """, cid) AS rk, count(*) OVER () AS n FROM c2),
-truth_ AS (SELECT row_id AS test_id, feature, value FROM rr WHERE rk <= floor(0.3 * n)),
 j AS (SELECT t.*, i.imputed FROM truth_ t LEFT JOIN imp i ON t.test_id = i.test_id AND t.feature = i.feature)
-SELECT CAST(NULL AS DOUBLE) AS cat_error, round(sqrt(avg(pow(imputed - value, 2))), 6) AS num_rmse, count(*) AS n_cells
+SELECT round(avg(CASE WHEN feature = 'brand_no' THEN CAST(imputed <> value AS DOUBLE) END), 6) AS cat_error,
+       round(sqrt(avg(CASE WHEN feature = 'p_size' THEN pow(imputed - value, 2) END)), 6) AS num_rmse, count(*) AS n_cells
 FROM j""")
 def v9_imputation_error(spark, sf_dir):
-    d, imp = prt_imputed(spark, sf_dir)
-    _, truth = split.mask_cells(d.filter("split = 'test'").select("row_id", *PF), PF, 0.3)
-    truth = truth.withColumnRenamed("row_id", "test_id")
-    e = metrics.imputation_error(truth, imp)
-    return e.select(F.col("cat_error").cast("double").alias("cat_error"), r6("num_rmse", "num_rmse"), "n_cells")
-
-
-_ = (Window, vec_probs)
+    _, truth, imp = prt_masked(spark, sf_dir)
+    e = metrics.imputation_error(truth, imp, categorical=CAT)
+    return e.select(r6("cat_error", "cat_error"), r6("num_rmse", "num_rmse"), "n_cells")

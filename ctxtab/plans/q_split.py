@@ -54,9 +54,15 @@ cells AS (SELECT row_id, 'value' AS feature, value FROM ev UNION ALL
           SELECT row_id, 'props_len', props_len FROM ev),
 c2 AS (SELECT *, row_id * 3 + CASE feature WHEN 'value' THEN 0 WHEN 'user_id' THEN 1 ELSE 2 END AS cid
        FROM cells WHERE value IS NOT NULL),
-r AS (SELECT *, row_number() OVER (ORDER BY """ + id_hash_sql("cid", 7) + """, cid) AS rk, count(*) OVER () AS n FROM c2)
-SELECT row_id, feature, value FROM r WHERE rk <= floor(0.3 * n)""")
+r AS (SELECT *, row_number() OVER (ORDER BY """ + id_hash_sql("cid", 7) + """, cid) AS rk, count(*) OVER () AS n FROM c2),
+h AS (SELECT row_id, feature, value, rk <= floor(0.3 * n) AS hidden FROM r)
+SELECT ev.row_id, """ + ", ".join(
+    f"max(CASE WHEN feature = '{c}' AND NOT hidden THEN h.value END) AS {c}, "
+    f"max(CASE WHEN feature = '{c}' AND hidden THEN h.value END) AS true_{c}" for c in P5_COLS) + """
+FROM ev LEFT JOIN h ON ev.row_id = h.row_id GROUP BY ev.row_id""")
 def p5_mask_cells(spark, sf_dir):
+    """The masked table, and beside it the values that were hidden."""
     d = tables.ev(spark, sf_dir).select("row_id", *P5_COLS)
-    _, truth = split.mask_cells(d, P5_COLS, 0.3)
-    return truth
+    masked, truth = split.mask_cells(d, P5_COLS, 0.3)
+    hidden = truth.groupBy("row_id").agg(*[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(f"true_{c}") for c in P5_COLS])
+    return masked.join(hidden, "row_id", "left").select("row_id", *[x for c in P5_COLS for x in (c, f"true_{c}")])
