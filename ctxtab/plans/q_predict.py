@@ -183,6 +183,45 @@ def q12_restore_order(spark, sf_dir):
     return global_index(pt.select("test_id", "pred"), ["test_id"], "pos").select("pos", "test_id", "pred")
 
 
+# ------------------------------------------------------------------ M1 member pipelines
+MEMBERS = [{"scale": "standard", "order": "shuffle", "permute": True, "k": 15},
+           {"scale": "minmax", "polynomial": 1, "order": "rotate", "offset": 1, "permute": True, "k": 10}]
+
+
+def _member_sql(name: str, k: int, cols: dict[str, str], stats: str) -> str:
+    """One member in SQL: features as expressions over ``cust`` and a row of statistics."""
+    feats = ", ".join(f"{e} AS {c}" for c, e in cols.items())
+    dot = " + ".join(f"t.{c} * r.{c}" for c in cols)
+    return (f"{name}stat AS (SELECT {stats} FROM cx WHERE split = 'train'),\n{name}z AS (SELECT row_id, split, y_code, {feats} FROM cx, {name}stat)"
+            + ctx_chain(name, f"SELECT t.row_id AS test_id, r.row_id AS train_id, r.y_code AS ty, ({dot}) / sqrt({len(cols)}) AS score "
+                        f"FROM {name}z t JOIN {name}z r ON t.split = 'test' AND r.split = 'train'") + f""",
+{name}lg AS (SELECT test_id, ty AS class, ln(sum(weight)) AS logit FROM {name}rk WHERE rank <= {k} GROUP BY 1, 2),
+{name}e AS (SELECT test_id, class, exp((logit - max(logit) OVER (PARTITION BY test_id)) / {TEMP}) AS e FROM {name}lg),
+{name}p AS (SELECT test_id, class, e / sum(e) OVER (PARTITION BY test_id) AS p FROM {name}e)""")
+
+
+_FIRST = {c: f"({c} - m_{c}) / s_{c}" for c in CF}
+_SECOND = {c: f"CASE WHEN h_{c} = l_{c} THEN 0 ELSE ({c} - l_{c}) / (h_{c} - l_{c}) END" for c in [*CF, "x01"]}
+MEMBER_SQL = tables.CUST_SQL + """,
+codes AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS y_code
+          FROM (SELECT DISTINCT y AS v FROM cust WHERE split = 'train')),
+cx AS (SELECT cust.*, codes.y_code, c_acctbal * c_acctbal AS x01 FROM cust JOIN codes ON cust.y = codes.v),
+""" + _member_sql("ma", 15, _FIRST, ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in CF)) + ",\n" + _member_sql(
+    "mb", 10, _SECOND, ", ".join(f"min({c}) AS l_{c}, max({c}) AS h_{c}" for c in [*CF, "x01"])) + """,
+av AS (SELECT test_id, class, sum(p) / 2 AS a FROM (SELECT * FROM map UNION ALL SELECT * FROM mbp) GROUP BY 1, 2)"""
+
+
+@register("m1_member_pipeline", "WITH " + MEMBER_SQL + """
+SELECT test_id, class, round(a / sum(a) OVER (PARTITION BY test_id), 6) AS p FROM av""")
+def m1_member_pipeline(spark, sf_dir):
+    """Two members that differ in scaling, interactions, feature and class order and context length."""
+    from ctxtab.operators.meta import PipelineSpec
+    from ctxtab.operators.pipeline import ensemble
+    d, _ = encode.label_encode(tables.cust(spark, sf_dir))
+    spec = PipelineSpec.load(MEMBERS, softmax_temperature=TEMP, seed=11)
+    return ensemble(d.where("y_code >= 0"), CF, spec).select("test_id", "class", r6("p", "p"))
+
+
 # ------------------------------------------------------------------ M2 / M3 / M9 (regression + imputation)
 PF = ["p_size", "brand_no"]
 PRT_Z_SQL = tables.PRT_SQL + """,

@@ -228,9 +228,21 @@ def r16_standardise_target(spark, sf_dir):
     return ts.transform(d).select("row_id", r6("y_std", "y_std"))
 
 
-@register("r17_inverse_pipeline", W + "\nSELECT row_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in LF)
-          + " FROM line")
+@register("r17_inverse_pipeline", W + ",\nst AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM line WHERE split = 'train')\n"
+          "SELECT row_id, y, l_linestatus, " + ", ".join(f"round({c}, 6) AS {c}" for c in LF)
+          + ", round((l_quantity - m) / s, 6) AS model_l_quantity FROM line, st")
 def r17_inverse_pipeline(spark, sf_dir):
-    d = _line(spark, sf_dir)
-    sc = scale.StandardScaler(LF).fit(d)
-    return _out(sc.inverse(sc.transform(d)), LF)
+    """A chain of all kinds of steps; what a model returns (codes and indicators off by up to 0.4) is undone."""
+    from ctxtab.functions.exprs import id_hash
+    from ctxtab.operators import inverse as inv
+    d = tables.line(spark, sf_dir).select("row_id", "split", "y", "l_linestatus", *LF).withColumn("unit", F.lit("pc"))
+    chain = inv.InversePipeline([
+        inv.ConstantColumns(["unit"]), inv.PermutedCodes("y", seed=3), inv.OneHot("l_linestatus"), inv.Standardised(LF),
+        inv.ExtraColumns(lambda t: scale.append_svd(t, LF)), inv.Reordered(LF, seed=5)])
+    z = chain.apply(d)
+    noise = F.pmod(id_hash("row_id", 21), F.lit(801)) / 1000.0 - 0.4
+    z = z.withColumns({c: F.col(c) + noise for c in z.columns if c == "y" or c.startswith("l_linestatus__")})
+    z = z.withColumn("y", F.when(F.col("y") > 1.5, F.col("y") + 7).otherwise(F.col("y")))  # beyond the last code
+    back = chain.undo(z).where("unit = 'pc'")
+    model = z.select("row_id", r6("l_quantity", "model_l_quantity"))
+    return back.select("row_id", "y", "l_linestatus", *[r6(c, c) for c in LF]).join(model, "row_id")
