@@ -2,9 +2,8 @@
 
 Every fitted step collects its statistics for all columns in one
 aggregation (driver sees one row), then transforms with a pure ``select``
-that stays inside whole-stage codegen.  Grids (quantile maps) are looked up
-with a binary search (``Bucketizer``) plus element lookups in small literal
-arrays; grid size is bounded by ``n_quantiles``, never by the row count.
+that stays inside whole-stage codegen.  Quantile grids stay in Spark: one
+range sort ranks the distinct values of all columns, and knots are joined.
 """
 
 from __future__ import annotations
@@ -18,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxtab.functions.exprs import inv_norm_cdf, nonfinite_to_null
+from ctxtab.functions.ranking import prefix_sum
+from ctxtab.session import cut_lineage
 
 Z75_MINUS_Z25 = 1.3489795003921634  # fixed value: Phi^-1(0.75) - Phi^-1(0.25)
-EXACT_QUANTILE_ROWS = 5_000_000     # above this, percentile_approx (bounded memory)
 
 
 def _train(df: DataFrame, split: str | None, fit_on: str) -> DataFrame:
@@ -75,170 +75,115 @@ def mean_impute(df, cols, split="split", fit_on="train"):
                            for c in cols})
 
 
-# ------------------------------------------------------------------ quantile grids
-LITERAL_GRID_MAX = 256  # longer quantile grids are not built as literal expression arrays
+# ------------------------------------------------------------------ quantiles over ranked distinct values
+def ranked_values(df: DataFrame, cols: list[str], split: str | None = "split", fit_on: str = "train"):
+    """Distinct values of all columns with their train ranks, and the train count of each column.
 
-
-def _positional_quantiles(df: DataFrame, c: str, probs: list[float]) -> list[float]:
-    """Exact linear-interpolated quantiles for a long probability grid.
-
-    The non-missing values are ranked by a distributed sort (global index);
-    only the rows at the ``2 * len(probs)`` needed positions are fetched (a
-    join against the position list), so the driver receives at most twice
-    the grid size whatever the row count.
+    Long form ``(f, v, below, upto)``: train values of column ``f`` below ``v`` and up to ``v``.  One
+    range sort over the distinct values of every column, at every size; only the counts (a row for
+    each column) reach the driver.
     """
-    from ctxtab.functions.ranking import global_index
-    spark = df.sparkSession
-    v = df.select(nonfinite_to_null(c).alias("v")).filter(F.col("v").isNotNull())
-    n = v.count()
-    if n == 0:
-        return []
-    h = (n - 1) * np.asarray(probs, dtype=float)
-    lo = np.floor(h).astype(np.int64)
-    hi = np.minimum(lo + 1, n - 1)
-    need = sorted(set(lo.tolist()) | set(hi.tolist()))
-    pos = spark.createDataFrame([(int(i),) for i in need], "i long")
-    got = dict(global_index(v, ["v"], "i").join(pos, "i").select("i", "v").collect())
-    xl = np.array([got[i] for i in lo.tolist()])
-    xh = np.array([got[i] for i in hi.tolist()])
-    return (xl + (h - lo) * (xh - xl)).tolist()
-
-
-def _quantiles(df: DataFrame, cols: list[str], probs: dict[str, list[float]], n_rows: int) -> dict:
-    """Linear-interpolated quantiles per column, exact below EXACT_QUANTILE_ROWS.
-
-    Long grids (more than ``LITERAL_GRID_MAX`` probabilities) go through
-    :func:`_positional_quantiles` (exact at any size)."""
-    out = {c: _positional_quantiles(df, c, probs[c]) for c in cols if len(probs[c]) > LITERAL_GRID_MAX}
-    cols = [c for c in cols if c not in out]
-    if not cols:
-        return out
-    aggs = []
-    for c in cols:
-        arr = F.array(*[F.lit(float(p)) for p in probs[c]])
-        x = nonfinite_to_null(c)
-        if n_rows <= EXACT_QUANTILE_ROWS:
-            aggs.append(F.percentile(x, arr).alias(c))
-        else:
-            aggs.append(F.percentile_approx(x, arr, 100_000).alias(c))
-    row = df.agg(*aggs).first()
-    out.update({c: [float(v) for v in (row[c] or [])] for c in cols})
+    cells = ", ".join(f"{i}, `__q{i}`" for i in range(len(cols)))
+    seen = F.lit(1) if fit_on == "all" or split is None else (F.col(split) == "train").cast("int")
+    long = (df.select(seen.cast("long").alias("n"), *[nonfinite_to_null(c).alias(f"__q{i}") for i, c in enumerate(cols)])
+            .select("n", F.expr(f"stack({len(cols)}, {cells}) AS (f, v)")).where("v IS NOT NULL"))
+    ranked = prefix_sum(long.groupBy("f", "v").agg(F.sum("n").alias("n")), ["f", "v"], "n", "below")
+    rows = {r["f"]: r for r in ranked.groupBy("f").agg(F.min("below").alias("base"), F.sum("n").alias("m")).collect()}
+    counts = [int(rows[i]["m"]) if i in rows else 0 for i in range(len(cols))]
+    base = F.element_at(F.array(*[F.lit(int(rows[i]["base"]) if i in rows else 0).cast("long") for i in range(len(cols))]), F.col("f") + 1)
+    ranked = ranked.select("f", "v", (F.col("below") - base).alias("below"), (F.col("below") - base + F.col("n")).alias("upto"))
+    return ranked, counts
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], split="split", fit_on="train") -> dict[str, list[float]]:
+    """Exact linear-interpolated quantiles of each column for a few given probabilities (empty without train values)."""
+    ranked, counts = ranked_values(df, cols, split, fit_on)
+    at = [[(m - 1) * p for p in probs] if m else [] for m in counts]
+    need = [sorted({k for h in hs for k in (math.floor(h), math.ceil(h))}) for hs in at]
+    lists = F.element_at(F.array(*[F.array(*[F.lit(k).cast("long") for k in n]).cast("array<long>") for n in need]), F.col("f") + 1)
+    held = F.filter(lists, lambda k: (k >= F.col("below")) & (k < F.col("upto")))
+    got = {(r["f"], r["k"]): r["v"] for r in ranked.select("f", "v", F.explode(held).alias("k")).collect()}
+    out = {}
+    for i, c in enumerate(cols):
+        low = [(got[i, math.floor(h)], got[i, math.ceil(h)], h - math.floor(h)) for h in at[i]]
+        out[c] = [x + t * (y - x) for x, y, t in low]
     return out
 
 
-def _grid(xs: list[float], refs: list[float]):
-    """Unique grid values with the lowest/highest reference of each run of ties."""
-    u, lo, hi = [], [], []
-    for x, r in zip(xs, refs):
-        if u and x == u[-1]:
-            hi[-1] = r
-        else:
-            u.append(x)
-            lo.append(r)
-            hi.append(r)
-    return u, lo, hi
+def n_quantiles_for(n_train: int, variant: str) -> int:
+    """R3 grid size: a tenth of the rows, or a fifth (also for ``all_data``); at least 2, at most the rows."""
+    base = {"10": n_train // 10, "5": n_train // 5, "all_data": n_train // 5}[variant]
+    return max(1, min(max(base, 2), n_train))
 
 
-def grid_map(df: DataFrame, col: str, xs: list[float], refs: list[float], out: str | None = None) -> DataFrame:
-    """Average of forward and backward linear interpolation on (xs, refs),
-    clipped to the end references (sklearn's quantile-transform rule).
+def quantile_map(df, cols, variant="10", split="split", fit_on="train") -> DataFrame:
+    """``(f, v, q)``: the image in [0, 1] of every distinct value of every column.
 
-    Binary search with ``Bucketizer``; knots live in literal arrays sized by
-    the grid.  Missing stays missing.
+    Knot k of K lies at position (m - 1) k / (K - 1) of the m sorted train values.  A value that knots
+    equal gets the middle of their references, another one lies on the line between the knots around
+    it, and values beyond the ends get 0 or 1.  Knots are never gathered: a value's rank tells which
+    ones can be next to it, and they are fetched by equi-joins on (column, k).
     """
-    from pyspark.ml.feature import Bucketizer
-    out = out or col
-    u, lo, hi = _grid(xs, refs)
-    if not u:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    if len(u) > LITERAL_GRID_MAX:
-        return df.withColumn(out, _grid_map_udf(u, lo, hi)(nonfinite_to_null(col)))
-    tmp_in, tmp_b = f"__{col}_in", f"__{col}_b"
-    x = nonfinite_to_null(col)
-    d = df.withColumn(tmp_in, F.coalesce(x, F.lit(0.0)))
-    bk = Bucketizer(splits=[-math.inf, *u, math.inf], inputCol=tmp_in, outputCol=tmp_b, handleInvalid="keep")
-    d = bk.transform(d)
-    U = F.array(*[F.lit(v) for v in u])
-    LO = F.array(*[F.lit(v) for v in lo])
-    HI = F.array(*[F.lit(v) for v in hi])
-    b = F.col(tmp_b).cast("int")                   # u[b-1] <= x < u[b]   (1-based arrays)
-    xv = F.col(tmp_in)
-    u0, u1 = F.element_at(U, F.greatest(b, F.lit(1))), F.element_at(U, F.least(b + 1, F.lit(len(u))))
-    h0, l1 = F.element_at(HI, F.greatest(b, F.lit(1))), F.element_at(LO, F.least(b + 1, F.lit(len(u))))
-    l0 = F.element_at(LO, F.greatest(b, F.lit(1)))
-    inner = h0 + (xv - u0) / (u1 - u0) * (l1 - h0)
-    val = (F.when(b == 0, F.lit(lo[0]))
-           .when(xv == u0, (l0 + h0) / 2.0)
-           .when(b >= len(u), F.lit(hi[-1]))
-           .otherwise(inner))
-    return d.withColumn(out, F.when(x.isNull(), F.lit(None).cast("double")).otherwise(val)).drop(tmp_in, tmp_b)
-
-
-def _grid_map_udf(u: list[float], lo: list[float], hi: list[float]):
-    """Arrow-batched twin of the literal grid map for long grids.
-
-    The knots travel with the function; their number is capped by the
-    quantile subsample (``n_quantiles_for``), not by the data size.
-    """
-    from pyspark.sql.functions import pandas_udf
-    U, LO, HI = (np.asarray(a, dtype=float) for a in (u, lo, hi))
-
-    @pandas_udf("double")
-    def fmap(x: pd.Series) -> pd.Series:
-        v = x.to_numpy(dtype=float, na_value=np.nan)
-        b = np.searchsorted(U, v, side="right")          # U[b-1] <= v < U[b]
-        bi = np.clip(b, 1, len(U)) - 1
-        bj = np.clip(b, 0, len(U) - 1)
-        u0, u1 = U[bi], U[bj]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            inner = HI[bi] + (v - u0) / (u1 - u0) * (LO[bj] - HI[bi])
-        r = np.where(b == 0, LO[0], np.where(v == u0, (LO[bi] + HI[bi]) / 2.0,
-                                             np.where(b >= len(U), HI[-1], inner)))
-        return pd.Series(np.where(np.isnan(v), np.nan, r))
-
-    return fmap
-
-
-def n_quantiles_for(n_train: int, variant: str, subsample: int = 100_000) -> int:
-    """R3 grid size: n/10, n/5 or all rows; at least 2, capped by rows and subsample."""
-    base = {"10": n_train // 10, "5": n_train // 5, "all_data": n_train}[variant]
-    return max(1, min(max(base, 2), n_train, subsample))
+    ranked, counts = ranked_values(df, cols, split, fit_on)
+    pick = lambda values: F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in values]), F.col("f") + 1)
+    grid = [n_quantiles_for(m, variant) for m in counts]
+    t = ranked.withColumn("m", pick(counts) - 1).withColumn("g", pick(grid) - 1)  # last position, last knot
+    t = t.where("g > 0")
+    # first knot at or after position ``below``, last knot at or before the value's last position
+    t = t.withColumn("a", F.expr("(below * g + m - 1) div m")).withColumn("b", F.expr("if(upto > below, ((upto - 1) * g) div m, a - 1)"))
+    t = cut_lineage(t)
+    own = t.where("upto > below")
+    after = own.select("f", F.col("below").alias("upto"), F.col("v").alias("next"))
+    between = (own.join(after, ["f", "upto"]).withColumn("k", F.col("b") + 1).where("k <= g AND k * m < upto * g")
+               .select("f", "k", (F.col("v") + ((F.col("k") * F.col("m")) % F.col("g")) / F.col("g") * (F.col("next") - F.col("v"))).alias("x")))
+    equal = own.where("a <= b").select("f", F.explode(F.array_distinct(F.array("a", "b"))).alias("k"), F.col("v").alias("x"))
+    knots = cut_lineage(equal.unionByName(between))
+    for name, back in (("x2", 2), ("x1", 1), ("x0", 0)):
+        side = knots.select("f", F.col("k").alias(f"k_{name}"), F.col("x").alias(name))
+        t = t.withColumn(f"k_{name}", F.col("a") - back).join(side, ["f", f"k_{name}"], "left")
+    ref = lambda k: F.col(k) / F.col("g")
+    line = lambda x, y, i, j: (F.when(F.col(x).isNull(), F.lit(0.0)).when(F.col(y).isNull(), F.lit(1.0))
+                               .otherwise(ref(i) + (F.col("v") - F.col(x)) / (F.col(y) - F.col(x)) * (ref(j) - ref(i))))
+    q = (F.when(F.col("a") <= F.col("b"), (F.col("a") + F.col("b")) / F.col("g") / 2)
+         .when(F.col("x1") == F.col("v"), ref("k_x1"))
+         .when(F.col("x1") > F.col("v"), line("x2", "x1", "k_x2", "k_x1"))
+         .otherwise(line("x1", "x0", "k_x1", "k_x0")))
+    one = ranked.withColumn("g", pick(grid)).withColumn("m", pick(counts)).where("g = 1 AND m > 0")  # a single knot: all values at 0
+    return t.select("f", "v", q.alias("q")).unionByName(one.select("f", "v", F.lit(0.0).alias("q")))
+
+
+def _mapped(df: DataFrame, cols: list[str], table: DataFrame, suffix: str) -> DataFrame:
+    """``df`` with each column's values replaced by their images (missing stays missing)."""
+    table = cut_lineage(table)
+    for i, c in enumerate(cols):
+        side = table.where(F.col("f") == i).select(F.col("v").alias("__v"), F.col("q").alias("__q"))
+        df = df.withColumn("__v", nonfinite_to_null(c)).join(side, "__v", "left").withColumn(c + suffix, F.col("__q")).drop("__v", "__q")
+    return df
 
 
-def quantile_fit(df, cols, variant="10", split="split", fit_on="train"):
-    tr = _train(df, split, fit_on)
-    cnt = tr.agg(*[F.count(nonfinite_to_null(c)).alias(c) for c in cols]).first()
-    nq = {c: n_quantiles_for(int(cnt[c]), variant) for c in cols}
-    probs = {c: (np.linspace(0, 1, nq[c]).tolist() if nq[c] > 1 else [0.0]) for c in cols}
-    qs = _quantiles(tr, cols, probs, max(int(cnt[c]) for c in cols) if cols else 0)
-    return {c: (qs[c], probs[c]) for c in cols}
+def _in_place(df, cols, table, suffix):
+    order = [*df.columns, *[c + suffix for c in cols if c + suffix not in df.columns]]
+    return _mapped(df, cols, table, suffix).select(*order)
 
 
 def quantile_uniform(df, cols, variant="10", split="split", fit_on="train", suffix=""):
-    """Map to [0, 1] through the train quantile grid."""
-    from ctxtab.session import reuse
-    df = reuse(df)  # count pass, quantile pass(es) and the transform scan it
-    grids = quantile_fit(df, cols, variant, split, fit_on)
-    for c in cols:
-        df = grid_map(df, c, grids[c][0], grids[c][1], out=c + suffix)
-    return df
+    """Map to [0, 1] through the train quantile grid; a column without train values becomes missing."""
+    return _in_place(df, cols, quantile_map(df, cols, variant, split, fit_on), suffix)
 
 
 BOUNDS = 1e-7  # fixed value: clip applied before the normal inverse CDF
 
 
 def quantile_normal(df, cols, variant="10", split="split", fit_on="train", suffix=""):
-    """R3 then the inverse normal CDF, clipped away from 0 and 1."""
-    df = quantile_uniform(df, cols, variant, split, fit_on, suffix)
-    return df.withColumns({c + suffix: inv_norm_cdf(F.least(F.greatest(F.col(c + suffix), F.lit(BOUNDS)),
-                                                            F.lit(1 - BOUNDS))) for c in cols})
+    """R3 then the inverse normal CDF, clipped away from 0 and 1 (worked out once for each distinct value)."""
+    table = cut_lineage(quantile_map(df, cols, variant, split, fit_on))
+    clipped = F.least(F.greatest(F.col("q"), F.lit(BOUNDS)), F.lit(1 - BOUNDS))
+    return _in_place(df, cols, table.select("f", "v", inv_norm_cdf(clipped).alias("q")), suffix)
 
 
 def robust_scale(df, cols, split="split", fit_on="train"):
     """(x - median) / (IQR / (z75 - z25)); zero IQR treated as 1."""
-    tr = _train(df, split, fit_on)
-    n = tr.count()
-    qs = _quantiles(tr, cols, {c: [0.25, 0.5, 0.75] for c in cols}, n)
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75], split, fit_on)
     out = {}
     for c in cols:
         q25, med, q75 = (qs[c] + [0.0, 0.0, 0.0])[:3] if qs[c] else (0.0, 0.0, 0.0)
@@ -248,6 +193,9 @@ def robust_scale(df, cols, split="split", fit_on="train"):
 
 
 # ------------------------------------------------------------------ power / log
+VAR_TOLERANCE, MAX_POWER = 1e-3, 100.0  # fixed values: when a power transform is taken back
+
+
 def _yj(x: Column, lam: float) -> Column:
     pos = (F.pow(x + 1.0, lam) - 1.0) / lam if abs(lam) > 1e-12 else F.log1p(x)
     neg = -(F.pow(-x + 1.0, 2.0 - lam) - 1.0) / (2.0 - lam) if abs(lam - 2) > 1e-12 else -F.log1p(-x)
@@ -257,10 +205,12 @@ def _yj(x: Column, lam: float) -> Column:
 def yeo_johnson_fit(df, cols, split="split", fit_on="train", grid=None) -> dict[str, float]:
     """R6 fit: lambda maximising the Yeo-Johnson profile log-likelihood.
 
-    One aggregation evaluates every (column, lambda) of a grid (sum and sum
-    of squares of the transform plus the Jacobian term); the profile
-    likelihood is concave in lambda, so two more aggregations refine around
-    the best value with 5x finer steps (0.25, 0.05, 0.01 on [-2, 2]).
+    One aggregation evaluates every (column, lambda) of a grid (population
+    variance of the transform and the Jacobian term).  While the best value is
+    at the edge of a column's grid, the grid moves on; then, as the profile
+    likelihood is concave in lambda, two more aggregations refine around the
+    best value with 5x finer steps (0.25, 0.05, 0.01).  A column without a
+    finite likelihood (constant, or no values) gets NaN: it is left as it is.
     """
     tr = _train(df, split, fit_on)
     grid = grid or np.linspace(-2, 2, 17).tolist()
@@ -273,21 +223,15 @@ def yeo_johnson_fit(df, cols, split="split", fit_on="train", grid=None) -> dict[
                      F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"{c}__j")]
             for i, lam in enumerate(lams[c]):
                 t = _yj(x, lam)
-                aggs += [F.sum(t).alias(f"{c}__s{i}"), F.sum(t * t).alias(f"{c}__q{i}")]
+                aggs.append(F.var_pop(t).alias(f"{c}__v{i}"))
         row = tr.agg(*aggs).first()
         res = {}
         for c in cols:
             n = row[f"{c}__n"] or 0
-            if n < 2:
-                res[c] = 1.0
-                continue
-            bestv, bestl = -math.inf, 1.0
+            bestv, bestl = -math.inf, math.nan
             for i, lam in enumerate(lams[c]):
-                s, q = row[f"{c}__s{i}"], row[f"{c}__q{i}"]
-                if s is None or q is None or not (math.isfinite(s) and math.isfinite(q)):
-                    continue
-                var = q / n - (s / n) ** 2
-                if var <= 0:
+                var = row[f"{c}__v{i}"]
+                if var is None or not math.isfinite(var) or var <= 0:
                     continue
                 ll = -n / 2.0 * math.log(var) + (lam - 1.0) * row[f"{c}__j"]
                 if ll > bestv:
@@ -295,22 +239,38 @@ def yeo_johnson_fit(df, cols, split="split", fit_on="train", grid=None) -> dict[
             res[c] = bestl
         return res
 
-    cur = best({c: grid for c in cols})
     step = (grid[1] - grid[0]) if len(grid) > 1 else 0.25
+    lams = {c: list(grid) for c in cols}
+    cur = best(lams)
+    while moving := [c for c in cols if cur[c] in (lams[c][0], lams[c][-1])]:
+        for c in moving:
+            lams[c] = (cur[c] + step * np.arange(-len(grid) // 2, len(grid) // 2 + 1)).tolist()
+        found = best(lams)
+        if all(found[c] == cur[c] for c in moving):
+            break
+        cur = found
     for _ in range(2):
-        cur = best({c: np.linspace(cur[c] - step, cur[c] + step, 11).tolist() for c in cols})
+        found = best({c: np.linspace(cur[c] - step, cur[c] + step, 11).tolist() if math.isfinite(cur[c]) else [1.0] for c in cols})
+        cur = {c: found[c] if math.isfinite(cur[c]) else math.nan for c in cols}
         step /= 5.0
     return cur
 
 
 def yeo_johnson(df, cols, split="split", fit_on="train"):
-    """Power transform with fitted lambda, non-finite to missing, mean fill, standardise."""
+    """Power transform with fitted lambda, non-finite to missing, mean fill, standardise.
+
+    A column goes back to its own values when its standardised train variance
+    is not 1 within ``VAR_TOLERANCE`` or a train value exceeds ``MAX_POWER``.
+    """
     from ctxtab.session import reuse
-    df = reuse(df)  # two lambda passes, two moment passes and the transform scan it
+    df = reuse(df)  # the lambda passes, two moment passes and the transform scan it
     lam = yeo_johnson_fit(df, cols, split, fit_on)
-    d = df.withColumns({c: nonfinite_to_null(_yj(nonfinite_to_null(c), lam[c])) for c in cols})
-    d = mean_impute(d, cols, split, fit_on)
-    return standard_scale(d, cols, split, fit_on)
+    turned = {c: nonfinite_to_null(c) if math.isnan(lam[c]) else nonfinite_to_null(_yj(nonfinite_to_null(c), lam[c])) for c in cols}
+    d = df.withColumns({f"__raw_{c}": F.col(c) for c in cols}).withColumns(turned)
+    d = standard_scale(mean_impute(d, cols, split, fit_on), cols, split, fit_on)
+    st = _train(d, split, fit_on).agg(*[F.var_pop(c).alias(f"{c}__v") for c in cols], *[F.max(c).alias(f"{c}__x") for c in cols]).first()
+    back = [c for c in cols if st[f"{c}__v"] is not None and (abs(st[f"{c}__v"] - 1.0) > VAR_TOLERANCE or st[f"{c}__x"] > MAX_POWER)]
+    return d.withColumns({c: F.col(f"__raw_{c}") for c in back}).drop(*[f"__raw_{c}" for c in cols])
 
 
 def log_normal(df, cols, split="split", fit_on="train"):
@@ -322,41 +282,66 @@ def log_normal(df, cols, split="split", fit_on="train"):
 
 
 # ------------------------------------------------------------------ kernel-density integral
-def _phi(z: float) -> float:
-    return 0.5 * (1.0 + math.erf(z / math.sqrt(2.0)))
+KDI_GRID = 1000  # points between which the kernel CDF is a line
+
+
+def _phi(z: np.ndarray) -> np.ndarray:
+    """Normal CDF (the published polynomial 7.1.26 for erf, error below 1e-7)."""
+    x = np.abs(z) / math.sqrt(2.0)
+    t = 1.0 / (1.0 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    half = 0.5 * poly * np.exp(-x * x)
+    return np.where(z >= 0, 1.0 - half, half)
 
 
-def kdi_fit(df, cols, alpha=1.0, n_sketch=1000, n_grid=1000, split="split", fit_on="train"):
-    """R8 fit: Gaussian-kernel CDF of each column on a grid.
+def kdi_fit(df, cols, alpha=1.0, split="split", fit_on="train"):
+    """R8 fit: the Gaussian-kernel CDF of all train values of each column, on a grid over their range.
 
-    The train distribution is summarised by an ``n_sketch``-point quantile
-    sketch (one aggregation); the kernel CDF with bandwidth ``alpha x std``
-    is evaluated on the driver over that sketch (metadata sized, not data).
+    Bandwidth is ``alpha`` x std.  Tasks sum the kernels of the distinct values they hold (with counts);
+    the driver gets one number for each column and grid point.
     """
-    tr = _train(mean_impute(df, cols, split, fit_on), split, fit_on)
-    n = tr.count()
-    probs = ((np.arange(n_sketch) + 0.5) / n_sketch).tolist()
-    sk = _quantiles(tr, cols, {c: probs for c in cols}, n)
-    sd = tr.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
-    grids = {}
-    for c in cols:
-        pts = np.asarray(sk[c])
-        h = alpha * float(sd[c] or 0.0)
-        if not len(pts) or h <= 0:
-            grids[c] = ([float(pts[0]) if len(pts) else 0.0], [0.5])
-            continue
-        g = np.linspace(pts.min() - 3 * h, pts.max() + 3 * h, n_grid)
-        cdf = np.array([np.mean([_phi((gv - p) / h) for p in pts]) for gv in g]) if n_sketch <= 200 else \
-            np.vectorize(_phi)((g[:, None] - pts[None, :]) / h).mean(axis=1)
-        grids[c] = (g.tolist(), cdf.tolist())
-    return grids
+    full = mean_impute(df, cols, split, fit_on)
+    st = _train(full, split, fit_on).agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)],
+                                         *[F.stddev_pop(c).alias(f"sd{i}") for i, c in enumerate(cols)]).first()
+    values, counts = ranked_values(full, cols, split, fit_on)
+    h = [alpha * float(st[f"sd{i}"] or 0.0) for i in range(len(cols))]
+    grid = [np.linspace(st[f"lo{i}"] - 3 * h[i], st[f"hi{i}"] + 3 * h[i], KDI_GRID) if h[i] > 0 else None for i in range(len(cols))]
+
+    def sums(batches):
+        total = {}
+        for pdf in batches:
+            for f, part in pdf.groupby("f"):
+                if grid[f] is None:
+                    continue
+                for k in range(0, len(part), 1000):
+                    v, n = part["v"].to_numpy()[k:k + 1000], part["n"].to_numpy()[k:k + 1000]
+                    total[f] = total.get(f, 0) + _phi((grid[f][:, None] - v) / h[f]) @ n
+        for f, t in total.items():
+            yield pd.DataFrame({"f": f, "k": np.arange(KDI_GRID), "s": t})
+
+    held = values.where("upto > below").select("f", "v", (F.col("upto") - F.col("below")).cast("double").alias("n"))
+    cdf = {}
+    for r in held.mapInPandas(sums, "f int, k int, s double").groupBy("f", "k").agg(F.sum("s").alias("s")).collect():
+        cdf.setdefault(r["f"], np.zeros(KDI_GRID))[r["k"]] = r["s"] / counts[r["f"]]
+    return {c: (grid[i], cdf[i]) if i in cdf else (np.zeros(1), np.full(1, 0.5)) for i, c in enumerate(cols)}
 
 
 def kdi_uniform(df, cols, alpha=1.0, output="uniform", split="split", fit_on="train", suffix=""):
     """Kernel-density-integral map to [0, 1] (``output='normal'``: then inverse normal)."""
     grids = kdi_fit(df, cols, alpha, split=split, fit_on=fit_on)
+
+    def mapped(c):
+        g, cdf = grids[c]
+
+        @F.pandas_udf("double")
+        def image(x: pd.Series) -> pd.Series:
+            v = x.to_numpy(dtype=float, na_value=np.nan)
+            return pd.Series(np.where(np.isnan(v), np.nan, np.interp(v, g, cdf)))
+
+        return F.nanvl(image(nonfinite_to_null(c)), F.lit(None).cast("double"))
+
     for c in cols:
-        df = grid_map(df, c, grids[c][0], grids[c][1], out=c + suffix)
+        df = df.withColumn(c + suffix, mapped(c))
         if output == "normal":
             df = df.withColumn(c + suffix, inv_norm_cdf(F.least(F.greatest(F.col(c + suffix), F.lit(BOUNDS)),
                                                                 F.lit(1 - BOUNDS))))
@@ -393,10 +378,11 @@ def append_svd(df, cols, split="split", fit_on="train", n_components=None, prefi
     for j in range(V.shape[1]):
         if V[np.argmax(np.abs(V[:, j])), j] < 0:
             V[:, j] = -V[:, j]
-    proj = {f"{prefix}{j}": sum((F.col(c) * F.lit(float(V[i, j])) for i, c in enumerate(cols)), F.lit(0.0))
-            for j in range(V.shape[1])}
-    return df.join(d0.select("row_id", *[e.alias(nm) for nm, e in proj.items()]), "row_id") \
-        if "row_id" in df.columns else d0.withColumns(proj)
+    scaled = {c: F.col(f"__s_{c}") for c in cols}
+    both = standard_scale(mean_impute(df.withColumns({f"__s_{c}": F.col(c) for c in cols}), [f"__s_{c}" for c in cols], split, fit_on),
+                          [f"__s_{c}" for c in cols], split, fit_on, center=False)
+    proj = {f"{prefix}{j}": sum((scaled[c] * F.lit(float(V[i, j])) for i, c in enumerate(cols)), F.lit(0.0)) for j in range(V.shape[1])}
+    return both.withColumns(proj).drop(*[f"__s_{c}" for c in cols])
 
 
 # ------------------------------------------------------------------ network-side data maths
@@ -488,12 +474,11 @@ def route_columns(df, continuous: list[str], categorical: list[str], transform,
 
 
 def union_transforms(df, cols, transforms: dict, id_col="row_id"):
-    """Outputs of several transforms side by side, suffixed by tag."""
+    """Outputs of several transforms side by side, suffixed by tag; each works on its own copies of the columns."""
     out = df
     for tag, fn in transforms.items():
-        t = fn(df.select(id_col, "split", *cols), cols).select(
-            id_col, *[F.col(c).alias(f"{c}_{tag}") for c in cols])
-        out = out.join(t, id_col)
+        names = [f"{c}_{tag}" for c in cols]
+        out = fn(out.withColumns({n: F.col(c) for n, c in zip(names, cols)}), names)
     return out
 
 

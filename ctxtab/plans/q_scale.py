@@ -55,13 +55,13 @@ def _quantile_sql(c: str, div: int) -> str:
     """SQL twin of the R3 map for one column (grid from train, linear quantiles)."""
     return f"""
 tr_{c} AS (SELECT {c} AS x FROM line WHERE split = 'train' AND {c} IS NOT NULL),
-n_{c} AS (SELECT count(*) AS n, greatest(least(greatest(count(*) // {div}, 2), count(*), 100000), 1) AS nq FROM tr_{c}),
+n_{c} AS (SELECT count(*) AS n, greatest(least(greatest(count(*) // {div}, 2), count(*)), 1) AS nq FROM tr_{c}),
 s_{c} AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM tr_{c}),
-g_{c} AS (SELECT k, CASE WHEN nq > 1 THEN k / (nq - 1) ELSE 0.0 END AS ref, n FROM n_{c}, range(nq) t(k)),
-h_{c} AS (SELECT k, ref, (n - 1) * ref AS h FROM g_{c}),
-q_{c} AS (SELECT h.k, h.ref, CASE WHEN floor(h.h) = ceil(h.h) THEN a.x
-                 ELSE (ceil(h.h) - h.h) * a.x + (h.h - floor(h.h)) * b.x END AS qv
-          FROM h_{c} h JOIN s_{c} a ON a.i = floor(h.h) JOIN s_{c} b ON b.i = ceil(h.h)),
+g_{c} AS (SELECT k, CASE WHEN nq > 1 THEN k / (nq - 1) ELSE 0.0 END AS ref, n, nq FROM n_{c}, range(nq) t(k)),
+h_{c} AS (SELECT k, ref, CASE WHEN nq > 1 THEN (k * (n - 1)) // (nq - 1) ELSE 0 END AS lo,
+                 CASE WHEN nq > 1 THEN ((k * (n - 1)) % (nq - 1)) / (nq - 1) ELSE 0.0 END AS fr FROM g_{c}),
+q_{c} AS (SELECT h.k, h.ref, CASE WHEN fr = 0 OR a.x = b.x THEN a.x ELSE a.x + fr * (b.x - a.x) END AS qv
+          FROM h_{c} h JOIN s_{c} a ON a.i = h.lo JOIN s_{c} b ON b.i = CASE WHEN fr = 0 THEN h.lo ELSE h.lo + 1 END),
 u_{c} AS (SELECT qv AS u, min(ref) AS lo, max(ref) AS hi FROM q_{c} GROUP BY qv),
 ui_{c} AS (SELECT u, lo, hi, row_number() OVER (ORDER BY u) AS j FROM u_{c}),
 ends_{c} AS (SELECT min(lo) AS first_lo, max(hi) AS last_hi FROM u_{c}),
@@ -73,15 +73,20 @@ r_{c} AS (SELECT m.row_id, CASE WHEN m.x IS NULL THEN NULL WHEN m.u0 IS NULL THE
           FROM m_{c} m LEFT JOIN ui_{c} b ON b.j = m.j + 1, ends_{c} e)"""
 
 
-R3_COLS = ["l_quantity", "l_extendedprice"]
+def _wide_sql(exprs: dict[str, str]) -> str:
+    first, *rest = list(exprs)
+    return (f"\nSELECT r_{first}.row_id, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in exprs.items())
+            + f" FROM r_{first} " + " ".join(f"JOIN r_{c} ON r_{first}.row_id = r_{c}.row_id" for c in rest))
 
 
-@register("r3_quantile_uniform", W + "," + ",".join(_quantile_sql(c, 10) for c in R3_COLS)
-          + "\nSELECT r_l_quantity.row_id, round(r_l_quantity.v, 6) AS l_quantity, "
-            "round(r_l_extendedprice.v, 6) AS l_extendedprice "
-            "FROM r_l_quantity JOIN r_l_extendedprice ON r_l_quantity.row_id = r_l_extendedprice.row_id")
+@register("r3_quantile_uniform", W + "," + ",".join(_quantile_sql(c, 10) for c in LF) + _wide_sql({c: f"r_{c}.v" for c in LF}))
 def r3_quantile_uniform(spark, sf_dir):
-    return _out(scale.quantile_uniform(_line(spark, sf_dir, R3_COLS), R3_COLS, "10"), R3_COLS)
+    return _out(scale.quantile_uniform(_line(spark, sf_dir), LF, "10"), LF)
+
+
+@register("r3_all_data", W + "," + ",".join(_quantile_sql(c, 5) for c in LF) + _wide_sql({c: f"r_{c}.v" for c in LF}))
+def r3_all_data(spark, sf_dir):
+    return _out(scale.quantile_uniform(_line(spark, sf_dir), LF, "all_data"), LF)
 
 
 def _horner_sql(coefs: list[float], x: str) -> str:
@@ -109,12 +114,12 @@ def _clip_sql(v: str) -> str:
     return f"least(greatest({v}, {scale.BOUNDS!r}), {1 - scale.BOUNDS!r})"
 
 
-@register("r4_quantile_norm", W + "," + ",".join(_quantile_sql(c, 5) for c in R3_COLS) + f""",
-pc AS (SELECT a.row_id, {_clip_sql('a.v')} AS pa, {_clip_sql('b.v')} AS pb
-       FROM r_l_quantity a JOIN r_l_extendedprice b ON a.row_id = b.row_id)
-SELECT row_id, round({_probit_sql('pa')}, 6) AS l_quantity, round({_probit_sql('pb')}, 6) AS l_extendedprice FROM pc""")
+@register("r4_quantile_norm", W + "," + ",".join(_quantile_sql(c, 5) for c in LF)
+          + ",".join([""] + [f"\np_{c} AS (SELECT row_id, {_clip_sql('v')} AS pv FROM r_{c})" for c in LF])
+          + "\nSELECT p_l_quantity.row_id, " + ", ".join(f"round({_probit_sql(f'p_{c}.pv')}, 6) AS {c}" for c in LF)
+          + " FROM p_l_quantity " + " ".join(f"JOIN p_{c} ON p_l_quantity.row_id = p_{c}.row_id" for c in LF if c != "l_quantity"))
 def r4_quantile_norm(spark, sf_dir):
-    return _out(scale.quantile_normal(_line(spark, sf_dir, R3_COLS), R3_COLS, "5"), R3_COLS)
+    return _out(scale.quantile_normal(_line(spark, sf_dir), LF, "5"), LF)
 
 
 @register("r5_robust_scale", W + ",\nst AS (SELECT " + ", ".join(
@@ -150,7 +155,7 @@ def r7_log_normal(spark, sf_dir):
 
 @register("r8_kdi_uniform")
 def r8_kdi_uniform(spark, sf_dir):
-    return _out(scale.kdi_uniform(_line(spark, sf_dir, R3_COLS), R3_COLS, alpha=1.0), R3_COLS)
+    return _out(scale.kdi_uniform(_line(spark, sf_dir), LF, alpha=1.0), LF)
 
 
 @register("r9_union_transforms", W + """,
