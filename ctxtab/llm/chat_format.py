@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Control strings of common chat templates, by first character and rest.
-_CONTROL = r"(\|[A-Za-z_0-9]+\|>|/?s>|/?INST\]|/?SYS>>|<SYS>>|<s>|TOOL_CALLS\]|AVAILABLE_TOOLS\])"
+_CONTROL = r"(\|[A-Za-z_0-9]+\|>|/?s>|/?INST\]|/?SYS>>|<SYS>>|TOOL_CALLS\]|AVAILABLE_TOOLS\])"
 _FOUND = re.compile(r"([<\[])(\\*)" + _CONTROL)
 _MARKED = re.compile(r"([<\[])\\(\\*)" + _CONTROL)
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n\Z", re.S)

@@ -144,7 +144,7 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (
-  SELECT *, regexp_replace(text, '([<\\[])(\\\\*)(\\|[A-Za-z_0-9]+\\|>|/?s>|/?INST\\]|/?SYS>>|<SYS>>|<s>|TOOL_CALLS\\]|AVAILABLE_TOOLS\\])', '\\1\\\\\\2\\3', 'g') AS esc FROM t)
+  SELECT *, regexp_replace(text, '([<\\[])(\\\\*)(\\|[A-Za-z_0-9]+\\|>|/?s>|/?INST\\]|/?SYS>>|<SYS>>|TOOL_CALLS\\]|AVAILABLE_TOOLS\\])', '\\1\\\\\\2\\3', 'g') AS esc FROM t)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,

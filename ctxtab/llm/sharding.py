@@ -3,7 +3,8 @@
 Documents are linked when their texts are equal.  A link set is held as one row for each (text,
 shard) with the number of its documents there, never as pairs or lists.  Linked documents start
 dealt evenly over the shards.  In each round the documents of a text ask to move to the shard where
-most of their neighbours are (ties by a hash; shards that the text fills alone are left out).  The
+most of their neighbours are (ties by a hash; shards that the text fills alone are left out, and
+after some rounds all shards without room).  The
 16 x 16 table of asked moves is cut down so that arrivals less departures fit each shard's quota,
 and the moves are admitted in a fixed order by running totals.  Rounds go on until none moves.
 Documents with no copy have no link to cut and fill the shards up to their quotas.
@@ -23,7 +24,8 @@ from ctxtab.session import cut_lineage
 
 SHARDS = 16
 ROWS_PER_BUCKET = 4096
-MAX_ROUNDS = 16   # of propagation; more would only lessen cut links
+EXCHANGES = 4     # rounds in which shards without room may be aims
+MAX_ROUNDS = 24   # of propagation; more would only lessen cut links
 
 
 def _running(df: DataFrame, keys: list[str], value, order: list[str], name: str) -> DataFrame:
@@ -75,13 +77,18 @@ def _admitted(asked: list[list[int]], room: list[int]) -> list[list[int]]:
     return whole
 
 
-def _asks(state: DataFrame, quota: list[int], buckets: int, turn: int) -> DataFrame:
-    """(text_key, shard, to, n): documents that would join most of their neighbours; ties by a hash."""
-    full = F.element_at(_numbers(quota), F.col("shard") + 1)
-    pick = Window.partitionBy("text_key").orderBy(F.desc("_open"), F.desc("n"), F.xxhash64("text_key", "shard", F.lit(turn)), "shard")
-    seen = (state.withColumn("_open", (F.col("n") < full).cast("int"))  # not yet filled by this very text
-            .withColumn("_to", F.first("shard").over(pick)).withColumn("_to_open", F.first("_open").over(pick)))
-    return (seen.where((F.col("shard") != F.col("_to")) & (F.col("_to_open") == 1) & (F.col("_open") == 1))
+def _asks(state: DataFrame, limit: list[int], buckets: int, turn: int) -> DataFrame:
+    """(text_key, shard, to, n): documents that would join most of their neighbours; ties by a hash.
+
+    A shard is no aim for a text that has ``limit`` documents or more there.
+    """
+    most = F.element_at(_numbers(limit), F.col("shard") + 1)
+    tie = F.xxhash64("text_key", "shard", F.lit(turn))
+    pick = Window.partitionBy("text_key").orderBy(F.desc("_open"), F.desc("n"), tie, "shard")
+    seen = (state.withColumn("_open", (F.col("n") < most).cast("int"))
+            .withColumn("_to", F.first("shard").over(pick)).withColumn("_to_n", F.first("n").over(pick))
+            .withColumn("_to_open", F.first("_open").over(pick)))
+    return (seen.where((F.col("shard") != F.col("_to")) & (F.col("_to_open") == 1) & (F.col("n") <= F.col("_to_n")))
             .select("text_key", "shard", "n", "_to", F.pmod(F.xxhash64("text_key"), F.lit(buckets)).alias("_bucket")))
 
 
@@ -115,16 +122,22 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     copied = base.groupBy("text_key").agg(F.count("*").alias("_all")).where("_all > 1").select("text_key")
     linked = _running(base.join(copied, "text_key").withColumn("_one", F.lit(0)), ["_one"], F.lit(1).cast("long"), ["_id", "text_key"], "_rank")
     state = cut_lineage(linked.groupBy("text_key", F.pmod(F.col("_rank"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n")))
+    settled = False
     for turn in range(MAX_ROUNDS):
         room = [q - n for q, n in zip(quota, _loads(state, shards))]
-        asks = _asks(state, quota, buckets, turn)
+        # at first any shard that the text does not fill is an aim (exchanges), then only shards with room
+        limit = [q if r > 0 or not settled else 0 for q, r in zip(quota, room)]
+        asks = _asks(state, limit, buckets, turn)
         asked = [[0] * shards for _ in range(shards)]
         for r in asks.groupBy("shard", "_to").agg(F.sum("n").alias("n")).collect():  # shards x shards numbers
             asked[r["shard"]][r["_to"]] = r["n"]
         whole = _admitted(asked, room)
-        if not any(map(any, whole)):
+        moved = sum(map(sum, whole))
+        if not moved and settled:
             break
-        state = cut_lineage(_moved(state, asks, whole))
+        if moved:
+            state = cut_lineage(_moved(state, asks, whole))
+        settled = settled or turn >= EXCHANGES or not moved
     return _place(base, state, [q - n for q, n in zip(quota, _loads(state, shards))], id_col)
 
 
