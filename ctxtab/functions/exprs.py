@@ -8,7 +8,6 @@ independent engine can check results.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,11 +59,6 @@ def r6(c: str | Column, name: str | None = None) -> Column:
     return out.alias(name) if name else out
 
 
-def nan_to_null(c: str | Column) -> Column:
-    x = col_(c)
-    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
-
-
 def nonfinite_to_null(c: str | Column) -> Column:
     """NaN and +/-Inf become NULL (the engine's single missing marker)."""
     x = col_(c).cast("double")
@@ -78,30 +72,6 @@ def dot(a: str | Column, b: str | Column) -> Column:
         F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
-def array_literal(values: Iterable[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def interp_sorted(x: Column, xs: list[float], ys: list[float]) -> Column:
-    """Piecewise-linear interpolation of ``x`` on a short sorted grid.
-
-    Emitted as a CASE chain (grids here hold at most a few hundred points),
-    so it stays inside codegen.  Outside the grid the end values are used.
-    """
-    if not xs:
-        return F.lit(None).cast("double")
-    expr = F.lit(float(ys[-1]))
-    for i in range(len(xs) - 1, 0, -1):
-        x0, x1, y0, y1 = xs[i - 1], xs[i], ys[i - 1], ys[i]
-        if x1 == x0:
-            seg = F.lit(float(y1))
-        else:
-            seg = F.lit(float(y0)) + (x - F.lit(float(x0))) * F.lit((y1 - y0) / (x1 - x0))
-        expr = F.when(x <= F.lit(float(x1)), seg).otherwise(expr)
-    expr = F.when(x <= F.lit(float(xs[0])), F.lit(float(ys[0]))).otherwise(expr)
-    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(expr)
-
-
 # Wichura's AS241 (PPND16) coefficients for the inverse normal CDF.
 _AS241_A = [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
             1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,

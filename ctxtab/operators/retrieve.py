@@ -298,28 +298,42 @@ def cluster_contexts(ctx: DataFrame, assign: DataFrame, keys: list[str] | None =
     return tr, te
 
 
-def cluster_by_context(ctx: DataFrame, n_train: int, k: int, seed: int = 0,
-                       max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
-    """Q7: k-means over each test row's binary train-membership vector.
-
-    Vectors are sparse (one entry per context row), built by a grouped
-    collect bounded by the context length; clustering is MLlib KMeans with
-    random initialisation.  Returns ``(test_id, cluster_id)``.
+def cluster_by_context(ctx: DataFrame, k: int, rounds: int = 10, keys: list[str] | None = None) -> DataFrame:
+    """Q7: k-means over each test row's binary train-membership vector; ``(test_id, cluster_id)``.
+
+    Starts from the ``k`` test rows with the lowest id hash and runs a fixed number of Lloyd rounds
+    (ends early when no row changes).  Centres stay sparse: a table ``(cluster_id, train_id, w)``
+    joined to the contexts, so distances are grouped sums and nothing is as wide as the train side.
+    A row with no train row of a centre has distance |c|^2 to it, so of those only the centre with
+    the smallest norm can win.  Ties go to the lower cluster; a cluster without rows keeps its centre.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def to_vec(idx):
-        s = sorted(set(int(i) for i in idx))
-        return SparseVector(n_train, s, [1.0] * len(s))
-
-    feats = (ctx.groupBy("test_id").agg(F.collect_list("train_pos").alias("_idx"))
-             .withColumn("features", to_vec("_idx")))
-    n_test = feats.count()
-    km = KMeans(k=max(1, min(k, n_test)), initMode="random", seed=seed, maxIter=max_iter, tol=tol)
-    model = km.fit(feats)
-    return model.transform(feats).select("test_id", F.col("prediction").cast("int").alias("cluster_id"))
+    from ctxtab.session import cut_lineage
+    if keys:
+        raise ValueError("cluster one dataset at a time")
+    m = cut_lineage(ctx.select("test_id", "train_id").distinct())
+    first = m.select("test_id").distinct().orderBy(id_hash("test_id", 17), "test_id").limit(max(k, 1)).collect()  # k rows
+    seeds = F.array(*[F.lit(r["test_id"]).cast("long") for r in first])
+    at = F.array_position(seeds, F.col("test_id").cast("long"))
+    centres = m.where(at > 0).select((at - 1).cast("int").alias("cluster_id"), "train_id", F.lit(1.0).alias("w"))
+    assign = None
+    for _ in range(rounds):
+        centres = cut_lineage(centres)
+        norms = {r["cluster_id"]: r["q"] for r in centres.groupBy("cluster_id").agg(F.sum(F.col("w") * F.col("w")).alias("q")).collect()}  # k rows
+        low = min(norms, key=lambda c: (round(norms[c], 9), c))
+        norm = F.element_at(F.array(*[F.lit(float(norms.get(c, 0.0))) for c in range(max(norms) + 1)]), F.col("cluster_id") + 1)
+        near = (m.join(centres, "train_id").groupBy("test_id", "cluster_id").agg(F.sum("w").alias("dot"))
+                .select("test_id", "cluster_id", F.round(norm - 2 * F.col("dot"), 9).alias("d")))
+        far = m.select("test_id").distinct().select("test_id", F.lit(low).alias("cluster_id"), F.lit(round(norms[low], 9)).alias("d"))
+        now = cut_lineage(near.unionByName(far).groupBy("test_id").agg(F.min(F.struct("d", "cluster_id")).alias("b"))
+                          .select("test_id", F.col("b.cluster_id").alias("cluster_id")))
+        if assign is not None and now.join(assign.withColumnRenamed("cluster_id", "was"), "test_id").where("cluster_id <> was").isEmpty():
+            break
+        assign = now
+        size = now.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+        moved = (m.join(now, "test_id").groupBy("cluster_id", "train_id").agg(F.count(F.lit(1)).alias("c")).join(size, "cluster_id")
+                 .select("cluster_id", "train_id", (F.col("c") / F.col("n")).alias("w")))
+        centres = moved.unionByName(centres.join(size, "cluster_id", "left_anti"))
+    return assign
 
 
 def row_context_table(ctx: DataFrame, train: DataFrame, label_col: str = "y",

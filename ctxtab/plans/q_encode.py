@@ -245,6 +245,3 @@ FROM evx, m""")
 def e17_missing_indicator(spark, sf_dir):
     d = tables.evx(spark, sf_dir).select("row_id", "xv", "split")
     return encode.missing_indicator(d, ["xv"]).select("row_id", r6("xv", "xv"), "xv_ind")
-
-
-_ = id_hash

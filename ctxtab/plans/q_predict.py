@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ctxtab.functions.exprs import id_hash, id_hash_sql, r6
+from ctxtab.functions.exprs import id_hash_sql, r6
 from ctxtab.functions.ranking import global_index
 from ctxtab.operators import encode, metrics, predict, retrieve, split
 from ctxtab.operators.scale import StandardScaler
@@ -104,21 +104,39 @@ def q5_mass_context_min(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ Q7 / Q9 / Q10 / Q11 / Q12
-@register("q7_cluster_by_context")
-def q7_cluster_by_context(spark, sf_dir):
-    _, train, ctx = vec_context(spark, sf_dir)
-    pos = global_index(train.select(F.col("row_id").alias("train_id")), ["train_id"], "train_pos")
-    n_train = train.count()
-    c = ctx.join(pos, "train_id")
-    return retrieve.cluster_by_context(c, n_train, k=4, seed=0)
+N_CLUSTERS, ROUNDS = 4, 3
+
+
+def _round_sql(r: int) -> str:
+    """One Lloyd round of the SQL twin: centres ``z{r}`` -> assignment ``a{r + 1}`` -> centres ``z{r + 1}``."""
+    return f""",
+zn{r} AS (SELECT cluster_id, sum(w * w) AS q FROM z{r} GROUP BY 1),
+d{r} AS (SELECT t.test_id, n.cluster_id, round(n.q - 2 * coalesce(sum(z.w), 0), 9) AS d
+         FROM (SELECT DISTINCT test_id FROM mem) t CROSS JOIN zn{r} n
+         LEFT JOIN mem m ON m.test_id = t.test_id LEFT JOIN z{r} z ON z.cluster_id = n.cluster_id AND z.train_id = m.train_id
+         GROUP BY t.test_id, n.cluster_id, n.q),
+a{r + 1} AS (SELECT test_id, arg_min(cluster_id, (d, cluster_id)) AS cluster_id FROM d{r} GROUP BY 1),
+s{r + 1} AS (SELECT cluster_id, count(*) AS n FROM a{r + 1} GROUP BY 1),
+z{r + 1} AS (SELECT a.cluster_id, m.train_id, count(*) / any_value(s.n) AS w
+             FROM a{r + 1} a JOIN mem m USING (test_id) JOIN s{r + 1} s ON s.cluster_id = a.cluster_id GROUP BY 1, 2
+             UNION ALL SELECT * FROM z{r} WHERE cluster_id NOT IN (SELECT cluster_id FROM s{r + 1}))"""
+
+
+ASSIGN_SQL = f"""mem AS (SELECT DISTINCT test_id, train_id FROM rk WHERE rank <= {K_CTX}),
+sd AS (SELECT test_id, row_number() OVER (ORDER BY {id_hash_sql('test_id', 17)}, test_id) - 1 AS c FROM (SELECT DISTINCT test_id FROM mem)),
+z0 AS (SELECT CAST(c AS INTEGER) AS cluster_id, train_id, CAST(1 AS DOUBLE) AS w FROM mem JOIN sd USING (test_id) WHERE c < {N_CLUSTERS})""" + "".join(
+    map(_round_sql, range(ROUNDS))) + f""",
+asg AS (SELECT test_id, cluster_id FROM a{ROUNDS})"""
 
 
 def _assign(ctx):
-    return ctx.select("test_id").distinct().withColumn(
-        "cluster_id", F.pmod(id_hash("test_id", 13), F.lit(4)).cast("int"))
+    return retrieve.cluster_by_context(ctx, N_CLUSTERS, ROUNDS)
 
 
-ASSIGN_SQL = f"asg AS (SELECT DISTINCT test_id, CAST({id_hash_sql('test_id', 13)} % 4 AS INTEGER) AS cluster_id FROM rk)"
+@register("q7_cluster_by_context", "WITH " + VEC_CTX_SQL + ",\n" + ASSIGN_SQL + "\nSELECT test_id, cluster_id FROM asg")
+def q7_cluster_by_context(spark, sf_dir):
+    _, _, ctx = vec_context(spark, sf_dir)
+    return _assign(ctx)
 
 
 @register("q8_context_overlap", "WITH " + VEC_CTX_SQL + f""",
@@ -132,11 +150,13 @@ def q8_context_overlap(spark, sf_dir):
 
 
 @register("q9_cluster_contexts", "WITH " + VEC_CTX_SQL + ",\n" + ASSIGN_SQL + f"""
-SELECT DISTINCT a.cluster_id, r.train_id FROM rk r JOIN asg a ON r.test_id = a.test_id WHERE r.rank <= {K_CTX}""")
+SELECT DISTINCT a.cluster_id, 'train' AS side, r.train_id AS row_id FROM rk r JOIN asg a ON r.test_id = a.test_id WHERE r.rank <= {K_CTX}
+UNION ALL SELECT cluster_id, 'test', test_id FROM asg""")
 def q9_cluster_contexts(spark, sf_dir):
     _, _, ctx = vec_context(spark, sf_dir)
-    tr, _ = retrieve.cluster_contexts(ctx, _assign(ctx))
-    return tr
+    tr, te = retrieve.cluster_contexts(ctx, _assign(ctx))
+    side = lambda df, name, c: df.select("cluster_id", F.lit(name).alias("side"), F.col(c).alias("row_id"))
+    return side(tr, "train", "train_id").unionByName(side(te, "test", "test_id"))
 
 
 Q10_SQL = "WITH " + VEC_CTX_SQL + ",\n" + ASSIGN_SQL + f""",
@@ -420,8 +440,10 @@ def m10_score_with_model(spark, sf_dir):
     trg = trg.select("cluster_id", "row_id", "y", *[F.col("emb")[i].cast("double").alias(c) for i, c in enumerate(cols)])
     teg = teg.select("cluster_id", "row_id", *[F.col("emb")[i].cast("double").alias(c) for i, c in enumerate(cols)])
 
+    n_classes = train.agg(F.max("y")).first()[0] + 1
+
     def centroid_model(X, y, Xt):
-        classes = np.arange(10)
+        classes = np.arange(n_classes)
         cents = np.stack([X[y == c].mean(axis=0) if (y == c).any() else np.full(X.shape[1], np.inf)
                           for c in classes])
         d = ((Xt[:, None, :] - cents[None, :, :]) ** 2).sum(-1)

@@ -36,7 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster checkpoint folder; set a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is left
-    untouched.  Local runs (tests) get a fresh scratch folder.
+    untouched; without it a cluster job fails here, as executors could not read
+    each other's files.  Local runs (tests, bench) get a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -44,7 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="ctxtab-ckpt-", dir="/tmp")
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="ctxtab-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
