@@ -24,7 +24,6 @@ from collections.abc import Iterable
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,8 +35,8 @@ from ctxtab.llm.words import ArrayLookup, pieces
 # Fixed value: the pattern of the public byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW = 1024        # ranks whose lists are kept exactly
-BATCH = 16 << 20     # bytes of text whose new spans are merged together
-CACHE = 400_000      # spans that a task keeps; more only means encoding some again
+BATCH = 4 << 20      # bytes of text whose new spans are merged together
+CACHE = 300_000      # spans that a task keeps; more only means encoding some again
 
 
 def _byte_of() -> dict[str, int]:
@@ -217,27 +216,54 @@ def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.uint64) << np.uint64(32)) + b.astype(np.uint64) + np.uint64(1)
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids") -> DataFrame:
+class Decoder:
+    """Text of ids: their bytes, one after the other."""
+
+    def __init__(self, table: list[bytes]):
+        self.data = np.frombuffer(b"".join(table), np.uint8)
+        self.begin = np.concatenate([[0], np.cumsum([len(x) for x in table])])
+
+    def decode(self, ids: np.ndarray) -> str:
+        i = ids[(ids >= 0) & (ids < len(self.begin) - 1)].astype(np.int64)
+        n = self.begin[i + 1] - self.begin[i]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[i] - (ends - n), n)
+        return self.data[at].tobytes().decode("utf-8", "replace")
+
+
+def _digest(ids: np.ndarray) -> str:
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
+
+
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids",
+           decoded_col: str | None = None, digest_col: str | None = None) -> DataFrame:
     """``docs`` with the token ids of the whole text (array<int>); special tokens in a text are recognised.
 
-    A null text counts as empty and has no ids.  A column named like the result is replaced.
+    ``decoded_col`` adds the text decoded from the ids again and ``digest_col`` the SHA-256 of the
+    ids as little-endian unsigned 32-bit integers, in the same pass.  A null text counts as empty and
+    has no ids.  Columns named like the results are replaced.
     """
-    docs = docs.drop(ids_col)
+    extra = [c for c in (decoded_col, digest_col) if c]
+    docs = docs.drop(ids_col, *extra)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    schema = T.StructType([T.StructField("_doc", docs.schema), T.StructField("_ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("_doc", docs.schema), T.StructField("_ids", T.ArrayType(T.IntegerType())),
+                           *[T.StructField(f"_{k}", T.StringType()) for k in range(len(extra))]])
 
     def fn(batches):
-        encoder = Encoder(shared.value)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value.bytes)
+        make = [f for c, f in ((decoded_col, decoder.decode), (digest_col, _digest)) if c]
         for batch in batches:
             text = batch.column("_text").fill_null("")
             for a, b in pieces(text, BATCH):
                 ids = encoder.encode(t.as_py() for t in text.slice(a, b - a))
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("_doc").slice(a, b - a), lists], ["_doc", "_ids"])
+                more = [pa.array([f(x) for x in ids], pa.string()) for f in make]
+                yield pa.RecordBatch.from_arrays([batch.column("_doc").slice(a, b - a), lists, *more], names)
 
+    names = [f.name for f in schema]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(fn, schema).select("_doc.*", F.col("_ids").alias(ids_col))
+    return rows.mapInArrow(fn, schema).select("_doc.*", F.col("_ids").alias(ids_col), *[F.col(f"_{k}").alias(c) for k, c in enumerate(extra)])
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, text_col: str = "decoded") -> DataFrame:
@@ -250,33 +276,13 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, text_
     schema = T.StructType([T.StructField("_doc", rows.schema), T.StructField("_text", T.StringType())])
 
     def fn(batches):
-        table = pa.array(shared.value, pa.binary())
-        data = np.frombuffer(table.buffers()[2], np.uint8)
-        begin = np.frombuffer(table.buffers()[1], np.int32)[:len(table) + 1].astype(np.int64)
+        decoder = Decoder(shared.value)
         for batch in batches:
             lists = batch.column("_ids")
-            off = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.flatten() if not lists.null_count else lists.values.slice(off[0], off[-1] - off[0])
-            ids = flat.fill_null(-1).to_numpy().astype(np.int64)
-            off -= off[0]
-            texts = []
-            for ok, a, b in zip(lists.is_valid().to_pylist(), off, off[1:]):
-                i = ids[a:b]
-                i = i[(i >= 0) & (i < len(table))]
-                n = begin[i + 1] - begin[i]
-                ends = np.cumsum(n)
-                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[i] - (ends - n), n)
-                texts.append(data[at].tobytes().decode("utf-8", "replace") if ok else None)
+            off = lists.offsets.to_numpy()
+            ids = lists.values.fill_null(-1).to_numpy()
+            texts = [decoder.decode(ids[a:b]) if ok else None for ok, a, b in zip(lists.is_valid().to_pylist(), off, off[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string())], ["_doc", "_text"])
 
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_doc"), F.col(ids_col).alias("_ids"))
     return packed.mapInArrow(fn, schema).select("_doc.*", F.col("_text").alias(text_col))
-
-
-def ids_digest(ids_col: str):
-    """SHA-256 (lowercase hex) of a list of ids as little-endian unsigned 32-bit integers."""
-    @F.pandas_udf("string")
-    def digest(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
-
-    return digest(F.col(ids_col))
