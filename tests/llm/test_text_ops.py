@@ -29,8 +29,10 @@ TEXTS = ["", None, "Hello, world! it's we'll 'S", "aaaaaaaaaaaa abababab", "<|en
 
 def test_bpe_round_trip(spark, library):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), DOCS).withColumn("_doc", F.lit(1))
-    out = byte_bpe.decode(byte_bpe.encode(docs)).withColumn("digest", byte_bpe.ids_digest("ids"))
-    assert out.columns == ["doc_id", "text", "_doc", "ids", "decoded", "digest"]
+    out = byte_bpe.decode(byte_bpe.encode(docs, digest_col="digest"))
+    assert out.columns == ["doc_id", "text", "_doc", "ids", "digest", "decoded"]
+    both = byte_bpe.encode(docs, decoded_col="decoded")
+    assert {(r.doc_id, r.decoded) for r in both.collect()} == {(r.doc_id, r.decoded) for r in out.collect()}
     for r in out.collect():
         ids = library.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids == ids
