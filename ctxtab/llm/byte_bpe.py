@@ -25,12 +25,13 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxtab.llm.words import ArrayLookup, pieces
+from ctxtab.llm.words import ArrayLookup, pieces, released
 
 # Fixed value: the pattern of the public byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -236,24 +237,25 @@ def _digest(ids: np.ndarray) -> str:
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids",
-           decoded_col: str | None = None, digest_col: str | None = None) -> DataFrame:
+           decoded_col: str | None = None, digest_col: str | None = None, with_text: bool = True) -> DataFrame:
     """``docs`` with the token ids of the whole text (array<int>); special tokens in a text are recognised.
 
     ``decoded_col`` adds the text decoded from the ids again and ``digest_col`` the SHA-256 of the
     ids as little-endian unsigned 32-bit integers, in the same pass.  A null text counts as empty and
-    has no ids.  Columns named like the results are replaced.
+    has no ids.  Columns named like the results are replaced; ``with_text=False`` leaves the text behind.
     """
     extra = [c for c in (decoded_col, digest_col) if c]
     docs = docs.drop(ids_col, *extra)
+    keep = [c for c in docs.columns if with_text or c != text_col]
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    schema = T.StructType([T.StructField("_doc", docs.schema), T.StructField("_ids", T.ArrayType(T.IntegerType())),
+    schema = T.StructType([T.StructField("_doc", docs.select(*[F.col(f"`{c}`") for c in keep]).schema), T.StructField("_ids", T.ArrayType(T.IntegerType())),
                            *[T.StructField(f"_{k}", T.StringType()) for k in range(len(extra))]])
 
     def fn(batches):
         encoder, decoder = Encoder(shared.value), Decoder(shared.value.bytes)
         make = [f for c, f in ((decoded_col, decoder.decode), (digest_col, _digest)) if c]
         for batch in batches:
-            text = batch.column("_text").fill_null("")
+            text = (pc.struct_field(batch.column("_doc"), at) if with_text else batch.column("_text")).fill_null("")
             for a, b in pieces(text, BATCH):
                 ids = encoder.encode(t.as_py() for t in text.slice(a, b - a))
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -262,8 +264,9 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
                 yield pa.RecordBatch.from_arrays([batch.column("_doc").slice(a, b - a), lists, *more], names)
 
     names = [f.name for f in schema]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(fn, schema).select("_doc.*", F.col("_ids").alias(ids_col), *[F.col(f"_{k}").alias(c) for k, c in enumerate(extra)])
+    at = docs.columns.index(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"), *([] if with_text else [F.col(text_col).alias("_text")]))
+    return rows.mapInArrow(released(fn), schema).select("_doc.*", F.col("_ids").alias(ids_col), *[F.col(f"_{k}").alias(c) for k, c in enumerate(extra)])
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, text_col: str = "decoded") -> DataFrame:
@@ -285,4 +288,4 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, text_
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string())], ["_doc", "_text"])
 
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_doc"), F.col(ids_col).alias("_ids"))
-    return packed.mapInArrow(fn, schema).select("_doc.*", F.col("_text").alias(text_col))
+    return packed.mapInArrow(released(fn), schema).select("_doc.*", F.col("_text").alias(text_col))

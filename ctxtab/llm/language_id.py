@@ -22,12 +22,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxtab.llm.words import ArrayLookup, pieces
+from ctxtab.llm.words import ArrayLookup, pieces, released
 from ctxtab.session import cut_lineage
 
 SAMPLE = 2000        # labelled rows for each language that a model is fitted on, in expectation
@@ -239,7 +240,7 @@ def _round(words: DataFrame, index: dict[str, int], vocab: list[str], prob: np.n
         for lang, c in total.items():
             yield pd.DataFrame({"lang": index[lang], "piece": np.flatnonzero(c > 0), "c": c[c > 0]})
 
-    sums = words.mapInPandas(fn, "lang int, piece int, c double").groupBy("lang", "piece").agg(F.sum("c").alias("c")).toPandas()  # languages x vocabulary at most
+    sums = words.mapInPandas(released(fn), "lang int, piece int, c double").groupBy("lang", "piece").agg(F.sum("c").alias("c")).toPandas()  # languages x vocabulary at most
     counts = np.full(prob.shape, SMOOTH)
     np.add.at(counts, (sums["lang"].to_numpy(), sums["piece"].to_numpy()), sums["c"].round(6).to_numpy())
     return counts / counts.sum(1, keepdims=True)
@@ -258,13 +259,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     def fn(batches):
         model, state = shared.value, {}
         for batch in batches:
-            text = batch.column("_text")
+            text = pc.struct_field(batch.column("_doc"), at)
             for a, b in pieces(text):
                 langs, scores = model.predict(text.slice(a, b - a).to_pylist(), state)
                 yield pa.RecordBatch.from_arrays([batch.column("_doc").slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["_doc", "_lang", "_score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).alias("_text"))
-    out = rows.mapInArrow(fn, schema)
+    at = docs.columns.index(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    out = rows.mapInArrow(released(fn), schema)
     return out.select("_doc.*", F.col("_lang").alias(lang_out), F.col("_score").alias(score_out))
 
 

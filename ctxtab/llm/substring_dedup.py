@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ctxtab.llm.words import Words, mix, pack_sorted, pieces, sequence_hashes, text_buffer, unpack_sorted, window_starts
+from ctxtab.llm.words import Words, mix, pack_sorted, pieces, released, sequence_hashes, text_buffer, unpack_sorted, window_starts
 
 DEPTH = 2
 CHUNK_BYTES = 8 << 20
@@ -232,8 +232,8 @@ def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = T.StructType([dealt.schema["_doc"], *[T.StructField(n, t) for n, t in
                          (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()))]])
     chunks = dealt.groupBy("_chunk")
-    merged = (chunks.applyInArrow(_sketch(width, bits, slices), _BLOB_DDL)
-              .groupBy("slice", "row").applyInArrow(_merge(bits, slices), _BLOB_DDL))
-    later = (chunks.cogroup(merged.groupBy("chunk")).applyInArrow(_candidates(width, bits, slices), _BLOB_DDL)
-             .groupBy("slice").applyInArrow(_later, _BLOB_DDL))
-    return chunks.cogroup(later.groupBy("chunk")).applyInArrow(_cut(width, whole, to_arrow_schema(kept)), kept).select("_doc.*", "n_words", "n_removed", "kept_text")
+    merged = (chunks.applyInArrow(released(_sketch(width, bits, slices)), _BLOB_DDL)
+              .groupBy("slice", "row").applyInArrow(released(_merge(bits, slices)), _BLOB_DDL))
+    later = (chunks.cogroup(merged.groupBy("chunk")).applyInArrow(released(_candidates(width, bits, slices)), _BLOB_DDL)
+             .groupBy("slice").applyInArrow(released(_later), _BLOB_DDL))
+    return chunks.cogroup(later.groupBy("chunk")).applyInArrow(released(_cut(width, whole, to_arrow_schema(kept))), kept).select("_doc.*", "n_words", "n_removed", "kept_text")

@@ -9,6 +9,9 @@ sums, and the hash of ``k`` consecutive words comes from a second prefix sum.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import zlib
 
 import numpy as np
@@ -107,6 +110,36 @@ def window_starts(first: np.ndarray, width: int) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[:-1] - (ends - count), count)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(fn):
+    """``fn`` (a generator over batches, or a function of one or two tables) with its memory given back when it ends."""
+    def over(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+
+    def of(table):
+        try:
+            return fn(table)
+        finally:
+            release_memory()
+
+    def of_both(left, right):
+        try:
+            return fn(left, right)
+        finally:
+            release_memory()
+
+    return over if inspect.isgeneratorfunction(fn) else of if len(inspect.signature(fn).parameters) == 1 else of_both
+
+
 def pieces(col: pa.Array, most: int = 2 << 20):
     """(first row, last row + 1) of runs of rows with at most ``most`` bytes of text, or one longer row."""
     _, off = text_buffer(col)
