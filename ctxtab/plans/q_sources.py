@@ -58,20 +58,20 @@ def s6_normalize_label(spark, sf_dir):
     return io.normalize_label(_doc_target(spark, sf_dir))
 
 
-N_VEC_CLASSES = 10
+SHOWN = list(range(10))  # classes of the driver's table, for the columns of the SQL twin
 
 
 @register("s7_write_predictions", "WITH " + PROBS_SQL + """
 SELECT t.test_id, t.y AS label, """ + ", ".join(
-    f"round(coalesce(max(CASE WHEN p.class = {c} THEN p.p END), 0), 6) AS pred_{c}" for c in range(N_VEC_CLASSES))
+    f"round(coalesce(max(CASE WHEN p.class = {c} THEN p.p END), 0), 6) AS pred_{c}" for c in SHOWN)
     + """
 FROM truth t LEFT JOIN probs p ON t.test_id = p.test_id GROUP BY t.test_id, t.y""")
 def s7_write_predictions(spark, sf_dir):
     test, probs = vec_probs(spark, sf_dir)
     truth = test.select(F.col("row_id").alias("test_id"), "y")
-    # the fitted class list is model metadata (the labels 0..9 of the vec table)
-    wide = io.prediction_table(probs, truth, list(range(N_VEC_CLASSES)))
-    return wide.select("test_id", "label", *[r6(f"pred_{c}", f"pred_{c}") for c in range(N_VEC_CLASSES)])
+    classes = sorted(r[0] for r in tables.vec(spark, sf_dir).where("split = 'train'").select("y").distinct().collect())  # the fitted list
+    wide = io.prediction_table(probs, truth, classes)
+    return wide.select("test_id", "label", *[r6(f"pred_{c}", f"pred_{c}") for c in classes])
 
 
 @register("s8_collect_results", f"""

@@ -106,34 +106,31 @@ def v14_rerun_failed(spark, sf_dir):
     return suite.rerun_failed(tasks, all_res)
 
 
-MIN_TRAIN = 50
-
-
 def _majority_model(pdf):
-    """Per-dataset job: majority class of the train side scored on the test side."""
-    tr = pdf[pdf["split"] == "train"]
+    """Per-dataset job: the single most frequent train class scored on the test side; a tie is an error."""
+    counts = pdf.loc[pdf["split"] == "train", "y"].value_counts()
+    top = sorted(counts[counts == counts.max()].index) if len(counts) else []
+    if len(top) != 1:
+        raise ValueError(f"no single most frequent class: {len(top)} of {int(counts.max()) if top else 0} rows")
     te = pdf[pdf["split"] == "test"]
-    if len(tr) < MIN_TRAIN:
-        raise ValueError(f"too few train rows: {len(tr)}")
-    counts = tr["y"].value_counts()
-    top = sorted(counts[counts == counts.max()].index)[0]
-    return {"n_train": len(tr), "accuracy": float((te["y"] == top).mean()) if len(te) else None}
+    return {"n_train": int(counts.sum()), "accuracy": float((te["y"] == top[0]).mean()) if len(te) else None}
 
 
 @register("v15_result_status", f"""
 WITH s AS (SELECT CAST(c_nationkey AS BIGINT) AS dataset_id, c_mktsegment AS y, {SUITE_SPLIT_SQL} AS split
            FROM customer WHERE c_mktsegment IS NOT NULL),
-n AS (SELECT dataset_id, count(CASE WHEN split = 'train' THEN 1 END) AS n_train FROM s GROUP BY 1),
 c AS (SELECT dataset_id, y, count(*) AS k FROM s WHERE split = 'train' GROUP BY 1, 2),
-m AS (SELECT dataset_id, arg_min(y, (-k, y)) AS top FROM c GROUP BY 1),
+h AS (SELECT dataset_id, sum(k) AS n_train, max(k) AS most FROM c GROUP BY 1),
+m AS (SELECT c.dataset_id, any_value(h.n_train) AS n_train, any_value(h.most) AS most, count(*) AS n_top, min(y) AS top
+      FROM c JOIN h ON c.dataset_id = h.dataset_id AND c.k = h.most GROUP BY 1),
 a AS (SELECT s.dataset_id, avg(CASE WHEN s.y = m.top THEN 1.0 ELSE 0.0 END) AS acc
-      FROM s JOIN m ON s.dataset_id = m.dataset_id WHERE s.split = 'test' GROUP BY 1)
-SELECT n.dataset_id,
-       CASE WHEN n.n_train >= {MIN_TRAIN} THEN CAST(n.n_train AS DOUBLE) END AS n_train,
-       CASE WHEN n.n_train >= {MIN_TRAIN} THEN round(a.acc, 6) END AS accuracy,
-       CASE WHEN n.n_train >= {MIN_TRAIN} THEN 'ok' ELSE 'fail' END AS status,
-       CASE WHEN n.n_train < {MIN_TRAIN} THEN 'ValueError: too few train rows: ' || n.n_train END AS error
-FROM n LEFT JOIN a ON n.dataset_id = a.dataset_id""")
+      FROM s JOIN m ON s.dataset_id = m.dataset_id WHERE s.split = 'test' GROUP BY 1),
+d AS (SELECT DISTINCT dataset_id FROM s)
+SELECT d.dataset_id, CASE WHEN n_top = 1 THEN CAST(n_train AS DOUBLE) END AS n_train,
+       CASE WHEN n_top = 1 THEN round(a.acc, 6) END AS accuracy,
+       CASE WHEN n_top = 1 THEN 'ok' ELSE 'fail' END AS status,
+       CASE WHEN n_top = 1 THEN NULL ELSE 'ValueError: no single most frequent class: ' || coalesce(n_top, 0) || ' of ' || coalesce(most, 0) || ' rows' END AS error
+FROM d LEFT JOIN m ON d.dataset_id = m.dataset_id LEFT JOIN a ON d.dataset_id = a.dataset_id""")
 def v15_result_status(spark, sf_dir):
     d = cust_suite_split(spark, sf_dir).select("dataset_id", "y", "split")
     r = suite.run_per_dataset(d, ["dataset_id"], _majority_model, ["n_train", "accuracy"])
