@@ -81,7 +81,10 @@ SELECT CAST(c_nationkey AS BIGINT) AS dataset_id, 'ok' AS status,
        CASE WHEN c_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS benchmark
 FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_nationkey""")
 def s8_collect_results(spark, sf_dir):
-    """Per-worker result frames (one per benchmark, one empty) concatenated by name."""
+    """Per-worker result frames (one per benchmark, one empty): concatenated, appended in two runs and read back."""
+    import uuid
+
+    from ctxtab.session import ensure_checkpoint_dir
     s = cust_suite_split(spark, sf_dir).withColumn(
         "benchmark", F.when(F.col("dataset_id") % 2 == 0, "even").otherwise("odd"))
     parts = []
@@ -90,7 +93,10 @@ def s8_collect_results(spark, sf_dir):
             F.count_if(F.col("split") == "train").alias("n_train"),
             F.count_if(F.col("split") == "test").alias("n_test"))
             .withColumn("status", F.lit("ok")))
-    return io.collect_results(parts).select("dataset_id", "status", "n_train", "n_test", "benchmark")
+    path = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    io.append_results(parts[0], path)
+    io.append_results(io.collect_results(parts[1:]), path)
+    return io.read_results(spark, path).select("dataset_id", "status", "n_train", "n_test", "benchmark")
 
 
 @register("s9_export_table", "WITH " + tables.LINE_SQL + """,

@@ -8,6 +8,8 @@ split across tasks by file blocks and filters reach the scan.  Sinks are
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +46,16 @@ def normalize_label(df: DataFrame, y: str = "y") -> DataFrame:
     return df.withColumn(y, F.coalesce(F.col(y).cast("string"), F.lit(MISSING_LABEL)))
 
 
-def _reader(spark: SparkSession, fmt: str, options: dict | None):
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"  # file paths are compared without it
+
+
+def _reader(spark: SparkSession, fmt: str, options: dict | None, schema=None):
+    """A reader; with a ``schema`` a CSV file is read once, else a first pass finds the types."""
     r = spark.read.format(fmt)
+    if schema is not None:
+        r = r.schema(schema)
     if fmt == "csv":
-        r = r.option("header", "true").option("inferSchema", "true").option("mode", "PERMISSIVE")
+        r = r.option("header", "true").option("inferSchema", str(schema is None).lower()).option("mode", "PERMISSIVE")
     for k, v in (options or {}).items():
         r = r.option(k, v)
     return r
@@ -63,7 +71,7 @@ def _row_ids(df: DataFrame, id_col: str | None, order: list[str]) -> DataFrame:
 
 def read_pair(spark: SparkSession, train_path: str, test_path: str | None = None, fmt: str = "csv",
               target: str | None = None, id_col: str | None = None, regression: bool = False,
-              test_frac: float = 0.2, options: dict | None = None) -> DataFrame:
+              test_frac: float = 0.2, options: dict | None = None, schema=None) -> DataFrame:
     """Load a train file and an optional test file in one scan.
 
     Returns ``(row_id, split, <features>, y)``.  Rows with a missing target are
@@ -72,13 +80,17 @@ def read_pair(spark: SparkSession, train_path: str, test_path: str | None = None
     (S6); a regression target is cast to double.
     """
     paths = [train_path] + ([test_path] if test_path else [])
-    raw = _reader(spark, fmt, options).load(paths)
+    raw = _reader(spark, fmt, options, schema).load(paths)
     y = target or infer_target([c for c in raw.columns])
     feats = [c for c in raw.columns if c not in (y, id_col)]
     df = raw.select("*", F.col("_metadata.file_path").alias("_path"))
     if test_path:
-        df = df.withColumn("split", F.when(F.col("_path").endswith(test_path.rsplit("/", 1)[-1]),
-                                           F.lit("test")).otherwise(F.lit("train")))
+        here = F.regexp_replace(F.col("_path"), _SCHEME, "")
+        there = re.sub(_SCHEME, "", test_path).rstrip("/").replace(" ", "%20")
+        is_test = (here == there) | here.startswith(there + "/")
+        if not there.startswith("/"):  # a relative path: under the file system's working folder
+            is_test = here.endswith("/" + there) | here.contains("/" + there + "/")
+        df = df.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
     df = drop_missing_target(df, y)
     df = _row_ids(df, id_col, ["_path", *raw.columns])
     ycol = F.col(y).cast("double") if regression else F.col(y)
@@ -169,6 +181,11 @@ def append_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
     results.write.mode("append").format(fmt).partitionBy("benchmark").save(path)
 
 
+def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """All result rows that runs have appended."""
+    return spark.read.format(fmt).load(path)
+
+
 def collect_results(parts: list[DataFrame]) -> DataFrame:
     """Concatenate result frames by column name; empty frames add nothing."""
     out = parts[0]

@@ -23,6 +23,9 @@ DEFAULT = [
     "p1_stratified_split", "p4_stratified_shards", "p5_mask_cells",
     "q4_top_k_context", "q5_mass_context", "q8_context_overlap",
     "m1_predict_classes", "m2_predict_values", "m8_argmax_class", "m10_score_with_model",
+    "c4_drop_all_null_columns", "c10_encode_or_drop", "e10_class_permutations", "e13_target_rank", "r3_all_data", "r4_quantile_norm",
+    "r5_robust_scale", "r17_inverse_pipeline", "q7_cluster_by_context", "q9_cluster_contexts", "m1_member_pipeline", "m3_impute_cells",
+    "m7_align_classes", "s8_collect_results", "v5_auc_binary", "v9_imputation_error", "v15_result_status",
     "v2_f1", "v6_auc_ovo", "v10_suite_summary", "v13_skip_filter", "v16_sweep",
 ]
 
