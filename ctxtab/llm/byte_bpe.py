@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxtab.llm.words import ArrayLookup, pieces, released
+from ctxtab.llm.words import ArrayLookup, pieces, released, small_batches
 
 # Fixed value: the pattern of the public byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -244,6 +244,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
     ids as little-endian unsigned 32-bit integers, in the same pass.  A null text counts as empty and
     has no ids.  Columns named like the results are replaced; ``with_text=False`` leaves the text behind.
     """
+    small_batches(docs.sparkSession)
     extra = [c for c in (decoded_col, digest_col) if c]
     docs = docs.drop(ids_col, *extra)
     keep = [c for c in docs.columns if with_text or c != text_col]
@@ -274,6 +275,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, text_
 
     Ids outside the vocabulary, and null ones in a list, are left out.
     """
+    small_batches(rows.sparkSession)
     rows = rows.drop(text_col)
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(path).bytes)
     schema = T.StructType([T.StructField("_doc", rows.schema), T.StructField("_text", T.StringType())])

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ctxtab.llm.words import small_batches
 from ctxtab.session import cut_lineage
 
 GAMMA = 0.9
@@ -253,6 +254,7 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", te
     url or one without a host are one host.  Repeated rows count as pages each.  A column named
     like the result is replaced.  Empty table: empty result.
     """
+    small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     low = cut_lineage(style_tree(pages.select(host.alias("host"), F.col(html_col).alias("html"))))
     by_host = low.groupBy("host").agg(F.collect_list(F.struct("path", "feature")).alias("_low")).withColumnRenamed("host", "_host")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxtab.llm.words import ArrayLookup, pieces, released
+from ctxtab.llm.words import ArrayLookup, pieces, released, small_batches
 from ctxtab.session import cut_lineage
 
 SAMPLE = 2000        # labelled rows for each language that a model is fitted on, in expectation
@@ -252,6 +252,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     ``und`` with score 0 when the text is null, blank or has no letter, or the model knows no
     language.  Whole texts are read.  Columns with the names of the results are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(lang_out, score_out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("_doc", docs.schema), T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])

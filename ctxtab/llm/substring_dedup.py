@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ctxtab.llm.words import Words, mix, pack_sorted, pieces, released, sequence_hashes, text_buffer, unpack_sorted, window_starts
+from ctxtab.llm.words import Words, mix, pack_sorted, pieces, released, sequence_hashes, small_batches, text_buffer, unpack_sorted, window_starts
 
 DEPTH = 2
 CHUNK_BYTES = 8 << 20
@@ -221,6 +221,7 @@ def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named like the three results are replaced; others pass through.  Empty table: empty result.
     ``whole``: a text that loses nothing is returned as it is, with its own white space.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept_text")
     nbytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
     slices = max(LEAST_CHUNKS, -(-int(nbytes) // CHUNK_BYTES))

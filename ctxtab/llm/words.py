@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -110,6 +111,16 @@ def window_starts(first: np.ndarray, width: int) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[:-1] - (ends - count), count)
 
 
+TEXT_ROWS = 1000  # rows of an Arrow batch that holds whole texts
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts cross to Python in batches of at most ``TEXT_ROWS`` rows: Spark's 10,000 take tens of MB for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks and share an executor's limit."""
     pa.default_memory_pool().release_unused()
