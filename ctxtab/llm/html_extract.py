@@ -14,7 +14,8 @@ A branch below ``LOW`` goes, and so does a single text block below it.  Hosts wi
 ``LEAST_PAGES`` pages say nothing about repetition.  Besides, elements that HTML or their class
 names declare as menus, headers, footers, side bars, notices, adverts, forms, comments and the like
 have no importance from the start, and where a page marks its article or main part, text outside
-has none either.  If repetition alone would empty a page, it is not applied to that page.
+has none either.  If repetition alone would empty a page, it is not applied to that page.  Declared
+names do not count on elements around the page's own main part (see ``Page._settle``).
 
 Counts are aggregated in tasks before the shuffle; only low nodes (few for each host) go back to
 the pages, by a broadcast join if there are few enough, else by a shuffled one.
@@ -54,7 +55,13 @@ NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertising spons
 notice notices alert newsletter subscribe subscription signup sidebar menu menus nav navbar navigation breadcrumb breadcrumbs header masthead
 footer comment comments reply replies respond disqus share sharing social related recommended widget popup modal overlay toolbar pagination
 pager copyright disclaimer login search skip""".split())
+# Of these, the words of what stands beside a page's own article, which other articles may be inside of.
+OTHER_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar comment comments reply replies
+respond related recommended widget""".split())
+HEADER_WORDS = frozenset("header masthead".split())
+SAYS_OF_PAGE = frozenset("has no with without".split())  # has-sidebar names the page, not a side bar
 MAIN_TAGS = ("article", "main")
+LOOSE, OTHER, FIRM = 1, 2, 3  # marks of noise: by name, role or form; by a word of OTHER_WORDS; by element or hidden
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|[^<]+|<""", re.S)
@@ -72,10 +79,11 @@ def _short(s: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "main", "header", "children", "texts")
+    __slots__ = ("tag", "path", "mark", "up", "noise", "main", "header", "children", "texts")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool, header: bool):
-        self.tag, self.path, self.noise, self.main, self.header = tag, path, noise, main, header
+    def __init__(self, tag: str, path: str, mark: int, up: Node | None, main: bool, header: bool):
+        self.tag, self.path, self.mark, self.up, self.main, self.header = tag, path, mark, up, main, header
+        self.noise = mark > 0 or (up is not None and up.noise)
         self.children: list[str] = []
         self.texts: list[int] = []   # blocks below
 
@@ -88,7 +96,8 @@ class Page:
         self.nodes: list[Node] = []
         self._text: list[str] = []
         self._at: list[Node] | None = None
-        self.stack: list[Node] = [Node("", "", False, False, False)]
+        self.stack: list[Node] = [Node("", "", 0, None, False, False)]
+        self.bounded = True          # text outside the main part goes
         at, raw = 0, None
         for m in _TOKEN.finditer(source):
             if m.start() < at:
@@ -107,6 +116,8 @@ class Page:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, m.end())
                 at = close.start() if close else len(source)  # what stands inside is no markup and no text
         self._flush()
+        for tag in ("main", "article"):
+            self._settle(tag)
 
     def _add(self, text: str) -> None:
         if text.strip() and self._at is None:
@@ -131,25 +142,30 @@ class Page:
         if tag in _ENDS:
             self._close(*_ENDS[tag])
         top = self.stack[-1]
-        name, noise = tag, top.noise or tag in NOISE_TAGS
-        inside = top.main or any(n.tag in MAIN_TAGS for n in self.stack[-3:])
+        name, mark = tag, 0 if tag not in NOISE_TAGS else LOOSE if tag == "form" else FIRM
+        header = top.header or (tag == "header" and top.main)
         if attrs.strip(" /"):
             a = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attrs)}
             words = f"{a.get('class', '')} {a.get('id', '')}".split()
             if words:
                 name = ".".join([tag, *sorted(set(a.get("class", "").lower().split()))])
             if tag not in ("html", "body", *MAIN_TAGS):
-                found = {w.lower() for x in words for w in _SPLIT.split(x)}
-                noise = noise or bool(found & NOISE_WORDS) or a.get("role", "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+                found = {w.lower() for x in words for k in [_SPLIT.split(x)] if k[0].lower() not in SAYS_OF_PAGE for w in k} & NOISE_WORDS
+                if top.main and found & HEADER_WORDS:  # of the article: its heading stays
+                    header, found = True, found - HEADER_WORDS
+                if "hidden" in a or a.get("aria-hidden") == "true":
+                    mark = FIRM
+                elif found or a.get("role", "").lower() in NOISE_ROLES:
+                    mark = max(mark, OTHER if found & OTHER_WORDS else LOOSE)
             elif tag in MAIN_TAGS and {w.lower() for x in words for w in _SPLIT.split(x)} & {"comment", "comments", "reply"}:
-                noise = True
-        header = top.header or (tag == "header" and inside)
-        noise = noise or (tag == "header" and not inside)
+                mark = FIRM
+        if tag == "header" and not top.main:
+            mark = FIRM
         top.children.append(tag)
         if tag in VOID:
             return
         path = f"{top.path}/{name}"
-        node = Node(tag, path if len(path) <= 300 else "#" + _short(path), noise, top.main or tag in MAIN_TAGS, header)
+        node = Node(tag, path if len(path) <= 300 else "#" + _short(path), mark, top, top.main or tag in MAIN_TAGS, header)
         self.nodes.append(node)
         self.stack.append(node)
 
@@ -172,8 +188,48 @@ class Page:
                     del self.stack[k:]
                 return
 
+    def _settle(self, tag: str) -> None:
+        """Marks around the page's own ``tag`` (main or article) go, and around those in the same wrappers.
+
+        Its own is one inside no other, with the weakest and the fewest marks around it, then the longest.
+        Firm marks go if the page has no text else, and those of other articles' places if it has no more
+        text else.  Text outside then stays too if it is longer and the page marks no other main part.
+        """
+        found = []
+        has = tag != "main" and any(n.tag == "main" and not n.noise and n.texts for n in self.nodes)
+        for n in self.nodes:
+            if n.tag != tag or n.mark or not n.texts or (has and not n.up.main):  # beside a main part no article is the page's own
+                continue
+            marked, up = [], n.up
+            while up is not None and up.tag != tag:
+                if up.mark:
+                    marked.append(up)
+                up = up.up
+            if up is None:
+                own = [self.blocks[k] for k in n.texts]
+                length = sum(len(text) for text, around in own if tag == "main" or not any(x.mark for x in around[around.index(n):]))
+                if length:
+                    found.append((max((x.mark for x in marked), default=0), len(marked), -length, marked))
+        if not found:
+            return
+        worst, _, length, around = min(found, key=lambda x: x[:3])
+        if not worst:
+            return
+        left = len(self.kept())
+        if (worst == FIRM and left) or (worst == OTHER and tag != "main" and left > -length):
+            return
+        if tag != "main" and left > -length and not any(n.main and not n.noise and n.texts for n in self.nodes):
+            self.bounded = False
+        same = [x.path for x in around]
+        for *_, marked in found:
+            if [x.path for x in marked] == same:
+                for x in marked:
+                    x.mark = 0
+        for n in self.nodes:
+            n.noise = n.mark > 0 or n.up.noise
+
     def kept(self, low_paths=frozenset(), low_texts=frozenset()) -> str:
-        has_main = any(n.main and not n.noise for _, around in self.blocks for n in around)
+        has_main = self.bounded and any(n.main and not n.noise for _, around in self.blocks for n in around)
         out, again = [], []
         for text, around in self.blocks:
             last = around[-1]

@@ -159,6 +159,28 @@ def test_html_repeated_branches_go(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_wrappers_keep_the_article():
+    article = "<article><header class='entry-header'><h1>Title</h1><p class=by>By me</p></header><p>Body text</p><div class=share>Tweet</div></article>"
+    beside = "<div class=related><article><p>Another story, with a teaser that is longer</p></article></div><div id=comments><p>First!</p></div>"
+    for start, end in [("<div class='site has-sidebar'>", "</div>"), ("<div class='layout no-sidebar'>", "</div>"), ("<div id='login-wrapper'>", "</div>"),
+                       ("<form id=page>", "</form>"), ("<div class='post comments-open'>", "</div>"), ("<div role=dialog><div class=modal>", "</div></div>"),
+                       ("<nav><p>menu<div>", "")]:
+        for inner in (article, article.replace("article", "main"), f"<main>{article}</main>", f"<main class=x><div class=overlay>{article}</div></main>"):
+            got = html_extract.Page(f"<body><nav>menu</nav>{start}{inner}{beside}{end}<footer>f</footer></body>").kept()
+            assert got == "Title\nBody text", (start, inner, got)
+    two = "".join(f"<div class='card share-on'><article><p>Story {k}</p></article></div>" for k in range(3))
+    assert html_extract.Page(two).kept() == "Story 0\nStory 1\nStory 2"
+    assert html_extract.Page("<article><div class='entry-header'><h2>T</h2></div><p>x</p></article>").kept() == "T\nx"
+
+
+def test_html_other_articles_still_go():
+    real = "<p>The page's own text without an article around it, long enough</p>"
+    assert html_extract.Page(real + "<div class=related><article><p>Teaser</p></article></div>").kept() == real[3:-4]
+    assert html_extract.Page(real + "<div class=newsletter><article><p>Teaser</p></article></div>").kept() == real[3:-4] + "\nTeaser"
+    assert html_extract.Page(real + "<aside><article><p>Teaser</p></article></aside>").kept() == real[3:-4]
+    assert html_extract.Page("<article><p>Own</p></article><div id=comments><article><p>A longer comment</p></article></div>").kept() == "Own"
+
+
 # ---------------------------------------------------------------- mixing
 def test_targets():
     got = mixing.targets({"b": 100, "a": 10, None: 1000, "c": 0})
