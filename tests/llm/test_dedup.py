@@ -111,6 +111,51 @@ def test_sketch_bounds_the_difference():
         assert np.bitwise_count(ngram_join._fold(s, size) ^ ngram_join._fold(t, size)).sum() <= n // 10 + n
 
 
+def test_no_group_is_one_task_or_row(monkeypatch):
+    """Of a signature that many sets share a slice reads one member a batch, and all its members become one tree."""
+    monkeypatch.setattr(ngram_join, "FLUSH", 4000)
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = pa.array([" ".join([*base[:100], f"own{k}", *r.choices(base, k=9)]) for k in range(1500)])
+    sent = pa.concat_tables([pa.Table.from_batches([b]) for b in ngram_join._send(4, 0)(pa.RecordBatch.from_arrays([texts[k:k + 100]], ["text"]) for k in range(0, 1500, 100))])
+    edges, reps = [], 0
+    for k in set(sent["slice"].to_pylist()):
+        part = sent.filter(pa.compute.equal(sent["slice"], k))
+        out = ngram_join._meet(4)(part)
+        edges += list(zip(*(out[c].to_pylist() for c in ("gid", "a", "b"))))
+        if k < 4:
+            reps = max(reps, out.num_rows and max(np.unique(out["gid"].to_numpy(), return_counts=True)[1]))
+    batches = sum(x >= 4 for x in sent["slice"].to_pylist())
+    assert batches > 3 and 0 < reps < batches
+    groups = {}
+    for g, a, b in edges:
+        groups.setdefault(g, []).append((a, b))
+    full = max(groups.values(), key=len)
+    assert len(full) > 1000 and len(full) + 1 == len({x for e in full for x in e}) and len(set(util.union(full, {x for e in full for x in e}).values())) == 1
+
+
+def test_one_component_is_not_compared_again(spark, monkeypatch):
+    """Groups of one component are not opened; members of the largest component meet only the few others."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    size, few = 600, 3
+    met = spark.createDataFrame([(g, 0, k) for g in (1, 2) for k in range(1, size)] + [(1, 0, size + k) for k in range(few)] + [(3, 5, size)], "gid long, a long, b long")
+    roots = spark.createDataFrame([(k, 0) for k in range(size)], "node long, root long")
+    opened = ngram_join._open_groups(met, met.select("a", "b").distinct(), roots)
+    assert {tuple(r) for r in opened.collect()} == {(1, k) for k in range(size + few)}
+    info = spark.createDataFrame([(k, 10, bytearray(8)) for k in range(size + few)], "node long, n_shingles long, sketch binary")
+    pairs = {tuple(r) for r in ngram_join._cross_pairs(opened, info, roots).collect()}
+    assert pairs == {(a, b) for b in range(size, size + few) for a in range(b)}
+
+    def rows(batches):
+        for batch in batches:
+            n = len(batch.column("members").flatten())
+            yield pa.RecordBatch.from_arrays([pa.array([int(np.random.default_rng().integers(2**60))]), pa.array([n], pa.int64())], ["a", "b"])
+
+    monkeypatch.setattr(ngram_join, "_across", rows)
+    total = sum(r.b for r in ngram_join._cross_pairs(opened, info, roots).collect())
+    assert total <= size + few * (size // 8 + 2)
+
+
 def test_components(spark):
     r = random.Random(5)
     links = [(r.randrange(120), r.randrange(120)) for _ in range(70)] + [(k, k + 1) for k in range(200, 240)] + [(300, k) for k in range(301, 340)]
