@@ -160,3 +160,81 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], rows.schema)
     turns = chat.formatted_turns(rows.unionByName(more).withColumn("parts", chat.text_parts("text")).drop("text"))
     return chat.read_back(turns)
+
+
+@_query("""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+g AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substr(text, 1, a) AS pre, substr(text, a + 1, b - a) AS mid, substr(text, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its fill-in-middle form, and the text rebuilt from that form."""
+    from ctxtab.llm import fill_middle as fim
+    out = fim.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("restored", fim.restored()).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", _sha("output").alias("output_sha256"), _sha("restored").alias("restored_sha256"))
+
+
+def with_planted_period(text: str = "text", doc_id: str = "doc_id"):
+    """The text in which one document of ten, by the crc32 of its id, repeats a stretch of its words to its end."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    n = "size(_w)"
+    a = f"(_g % {n})"
+    p = f"(1 + ({n} - {a}) div (3 + _g % 8))"
+    planted = F.expr(f"array_join(transform(_w, (x, i) -> if(i < {a}, x, get(_w, cast({a} + (i - {a}) % {p} as int)))), ' ')")
+    return words, F.floor(h / 10).cast("long"), F.when((h % 10 == 0) & (F.size("_w") > 0), planted).otherwise(F.col(text))
+
+
+@_query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of four periods or more in every document (one in ten is made periodic), and texts without them."""
+    from ctxtab.llm.periodic_runs import periodic_runs
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    words, g, text = with_planted_period()
+    docs = docs.select("doc_id", "text", words.alias("_w"), g.alias("_g")).select("doc_id", text.alias("text"))
+    out = periodic_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), F.col("top.length").alias("length"), F.col("top.period").alias("period"),
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        _sha("collapsed").alias("collapsed_sha256"))
+
+
+@_query("""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM t),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+win AS (SELECT doc_id, s, ws[s] || ' ' || ws[s + 1] || ' ' || ws[s + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS s FROM w)),
+twice AS (SELECT doc_id, unnest([s, s + 1, s + 2]) AS p FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM twice GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, text, ls, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM w JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_dup_lines > 3 * len(ls)
+            OR 100 * len(regexp_extract_all(text, '\\p{L}[^\\x20\\x09-\\x0D]*')) < 80 * n_words
+            OR 2 * len(regexp_extract_all(text, '\\p{Lu}')) > len(regexp_extract_all(text, '\\p{L}'))
+            OR 10 * len(list_filter(ls, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•]'))) > 9 * len(ls)
+            OR 10 * len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09\\x0D]*$'))) > 3 * len(ls)) AS kept
+FROM b
+""")
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, base rules and the verdict of the rule cascade for every document."""
+    from ctxtab.llm.quality_rules import judged
+    return judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
