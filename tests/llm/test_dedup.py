@@ -81,6 +81,8 @@ def test_ngram_join_edges(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect())
     assert got == [(0, 26, 1), (1, 26, 1), (1, 26, 1), (8, 0, 8), (9, 0, 9)]
     assert sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect()) == [1, 8, 9]
+    blank = spark.createDataFrame([(None, None, 1), (None, None, 2), (7, "", 3), (7, "", 3), (5, t, 4), (5, t, 5)], DOCS + ", k int")
+    assert sorted(r.k for r in ngram_join.one_of_each(blank).collect()) in ([1, 2, 3, 3, 4], [1, 2, 3, 3, 5])
     assert ngram_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -143,19 +145,39 @@ def test_one_component_is_not_compared_again(spark, monkeypatch):
     opened = ngram_join._open_groups(met, met.select("a", "b").distinct(), roots)
     assert {tuple(r) for r in opened.collect()} == {(1, k) for k in range(size + few)}
     info = spark.createDataFrame([(k, 10, bytearray(8)) for k in range(size + few)], "node long, n_shingles long, sketch binary")
-    pairs = {tuple(r) for r in ngram_join._cross_pairs(opened, info, roots).collect()}
+    opened = ngram_join._still_open(opened, roots)
+    pairs = {tuple(r) for r in ngram_join._cross_pairs(opened, info, True).collect()}
     assert pairs == {(a, b) for b in range(size, size + few) for a in range(b)}
+    one = {tuple(r) for r in ngram_join._cross_pairs(opened, info, False).collect()}
+    assert one <= pairs and len(one) <= 40 * 6 and {(0 if a < size else a, b) for a, b in one} == {(0 if a < size else a, b) for a, b in pairs}
 
     def rows(batches):
         for batch in batches:
             n = len(batch.column("members").flatten())
             yield pa.RecordBatch.from_arrays([pa.array([int(np.random.default_rng().integers(2**60))]), pa.array([n], pa.int64())], ["a", "b"])
 
-    monkeypatch.setattr(ngram_join, "_across", rows)
-    total = sum(r.b for r in ngram_join._cross_pairs(opened, info, roots).collect())
+    monkeypatch.setattr(ngram_join, "_across", lambda every: rows)
+    total = sum(r.b for r in ngram_join._cross_pairs(opened, info, True).collect())
     assert total <= size + few * (size // 8 + 2)
 
 
+def test_closest_pairs_first_lose_no_link(spark, monkeypatch):
+    """Clusters of near copies whose trees leave many components end as by brute force."""
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randrange(0, 14)):
+            w[r.randrange(len(w))] = f"e{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rounds = []
+    merged = ngram_join._merged
+    monkeypatch.setattr(ngram_join, "_merged", lambda *a: rounds.append(1) or merged(*a))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == util.jaccard(rows)
+
+
 def test_components(spark):
     r = random.Random(5)
     links = [(r.randrange(120), r.randrange(120)) for _ in range(70)] + [(k, k + 1) for k in range(200, 240)] + [(300, k) for k in range(301, 340)]
