@@ -174,7 +174,7 @@ def _later(tbl: pa.Table) -> pa.Table:
         take = lambda kind, scale, skip: np.concatenate([np.frombuffer(b, kind, m, skip * m) for (_, b), m in zip(parts, n)])
         h1, h2, who, at = take(np.uint64, 8, 0), take(np.uint64, 8, 8), take(np.int64, 8, 16), take(np.uint32, 4, 24)
         chunk = np.repeat(np.array([c for c, _ in parts], np.int64), n)
-        order = np.lexsort((at, who, h2, h1))
+        order = np.lexsort((at, chunk, who, h2, h1))  # rows that share an id: by chunk
         a, b = h1[order], h2[order]
         late = order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])]
         late = late[np.argsort(chunk[late], kind="stable")]
@@ -216,8 +216,9 @@ def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A word goes when some window of ``width`` words that covers it has a word sequence that also
     starts earlier: in a document with a smaller id, or before it in the same document.  Windows
     are judged on the input.  Null text: no words.  Texts of fewer than ``width`` words stay whole.
-    Null ids come after all others.  Rows that share an id are one sequence in the order of their
-    texts (windows do not reach across rows), so of equal rows the first keeps its words.  Columns
+    Null ids come after all others.  Rows that share an id (many null ids, say) come in the order of
+    a hash of id and text, which also deals them over chunks; windows do not reach across rows, so of
+    equal rows the first keeps its words.  Columns
     named like the three results are replaced; others pass through.  Empty table: empty result.
     ``whole``: a text that loses nothing is returned as it is, with its own white space.
     """
@@ -227,7 +228,7 @@ def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     slices = max(LEAST_CHUNKS, -(-int(nbytes) // CHUNK_BYTES))
     bits = max(16, int(nbytes).bit_length())
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))), F.lit(slices)).alias("_chunk"),
+        F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.col(text_col)), F.lit(slices)).alias("_chunk"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_doc"))
     kept = T.StructType([dealt.schema["_doc"], *[T.StructField(n, t) for n, t in

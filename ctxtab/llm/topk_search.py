@@ -1,16 +1,17 @@
 """Exact top-k inner product search by no-random-access aggregation of sorted lists.
 
-Vectors become integers (floor(256 x)).  Every component is a list of the candidates of a block,
-sorted by that component; a query reads it from the top where its own component is positive and
-from the bottom where it is negative, so that contributions come in falling order.  After a depth
-of sequential reads a candidate's score lies between
+Vectors become integers (floor(256 x)).  Every component is a list of (value, candidate) of a block,
+sorted by value; a query reads it from the top where its own component is positive and from the
+bottom where it is negative, so that contributions come in falling order.  A cursor goes down all
+lists in step.  What an entry adds is booked for its candidate; a candidate's score then lies between
 
-* lower: what was read of it, and the least that each unread list can still give, and
-* upper: what was read of it, and the last value read of each other list.
+* lower: what was read of it, and the least that each list not yet read for it can still give, and
+* upper: what was read of it, and the last value read of each such list.
 
-Reading goes deeper, in steps, until fewer candidates than a block's lists hold can still reach
-the k-th best lower bound (ties included) and the score of each of those is resolved by reading
-the lists to their ends for them alone.  No list is probed for a chosen candidate before that.
+A block is passed over for queries whose k-th score so far is above what the heads of its lists add
+up to.  Reading stops for a query when few candidates can still reach the k-th best lower bound (ties
+included); their scores are resolved by reading the lists on to their ends and booking their entries
+alone.  Every score is a sum of entries read from lists; no vector is looked up.
 
 Blocks of queries meet blocks of candidates in cells of a grid; a cell returns k rows for each of
 its queries, and a ranked window keeps the best k of all cells.
@@ -35,47 +36,97 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & F.coalesce(fine, F.lit(False))
 
 
-def nra(queries: np.ndarray, cands: np.ndarray, k: int, banned: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+class Lists:
+    """The sorted lists of a block, and how many entries have been read of them."""
+
+    def __init__(self, cands: np.ndarray):
+        self.n, self.dims = cands.shape
+        self.who = np.argsort(cands, axis=0, kind="stable")
+        self.value = np.take_along_axis(cands, self.who, axis=0)
+        self.read = 0
+
+    def entries(self, d: int, begin: int, end: int, top: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(candidates, values) of places ``begin`` to ``end`` of list ``d``, counted from the top or the bottom."""
+        at = slice(self.n - end, self.n - begin) if top else slice(begin, end)
+        self.read += end - begin
+        return self.who[at, d], self.value[at, d]
+
+
+def _entries(lists: Lists, begin: int, end: int, used: np.ndarray, top: bool, seen: np.ndarray | None = None, only: np.ndarray | None = None) -> np.ndarray:
+    """Read places ``begin`` to ``end`` of the ``used`` lists: a table of candidates x lists with the values read, else 0.
+
+    ``seen`` is marked; ``only`` maps candidates to rows of the table, or to -1 where nothing is booked.
+    """
+    out = np.zeros((lists.n if only is None else int(only.max()) + 1, lists.dims), lists.value.dtype)
+    for d in np.flatnonzero(used):
+        c, v = lists.entries(d, begin, end, top)
+        if only is not None:
+            c = only[c]
+            c, v = c[c >= 0], v[c >= 0]
+        else:
+            seen[c, d] = True
+        out[c, d] = v
+    return out
+
+
+def nra(queries: np.ndarray, lists: Lists, k: int, banned: np.ndarray, floor: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(query, candidates, scores) with every candidate that is among the query's best k, ties included.
 
-    ``banned[q]`` is a candidate that query q may not return, or -1.  Integers in float64: exact below 2**53.
+    ``banned[q]`` is a candidate that query q may not return, or -1; candidates below ``floor[q]`` need
+    not be found.
     """
-    n, dims = cands.shape
-    order = np.sort(cands, axis=0)                    # the lists; row i from the bottom, row n - 1 - i from the top
-    pos, neg = np.maximum(queries, 0), np.minimum(queries, 0)
-    least, most = order[0], order[-1]
-    open_ = np.arange(len(queries))
+    n, kind = lists.n, queries.dtype
+    least = -np.inf if kind == np.float64 else np.iinfo(np.int64).min
+    floor = np.full(len(queries), least, kind) if floor is None else floor
+    sides = ((True, np.maximum(queries, 0)), (False, np.minimum(queries, 0)))
+    low, high = lists.value[0], lists.value[-1]
+    open_ = np.flatnonzero(sides[0][1] @ high + sides[1][1] @ low >= floor)  # heads of the lists
     found = []
-    depth = max(1, n // 16)
+    score, depth = np.zeros((len(open_), n), kind), 0
+    seen = {top: np.zeros((n, lists.dims), bool) for top, _ in sides}
     while len(open_):
-        depth = min(n, depth)
-        top, bottom = order[n - depth], order[depth - 1]
-        high, low = cands >= top, cands <= bottom      # read so far
-        p, m = pos[open_], neg[open_]
-        upper = p @ np.where(high, cands, top).T + m @ np.where(low, cands, bottom).T
-        lower = p @ np.where(high, cands, least).T + m @ np.where(low, cands, most).T
+        depth, before = min(n, max(1, 2 * depth, n // 4)), depth
+        upper, lower = score.copy(), score.copy()
+        for top, q in sides:
+            q = q[open_]
+            got = q @ _entries(lists, before, depth, q.any(0), top, seen[top]).T
+            score += got
+            rest = (~seen[top]).astype(kind).T
+            upper += got + (q * (lists.value[n - depth] if top else lists.value[depth - 1])) @ rest
+            lower += got + (q * (low if top else high)) @ rest
         rows = np.arange(len(open_))
         has = banned[open_] >= 0
-        lower[rows[has], banned[open_][has]] = -np.inf
-        upper[rows[has], banned[open_][has]] = -np.inf
-        if n > k:
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-        else:
-            kth = np.full(len(open_), -np.inf)
-        alive = (upper >= kth[:, None]) & (upper > -np.inf)
-        done = (alive.sum(1) <= max(2 * k, n // 8)) | (depth == n)
-        for r in np.flatnonzero(done):
-            c = np.flatnonzero(alive[r])
-            s = cands[c] @ queries[open_[r]]
-            if len(c) > k:
-                keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                c, s = c[keep], s[keep]
-            found.append((int(open_[r]), c, s))
-        open_ = open_[~done]
-        depth *= 2
+        lower[rows[has], banned[open_][has]] = least
+        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), least, kind)
+        alive = upper >= np.maximum(kth, floor[open_])[:, None]
+        alive[rows[has], banned[open_][has]] = False
+        done = (alive.sum(1) <= max(2 * k, n // 64)) | (depth == n)
+        left = np.flatnonzero(alive[done].any(0))
+        if len(left):
+            own, place = score[np.ix_(done, left)], np.full(n, -1)
+            place[left] = np.arange(len(left))
+            for top, q in sides if depth < n else ():
+                q = q[open_[done]]
+                own = own + q @ _entries(lists, depth, n, q.any(0), top, only=place).T
+            for row, r in enumerate(np.flatnonzero(done)):
+                c = np.flatnonzero(alive[r, left])
+                s = own[row, c]
+                if len(c) > k:
+                    keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                    c, s = c[keep], s[keep]
+                found.append((int(open_[r]), left[c], s))
+        open_, score = open_[~done], score[~done]
     return found
 
 
+def _exact(queries: np.ndarray, cands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as doubles where these hold every partial sum exactly, else as 64-bit integers; no more than these hold is allowed."""
+    most = int(np.abs(queries).max(initial=0)) * int(np.abs(cands).max(initial=0)) * cands.shape[1]
+    if most >= 2**62:
+        raise ValueError(f"inner products of up to {most} are not sure to fit 64 bits")
+    return (queries, cands) if most < 2**52 else (queries.astype(np.int64), cands.astype(np.int64))
+
+
 def _pack(batch_cols, schema):
     def fn(tbl: pa.Table) -> pa.Table:
         tbl = tbl.sort_by("_id")
@@ -88,23 +139,27 @@ def _pack(batch_cols, schema):
 
 def _cell(k: int):
     def fn(batches):
+        reached: dict = {}  # of a query block: the k-th scores that this task has seen for it
         for batch in batches:
             q, c, s = [], [], []
-            for dims, qi, qv, ci, cv in zip(*(batch.column(x).to_pylist() for x in ("dims", "q_ids", "q_vecs", "c_ids", "c_vecs"))):
+            for dims, block, qi, qv, ci, cv in zip(*(batch.column(x).to_pylist() for x in ("dims", "qb", "q_ids", "q_vecs", "c_ids", "c_vecs"))):
                 qi, ci = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-                qv, cv = np.frombuffer(qv).reshape(-1, dims), np.frombuffer(cv).reshape(-1, dims)
+                qv, cv = _exact(np.frombuffer(qv).reshape(-1, dims), np.frombuffer(cv).reshape(-1, dims))
                 # rows with the query's own id are no candidates; a repeated id is left out by asking for that many more
                 uniq, first, times = np.unique(ci, return_index=True, return_counts=True)
                 at = np.searchsorted(uniq, qi)
                 own = np.where((at < len(uniq)) & (uniq[np.minimum(at, len(uniq) - 1)] == qi), first[np.minimum(at, len(uniq) - 1)], -1)
                 more = int(times.max()) - 1
-                for r, cand, score in nra(qv, cv, k + more, own):
+                floor = reached.setdefault((dims, block), np.full(len(qi), -2.0**62))
+                for r, cand, score in nra(qv, Lists(cv), k + more, own, floor.astype(qv.dtype)):
                     keep = ci[cand] != qi[r]
                     cand, score = cand[keep], score[keep]
                     best = np.lexsort((ci[cand], -score))[:k]
                     q.append(np.full(len(best), qi[r]))
                     c.append(ci[cand[best]])
                     s.append(score[best])
+                    if len(best) == k and qv.dtype == np.float64:
+                        floor[r] = max(floor[r], score[best[-1]])
             cols = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (q, c, s)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "vec_id", "score"])
     return fn
@@ -117,10 +172,11 @@ def top_k(queries: DataFrame, cands: DataFrame, k: int = 5, id_col: str = "vec_i
     id is no candidate.  Vectors that are null, empty or hold null or non-finite components, and
     rows with a null id, take part on neither side; vectors of another length are no candidates.
     Repeated candidate rows are candidates each; of repeated query ids with different vectors each
-    candidate keeps its best score.  Empty tables: empty result.
+    candidate keeps its best score.  Components beyond 2**62 / 256, and blocks whose products might
+    not fit 64 bits, raise a ValueError; below that all scores are exact.  Empty tables: empty result.
     """
     def ready(df, prefix, size):
-        vec = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+        vec = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * SCALE).cast("double"))  # a long, so at most 2**63
         rows = (df.where(F.col(id_col).isNotNull() & usable(F.col(vec_col)))
                 .select(F.col(id_col).cast("long").alias("_id"), vec.alias("_vec"), F.size(vec_col).cast("long").alias("dims")))
         n = rows.count()
@@ -134,7 +190,7 @@ def top_k(queries: DataFrame, cands: DataFrame, k: int = 5, id_col: str = "vec_i
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     cells = (q.withColumnRenamed("block", "qb").withColumn("cb", every(nc))
              .join(c.withColumnRenamed("block", "cb").withColumn("qb", every(nq)), ["dims", "qb", "cb"]))
-    best = cells.select("dims", "q_ids", "q_vecs", "c_ids", "c_vecs").mapInArrow(_cell(k), "query_id long, vec_id long, score long")
+    best = cells.select("dims", "qb", "q_ids", "q_vecs", "c_ids", "c_vecs").mapInArrow(_cell(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -61,6 +61,9 @@ def test_substring_dedup_edges(spark):
     assert out.columns == ["doc_id", "_doc", "n_words", "n_removed", "kept_text"]
     assert sorted((r.doc_id or 0, r.n_removed) for r in out.collect()) == [(0, 25), (1, 0), (1, 25), (2, 0)]
     assert substring_dedup.cut_repeated_windows(spark.createDataFrame([], DOCS)).count() == 0
+    many = spark.createDataFrame([(None, f"row {k} " + t) for k in range(60)], DOCS)
+    many = substring_dedup.cut_repeated_windows(many)
+    assert sorted(r.n_removed for r in many.collect()) == [0, *[25] * 59]
     whole = substring_dedup.cut_repeated_windows(spark.createDataFrame([(1, "a \n b")], DOCS), whole=True).first()
     assert whole.kept_text == "a \n b"
 
@@ -207,6 +210,14 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_cosine_of_very_small_and_large_vectors(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1.0, 100.0]), (2, [1e200, 2e200]), (3, [2e200, 4e200]), (4, [1e308, -1e308]), (5, [5e-324, -5e-324]), (6, [-0.0, 3.0])]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
+    assert got[0] == (0, 0) and got[2] == (1, 2) and got[3] == (1, 2) and got[4] == (1, 4) and got[5] == (1, 4) and got[1] == (1, 1) and got[6] == (1, 1)
+    assert embedding_dedup.plan(2**40)[0] == 32
+
+
 def test_large_bucket_is_compared_in_cells(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     r = np.random.default_rng(7)

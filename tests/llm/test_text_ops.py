@@ -215,7 +215,7 @@ def test_mix(spark):
         taken[x.source] += x.taken
     want = mixing.targets(dict(size))
     for s in size:
-        assert abs(taken[s] - want[s]) <= 40 + 0.01 * want[s], s
+        assert abs(taken[s] - want[s]) <= 16, s
     again = mixing.mixed(docs.repartition(7)).collect()
     assert Counter((x.doc_id, x.taken) for x in out) == Counter((x.doc_id, x.taken) for x in again)
     made = mixing.materialised(docs)
@@ -228,6 +228,26 @@ def test_mix(spark):
     assert mixing.mixed(spark.createDataFrame([], DOCS + ", source string")).count() == 0
 
 
+def test_mix_of_many_shards_keeps_to_the_targets(spark, monkeypatch):
+    """Rare sources with few words for each shard of a common one, and shards that tie, miss nothing but a block."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    n, rows = 0, []
+    for source, each, times in (("a", 2, 1000), ("b", 6, 1000), ("c", 12, 400), ("d", 17, 400), ("e", 40, 1500), ("f", 25, 1000), (None, 1, 3)):
+        for _ in range(times):
+            rows.append((n, " ".join(["w"] * each), source))
+            n += 1
+    rows += [(None, "w " * 7, "e")] * 300 + [(n + k, None, "e") for k in range(50)]
+    out = mixing.mixed(spark.createDataFrame(rows, DOCS + ", source string").repartition(4), with_text=False).collect()
+    size, taken = Counter(), Counter()
+    for x in out:
+        assert 0 <= x.taken <= 3 * x["size"]
+        size[x.source] += x["size"]
+        taken[x.source] += x.taken
+    want = mixing.targets(dict(size))
+    assert {s: round(want[s]) for s in want if abs(taken[s] - want[s]) > 16} == {} and len(out) == len(rows)
+    assert sum(want[s] < 3 * size[s] for s in want) >= 2
+
+
 # ---------------------------------------------------------------- sharding
 def _check_shards(rows, out):
     n, c = len(rows), Counter(r.shard for r in out)
@@ -280,11 +300,36 @@ def test_topk(spark, monkeypatch):
     vecs = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     got = sorted((q.query_id, q["rank"], q.vec_id, q.score) for q in topk_search.top_k(vecs.where("vec_id % 50 = 0"), vecs).collect())
     assert got == _best(rows)
+    big = spark.createDataFrame([(0, [3e6, 1.0, 2.0]), (1, [3e6, 1.0, -2.0]), (2, [-3e6, 5.0, 1.0])], "vec_id long, embedding array<double>")
+    v = [[256 * int(x) for x in y] for y in ([3e6, 1, 2], [3e6, 1, -2], [-3e6, 5, 1])]
+    assert [tuple(r) for r in topk_search.top_k(big.where("vec_id = 0"), big, 2).collect()] == [(0, k, k, sum(a * b for a, b in zip(v[0], v[k]))) for k in (1, 2)]
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.top_k(big.where("vec_id = 0"), big.selectExpr("vec_id", "transform(embedding, x -> x * 1e12) AS embedding")).collect()
     few = spark.createDataFrame([(0, [1.0, -2.0]), (3, [1.0, -2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk_search.top_k(few.where("vec_id = 0"), few).collect()] == [(0, 1, 3, 256 * 256 * 5)]
     assert topk_search.top_k(few.where("vec_id > 9"), few).count() == 0
 
 
+def test_lists_alone_give_the_scores():
+    """Scores come from entries read; similar candidates let reading stop early, and blocks without hope are not read."""
+    r = np.random.default_rng(9)
+    for spread, kind in ((0.02, np.float64), (1.0, np.float64), (0.3, np.int64)):
+        c = np.floor(256 * (r.standard_normal((8, 6))[np.arange(640) % 8] + spread * r.standard_normal((640, 6)))).astype(kind)
+        q = np.floor(256 * r.standard_normal((9, 6))).astype(kind)
+        banned = np.where(np.arange(9) % 2, -1, np.arange(9) * 7)
+        lists = topk_search.Lists(c)
+        got = {a: dict(zip(x.tolist(), s.tolist())) for a, x, s in topk_search.nra(q, lists, 5, banned)}
+        for i in range(9):
+            full = [(int(s), j) for j, s in enumerate(c @ q[i]) if j != banned[i]]
+            kth = sorted(s for s, _ in full)[-5]
+            assert got[i] == {j: s for s, j in full if s >= kth}
+        idle = topk_search.Lists(c)
+        assert topk_search.nra(q, idle, 5, banned, np.full(9, 1e15).astype(kind)) == [] and idle.read == 0
+    one = topk_search.Lists(np.floor(256 * np.sort(r.standard_normal((4096, 3)), axis=0)[:, :1] * np.ones(3)))
+    topk_search.nra(np.array([[256.0, 256.0, 256.0]]), one, 5, np.array([-1]))
+    assert one.read <= 3 * 4096
+
+
 # ---------------------------------------------------------------- all queries and the pipeline
 def test_pipeline_and_queries(spark, tmp_path):
     import corpus_pipeline
@@ -308,4 +353,4 @@ def test_pipeline_and_queries(spark, tmp_path):
             assert {r.doc_id: " ".join(x.decode() for x in util.words(r.text)) for r in docs.collect()} == {i: t for i, (n, _, t) in want.items() if t or not n}
     assert sizes[0] >= sizes[1] >= sizes[2] > 0
     assert corpus_pipeline.run(spark, SF_SMALL).count() == sizes[-1]
-    assert len(queries.QUERIES) == 10 and all(any(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 11))
+    assert len(queries.QUERIES) == 13 and all(any(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 14))
