@@ -161,6 +161,10 @@ def expected_counts(lattice: Lattice, words: list[str], n: np.ndarray, prob: np.
     return counts[:lattice.unknown]
 
 
+# Fixed value: the white space that str.split() knows, as a pattern of the JVM.
+WHITE = r"[\x09-\x0D\x1C-\x1F\x85\p{Z}]+"
+
+
 class Model:
     """Languages and the probability of each piece in each of them."""
 
@@ -215,7 +219,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     bound = spark.createDataFrame([(lang, int(min(1.0, sample / sizes[lang]) * 2**32)) for lang in langs], "_lang string, _bound long")
     chosen = labelled.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.xxhash64(F.lit(3), F.col(id_col).cast("string"), F.col(text_col)).alias("_h"))
     chosen = chosen.join(F.broadcast(bound), "_lang").where("pmod(_h, 4294967296) < _bound")
-    words = (chosen.select("_lang", F.explode(F.split(F.lower("_text"), r"\s+")).alias("word")).where("word <> ''")
+    words = (chosen.select("_lang", F.explode(F.split(F.lower("_text"), WHITE)).alias("word")).where("word <> ''")
              .groupBy("_lang", "word").agg(F.count("*").alias("n")))
     words = cut_lineage(words)
     index = {lang: k for k, lang in enumerate(langs)}

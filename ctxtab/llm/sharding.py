@@ -16,6 +16,8 @@ text with a third of all rows is many small windows.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,7 +27,6 @@ from ctxtab.session import cut_lineage
 SHARDS = 16
 ROWS_PER_BUCKET = 4096
 EXCHANGES = 4     # rounds in which shards without room may be aims
-MAX_ROUNDS = 24   # of propagation; more would only lessen cut links
 
 
 def _running(df: DataFrame, keys: list[str], value, order: list[str], name: str) -> DataFrame:
@@ -123,7 +124,7 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     linked = _running(base.join(copied, "text_key").withColumn("_one", F.lit(0)), ["_one"], F.lit(1).cast("long"), ["_id", "text_key"], "_rank")
     state = cut_lineage(linked.groupBy("text_key", F.pmod(F.col("_rank"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n")))
     settled = False
-    for turn in range(MAX_ROUNDS):
+    for turn in count():  # each move makes a larger pile of a text larger, so moves come to an end
         room = [q - n for q, n in zip(quota, _loads(state, shards))]
         # at first any shard that the text does not fill is an aim (exchanges), then only shards with room
         limit = [q if r > 0 or not settled else 0 for q, r in zip(quota, room)]

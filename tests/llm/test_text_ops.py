@@ -331,6 +331,25 @@ def test_lists_alone_give_the_scores():
 
 
 # ---------------------------------------------------------------- all queries and the pipeline
+def test_pipeline_stages_on_edges(spark):
+    """Nulls, repeated rows, blank texts, no labels and empty tables pass all stages."""
+    import corpus_pipeline
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, None, None, None, None), (1, "", None, "a", 0), (2, text, None, "a", len(text)), (2, text, None, "a", len(text)), (None, text + " more", None, None, None), (4, "12 34", None, "b", 5)]
+    docs = spark.createDataFrame(rows, kind)
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() == 3
+    labelled = corpus_pipeline.identify_language(spark, docs.withColumn("lang", F.when(F.col("doc_id") == 2, "en")), "")
+    assert sorted((r.doc_id or 0) for r in labelled.collect()) == [0, 2, 2]
+    for table in (docs, docs.where("text IS NULL")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, "")
+            if name != "bpe_encoding":
+                assert out.dtypes == table.dtypes, name
+            out.collect()
+
+
 def test_pipeline_and_queries(spark, tmp_path):
     import corpus_pipeline
     from ctxtab.llm import queries
