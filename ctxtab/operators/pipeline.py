@@ -4,7 +4,7 @@ A member is a dict: ``scale`` (``standard``, ``minmax`` or none), ``polynomial``
 interaction columns, 0 for none), ``order`` (feature order: ``shuffle``, ``rotate`` or none),
 ``permute`` (class permutation or not) and ``k`` (context length).  Each member is a chain of
 DataFrame operators of this package; its output comes back in the original classes before the
-average.
+average.  Members with rebalancing steps in JSON form go through ``rebalanced_ensemble``.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxtab.operators import clean, encode, predict, retrieve
+from ctxtab.operators import clean, encode, predict, rebalance, retrieve
 from ctxtab.operators.meta import PipelineSpec, shuffle_features
 from ctxtab.operators.scale import mean_impute, min_max_scale, standard_scale
 
+CONTEXT = 200
 SCALERS = {"standard": standard_scale, "minmax": min_max_scale, None: lambda df, cols: df}
 
 
@@ -36,13 +37,20 @@ def member_table(df: DataFrame, features: Sequence[str], member: dict, seed: int
 
 def member_probs(df: DataFrame, features: Sequence[str], member: dict, perm: list[int] | None, temperature: float, seed: int) -> DataFrame:
     """(test_id, class code, p) of one member, class permutation undone."""
-    table, order = member_table(df, features, member, seed)
-    table = table.withColumn("v", F.array(*order))
+    return table_probs(*member_table(df, features, member, seed), member["k"], perm, temperature)
+
+
+def table_probs(table: DataFrame, order: Sequence[str], k: int, perm: list[int] | None, temperature: float) -> DataFrame:
+    """(test_id, class code, p) from the ``k`` best train rows over the features ``order``, class permutation undone.
+
+    A missing feature counts as 0.
+    """
+    table = table.withColumn("v", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in order]))
     label = "y_code"
     if perm is not None:
         table, label = encode.apply_class_permutation(table, perm), "y_perm"
     test, train = table.where("split = 'test'"), table.where("split = 'train'")
-    ctx = retrieve.top_k_context(test, train, "v", member["k"])
+    ctx = retrieve.top_k_context(test, train, "v", k)
     probs = predict.predict_classes(ctx, train, temperature, label_col=label)
     return predict.undo_class_permutation(probs, perm) if perm is not None else probs
 
@@ -53,7 +61,30 @@ def ensemble(df: DataFrame, features: Sequence[str], spec: PipelineSpec) -> Data
     perms = encode.class_permutations(n_classes, len(spec.members), spec.seed)
     parts = [member_probs(df, features, m, perms[i] if m.get("permute") else None, spec.softmax_temperature, spec.seed + i)
              .select("test_id", F.col("class").cast("int").alias("class"), "p").withColumn("member", F.lit(i)) for i, m in enumerate(spec.members)]
+    return _averaged(parts)
+
+
+def _averaged(parts: list[DataFrame]) -> DataFrame:
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return predict.ensemble_average(both)
+    return predict.ensemble_average(both, n_members=len(parts))
+
+
+def rebalanced_ensemble(df: DataFrame, features: Sequence[str], categorical: Sequence[str], spec: PipelineSpec) -> DataFrame:
+    """(test_id, class code, p): the mean of members with rebalancing steps (see ``rebalance``).
+
+    Contexts are as long as each member's ``retrieval_config.retrieval_len`` says (a count, a fraction of
+    the train rows, or "dynamic"); a member that does not say so takes the ``CONTEXT`` best train rows.
+    """
+    stats = df.where("split = 'train'").agg(F.max("y_code"), F.count(F.lit(1))).first()
+    n_classes, n_train = stats[0] + 1, stats[1]
+    perms = encode.class_permutations(n_classes, len(spec.members), spec.seed)
+    tables = rebalance.member_tables(df, list(features), list(categorical), spec.members, spec.seed)
+    parts = []
+    for i, (m, (table, order)) in enumerate(zip(spec.members, tables)):
+        rc = m.get("retrieval_config") or {}
+        k = retrieve.context_length(n_train, n_classes, rc["retrieval_len"], rc.get("dynamic_ratio")) if "retrieval_len" in rc else CONTEXT
+        parts.append(table_probs(table, order, k, perms[i], spec.softmax_temperature)
+                     .select("test_id", F.col("class").cast("int").alias("class"), "p").withColumn("member", F.lit(i)))
+    return _averaged(parts)

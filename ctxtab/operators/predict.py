@@ -94,7 +94,7 @@ def fill_gaps(masked: DataFrame, imputed: DataFrame, feature_cols: list[str], id
         *[c for c in masked.columns if c not in feature_cols], *[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in feature_cols])
 
 
-def ensemble_average(members: DataFrame, keys: list[str] | None = None, value: str = "p") -> DataFrame:
+def ensemble_average(members: DataFrame, keys: list[str] | None = None, value: str = "p", n_members: int | None = None) -> DataFrame:
     """M5: mean over members then renormalise per test row.
 
     ``members`` is the long union ``(member, test_id, class, p)``; a class

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ctxtab.functions.exprs import inv_norm_cdf, nonfinite_to_null
 from ctxtab.functions.ranking import prefix_sum
+from ctxtab.operators import power
 from ctxtab.session import cut_lineage
 
 Z75_MINUS_Z25 = 1.3489795003921634  # fixed value: Phi^-1(0.75) - Phi^-1(0.25)
@@ -196,64 +197,9 @@ def robust_scale(df, cols, split="split", fit_on="train"):
 VAR_TOLERANCE, MAX_POWER = 1e-3, 100.0  # fixed values: when a power transform is taken back
 
 
-def _yj(x: Column, lam: float) -> Column:
-    pos = (F.pow(x + 1.0, lam) - 1.0) / lam if abs(lam) > 1e-12 else F.log1p(x)
-    neg = -(F.pow(-x + 1.0, 2.0 - lam) - 1.0) / (2.0 - lam) if abs(lam - 2) > 1e-12 else -F.log1p(-x)
-    return F.when(x >= 0, pos).otherwise(neg)
-
-
-def yeo_johnson_fit(df, cols, split="split", fit_on="train", grid=None) -> dict[str, float]:
-    """R6 fit: lambda maximising the Yeo-Johnson profile log-likelihood.
-
-    One aggregation evaluates every (column, lambda) of a grid (population
-    variance of the transform and the Jacobian term).  While the best value is
-    at the edge of a column's grid, the grid moves on; then, as the profile
-    likelihood is concave in lambda, two more aggregations refine around the
-    best value with 5x finer steps (0.25, 0.05, 0.01).  A column without a
-    finite likelihood (constant, or no values) gets NaN: it is left as it is.
-    """
-    tr = _train(df, split, fit_on)
-    grid = grid or np.linspace(-2, 2, 17).tolist()
-
-    def best(lams: dict[str, list[float]]) -> dict[str, float]:
-        aggs = []
-        for c in cols:
-            x = nonfinite_to_null(c)
-            aggs += [F.count(x).alias(f"{c}__n"),
-                     F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"{c}__j")]
-            for i, lam in enumerate(lams[c]):
-                t = _yj(x, lam)
-                aggs.append(F.var_pop(t).alias(f"{c}__v{i}"))
-        row = tr.agg(*aggs).first()
-        res = {}
-        for c in cols:
-            n = row[f"{c}__n"] or 0
-            bestv, bestl = -math.inf, math.nan
-            for i, lam in enumerate(lams[c]):
-                var = row[f"{c}__v{i}"]
-                if var is None or not math.isfinite(var) or var <= 0:
-                    continue
-                ll = -n / 2.0 * math.log(var) + (lam - 1.0) * row[f"{c}__j"]
-                if ll > bestv:
-                    bestv, bestl = ll, lam
-            res[c] = bestl
-        return res
-
-    step = (grid[1] - grid[0]) if len(grid) > 1 else 0.25
-    lams = {c: list(grid) for c in cols}
-    cur = best(lams)
-    while moving := [c for c in cols if cur[c] in (lams[c][0], lams[c][-1])]:
-        for c in moving:
-            lams[c] = (cur[c] + step * np.arange(-len(grid) // 2, len(grid) // 2 + 1)).tolist()
-        found = best(lams)
-        if all(found[c] == cur[c] for c in moving):
-            break
-        cur = found
-    for _ in range(2):
-        found = best({c: np.linspace(cur[c] - step, cur[c] + step, 11).tolist() if math.isfinite(cur[c]) else [1.0] for c in cols})
-        cur = {c: found[c] if math.isfinite(cur[c]) else math.nan for c in cols}
-        step /= 5.0
-    return cur
+def yeo_johnson_fit(df, cols, split="split", fit_on="train") -> dict[str, float]:
+    """R6 fit: the exponent of the greatest profile likelihood of each column (see ``power``)."""
+    return power.fit(_train(df, split, fit_on).select(*cols), list(cols))
 
 
 def yeo_johnson(df, cols, split="split", fit_on="train"):
@@ -265,7 +211,7 @@ def yeo_johnson(df, cols, split="split", fit_on="train"):
     from ctxtab.session import reuse
     df = reuse(df)  # the lambda passes, two moment passes and the transform scan it
     lam = yeo_johnson_fit(df, cols, split, fit_on)
-    turned = {c: nonfinite_to_null(c) if math.isnan(lam[c]) else nonfinite_to_null(_yj(nonfinite_to_null(c), lam[c])) for c in cols}
+    turned = {c: nonfinite_to_null(c) if math.isnan(lam[c]) else nonfinite_to_null(power.transformed(nonfinite_to_null(c), lam[c])) for c in cols}
     d = df.withColumns({f"__raw_{c}": F.col(c) for c in cols}).withColumns(turned)
     d = standard_scale(mean_impute(d, cols, split, fit_on), cols, split, fit_on)
     st = _train(d, split, fit_on).agg(*[F.var_pop(c).alias(f"{c}__v") for c in cols], *[F.max(c).alias(f"{c}__x") for c in cols]).first()

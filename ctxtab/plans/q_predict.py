@@ -242,6 +242,58 @@ def m1_member_pipeline(spark, sf_dir):
     return ensemble(d.where("y_code >= 0"), CF, spec).select("test_id", "class", r6("p", "p"))
 
 
+REBALANCED = [
+    {"RebalanceFeatureDistribution": {"worker_tags": ["quantile_uniform_10"], "discrete_flag": False, "original_flag": False, "svd_tag": None},
+     "CategoricalFeatureEncoder": {"encoding_strategy": "ordinal"}, "FeatureShuffler": {"mode": "shuffle"},
+     "retrieval_config": {"use_retrieval": True, "retrieval_len": 15}},
+    {"RebalanceFeatureDistribution": {"worker_tags": ["robust", "logNormal"], "discrete_flag": True, "original_flag": False, "svd_tag": None},
+     "CategoricalFeatureEncoder": {"encoding_strategy": "none"}, "FeatureShuffler": {"mode": "rotate"},
+     "retrieval_config": {"use_retrieval": True, "retrieval_len": 0.01}}]
+
+
+def _voted_sql(name: str, table: str, cols: list[str], k: str) -> str:
+    """Context, votes and probabilities of a member table in SQL."""
+    dot = " + ".join(f"t.{c} * r.{c}" for c in cols)
+    return ctx_chain(name, f"SELECT t.row_id AS test_id, r.row_id AS train_id, r.y_code AS ty, ({dot}) / sqrt({len(cols)}) AS score "
+                           f"FROM {table} t JOIN {table} r ON t.split = 'test' AND r.split = 'train'") + f""",
+{name}lg AS (SELECT test_id, ty AS class, ln(sum(exp(score - m))) + max(m) AS logit FROM (
+    SELECT *, max(score) OVER (PARTITION BY test_id, ty) AS m FROM {name}rk WHERE rank <= {k}) GROUP BY 1, 2),
+{name}e AS (SELECT test_id, class, exp((logit - max(logit) OVER (PARTITION BY test_id)) / {TEMP}) AS e FROM {name}lg),
+{name}p AS (SELECT test_id, class, e / sum(e) OVER (PARTITION BY test_id) AS p FROM {name}e)"""
+
+
+def _rebalanced_sql() -> str:
+    from ctxtab.plans.q_scale import _quantile_sql
+    maps = ",".join(_quantile_sql(c, 10).replace("FROM line", "FROM cx") for c in CF[:2])
+    log = {c: f"ln(CASE WHEN {c} + abs(l_{c}) + 1e-10 > 0 THEN {c} + abs(l_{c}) + 1e-10 END)" for c in CF}
+    return tables.CUST_SQL + """,
+codes AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS y_code
+          FROM (SELECT DISTINCT y AS v FROM cust WHERE split = 'train')),
+cx AS (SELECT cust.*, codes.y_code FROM cust JOIN codes ON cust.y = codes.v),""" + maps + """,
+ra AS (SELECT cx.row_id, split, y_code, qa.v AS a, qb.v AS b, dense_rank() OVER (ORDER BY n_regionkey) - 1 AS c
+       FROM cx JOIN r_c_acctbal qa ON qa.row_id = cx.row_id JOIN r_c_nationkey qb ON qb.row_id = cx.row_id),
+bs AS (SELECT """ + ", ".join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) AS b_{c}, min({c}) AS l_{c}" for c in CF) + """
+       FROM cx WHERE split = 'train'),
+bl AS (SELECT row_id, split, y_code, """ + ", ".join(
+        f"({c} - m_{c}) / CASE WHEN b_{c} = a_{c} THEN 1 ELSE (b_{c} - a_{c}) / 1.3489795003921634 END AS r_{i}, {log[c]} AS g_{i}" for i, c in enumerate(CF)) + """ FROM cx, bs),
+bm AS (SELECT """ + ", ".join(f"avg(g_{i}) AS mg_{i}" for i in range(3)) + """ FROM bl WHERE split = 'train'),
+rb AS (SELECT row_id, split, y_code, r_0, r_1, r_2, """ + ", ".join(f"coalesce(g_{i}, mg_{i}) AS g_{i}" for i in range(3)) + """ FROM bl, bm),
+kb AS (SELECT CAST(floor(0.01 * count(*)) AS BIGINT) AS k FROM cx WHERE split = 'train')""" + _voted_sql("qa_", "ra", ["a", "b", "c"], "15") + _voted_sql(
+        "qb_", "rb", ["r_0", "r_1", "r_2", "g_0", "g_1", "g_2"], "(SELECT k FROM kb)") + """,
+av AS (SELECT test_id, class, sum(p) / 2 AS a FROM (SELECT * FROM qa_p UNION ALL SELECT * FROM qb_p) GROUP BY 1, 2)"""
+
+
+@register("m1_rebalanced_ensemble", "WITH " + _rebalanced_sql() + """
+SELECT test_id, class, round(a / sum(a) OVER (PARTITION BY test_id), 6) AS p FROM av""")
+def m1_rebalanced_ensemble(spark, sf_dir):
+    """Two members in JSON form: quantile maps beside ordinal codes, and two rebalancings of all features side by side."""
+    from ctxtab.operators.meta import PipelineSpec
+    from ctxtab.operators.pipeline import rebalanced_ensemble
+    d, _ = encode.label_encode(tables.cust(spark, sf_dir))
+    spec = PipelineSpec.load(REBALANCED, softmax_temperature=TEMP, seed=11)
+    return rebalanced_ensemble(d.where("y_code >= 0"), CF, ["n_regionkey"], spec).select("test_id", "class", r6("p", "p"))
+
+
 # ------------------------------------------------------------------ M2 / M3 / M9 (regression + imputation)
 PF = ["p_size", "brand_no"]
 PRT_Z_SQL = tables.PRT_SQL + """,
@@ -355,7 +407,7 @@ def m5_ensemble_average(spark, sf_dir):
     _, train, ctx = vec_context(spark, sf_dir)
     m0 = predict.predict_classes(ctx, train, TEMP).withColumn("member", F.lit(0))
     m1 = predict.predict_classes(ctx.filter("rank <= 10"), train, 1.0).withColumn("member", F.lit(1))
-    return predict.ensemble_average(m0.unionByName(m1)).select("test_id", "class", r6("p", "p"))
+    return predict.ensemble_average(m0.unionByName(m1), n_members=2).select("test_id", "class", r6("p", "p"))
 
 
 M6_SQL = "WITH " + tables.VEC_SQL + f""",
