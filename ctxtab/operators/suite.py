@@ -7,7 +7,7 @@ aggregation or join over them, so a suite of any size is one job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,7 +69,7 @@ def missing_results(tasks: DataFrame, results: DataFrame, worker_exitcodes: list
     return miss.withColumns(fill)
 
 
-def normalize_skip_name(c: Column) -> Column:
+def plain_name(c: Column) -> Column:
     """Basename (either slash), drop ``.csv``, then a ``_train``/``_test`` suffix, trim, lower."""
     base = F.regexp_extract(F.regexp_replace(F.trim(c), r"\\", "/"), r"([^/]*)$", 1)
     base = F.regexp_replace(base, r"(?i)\.csv$", "")
@@ -80,7 +80,7 @@ def normalize_skip_name(c: Column) -> Column:
 def skip_tokens(raw: DataFrame, col: str = "value") -> DataFrame:
     """Split raw skip text (commas or newlines) into normalised names."""
     tok = raw.select(F.explode(F.split(F.col(col), r"[\r\n,]+")).alias("t"))
-    return (tok.select(normalize_skip_name(F.col("t")).alias("skip_name"))
+    return (tok.select(plain_name(F.col("t")).alias("skip_name"))
             .filter(F.length("skip_name") > 0).distinct())
 
 
@@ -88,7 +88,7 @@ def skip_filter(tasks: DataFrame, skip_names: DataFrame) -> tuple[DataFrame, Dat
     """Split tasks into (runnable, skipped): a task is skipped when any of its
     five name candidates matches a skip name.  The skip list joins as a table
     (Catalyst broadcasts it only under the size threshold)."""
-    cands = F.array(*[normalize_skip_name(F.coalesce(F.col(c), F.lit("")))
+    cands = F.array(*[plain_name(F.coalesce(F.col(c), F.lit("")))
                       for c in ["dataset_name", "dataset_id", "single_csv", "train_csv", "test_csv"]])
     ex = tasks.select(*TASK_KEYS, F.explode(cands).alias("skip_name")).filter(F.length("skip_name") > 0)
     hit = ex.join(skip_names, "skip_name", "left_semi").select(*TASK_KEYS).distinct()
@@ -140,7 +140,6 @@ def sweep_contexts(ctx: DataFrame, params: list[dict], keys: list[str] | None =
     context sizes.
     """
     keys = list(keys or [])
-    from pyspark.sql import Window
     w = Window.partitionBy(*keys, "test_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     c = ctx.withColumn("_before", F.coalesce(F.sum("weight").over(w), F.lit(0.0)))
     grid = F.array(*[F.struct(F.lit(int(p["param_id"])).alias("pid"), F.lit(int(p["k"])).alias("k"),
@@ -157,8 +156,10 @@ def sweep_scores(ctx: DataFrame, params: list[dict], train: DataFrame, truth: Da
     keys = list(keys or [])
     sc = sweep_contexts(ctx, params, keys)
     lab = train.select(*keys, F.col("row_id").alias("train_id"), F.col("y").alias("class"))
-    logits = (sc.join(lab, [*keys, "train_id"])
-              .groupBy(*keys, "param_id", "test_id", "class").agg(F.log(F.sum("weight")).alias("logit")))
+    best = F.max("score").over(Window.partitionBy(*keys, "param_id", "test_id", "class"))  # so that no far weight vanishes
+    logits = (sc.join(lab, [*keys, "train_id"]).withColumn("_best", best)
+              .groupBy(*keys, "param_id", "test_id", "class")
+              .agg((F.max("_best") - F.max("lse") + F.log(F.sum(F.exp(F.col("score") - F.col("_best"))))).alias("logit")))
     probs = predict.temperature_softmax(logits, temperature, keys=[*keys, "param_id"])
     pred = probs.groupBy(*keys, "param_id", "test_id").agg(
         F.min_by("class", F.struct(-F.col("p"), F.col("class"))).alias("pred"))

@@ -517,6 +517,16 @@ def v2_f1(spark, sf_dir):
     return metrics.f1(pt).select(r6("f1", "f1"))
 
 
+@register("v2_f1_binary", "WITH " + PROBS_SQL + """
+SELECT round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1
+FROM (SELECT count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y <> 1 AND pred = 1) AS fp,
+             count(*) FILTER (WHERE y = 1 AND pred <> 1) AS fn FROM predtab)""")
+def v2_f1_binary(spark, sf_dir):
+    """Of class 1 against all others."""
+    _, _, pt = vec_pred(spark, sf_dir)
+    return metrics.f1(pt, average="binary", pos_label=1).select(r6("f1", "f1"))
+
+
 @register("v3_log_loss", "WITH " + PROBS_SQL + """,
 pn AS (SELECT test_id, class, p / sum(p) OVER (PARTITION BY test_id) AS p FROM probs)
 SELECT round(avg(-ln(greatest(least(coalesce(pn.p, 0), 1 - 1e-15), 1e-15))), 6) AS logloss

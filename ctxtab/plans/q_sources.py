@@ -30,10 +30,14 @@ def s2_read_single(spark, sf_dir):
     return d.select("row_id", "quality", "y", "split")
 
 
-@register("s3_dataset_catalog")
+S3_SQL = "\nUNION ALL ".join(f"SELECT 'driver' AS benchmark, '{t}' AS dataset_id, '{t}' AS dataset_name, count(*) AS n_rows FROM {t}" for t in tables.TABLES)
+
+
+@register("s3_dataset_catalog", S3_SQL)
 def s3_dataset_catalog(spark, sf_dir):
-    """Discovery over the driver folder (every table file is a single-file dataset)."""
-    return io.dataset_catalog(spark, sf_dir, "driver", ext="parquet")
+    """Discovery over the driver folder (every table file is a single-file dataset) with the rows of each."""
+    found = io.dataset_catalog(spark, sf_dir, "driver", ext="parquet")
+    return io.catalog_rows(spark, found, fmt="parquet").select("benchmark", "dataset_id", "dataset_name", "n_rows")
 
 
 def _doc_target(spark, sf_dir):

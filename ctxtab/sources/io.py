@@ -110,7 +110,7 @@ def read_single(spark: SparkSession, path: str, fmt: str = "csv", target: str |
     df = drop_missing_target(raw, y)
     # the two-row check is a bounded probe (at most two rows reach the driver)
     if len(df.select(y).limit(2).collect()) < 2:
-        raise ValueError("Not enough valid rows after dropping missing targets.")
+        raise ValueError("fewer than two rows have a target")
     feats = [c for c in raw.columns if c not in (y, id_col)]
     df = _row_ids(df, id_col, raw.columns)
     out = normalize_label(df.select("row_id", *feats, F.col(y).alias("y")))
@@ -154,6 +154,21 @@ def dataset_catalog(spark: SparkSession, root: str, benchmark: str, ext: str = "
                        "dataset_dir", "t.single_csv", "t.train_csv", "t.test_csv")
 
 
+def catalog_rows(spark: SparkSession, catalog: DataFrame, fmt: str = "csv") -> DataFrame:
+    """``catalog`` with ``n_rows``, the rows of each dataset's files; one scan for each dataset, no data to the driver.
+
+    The list of datasets (paths) goes through the driver, as any list of inputs does.
+    """
+    keys = ["benchmark", "dataset_dir", "dataset_name"]
+    counts = None
+    for r in catalog.collect():
+        paths = [p for p in (r["single_csv"], r["train_csv"], r["test_csv"]) if p]
+        one = (_reader(spark, fmt, None).load(paths).agg(F.count(F.lit(1)).alias("n_rows"))
+               .select(*[F.lit(r[k]).alias(k) for k in keys], "n_rows"))
+        counts = one if counts is None else counts.unionByName(one)
+    return catalog.withColumn("n_rows", F.lit(0).cast("long")) if counts is None else catalog.join(counts, keys)
+
+
 def prediction_table(probs: DataFrame, truth: DataFrame, classes: list, keys: list[str] | None = None) -> DataFrame:
     """S7 (classification): one row per test row, ``label, pred_0..pred_{K-1}``.
 

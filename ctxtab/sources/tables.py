@@ -257,7 +257,7 @@ def suite_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(fail, None).otherwise(F.lit(1.0) - acc).alias("logloss"),
         (F.col("p_retailprice") / 100.0).alias("predict_seconds"),
         F.when(fail, "fail").otherwise("ok").alias("status"),
-        F.when(fail, F.lit("ValueError: Not enough valid rows after dropping missing targets.")).alias("error"))
+        F.when(fail, F.lit("ValueError: fewer than two rows have a target")).alias("error"))
 
 
 SUITE_RESULTS_SQL = SUITE_TASKS_SQL + """,
@@ -272,7 +272,7 @@ results AS (
          CASE WHEN p_size % 10 = 0 THEN NULL ELSE 1.0 - (p_retailprice - 900.0) / 100.0 END AS logloss,
          p_retailprice / 100.0 AS predict_seconds,
          CASE WHEN p_size % 10 = 0 THEN 'fail' ELSE 'ok' END AS status,
-         CASE WHEN p_size % 10 = 0 THEN 'ValueError: Not enough valid rows after dropping missing targets.' END AS error
+         CASE WHEN p_size % 10 = 0 THEN 'ValueError: fewer than two rows have a target' END AS error
   FROM tasks t JOIN part ON t.dataset_name = 'ds_' || p_partkey
   WHERE p_partkey % 7 <> 0)"""
 

@@ -44,7 +44,7 @@ def test_read_single_requires_two_rows(spark):
     try:
         io.read_single(spark, f"{d}/one.csv")
     except ValueError as e:
-        assert "Not enough valid rows" in str(e)
+        assert "fewer than two rows" in str(e)
     else:
         raise AssertionError("expected ValueError")
 
