@@ -193,7 +193,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         T.StructType([T.StructField("_none", T.BooleanType()), T.StructField("_name", T.StringType()), T.StructField("source_size", T.LongType()),
                       T.StructField("target", T.DoubleType()), T.StructField("_shards", T.LongType())]))
     shard = F.when(F.col("_size") > 0, F.pmod("_deal", "_shards")).otherwise(-1 - F.pmod("_deal", F.lit(EMPTY_SHARDS)))
-    sized = sized.join(by_source, ["_none", "_name"]).withColumn("_shard", shard)
+    sized = sized.join(F.broadcast(by_source), ["_none", "_name"]).withColumn("_shard", shard)  # a row for each source
     group = ["_shard", "_none", "_name"]
     parts = cut_lineage(sized.where("_size > 0").groupBy(*group).agg(F.sum("_size").alias("_words")))
     quotas = _quotas(parts, words, target, block, most)
