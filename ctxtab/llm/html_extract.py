@@ -2,20 +2,21 @@
 
 The pages of a host are merged into one tree whose nodes are element paths (tag names with their
 classes).  For each node Spark counts, over the host's pages, how often each presentation (the
-sequence of child tags) and each content (the text below the node) occurs.  With m pages that have
-the node,
+sequence of child tags) and each content (the text below the node) occurs.  A host of m pages is
+taken to have ``PRIOR`` pages more, which nothing repeats; with the base m + PRIOR,
 
-* the presentation importance is the entropy of its presentations to the base m,
-* a content that df pages share has importance 1 - log(df) / log(m), and the content importance of
-  the node is the mean over its occurrences,
+* the presentation importance is the entropy of a node's presentations,
+* a content that df pages share has importance 1 - log(df), and the content importance of the node
+  is the mean over its occurrences,
 * the two are combined with weights 1 - GAMMA**l and GAMMA**l for l different presentations.
 
-A branch below ``LOW`` goes, and so does a single text block below it.  Hosts with fewer than
-``LEAST_PAGES`` pages say nothing about repetition.  Besides, elements that HTML or their class
-names declare as menus, headers, footers, side bars, notices, adverts, forms, comments and the like
-have no importance from the start, and where a page marks its article or main part, text outside
-has none either.  If repetition alone would empty a page, it is not applied to that page.  Declared
-names do not count on elements around the page's own main part (see ``Page._settle``).
+So importance is defined for every m, and what two or three pages share keeps more of it than what
+hundreds share.  A branch below ``LOW`` goes if about as many pages present it alike, and so does a
+single text block below it.  Besides, elements that HTML or their class names declare as menus,
+headers, footers, side bars, notices, adverts, forms, comments and the like have no importance from
+the start, and where a page marks its article or main part, text outside has none either.  If
+repetition alone would empty a page, it is not applied to that page.  Declared names do not count on
+elements around the page's own main part (see ``Page._settle``).
 
 Counts are aggregated in tasks before the shuffle; only low nodes (few for each host) go back to
 the pages, by a broadcast join if there are few enough, else by a shuffled one.
@@ -38,9 +39,10 @@ from ctxtab.session import cut_lineage
 
 GAMMA = 0.9
 LOW = 0.05
-LEAST_PAGES = 5
+PRIOR = 0.35              # pages of their own kind that a host is taken to have besides those seen
 COUNTER = 200_000         # entries a task holds before it sends its counts
 BROADCAST_ROWS = 100_000
+PRIME, BASE = (1 << 127) - 1, 0x5851F42D4C957F2D14057B7EF767814F  # of the names of contents
 
 # Element names and class words of the HTML standard and of common page templates.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,26 +81,39 @@ def _short(s: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "path", "mark", "up", "noise", "main", "header", "children", "texts")
+    """An element; its blocks of text are those numbered from ``first`` up to ``end``."""
 
-    def __init__(self, tag: str, path: str, mark: int, up: Node | None, main: bool, header: bool):
+    __slots__ = ("tag", "path", "mark", "up", "noise", "main", "header", "heading", "children", "first", "end", "open", "marks", "cell", "low", "own")
+
+    def __init__(self, tag: str, path: str, mark: int, up: Node | None, main: bool, header: bool, first: int):
         self.tag, self.path, self.mark, self.up, self.main, self.header = tag, path, mark, up, main, header
         self.noise = mark > 0 or (up is not None and up.noise)
+        self.heading = tag in HEADINGS or (up is not None and up.heading)
         self.children: list[str] = []
-        self.texts: list[int] = []   # blocks below
+        self.first, self.end, self.open = first, first, True
+        self.marks, self.cell, self.low, self.own = 0, None, False, False
 
 
 class Page:
-    """Blocks of text of a page, each with the elements around it, from one pass over its tokens."""
+    """Blocks of text of a page, each with its innermost element, from one pass over its tokens.
+
+    Time and memory are linear in the page, however deep elements nest: an element knows its range of
+    blocks, and open elements are found by their places on the stack, kept for each tag name.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, list[Node]]] = []
+        self.blocks: list[tuple[str, Node]] = []
         self.nodes: list[Node] = []
         self._text: list[str] = []
-        self._at: list[Node] | None = None
-        self.stack: list[Node] = [Node("", "", 0, None, False, False)]
+        self._at: Node | None = None
+        self._begun: list[int] = []  # for each block begun, how many texts came before it
+        self.root = Node("", "", 0, None, False, False, 0)
+        self.stack: list[Node] = [self.root]
+        self._open: dict[str, list[int]] = {}   # places on the stack of open elements, by tag
+        self._open_blocks: list[int] = []
+        self._open_closers: list[int] = []      # of those that end a paragraph
         self.bounded = True          # text outside the main part goes
-        at, raw = 0, None
+        at = 0
         for m in _TOKEN.finditer(source):
             if m.start() < at:
                 continue
@@ -116,12 +131,17 @@ class Page:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, m.end())
                 at = close.start() if close else len(source)  # what stands inside is no markup and no text
         self._flush()
+        self._cut(1)
+        self._begun.append(len(self.blocks))
+        for n in self.nodes:  # from blocks begun to blocks that have a text
+            n.first, n.end = self._begun[n.first], self._begun[n.end]
         for tag in ("main", "article"):
             self._settle(tag)
 
     def _add(self, text: str) -> None:
         if text.strip() and self._at is None:
-            self._at = list(self.stack)
+            self._at = self.stack[-1]
+            self._begun.append(len(self.blocks))
         if self._at is not None or text.strip():
             self._text.append(text)
 
@@ -129,8 +149,6 @@ class Page:
         if self._at is not None:
             text = " ".join(html.unescape("".join(self._text)).split())
             if text:
-                for n in self._at:
-                    n.texts.append(len(self.blocks))
                 self.blocks.append((text, self._at))
         self._text, self._at = [], None
 
@@ -138,9 +156,12 @@ class Page:
         if tag in BLOCK:
             self._flush()
         if tag in _CLOSES_P:
-            self._close({"p"}, _CLOSES_P - {"p"})
+            if self._open_closers and self.stack[self._open_closers[-1]].tag == "p":
+                self._cut(self._open_closers[-1])
         if tag in _ENDS:
-            self._close(*_ENDS[tag])
+            ended, within = (max((self._open[t][-1] for t in tags if self._open.get(t)), default=0) for tags in _ENDS[tag])
+            if ended > within:
+                self._cut(ended)
         top = self.stack[-1]
         name, mark = tag, 0 if tag not in NOISE_TAGS else LOOSE if tag == "form" else FIRM
         header = top.header or (tag == "header" and top.main)
@@ -165,28 +186,39 @@ class Page:
         if tag in VOID:
             return
         path = f"{top.path}/{name}"
-        node = Node(tag, path if len(path) <= 300 else "#" + _short(path), mark, top, top.main or tag in MAIN_TAGS, header)
+        node = Node(tag, path if len(path) <= 300 else "#" + _short(path), mark, top, top.main or tag in MAIN_TAGS, header, len(self._begun))
         self.nodes.append(node)
+        for places in self._places(tag):
+            places.append(len(self.stack))
         self.stack.append(node)
 
-    def _close(self, tags, scope) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in tags:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in scope:
-                return
+    def _places(self, tag: str) -> list[list[int]]:
+        return [self._open.setdefault(tag, []), *([self._open_blocks] if tag in BLOCK else []), *([self._open_closers] if tag in _CLOSES_P else [])]
+
+    def _shut(self, node: Node) -> None:
+        for places in self._places(node.tag):
+            places.pop()
+        node.open, node.end = False, len(self._begun)
+
+    def _cut(self, k: int) -> None:
+        """End the elements from place ``k`` of the stack on."""
+        while len(self.stack) > k:
+            node = self.stack.pop()
+            if node.open:
+                self._shut(node)
+        while not self.stack[-1].open:
+            self.stack.pop()
 
     def _end(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                if tag not in BLOCK and any(n.tag in BLOCK for n in self.stack[k + 1:]):
-                    del self.stack[k]   # an inline element that ends inside a block: the block stays open
-                else:
-                    del self.stack[k:]
-                return
+        if not self._open.get(tag):
+            return
+        k = self._open[tag][-1]
+        if tag not in BLOCK and self._open_blocks and self._open_blocks[-1] > k:
+            self._shut(self.stack[k])   # an inline element that ends inside a block: the block stays open
+        else:
+            self._cut(k)
 
     def _settle(self, tag: str) -> None:
         """Marks around the page's own ``tag`` (main or article) go, and around those in the same wrappers.
@@ -196,20 +228,24 @@ class Page:
         text else.  Text outside then stays too if it is longer and the page marks no other main part.
         """
         found = []
-        has = tag != "main" and any(n.tag == "main" and not n.noise and n.texts for n in self.nodes)
+        has = tag != "main" and any(n.tag == "main" and not n.noise and n.end > n.first for n in self.nodes)
+        # marked elements around a node as linked cells (name, worst, how many, node, cell further out); none inside another ``tag``
+        self.root.cell, names = (0, 0, 0, None, None), {}
         for n in self.nodes:
-            if n.tag != tag or n.mark or not n.texts or (has and not n.up.main):  # beside a main part no article is the page's own
+            n.marks, out = n.up.marks + (n.mark > 0), n.up.cell
+            if out is None or n.tag == tag:
+                n.cell = None
+            elif n.mark:
+                n.cell = (names.setdefault((n.path, out[0]), len(names) + 1), max(n.mark, out[1]), out[2] + 1, n, out)
+            else:
+                n.cell = out
+        for n in self.nodes:
+            if n.tag != tag or n.mark or n.end == n.first or (has and not n.up.main):  # beside a main part no article is the page's own
                 continue
-            marked, up = [], n.up
-            while up is not None and up.tag != tag:
-                if up.mark:
-                    marked.append(up)
-                up = up.up
-            if up is None:
-                own = [self.blocks[k] for k in n.texts]
-                length = sum(len(text) for text, around in own if tag == "main" or not any(x.mark for x in around[around.index(n):]))
+            if n.up.cell is not None:
+                length = sum(len(text) for text, last in self.blocks[n.first:n.end] if tag == "main" or last.marks == n.marks)
                 if length:
-                    found.append((max((x.mark for x in marked), default=0), len(marked), -length, marked))
+                    found.append((n.up.cell[1], n.up.cell[2], -length, n.up.cell))
         if not found:
             return
         worst, _, length, around = min(found, key=lambda x: x[:3])
@@ -218,31 +254,37 @@ class Page:
         left = len(self.kept())
         if (worst == FIRM and left) or (worst == OTHER and tag != "main" and left > -length):
             return
-        if tag != "main" and left > -length and not any(n.main and not n.noise and n.texts for n in self.nodes):
+        if tag != "main" and left > -length and not any(n.main and not n.noise and n.end > n.first for n in self.nodes):
             self.bounded = False
-        same = [x.path for x in around]
-        for *_, marked in found:
-            if [x.path for x in marked] == same:
-                for x in marked:
-                    x.mark = 0
+        for *_, cell in found:
+            if cell[0] == around[0]:
+                while cell[3] is not None and cell[3].mark:
+                    cell[3].mark, cell = 0, cell[4]
         for n in self.nodes:
             n.noise = n.mark > 0 or n.up.noise
 
     def kept(self, low_paths=frozenset(), low_texts=frozenset()) -> str:
-        has_main = self.bounded and any(n.main and not n.noise for _, around in self.blocks for n in around)
+        for n in self.nodes:
+            n.low = n.up.low or n.path in low_paths
+            n.own = n.up.own or (n.main and not n.noise)
+        has_main = self.bounded and any(last.own for _, last in self.blocks)
         out, again = [], []
-        for text, around in self.blocks:
-            last = around[-1]
-            if last.noise or (has_main and not last.main):
-                continue
-            if last.header and not any(n.tag in HEADINGS for n in around):
+        for text, last in self.blocks:
+            if last.noise or (has_main and not last.main) or (last.header and not last.heading):
                 continue
             again.append(text)
-            if any(n.path in low_paths for n in around) or (low_texts and (last.path, _short(text)) in low_texts):
-                continue
-            out.append(text)
+            if not last.low and not (low_texts and (last.path, _short(text)) in low_texts):
+                out.append(text)
         return "\n".join(out or again)
 
+    def contents(self):
+        """A function that names the text below a node: a polynomial hash of its blocks' hashes, from sums up to each block."""
+        upto, power = [0], [1]
+        for text, _ in self.blocks:
+            upto.append((upto[-1] * BASE + int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=15).digest(), "little")) % PRIME)
+            power.append(power[-1] * BASE % PRIME)
+        return lambda n: f"{(upto[n.end] - upto[n.first] * power[n.end - n.first]) % PRIME:x}.{n.end - n.first}"
+
 
 def _counts(batches):
     """(host, path, kind, feature, pages) of a task's pages; features are presentations (0) and contents (1)."""
@@ -254,14 +296,15 @@ def _counts(batches):
     for batch in batches:
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             page, seen = Page(source or ""), set()
+            content = page.contents()
             for n in page.nodes:
                 if n.noise:  # goes in any case
                     continue
                 seen.add((host, n.path, 0, _short(" ".join(n.children))))
-                seen.add((host, n.path, 1, _short("\n".join(page.blocks[k][0] for k in n.texts))))
-            for text, around in page.blocks:
-                if not around[-1].noise:
-                    seen.add((host, around[-1].path, 2, _short(text)))
+                seen.add((host, n.path, 1, content(n)))
+            for text, last in page.blocks:
+                if not last.noise:
+                    seen.add((host, last.path, 2, _short(text)))
             counter.update(seen)
             if len(counter) > COUNTER:
                 yield send(counter)
@@ -273,7 +316,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, feature): low nodes (feature null) and low text blocks of each host; ``pages`` has host and html."""
     counted = (pages.select("host", "html").mapInArrow(_counts, "host string, path string, kind int, feature string, pages long")
                .groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("n")))
-    size = pages.groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
+    size = pages.groupBy("host").agg(F.count("*").alias("m"))
     node = counted.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("most"),
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("shown"),
@@ -281,12 +324,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("kind") == 0, 1)).alias("styles"),
         F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("said"),
         F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log("n"))).alias("said_log"))
-    base = F.log(F.col("m").cast("double"))
+    base = F.log(F.col("m") + F.lit(PRIOR))
     shows = (F.log("shown") - F.col("shown_log") / F.col("shown")) / base
     says = 1 - F.col("said_log") / F.col("said") / base
     weight = F.pow(F.lit(GAMMA), "styles")
     # a path that fewer of the host's pages have than would make a shared text low is no evidence
-    nodes = (node.join(size, "host").where((F.col("shown") >= LEAST_PAGES) & (F.col("most") >= F.pow(F.col("m"), F.lit(1 - LOW))))
+    nodes = (node.join(size, "host").where(F.log("most") >= base * (1 - LOW))
              .where((1 - weight) * shows + weight * says < LOW).select("host", "path", F.lit(None).cast("string").alias("feature")))
     texts = (counted.where("kind = 2").join(size, "host").where(1 - F.log("n") / base < LOW).select("host", "path", "feature"))
     return nodes.unionByName(texts)

@@ -181,6 +181,67 @@ def test_html_other_articles_still_go():
     assert html_extract.Page("<article><p>Own</p></article><div id=comments><article><p>A longer comment</p></article></div>").kept() == "Own"
 
 
+def test_html_nesting_is_linear():
+    import time
+    t0 = time.perf_counter()
+    page = html_extract.Page("<div><p>x" * 10_000 + "</q>" * 10_000)
+    assert page.kept().count("x") == 10_000 and [(n.first, n.end) for n in page.nodes[:3]] == [(0, 10_000), (0, 1), (1, 10_000)]
+    small = html_extract.Page("<div><p>x" * 1_000).kept()
+    assert time.perf_counter() - t0 < 10 and small == "\n".join(["x"] * 1_000)  # entries for each pair of nested elements took minutes
+    inline = html_extract.Page("<div><b>one<p>two</b>three</p>four</div>five")
+    assert inline.kept() == "one\ntwothree\nfour\nfive"
+
+
+def test_html_style_tree_against_brute_force(spark):
+    import math
+    import random
+    from collections import Counter
+    r = random.Random(4)
+    rows, said, size = [], Counter(), Counter()
+
+    def build(depth, path, seen):
+        """Markup of a random element's inside, its child tags and its texts in order; fills what the page shows."""
+        out, tags, texts = [], [], []
+        for _ in range(r.randint(1, 3)):
+            if depth == 3 or r.random() < 0.4:
+                text = r.choice(["Read more stories", "All our pages", f"word {r.randint(0, 10 ** 9)}"])
+                out.append(f"<p>{text}</p>")
+                below, kids, tag = [text], [], "p"
+                seen.add((f"{path}/p", 2, text))
+            else:
+                tag = r.choice(["div", "section"])
+                markup, kids, below = build(depth + 1, f"{path}/{tag}", seen)
+                out.append(f"<{tag}>{markup}</{tag}>")
+            seen.add((f"{path}/{tag}", 0, " ".join(kids)))
+            seen.add((f"{path}/{tag}", 1, "\n".join(below)))
+            tags, texts = [*tags, tag], [*texts, *below]
+        return "".join(out), tags, texts
+
+    for host, pages in (("a", 30), ("b", 6), ("c", 4), ("d", 2), ("e", 1)):
+        fixed = "<ul><li>Menu</li></ul><section><p>All rights reserved</p></section>"
+        for _ in range(pages):
+            seen = {("/ul", 0, "li"), ("/ul", 1, "Menu"), ("/ul/li", 0, ""), ("/ul/li", 1, "Menu"), ("/ul/li", 2, "Menu"),
+                    ("/section", 0, "p"), ("/section", 1, "All rights reserved"), ("/section/p", 0, ""), ("/section/p", 1, "All rights reserved"),
+                    ("/section/p", 2, "All rights reserved")}
+            rows.append((host, fixed + build(0, "", seen)[0]))
+            said.update((host, *x) for x in seen)
+            size[host] += 1
+    want = set()
+    for host, path in {k[:2] for k in said}:
+        base = math.log(size[host] + html_extract.PRIOR)
+        shows, says, texts = ({k[3]: n for k, n in said.items() if k[:3] == (host, path, kind)} for kind in range(3))
+        total = sum(shows.values())
+        entropy = -sum(n / total * math.log(n / total) for n in shows.values()) / base
+        common = sum(n * (1 - math.log(n) / base) for n in says.values()) / sum(says.values())
+        weight = html_extract.GAMMA ** len(shows)
+        if (1 - weight) * entropy + weight * common < html_extract.LOW and math.log(max(shows.values())) >= base * (1 - html_extract.LOW):
+            want.add((host, path, None))
+        want |= {(host, path, html_extract._short(t)) for t, n in texts.items() if 1 - math.log(n) / base < html_extract.LOW}
+    got = html_extract.style_tree(spark.createDataFrame(rows, "host string, html string").repartition(3)).collect()
+    assert {(x.host, x.path, x.feature) for x in got} == want and len(got) == len(want)
+    assert {h for h, *_ in want} == {"a", "b"} and ("b", "/ul", None) in want  # little is known of what four pages share
+
+
 # ---------------------------------------------------------------- mixing
 def test_targets():
     got = mixing.targets({"b": 100, "a": 10, None: 1000, "c": 0})
