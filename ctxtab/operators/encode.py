@@ -206,15 +206,21 @@ def local_relabel(ctx: DataFrame, group: str = "test_id", y: str = "ctx_y") -> D
     return ctx.withColumn("local_y", (F.dense_rank().over(w) - 1).cast("int"))
 
 
-def local_relabel_inverse(scores: DataFrame, mapping: DataFrame, classes: list,
-                          group: str = "test_id") -> DataFrame:
-    """E12 inverse: scatter local scores to the global class list (driver
-    metadata, K values); absent classes get -inf."""
-    m = mapping.select(group, "local_y", F.col("ctx_y").alias("class")).distinct()
-    s = scores.join(m, [group, "local_y"]).select(group, "class", "score")
-    grid = scores.select(group).distinct().withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes])))
-    return grid.join(s, [group, "class"], "left").withColumn(
-        "score", F.coalesce(F.col("score"), F.lit(float("-inf"))))
+def local_relabel_inverse(scores: DataFrame, mapping: DataFrame, classes: list, group: str = "test_id",
+                          y: str = "ctx_y", rows: list[str] | None = None) -> DataFrame:
+    """E12 inverse: scatter local scores to the global class list (driver metadata, K values).
+
+    ``scores`` has ``group``, the columns ``rows`` that name a scored row inside its group (none if the
+    group is the row), ``local_y`` and ``score``; ``mapping`` is what :func:`local_relabel` returned.
+    Classes that a group does not know get -inf.  Scores are evaluated once: a row's few scores
+    become a map, which is read for every class.
+    """
+    names = mapping.groupBy(group, "local_y").agg(F.first(y).alias("class"))
+    held = (scores.join(names, [group, "local_y"]).groupBy(group, *(rows or []))
+            .agg(F.map_from_entries(F.collect_list(F.struct("class", "score"))).alias("_known")))
+    every = F.explode(F.array(*[F.lit(c) for c in classes])).alias("class")
+    return (held.select(group, *(rows or []), "_known", every)
+            .withColumn("score", F.coalesce(F.element_at("_known", F.col("class")), F.lit(float("-inf")))).drop("_known"))
 
 
 def target_rank(df: DataFrame, c: str, split: str = "split", out: str | None = None,

@@ -88,3 +88,29 @@ def rebalanced_ensemble(df: DataFrame, features: Sequence[str], categorical: Seq
         parts.append(table_probs(table, order, k, perms[i], spec.softmax_temperature)
                      .select("test_id", F.col("class").cast("int").alias("class"), "p").withColumn("member", F.lit(i)))
     return _averaged(parts)
+
+
+def score_by_group(test: DataFrame, train: DataFrame, assignment: DataFrame, ctx: DataFrame, vec_col: str, k: int, max_classes: int,
+                   temperature: float = 0.9, classes: list | None = None, label_col: str = "y", id_col: str = "row_id") -> DataFrame:
+    """Q10: class probabilities of test rows scored cluster by cluster, in one job for all clusters.
+
+    ``assignment`` is (test_id, cluster_id) and ``ctx`` the test rows' contexts (test_id, train_id): a
+    cluster's train rows are the union of its members' contexts, cut to its ``max_classes`` most
+    frequent classes and relabelled 0..n-1 inside the cluster.  Scores come back in the original
+    classes: as (cluster_id, test_id, class, p) of the classes that a row's context holds, or, with
+    the global list ``classes``, of every class (p = 0 where the cluster does not know it).
+    """
+    known_ids, asked_ids = retrieve.cluster_contexts(ctx, assignment)
+    known = (known_ids.join(train.select(F.col(id_col).alias("train_id"), F.col(label_col).alias("ctx_y"), vec_col), "train_id")
+             .withColumnRenamed("train_id", "row_id"))
+    known = encode.limit_classes(known, max_classes, "ctx_y", keys=["cluster_id"])
+    known = encode.local_relabel(known, group="cluster_id")
+    asked = (asked_ids.join(test.select(F.col(id_col).alias("test_id"), vec_col), "test_id").withColumnRenamed("test_id", "row_id"))
+    near = retrieve.top_k_context(asked, known, vec_col, k, keys=["cluster_id"])
+    local = predict.predict_classes(near, known, temperature, label_col="local_y", keys=["cluster_id"])
+    if classes is None:
+        names = known.groupBy("cluster_id", F.col("local_y").alias("class")).agg(F.first("ctx_y").alias("_y"))
+        return local.join(names, ["cluster_id", "class"]).select("cluster_id", "test_id", F.col("_y").alias("class"), "p")
+    scores = local.select("cluster_id", "test_id", F.col("class").alias("local_y"), F.log("p").alias("score"))
+    spread = encode.local_relabel_inverse(scores, known, classes, "cluster_id", rows=["test_id"])
+    return spread.select("cluster_id", "test_id", "class", F.exp("score").alias("p"))

@@ -98,10 +98,12 @@ def ensemble_average(members: DataFrame, keys: list[str] | None = None, value: s
     """M5: mean over members then renormalise per test row.
 
     ``members`` is the long union ``(member, test_id, class, p)``; a class
-    missing from a member counts as 0 in that member's average.
+    missing from a member counts as 0 in that member's average.  Give
+    ``n_members`` where it is known: counting them runs every member once more.
     """
     keys = list(keys or [])
-    n_members = members.select("member").distinct().count()
+    if n_members is None:
+        n_members = members.select("member").distinct().count()
     avg = (members.groupBy(*keys, "test_id", "class")
            .agg((F.sum(value) / F.lit(n_members)).alias("_a")))
     w = Window.partitionBy(*keys, "test_id")

@@ -194,6 +194,22 @@ def top_k_context(test: DataFrame, train: DataFrame, vec_col: str, k: int,
     return _merge(block_scores(test, train, vec_col, k, keys, **kw), keys, k)
 
 
+def mixed_context(test: DataFrame, train: DataFrame, cols: list[str], k: int, relevance: DataFrame | None = None,
+                  keys: list[str] | None = None, id_col: str = "row_id", **kw) -> DataFrame:
+    """Q3: top-k context by per-feature scores, averaged with the features' relevance as weights.
+
+    ``relevance`` is (feature, relevance), a row for each feature (Q2); without it every feature counts
+    alike (samples only).  The weighted mean of products is one dot product, so no score of a single
+    feature is ever stored; a missing cell adds nothing to it.
+    """
+    weight = {c: 1.0 for c in cols} if relevance is None else {r["feature"]: float(r["relevance"]) for r in relevance.collect()}
+    cell = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols}
+    own = [*(keys or []), id_col]
+    asked = test.select(*own, F.array(*[cell[c] * F.lit(weight[c] / len(cols)) for c in cols]).alias("_v"))
+    known = train.select(*own, F.array(*cell.values()).alias("_v"))
+    return top_k_context(asked, known, "_v", k, keys, scale=1.0, **kw)
+
+
 def mass_context(test: DataFrame, train: DataFrame, vec_col: str, threshold: float = 0.5,
                  retrieval_len: int = 200, mixed_method: str = "max",
                  keys: list[str] | None = None, id_col: str = "row_id", **kw) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ctxtab.functions.exprs import id_hash_sql, r6
 from ctxtab.functions.ranking import global_index
-from ctxtab.operators import encode, metrics, predict, retrieve, split
+from ctxtab.operators import encode, metrics, pipeline, predict, retrieve, split
 from ctxtab.operators.scale import StandardScaler
 from ctxtab.plans.q_clean import RELEVANCE_SQL, line_relevance
 from ctxtab.plans.q_retrieve import K_CTX, PROBS_SQL, TEMP, VEC_CTX_SQL, vec_context, vec_pred, vec_probs
@@ -59,21 +59,31 @@ rel AS (SELECT feature, e / sum(e) OVER () AS w FROM rel0),
 wv AS (SELECT """ + ", ".join(f"max(CASE WHEN feature = '{c}' THEN w END) AS w_{c}" for c in CF) + " FROM rel)"
 
 
-@register("q3_mixed_scores", "WITH " + CUST_Z_SQL + ctx_chain("c", "SELECT t.row_id AS test_id, r.row_id AS train_id, ("
-          + " + ".join(f"t.{c} * w_{c} * r.{c}" for c in CF) + f") / {len(CF)} AS score "
-          "FROM cz t JOIN cz r ON t.split = 'test' AND r.split = 'train', wv") + """
+def _q3_sql(weights: dict[str, str]) -> str:
+    return ("WITH " + CUST_Z_SQL + ctx_chain("c", "SELECT t.row_id AS test_id, r.row_id AS train_id, ("
+            + " + ".join(f"t.{c} * {w} * r.{c}" for c, w in weights.items()) + f") / {len(CF)} AS score "
+            "FROM cz t JOIN cz r ON t.split = 'test' AND r.split = 'train', wv") + """
 SELECT test_id, train_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM crk WHERE rank <= 5""")
-def q3_mixed_scores(spark, sf_dir):
+
+
+def _q3(spark, sf_dir, use_relevance):
     from ctxtab.operators.scale import feature_relevance
     z = _cust_z(spark, sf_dir)
-    rel = {r["feature"]: r["relevance"] for r in feature_relevance(z.filter("split = 'train'"), CF).collect()}
-    test = z.filter("split = 'test'").withColumn(
-        "v", F.array(*[F.col(c) * F.lit(rel[c] / len(CF)) for c in CF]))
-    train = z.filter("split = 'train'").withColumn("v", F.array(*[F.col(c) for c in CF]))
-    ctx = retrieve.top_k_context(test, train, "v", 5, scale=1.0)
+    test, train = z.filter("split = 'test'"), z.filter("split = 'train'")
+    ctx = retrieve.mixed_context(test, train, CF, 5, feature_relevance(train, CF) if use_relevance else None)
     return ctx.select("test_id", "train_id", "rank", r6("score", "score"))
 
 
+@register("q3_mixed_scores", _q3_sql({c: f"w_{c}" for c in CF}))
+def q3_mixed_scores(spark, sf_dir):
+    return _q3(spark, sf_dir, True)
+
+
+@register("q3_only_sample", _q3_sql({c: "1.0" for c in CF}))
+def q3_only_sample(spark, sf_dir):
+    return _q3(spark, sf_dir, False)
+
+
 # ------------------------------------------------------------------ Q5 mass selection
 def _mass_sql(method: str, L: int, thr: float) -> str:
     need = (f"greatest(coalesce(need, n_ctx), {L})" if method == "max" else f"least(coalesce(need, {L}), {L})")
@@ -177,15 +187,20 @@ SELECT test_id, class, round(e / sum(e) OVER (PARTITION BY test_id), 6) AS p FRO
 @register("q10_score_by_group", Q10_SQL)
 def q10_score_by_group(spark, sf_dir):
     test, train, ctx = vec_context(spark, sf_dir)
-    asg = _assign(ctx)
-    tr_ids, te_ids = retrieve.cluster_contexts(ctx, asg)
-    ctr = tr_ids.join(train.select(F.col("row_id").alias("train_id"), "y", "emb"), "train_id") \
-        .withColumnRenamed("train_id", "row_id")
-    ctr = encode.limit_classes(ctr, 5, "y", keys=["cluster_id"])
-    cte = te_ids.join(test.select(F.col("row_id").alias("test_id"), "emb"), "test_id") \
-        .withColumnRenamed("test_id", "row_id")
-    gctx = retrieve.top_k_context(cte, ctr, "emb", 5, keys=["cluster_id"])
-    probs = predict.predict_classes(gctx, ctr, TEMP, keys=["cluster_id"])
+    probs = pipeline.score_by_group(test, train, _assign(ctx), ctx, "emb", 5, 5, TEMP)
+    return probs.select("test_id", "class", r6("p", "p"))
+
+
+@register("e12_relabel_inverse", Q10_SQL[:Q10_SQL.rindex("SELECT")] + """,
+gp AS (SELECT test_id, class, e / sum(e) OVER (PARTITION BY test_id) AS p FROM gsm)
+SELECT t.test_id, c.y AS class, round(coalesce(gp.p, 0), 6) AS p
+FROM (SELECT DISTINCT test_id FROM gsm) t CROSS JOIN (SELECT DISTINCT y FROM vec WHERE split = 'train') c
+LEFT JOIN gp ON gp.test_id = t.test_id AND gp.class = c.y""")
+def e12_relabel_inverse(spark, sf_dir):
+    """Scores in each cluster's own labels, scattered to the classes of all train rows."""
+    test, train, ctx = vec_context(spark, sf_dir)
+    classes = sorted(r[0] for r in train.select("y").distinct().collect())  # the fitted list
+    probs = pipeline.score_by_group(test, train, _assign(ctx), ctx, "emb", 5, 5, TEMP, classes)
     return probs.select("test_id", "class", r6("p", "p"))
 
 

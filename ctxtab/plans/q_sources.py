@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ctxtab.functions.exprs import r6
 from ctxtab.plans.q_clean import SUITE_SPLIT_SQL, cust_suite_split
+from ctxtab.plans.q_predict import PRT_Z_SQL, prt_context
 from ctxtab.plans.q_retrieve import PROBS_SQL, vec_probs
 from ctxtab.plans.registry import register
 from ctxtab.sources import io, tables
@@ -78,6 +79,26 @@ def s7_write_predictions(spark, sf_dir):
     return wide.select("test_id", "label", *[r6(f"pred_{c}", f"pred_{c}") for c in classes])
 
 
+@register("s7_regression_predictions", "WITH " + PRT_Z_SQL + """
+SELECT z.row_id AS test_id, round(z.y, 6) AS label, round(preds.pred, 6) AS pred
+FROM pz z LEFT JOIN preds ON preds.test_id = z.row_id WHERE z.split = 'test'""")
+def s7_regression_predictions(spark, sf_dir):
+    """Predictions of the standardised target, back in its units, written as CSV and read again."""
+    import uuid
+
+    from ctxtab.operators.predict import predict_values
+    from ctxtab.operators.scale import TargetScaler
+    from ctxtab.session import ensure_checkpoint_dir
+    d, test, _, ctx = prt_context(spark, sf_dir)
+    target = TargetScaler().fit(d)
+    preds = predict_values(ctx, target.transform(d), label_col="y_std")
+    out = io.regression_table(preds, test.select(F.col("row_id").alias("test_id"), "y"), target.mean, target.std)
+    path = f"{ensure_checkpoint_dir(spark)}/predictions-{uuid.uuid4().hex}"
+    io.write_predictions(out, path)
+    back = spark.read.option("header", "true").schema("test_id long, label double, pred double").csv(path)
+    return back.select("test_id", r6("label", "label"), r6("pred", "pred"))
+
+
 @register("s8_collect_results", f"""
 SELECT CAST(c_nationkey AS BIGINT) AS dataset_id, 'ok' AS status,
        count(CASE WHEN {SUITE_SPLIT_SQL} = 'train' THEN 1 END) AS n_train,

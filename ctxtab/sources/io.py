@@ -183,6 +183,17 @@ def prediction_table(probs: DataFrame, truth: DataFrame, classes: list, keys: li
             .select(*keys, "test_id", "label", *cols))
 
 
+def regression_table(preds: DataFrame, truth: DataFrame, mean: float = 0.0, std: float = 1.0, keys: list[str] | None = None) -> DataFrame:
+    """S7 (regression): one row per test row, ``label, pred``, both in the target's own units.
+
+    ``preds`` holds predictions of the target standardised by ``mean`` and ``std``; a test row without
+    a prediction keeps its label and a missing ``pred``.
+    """
+    keys = list(keys or [])
+    out = preds.select(*keys, "test_id", (F.col("pred") * F.lit(std) + F.lit(mean)).alias("pred"))
+    return truth.select(*keys, "test_id", F.col("y").alias("label")).join(out, [*keys, "test_id"], "left").select(*keys, "test_id", "label", "pred")
+
+
 def write_predictions(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     """S7 sink: write the prediction table (one file per task, header row for CSV)."""
     w = df.write.mode(mode).format(fmt)

@@ -27,6 +27,7 @@ DEFAULT = [
     "r5_robust_scale", "r17_inverse_pipeline", "q7_cluster_by_context", "q9_cluster_contexts", "m1_member_pipeline", "m3_impute_cells",
     "m7_align_classes", "s8_collect_results", "v5_auc_binary", "v9_imputation_error", "v15_result_status",
     "v2_f1", "v6_auc_ovo", "v10_suite_summary", "v13_skip_filter", "v16_sweep",
+    "q3_only_sample", "e12_relabel_inverse", "s7_regression_predictions",
 ]
 
 SQLS = entry.oracle_sql()

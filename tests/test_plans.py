@@ -89,3 +89,40 @@ def test_svd_directions_are_orthogonal(spark):
     p = out[[c for c in out.columns if c.startswith("svd_")]].to_numpy()
     g = p.T @ p
     assert p.shape[1] == 2 and abs(g[0, 1]) < 1e-6 * g[0, 0] and g[0, 0] >= g[1, 1]
+
+
+def test_inverse_normal_against_the_standard_library(spark):
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    from ctxtab.functions.exprs import inv_norm_cdf
+    ps = [k / 2000 for k in range(1, 2000)] + [10.0 ** -k for k in range(4, 60)] + [1 - 10.0 ** -k for k in range(4, 16)]
+    rows = spark.createDataFrame([(p,) for p in ps], "p double").select("p", inv_norm_cdf("p").alias("z")).collect()
+    assert all(abs(r.z - NormalDist().inv_cdf(r.p)) <= 1e-9 * max(1, abs(r.z)) for r in rows)
+    ends = spark.createDataFrame([(0.0,), (1.0,), (None,)], "p double").select(inv_norm_cdf("p").alias("z"), F.lit(1)).collect()
+    assert [r.z for r in ends] == [float("-inf"), float("inf"), None]
+
+
+def test_relabelled_scores_come_back_in_all_classes(spark):
+    from ctxtab.operators import encode
+    ctx = spark.createDataFrame([(1, 7), (1, 3), (1, 7), (2, 9)], "g long, ctx_y int")
+    known = encode.local_relabel(ctx, "g")
+    scores = spark.createDataFrame([(1, 10, 0, -1.0), (1, 10, 1, -2.0), (1, 11, 1, 0.0), (2, 12, 0, 0.5)], "g long, test_id long, local_y int, score double")
+    got = {(r.test_id, r["class"]): r.score for r in encode.local_relabel_inverse(scores, known, [3, 7, 9], "g", rows=["test_id"]).collect()}
+    none = float("-inf")
+    assert got == {(10, 3): -1.0, (10, 7): -2.0, (10, 9): none, (11, 3): none, (11, 7): 0.0, (11, 9): none, (12, 3): none, (12, 7): none, (12, 9): 0.5}
+
+
+def test_ensemble_average_does_not_count_known_members(spark):
+    from ctxtab.operators import predict
+    members = spark.createDataFrame([(0, 1, 0, 0.6), (0, 1, 1, 0.4), (1, 1, 0, 1.0)], "member int, test_id long, class int, p double")
+    for n in (None, 2):
+        assert {r["class"]: round(r.p, 9) for r in predict.ensemble_average(members, n_members=n).collect()} == {0: 0.8, 1: 0.2}
+
+
+def test_regression_table(spark):
+    from ctxtab.sources import io
+    preds = spark.createDataFrame([(1, 0.5), (3, 9.0)], "test_id long, pred double")
+    truth = spark.createDataFrame([(1, 10.0), (2, 20.0)], "test_id long, y double")
+    assert {tuple(r) for r in io.regression_table(preds, truth, 10.0, 4.0).collect()} == {(1, 10.0, 12.0), (2, 20.0, None)}
