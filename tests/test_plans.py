@@ -12,7 +12,8 @@ QUERIES = entry.queries()
 
 
 @pytest.mark.parametrize("name", ["q1_context_scores", "q4_top_k_context", "q10_score_by_group", "m2_predict_values", "m6_sharded_predict",
-                                  "m7_align_classes", "v5_auc_binary", "v6_auc_ovo", "p4_stratified_shards", "e13_target_rank", "r3_quantile_uniform"])
+                                  "m7_align_classes", "v5_auc_binary", "v6_auc_ovo", "p4_stratified_shards", "e13_target_rank", "r3_quantile_uniform",
+                                  "q3_only_sample", "e12_relabel_inverse", "s7_regression_predictions"])
 def test_no_cartesian_join(spark, name):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
