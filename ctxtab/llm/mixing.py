@@ -210,10 +210,21 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def selected_words(text_col: str, block: int = BLOCK):
-    """The words of ``text_col`` in the selected blocks, joined by one space (needs the ``rest`` column of ``mixed``)."""
-    at = "(rest.start + i)"
-    taken = f"{_taken_before(f'({at} + 1)', 'rest.', block)} > {_taken_before(at, 'rest.', block)}"
-    return F.expr(f"array_join(filter(regexp_extract_all({text_col}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), (w, i) -> {taken}), ' ')")
+    """The words of ``text_col`` in the selected blocks, joined by one space (needs the ``rest`` column of ``mixed``).
+
+    Blocks that meet the text are looked at once each, not word by word; then their words are cut out.
+    """
+    full, more = f"(rest.rest div {block})", f"(rest.rest % {block})"
+    first, last = f"(rest.start div {block})", f"least((rest.start + size(w) - 1) div {block}, rest.blocks - 1)"
+    met = f"if({first} <= {last}, sequence({first}, {last}), cast(array() as array<bigint>))"
+    chosen = f"transform(filter({met}, j -> {_selected('j', 'rest.', block)}), j -> struct({block} * j AS a, {block} * j + {block} AS b))"
+    ranges = (f"if({full} < rest.blocks, concat(array(struct(0L AS a, {more} AS b)), {chosen}), "
+              f"concat({chosen}, array(struct({block} * rest.blocks AS a, {block} * rest.blocks + {more} AS b))))")
+    low, high = "greatest(r.a, rest.start)", "least(r.b, rest.start + size(w))"
+    cut = f"slice(w, cast({low} - rest.start + 1 as int), cast(greatest({high} - {low}, 0L) as int))"
+    # the lambda over one array names the words, so that they are extracted once
+    return F.expr(f"transform(array(regexp_extract_all({text_col}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)), "
+                  f"w -> array_join(flatten(transform({ranges}, r -> {cut})), ' '))[0]")
 
 
 def materialised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
