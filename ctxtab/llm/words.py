@@ -13,6 +13,7 @@ import contextlib
 import ctypes
 import inspect
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, TEXT_ROWS)
 
 
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends, not when the driver next collects garbage.
+
+    For steps that checkpoint what they read again; the session's own setting is put back.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks and share an executor's limit."""
     pa.default_memory_pool().release_unused()
