@@ -69,22 +69,18 @@ def impute_cells(ctx: DataFrame, train: DataFrame, feature_cols: list[str], id_c
 
     Long output ``(test_id, feature, imputed)``; only non-null context cells vote.
     """
-    categorical = set(categorical or [])
+    categorical = list(categorical or [])
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in feature_cols)
-    cells = (train.select(F.col(id_col).alias("train_id"),
-                          F.expr(f"stack({len(feature_cols)}, {stack}) AS (feature, v)"))
+    wide = train.select(F.col(id_col).alias("train_id"), *feature_cols)
+    cells = (ctx.select("test_id", "train_id", "score").join(wide, "train_id")
+             .select("test_id", "score", F.expr(f"stack({len(feature_cols)}, {stack}) AS (feature, v)"))
              .filter(F.col("v").isNotNull()))
-    j = _relative(ctx.select("test_id", "train_id", "score").join(cells, "train_id"), ["test_id", "feature"])
-    num = (j.filter(~F.col("feature").isin(list(categorical)) if categorical else F.lit(True))
-           .groupBy("test_id", "feature")
-           .agg((F.sum(F.col("_w") * F.col("v")) / F.sum("_w")).alias("imputed")))
-    if not categorical:
-        return num
-    votes = (j.filter(F.col("feature").isin(list(categorical)))
-             .groupBy("test_id", "feature", "v").agg(F.sum("_w").alias("_votes")))
-    mode = votes.groupBy("test_id", "feature").agg(
-        F.max_by("v", F.struct(F.col("_votes"), -F.col("v"))).alias("imputed"))
-    return num.unionByName(mode)
+    # one pass for means and modes: a second branch would score all contexts once more
+    votes = (_relative(cells, ["test_id", "feature"]).groupBy("test_id", "feature", "v").agg(F.sum("_w").alias("_votes")))
+    mean = F.sum(F.col("_votes") * F.col("v")) / F.sum("_votes")
+    mode = F.max_by("v", F.struct(F.col("_votes"), -F.col("v")))
+    return votes.groupBy("test_id", "feature").agg(
+        (F.when(F.col("feature").isin(categorical), mode).otherwise(mean) if categorical else mean).alias("imputed"))
 
 
 def fill_gaps(masked: DataFrame, imputed: DataFrame, feature_cols: list[str], id_col: str = "test_id") -> DataFrame:

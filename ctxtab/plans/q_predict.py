@@ -11,6 +11,7 @@ from ctxtab.operators.scale import StandardScaler
 from ctxtab.plans.q_clean import RELEVANCE_SQL, line_relevance
 from ctxtab.plans.q_retrieve import K_CTX, PROBS_SQL, TEMP, VEC_CTX_SQL, vec_context, vec_pred, vec_probs
 from ctxtab.plans.registry import register
+from ctxtab.session import reuse
 from ctxtab.sources import tables
 
 
@@ -369,6 +370,7 @@ def prt_masked(spark, sf_dir, k=10):
     d = tables.prt(spark, sf_dir)
     train = d.filter("split = 'train'")
     masked, truth = split.mask_cells(d.filter("split = 'test'").select("row_id", *PF), PF, 0.3)
+    masked = reuse(masked)  # counted, packed and filled
     sc = StandardScaler(PF).fit(d)
     vec = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in PF])  # a missing cell is at the train mean
     ctx = retrieve.top_k_context(sc.transform(masked).withColumn("v", vec), sc.transform(train).withColumn("v", vec), "v", k)
