@@ -1,9 +1,9 @@
 """Encoders and generated features.
 
 Dictionaries are DataFrames ``(value, code)`` built from one distinct pass
-and joined back per column (small ones are broadcast by AQE from runtime
-statistics, high-cardinality ones shuffle-join).  Nothing row-level reaches
-the driver.
+and joined back per column (up to ``BROADCAST_VALUES`` values by broadcast, as
+rows shuffled on a column of few values would meet in as many tasks; longer
+ones shuffle-join).  Nothing row-level reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ctxtab.functions.exprs import id_hash
 from ctxtab.functions.ranking import global_index, prefix_sum
 
 MISSING = "__MISSING__"
+BROADCAST_VALUES = 100_000
 
 
 def _is_num(df: DataFrame, c: str) -> bool:
@@ -57,8 +58,10 @@ def _apply_dict(df: DataFrame, c: str, dic: DataFrame, unseen, missing_token: st
     out = out or c
     key = F.coalesce(F.col(c).cast("string"), F.lit(missing_token)) if missing_token is not None \
         else F.col(c).cast(dic.schema["value"].dataType)
-    j = df.withColumn("_key", key).join(
-        dic.withColumnRenamed("value", "_key").withColumnRenamed("code", "_code"), "_key", "left")
+    dic = dic.withColumnRenamed("value", "_key").withColumnRenamed("code", "_code")
+    if dic.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:  # its values are written already
+        dic = F.broadcast(dic)
+    j = df.withColumn("_key", key).join(dic, "_key", "left")
     res = F.col("_code")
     if unseen is not None:
         res = F.when(F.col("_key").isNotNull() & F.col("_code").isNull(), F.lit(unseen)).otherwise(res)
