@@ -26,12 +26,15 @@ def _range_sorted(df: DataFrame, order: list[str | Column], partitions: int | No
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
-def global_index(df: DataFrame, order: list[str | Column], name: str = "idx", partitions: int | None = None) -> DataFrame:
-    """0-based position in the global ``order`` (exact, one shuffle)."""
-    s = cut_lineage(_range_sorted(df, order, partitions).withColumn("_mid", F.monotonically_increasing_id()))
+def global_index(df: DataFrame, order: list[str | Column], name: str = "idx", partitions: int | None = None,
+                 keep: list[str] | None = None) -> DataFrame:
+    """0-based position in the global ``order`` (exact, one shuffle); only the columns ``keep`` are written, if given."""
+    s = _range_sorted(df, order, partitions).withColumn("_mid", F.monotonically_increasing_id())
+    s = cut_lineage(s if keep is None else s.select(*keep, "_mid"))
     pid = F.shiftright("_mid", _LOW)
     per = s.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_pc"))  # a row for each partition
-    offs = per.select("_pid", (F.sum("_pc").over(Window.orderBy("_pid")) - F.col("_pc")).alias("_off"))
+    # kept, as every job on the result would scan all rows for them
+    offs = cut_lineage(per.select("_pid", (F.sum("_pc").over(Window.orderBy("_pid")) - F.col("_pc")).alias("_off")))
     return (s.withColumn("_pid", pid).join(F.broadcast(offs), "_pid")
             .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << _LOW) - 1)))
             .drop("_mid", "_pid", "_off"))
@@ -52,6 +55,7 @@ def prefix_sum(df: DataFrame, order: list[str], weight: str, name: str = "_befor
 
     s = cut_lineage(s.mapInArrow(running, schema).withColumn("_pid", F.shiftright("_mid", _LOW)))
     per = s.groupBy("_pid").agg(F.sum(F.coalesce(F.col(weight), F.lit(0))).alias("_pc"))
-    offs = per.select("_pid", (F.sum("_pc").over(Window.orderBy("_pid")) - F.col("_pc")).alias("_off"))
+    # kept, as every job on the result would scan all rows for them
+    offs = cut_lineage(per.select("_pid", (F.sum("_pc").over(Window.orderBy("_pid")) - F.col("_pc")).alias("_off")))
     return (s.join(F.broadcast(offs), "_pid").withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
             .drop("_mid", "_pid", "_off", "_local"))

@@ -3,7 +3,7 @@
 Every fitted step collects its statistics for all columns in one
 aggregation (driver sees one row), then transforms with a pure ``select``
 that stays inside whole-stage codegen.  Quantile grids stay in Spark: one
-range sort ranks the distinct values of all columns, and knots are joined.
+range sort ranks the distinct values of all columns, and knots are found there.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxtab.functions.exprs import inv_norm_cdf, nonfinite_to_null
 from ctxtab.functions.ranking import prefix_sum
 from ctxtab.operators import power
-from ctxtab.session import cut_lineage
 
 Z75_MINUS_Z25 = 1.3489795003921634  # fixed value: Phi^-1(0.75) - Phi^-1(0.25)
 
@@ -77,6 +77,20 @@ def mean_impute(df, cols, split="split", fit_on="train"):
 
 
 # ------------------------------------------------------------------ quantiles over ranked distinct values
+def _sorted_values(df: DataFrame, cols: list[str], split: str | None, fit_on: str):
+    """Distinct values of all columns in one range sort by (column, value), kept; of each column the first position, train count and number of values.
+
+    ``(f, v, n, below)``: ``n`` train rows hold the value, ``below`` stand before it (those of earlier columns too).
+    """
+    cells = ", ".join(f"{i}, `__q{i}`" for i in range(len(cols)))
+    seen = F.lit(1) if fit_on == "all" or split is None else (F.col(split) == "train").cast("int")
+    long = (df.select(seen.cast("long").alias("n"), *[nonfinite_to_null(c).alias(f"__q{i}") for i, c in enumerate(cols)])
+            .select("n", F.expr(f"stack({len(cols)}, {cells}) AS (f, v)")).where("v IS NOT NULL"))
+    ranked = prefix_sum(long.groupBy("f", "v").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n")), ["f", "v"], "n", "below")
+    rows = {r["f"]: r for r in ranked.groupBy("f").agg(F.min("below").alias("base"), F.sum("n").alias("m"), F.count("v").alias("d")).collect()}
+    return ranked, *[[int(rows[i][c]) if i in rows else 0 for i in range(len(cols))] for c in ("base", "m", "d")]
+
+
 def ranked_values(df: DataFrame, cols: list[str], split: str | None = "split", fit_on: str = "train"):
     """Distinct values of all columns with their train ranks, and the train count of each column.
 
@@ -84,14 +98,8 @@ def ranked_values(df: DataFrame, cols: list[str], split: str | None = "split", f
     range sort over the distinct values of every column, at every size; only the counts (a row for
     each column) reach the driver.
     """
-    cells = ", ".join(f"{i}, `__q{i}`" for i in range(len(cols)))
-    seen = F.lit(1) if fit_on == "all" or split is None else (F.col(split) == "train").cast("int")
-    long = (df.select(seen.cast("long").alias("n"), *[nonfinite_to_null(c).alias(f"__q{i}") for i, c in enumerate(cols)])
-            .select("n", F.expr(f"stack({len(cols)}, {cells}) AS (f, v)")).where("v IS NOT NULL"))
-    ranked = prefix_sum(long.groupBy("f", "v").agg(F.sum("n").alias("n")), ["f", "v"], "n", "below")
-    rows = {r["f"]: r for r in ranked.groupBy("f").agg(F.min("below").alias("base"), F.sum("n").alias("m")).collect()}
-    counts = [int(rows[i]["m"]) if i in rows else 0 for i in range(len(cols))]
-    base = F.element_at(F.array(*[F.lit(int(rows[i]["base"]) if i in rows else 0).cast("long") for i in range(len(cols))]), F.col("f") + 1)
+    ranked, first, counts, _ = _sorted_values(df, cols, split, fit_on)
+    base = F.element_at(F.array(*[F.lit(b).cast("long") for b in first]), F.col("f") + 1)
     ranked = ranked.select("f", "v", (F.col("below") - base).alias("below"), (F.col("below") - base + F.col("n")).alias("upto"))
     return ranked, counts
 
@@ -117,54 +125,138 @@ def n_quantiles_for(n_train: int, variant: str) -> int:
     return max(1, min(max(base, 2), n_train))
 
 
-def quantile_map(df, cols, variant="10", split="split", fit_on="train") -> DataFrame:
-    """``(f, v, q)``: the image in [0, 1] of every distinct value of every column.
+HALO = 128  # train positions beside a run of values that hold all knots next to it: knots are less than 30 apart
+RUN_ROWS = 1 << 16  # sorted values whose images are found at once
+
+
+def _edges(batches):
+    """Of a sorted part: its first and last ``HALO`` values with train rows, as (start, end, value)."""
+    left, last = HALO, None
+    out = lambda part: pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=["start", "end", "v"])
+    for batch in batches:
+        f, v, n, below = _columns(batch)
+        rows = [x[n > 0] for x in (below, below + n, v)]
+        if left:
+            yield out([x[:left] for x in rows])
+            rows, left = [x[left:] for x in rows], left - len(rows[0][:left])
+        last = [x[-HALO:] for x in (rows if last is None else map(np.concatenate, zip(last, rows)))]
+    if last is not None:
+        yield out(last)
+
+
+def _columns(batch) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy() for c in ("f", "v", "n", "below")]
+
+
+def _images(base, counts, grid, edges):
+    """Kernel over sorted parts: ``(f, v, q)``.  A value's knots lie between train values at most ``HALO`` positions away;
+    those beyond the part are among the ``edges`` of the parts beside it."""
+    base, m, g = np.array(base), np.array(counts) - 1, np.array(grid) - 1
+
+    def image(f, v, n, start, own):
+        """Of values of column ``f``; ``own`` are the train values around them."""
+        below = start - base[f]
+        if g[f] <= 0:
+            return np.zeros(len(v))  # a single knot: all values at 0
+        a = (below * g[f] + m[f] - 1) // m[f]  # first knot at or after the value's first position
+        b = np.where(n > 0, ((below + n - 1) * g[f]) // m[f], a - 1)  # last one at or before its last position
+        _, o_end, o_v = own
+
+        def knot(k):
+            inside = (k >= 0) & (k <= g[f])
+            at, part = np.divmod(np.where(inside, k, 0) * m[f], g[f])
+            j = np.minimum(np.searchsorted(o_end, base[f] + at, side="right"), len(o_v) - 1)
+            here, there = o_v[j], o_v[np.minimum(j + 1, len(o_v) - 1)]
+            with np.errstate(over="ignore"):
+                x = np.where((part > 0) & (o_end[j] == base[f] + at + 1), here + part / g[f] * (there - here), here)
+            return np.where(inside, x, np.nan)
+
+        q = (a + b) / g[f] / 2
+        free = np.nonzero(a > b)[0]
+        if len(free):
+            a, v = a[free], v[free]
+            x2, x1, x0 = knot(a - 2), knot(a - 1), knot(a)
+            ref = lambda k: k / g[f]
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                line = lambda x, y, k: np.where(np.isnan(x), 0.0, np.where(
+                    np.isnan(y), 1.0, ref(k) + (v - x) / (y - x) * (ref(k + 1) - ref(k))))
+                q[free] = np.where(x1 == v, ref(a - 1), np.where(x1 > v, line(x2, x1, a - 2), line(x1, x0, a - 1)))
+        return q
+
+    def with_own(before, held):
+        f, v, n, start = held
+        return [np.concatenate([x, y[n > 0]]) for x, y in zip(before, (start, start + n, v))]
+
+    def finished(f, v, n, start, own):
+        cut = np.nonzero(np.diff(f))[0] + 1
+        q = np.concatenate([image(int(fs[0]), *rest, own) for fs, *rest in zip(*[np.split(x, cut) for x in (f, v, n, start)])])
+        known = np.array(counts)[f] > 0
+        return pa.RecordBatch.from_arrays([pa.array(f[known], pa.int32()), pa.array(v[known]), pa.array(q[known])], names=["f", "v", "q"])
+
+    def kernel(batches):
+        start, end, value = edges.value
+        parts, rows, want, before = [], 0, RUN_ROWS, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts.append(_columns(batch))
+            rows += batch.num_rows
+            if before is None:
+                i = np.searchsorted(end, parts[0][3][0], side="right")
+                before = [x[max(0, i - HALO):i] for x in (start, end, value)]
+            if rows < want:
+                continue
+            held = [np.concatenate(x) for x in zip(*parts)]
+            ends = held[3] + held[2]
+            ready = int(np.searchsorted(ends, ends[-1] - HALO, side="right"))  # enough train positions follow
+            if ready:
+                done = [x[:ready] for x in held]
+                yield finished(*done, with_own(before, held))
+                before = [x[-HALO:] for x in with_own(before, done)]
+            parts, rows = [[x[ready:] for x in held]], len(held[0]) - ready
+            want = max(RUN_ROWS, 2 * rows)
+        if rows:
+            held = [np.concatenate(x) for x in zip(*parts)]
+            i = np.searchsorted(start, held[3][-1] + held[2][-1], side="left")
+            after = [x[i:i + HALO] for x in (start, end, value)]
+            yield finished(*held, [np.concatenate(x) for x in zip(with_own(before, held), after)])
+
+    return kernel
+
+
+MAP_BROADCAST = 100_000  # distinct values up to which a column's map is broadcast: rows are not dealt by a column of few values
+
+
+def quantile_map(df, cols, variant="10", split="split", fit_on="train") -> list[DataFrame]:
+    """For each column ``(v, q)``: the image in [0, 1] of every distinct value.
 
     Knot k of K lies at position (m - 1) k / (K - 1) of the m sorted train values.  A value that knots
     equal gets the middle of their references, another one lies on the line between the knots around
-    it, and values beyond the ends get 0 or 1.  Knots are never gathered: a value's rank tells which
-    ones can be next to it, and they are fetched by equi-joins on (column, k).
+    it, and values beyond the ends get 0 or 1.  Knots are never gathered or joined: they are less than
+    30 positions apart, so those around a value are found in the sorted part that holds it and at the
+    edges of the parts beside it (``HALO`` values at each end of a part and no more go to all tasks).
     """
-    ranked, counts = ranked_values(df, cols, split, fit_on)
-    pick = lambda values: F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in values]), F.col("f") + 1)
-    grid = [n_quantiles_for(m, variant) for m in counts]
-    t = ranked.withColumn("m", pick(counts) - 1).withColumn("g", pick(grid) - 1)  # last position, last knot
-    t = t.where("g > 0")
-    # first knot at or after position ``below``, last knot at or before the value's last position
-    t = t.withColumn("a", F.expr("(below * g + m - 1) div m")).withColumn("b", F.expr("if(upto > below, ((upto - 1) * g) div m, a - 1)"))
-    t = cut_lineage(t)
-    own = t.where("upto > below")
-    after = own.select("f", F.col("below").alias("upto"), F.col("v").alias("next"))
-    between = (own.join(after, ["f", "upto"]).withColumn("k", F.col("b") + 1).where("k <= g AND k * m < upto * g")
-               .select("f", "k", (F.col("v") + ((F.col("k") * F.col("m")) % F.col("g")) / F.col("g") * (F.col("next") - F.col("v"))).alias("x")))
-    equal = own.where("a <= b").select("f", F.explode(F.array_distinct(F.array("a", "b"))).alias("k"), F.col("v").alias("x"))
-    knots = cut_lineage(equal.unionByName(between))
-    for name, back in (("x2", 2), ("x1", 1), ("x0", 0)):
-        side = knots.select("f", F.col("k").alias(f"k_{name}"), F.col("x").alias(name))
-        t = t.withColumn(f"k_{name}", F.col("a") - back).join(side, ["f", f"k_{name}"], "left")
-    ref = lambda k: F.col(k) / F.col("g")
-    line = lambda x, y, i, j: (F.when(F.col(x).isNull(), F.lit(0.0)).when(F.col(y).isNull(), F.lit(1.0))
-                               .otherwise(ref(i) + (F.col("v") - F.col(x)) / (F.col(y) - F.col(x)) * (ref(j) - ref(i))))
-    q = (F.when(F.col("a") <= F.col("b"), (F.col("a") + F.col("b")) / F.col("g") / 2)
-         .when(F.col("x1") == F.col("v"), ref("k_x1"))
-         .when(F.col("x1") > F.col("v"), line("x2", "x1", "k_x2", "k_x1"))
-         .otherwise(line("x1", "x0", "k_x1", "k_x0")))
-    one = ranked.withColumn("g", pick(grid)).withColumn("m", pick(counts)).where("g = 1 AND m > 0")  # a single knot: all values at 0
-    return t.select("f", "v", q.alias("q")).unionByName(one.select("f", "v", F.lit(0.0).alias("q")))
-
-
-def _mapped(df: DataFrame, cols: list[str], table: DataFrame, suffix: str) -> DataFrame:
+    ranked, base, counts, sizes = _sorted_values(df, cols, split, fit_on)
+    found = ranked.mapInArrow(_edges, "start long, end long, v double").toArrow()
+    edges = [found.column(c).to_numpy() for c in ("start", "end", "v")]
+    order = np.argsort(edges[0], kind="stable")
+    shared = df.sparkSession.sparkContext.broadcast([x[order] for x in edges])
+    image = _images(base, counts, [n_quantiles_for(m, variant) for m in counts], shared)
+    found = [ranked.where(F.col("f") == i).mapInArrow(image, "f int, v double, q double").select("v", "q") for i in range(len(cols))]
+    return [F.broadcast(t) if n <= MAP_BROADCAST else t for t, n in zip(found, sizes)]
+
+
+def _mapped(df: DataFrame, cols: list[str], maps: list[DataFrame], suffix: str) -> DataFrame:
     """``df`` with each column's values replaced by their images (missing stays missing)."""
-    table = cut_lineage(table)
-    for i, c in enumerate(cols):
-        side = table.where(F.col("f") == i).select(F.col("v").alias("__v"), F.col("q").alias("__q"))
+    for c, table in zip(cols, maps):
+        side = table.select(F.col("v").alias("__v"), F.col("q").alias("__q"))
         df = df.withColumn("__v", nonfinite_to_null(c)).join(side, "__v", "left").withColumn(c + suffix, F.col("__q")).drop("__v", "__q")
     return df
 
 
-def _in_place(df, cols, table, suffix):
+def _in_place(df, cols, maps, suffix):
     order = [*df.columns, *[c + suffix for c in cols if c + suffix not in df.columns]]
-    return _mapped(df, cols, table, suffix).select(*order)
+    return _mapped(df, cols, maps, suffix).select(*order)
 
 
 def quantile_uniform(df, cols, variant="10", split="split", fit_on="train", suffix=""):
@@ -177,9 +269,9 @@ BOUNDS = 1e-7  # fixed value: clip applied before the normal inverse CDF
 
 def quantile_normal(df, cols, variant="10", split="split", fit_on="train", suffix=""):
     """R3 then the inverse normal CDF, clipped away from 0 and 1 (worked out once for each distinct value)."""
-    table = cut_lineage(quantile_map(df, cols, variant, split, fit_on))
     clipped = F.least(F.greatest(F.col("q"), F.lit(BOUNDS)), F.lit(1 - BOUNDS))
-    return _in_place(df, cols, table.select("f", "v", inv_norm_cdf(clipped).alias("q")), suffix)
+    maps = [t.select("v", inv_norm_cdf(clipped).alias("q")) for t in quantile_map(df, cols, variant, split, fit_on)]
+    return _in_place(df, cols, maps, suffix)
 
 
 def robust_scale(df, cols, split="split", fit_on="train"):

@@ -56,7 +56,7 @@ def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isNotNull())
     # (l_orderkey, l_linenumber) is not unique in the driver tables: the row id is
     # the position in the order of all key and value columns (distributed index)
-    li = global_index(li, LINE_ORDER, "row_id")
+    li = global_index(li, LINE_ORDER, "row_id", keep=[*LINE_FEATURES, "l_linestatus", "l_returnflag"])
     df = li.select("row_id", *LINE_FEATURES, "l_linestatus", F.col("l_returnflag").alias("y"))
     return reuse(stratified_split(df))
 
