@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxtab.functions.exprs import class_list
+from ctxtab.operators.retrieve import SHARD_ROWS, ShardContexts, summed_votes, top_k_context
 
 
 def class_logits(ctx: DataFrame, train: DataFrame, label_col: str = "y", id_col: str = "row_id",
@@ -50,7 +51,12 @@ def temperature_softmax(logits: DataFrame, temperature: float = 0.9,
 def predict_classes(ctx: DataFrame, train: DataFrame, temperature: float = 0.9,
                     label_col: str = "y", id_col: str = "row_id",
                     keys: list[str] | None = None) -> DataFrame:
-    """M1 + M4: class probabilities ``(test_id, class, p)``."""
+    """M1 + M4: class probabilities ``(test_id, class, p)``.
+
+    Contexts of shards (``top_k_context`` with ``shard``) are voted on where they are found, when M6 sums them.
+    """
+    if isinstance(ctx, ShardContexts):
+        return ctx.voted(label_col, temperature)
     return temperature_softmax(class_logits(ctx, train, label_col, id_col, keys), temperature, keys)
 
 
@@ -118,6 +124,8 @@ def sharded_average(shard_probs: DataFrame, shard_sizes: DataFrame, keys: list[s
     ``shard_sizes`` has one row per (keys, shard).
     """
     keys = list(keys or [])
+    if isinstance(shard_probs, ShardContexts):
+        return _summed(shard_probs, shard_sizes)
     if keys:
         total = shard_sizes.groupBy(*keys).agg(F.sum("n").alias("_ws"))
         j = shard_probs.join(shard_sizes.select(*keys, "shard", "n"), [*keys, "shard"]).join(total, keys)
@@ -128,6 +136,24 @@ def sharded_average(shard_probs: DataFrame, shard_sizes: DataFrame, keys: list[s
             .agg((F.sum(F.col("p") * F.col("n") / F.col("_ws"))).alias("p")))
 
 
+def _summed(ctx: ShardContexts, shard_sizes: DataFrame) -> DataFrame:
+    """M6 of contexts that were not met yet; shards too long for one row go through tables of contexts (they are few)."""
+    total = shard_sizes.agg(F.sum("n")).first()[0]
+    weights = shard_sizes.select("shard", "n", (F.col("n") / F.lit(total)).alias("w"))
+    labels = ctx.train.select(ctx.label_col).where(F.col(ctx.label_col).isNotNull()).distinct()
+    classes = sorted(r[0] for r in labels.collect())  # a value for each class
+    out = summed_votes(ctx, weights.where(F.col("n") <= SHARD_ROWS), classes)
+    long = [r[0] for r in weights.where(F.col("n") > SHARD_ROWS).select("shard").collect()]
+    if not long:
+        return out
+    asked = ctx.test.withColumn(ctx.shard, F.explode(F.array(*[F.lit(x) for x in long])))
+    known = ctx.train.where(F.col(ctx.shard).isin(long))
+    near = top_k_context(asked, known, ctx.vec_col, ctx.k, [ctx.shard], id_col=ctx.id_col, scale=ctx.scale)
+    probs = predict_classes(near, known, ctx.temperature, ctx.label_col, ctx.id_col, [ctx.shard])
+    parts = probs.join(weights.select(F.col("shard").alias(ctx.shard), "w"), ctx.shard).select("test_id", "class", (F.col("p") * F.col("w")).alias("p"))
+    return out.unionByName(parts).groupBy("test_id", "class").agg(F.sum("p").alias("p"))
+
+
 def align_classes(probs: DataFrame, classes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """M7: scatter to the global class list, renormalise; all-zero rows become uniform.
 

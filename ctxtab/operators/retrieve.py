@@ -21,11 +21,16 @@ Long contexts (``whole_rows``).  Beyond ``FEW`` candidates, lists from every str
 the vectors by far.  Then a test block stays in one task, which the strips pass one after the
 other, and only its best ``K`` scores are held; blocks have as many rows as ``HELD`` scores allow.
 The ranked rows leave in bounded batches: no candidate is shuffled.
+
+Shards (``ShardContexts``).  When every test row meets every one of many small shards, the contexts
+outnumber the rows by the number of shards.  They are not made as a table: a test block stays in
+one task, the shards pass it, and the votes of their contexts are summed there (``summed_votes``).
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxtab.functions.exprs import id_hash
-from ctxtab.functions.softmax import FEW, BestOfStrips, strip_scores
+from ctxtab.functions.softmax import FEW, BestOfStrips, best_columns, scores, strip_scores
 
 DEFAULT_BLOCK_ROWS = 8192
 MAX_STRIP_ROWS = 65_536
@@ -45,6 +50,9 @@ EMIT = 1 << 20  # candidates in one output batch
 HELD = 1 << 23  # scores that a task holds for a block of test rows with long contexts
 LONG_BLOCK_ROWS = 1024  # most test rows of a block with long contexts
 ROWS_OUT = 1 << 17  # ranked context rows in one output batch
+SHARD_BLOCK_ROWS, SHARD_BLOCKS = 2048, 32  # most test rows of a block that all shards pass; blocks sought before they grow
+SHARD_ROWS = 4096  # most rows of a shard that passes the blocks as one row
+SHARD_CELLS = 1 << 18  # scores of a shard held at once
 BROADCAST_GROUPS = 100_000  # group count up to which the small table of block counts is broadcast
 
 
@@ -233,6 +241,144 @@ def whole_rows(test: DataFrame, train: DataFrame, vec_col: str, k: int | None, k
     return both.mapInArrow(kernel, schema)
 
 
+@dataclass(frozen=True)
+class ShardContexts:
+    """The ``k`` best train rows of every test row in each shard, not yet met: what votes are summed from."""
+    test: DataFrame
+    train: DataFrame
+    vec_col: str
+    k: int
+    shard: str
+    id_col: str = "row_id"
+    scale: float | None = None
+    label_col: str | None = None  # set by the predictor
+    temperature: float | None = None
+
+    def voted(self, label_col: str, temperature: float) -> ShardContexts:
+        return replace(self, label_col=label_col, temperature=float(temperature))
+
+
+class _Shard:
+    """The rows of one shard for a test block: those that can be found, and the votes that an id stands for."""
+
+    def __init__(self, ids, codes, valid, X):
+        by_id = np.argsort(ids[valid], kind="stable")
+        self.ids, self.X = ids[valid][by_id], X[by_id]
+        self.known, place = np.unique(ids, return_inverse=True)
+        self.votes = np.split(codes[np.argsort(place, kind="stable")], np.cumsum(np.bincount(place))[:-1])  # rows that share an id vote together
+        self.single = len(self.known) == len(ids)
+        self.codes = codes[np.argsort(ids, kind="stable")]
+
+    def best(self, t_ids, Xt, k, scale):
+        """Chunks of (test ids, log-sum-exp, per test id: codes, scores) in which a negative code is no vote."""
+        step = max(1, SHARD_CELLS // max(1, len(self.ids)))
+        ends, a, b = np.append(np.nonzero(np.diff(t_ids))[0] + 1, len(t_ids)), 0, 0
+        while b < len(t_ids):  # rows that share an id stay together
+            a, b = b, int(ends[min(np.searchsorted(ends, b + step), len(ends) - 1)])
+            S = scores(Xt[a:b], self.X, scale)
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                top = S.max(axis=1)
+                z = np.exp(S - top[:, None]).sum(axis=1)
+                cols = best_columns(S, k) if np.isfinite(S).all() else np.argsort(-S, axis=1, kind="stable")[:, :k]
+                yield from self._voters(t_ids[a:b], top, z, np.asarray(cols), np.take_along_axis(S, cols, axis=1), k)
+
+    def _voters(self, t_ids, top, z, cols, best, k):
+        at, first, n = np.unique(t_ids, return_index=True, return_counts=True)
+        if self.single and len(at) == len(t_ids):
+            codes = self.codes[np.searchsorted(self.known, self.ids)]
+            yield at, top + np.log(z), codes[cols], best
+            return
+        for i, a, m in zip(at, first, n):  # ids stand more than once: candidates and votes one by one
+            b = a + m
+            ids, s = self.ids[cols[a:b]].ravel(), best[a:b].ravel()
+            order = np.lexsort((ids, np.where(np.isnan(s), -np.inf, -s)))[:k]  # as Spark ranks them
+            most = top[a:b].max()
+            lse = most + np.log((z[a:b] * np.exp(top[a:b] - most)).sum())
+            mine = [self.votes[p] for p in np.searchsorted(self.known, ids[order])]
+            codes = np.concatenate(mine) if mine else np.zeros(0, dtype=np.int64)
+            yield np.array([i]), np.array([lse]), codes[None, :], np.repeat(s[order], [len(x) for x in mine])[None, :]
+
+
+def _share(codes, best, lse, classes, temperature):
+    """Class probabilities of the contexts of one shard (M1 + M4): (test rows x classes, which classes voted)."""
+    m = len(codes)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        logit, held = np.full((m, classes), -np.inf), np.zeros((m, classes), dtype=bool)
+        for c in range(classes):
+            mine = codes == c
+            rows = np.nonzero(mine.any(axis=1))[0]
+            if not len(rows):
+                continue
+            s = np.where(mine[rows], best[rows], -np.inf)
+            high = s.max(axis=1)
+            w = np.where(mine[rows], np.exp(best[rows] - high[:, None]), 0.0).sum(axis=1)
+            logit[rows, c], held[rows, c] = high - lse[rows] + np.log(w), True
+        x = np.where(held, logit / temperature, -np.inf)
+        e = np.where(held, np.exp(x - x.max(axis=1, keepdims=True, initial=-np.inf)), 0.0)
+        return e / e.sum(axis=1, keepdims=True), held
+
+
+def summed_votes(ctx: ShardContexts, weights: DataFrame, classes: list) -> DataFrame:
+    """``(test_id, class, p)``: the shards' class probabilities times their weight (``weights``: a row (shard, w) for each), summed.
+
+    A block of test rows stays in one task, which the shards pass one by one; it holds a number for
+    each test row and class.  Neither contexts nor the probabilities of a shard leave it.
+    """
+    shard, id_col, vec_col = ctx.shard, ctx.id_col, ctx.vec_col
+    test = ctx.test.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
+    train = ctx.train.where(F.col(id_col).isNotNull())
+    d, n_test = train.agg(F.max(F.size(vec_col))).first()[0], test.count()
+    d = max(int(d or 0), 1)
+    scale = float(1.0 / math.sqrt(d) if ctx.scale is None else ctx.scale)
+    fit = max(1, STRIP_BYTES // (8 + 8 * d))
+    rows = min(max(math.ceil(n_test / SHARD_BLOCKS), SHARD_BLOCK_ROWS // 8), SHARD_BLOCK_ROWS, fit, HELD // (len(classes) + 1))
+    blocks = max(1, math.ceil(n_test / max(1, rows)))
+    kind = train.schema[ctx.label_col].dataType
+    code = (F.coalesce(F.array_position(F.array(*[F.lit(c).cast(kind) for c in classes]), F.col(ctx.label_col)), F.lit(len(classes) + 1)) - 1
+            if classes else F.lit(0))  # no label: a class of its own
+    row = lambda c: F.struct(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), c.cast("long").alias("c"))
+    asked = (test.groupBy(F.pmod(id_hash(id_col, 11), F.lit(blocks)).alias("_tb")).agg(F.collect_list(row(F.lit(0))).alias("_rows"))
+             .select("_tb", F.lit(-1).cast("long").alias("_s"), F.lit(0.0).alias("_w"), "_rows"))
+    few = weights.select(F.col("shard").alias(shard), F.col("w").cast("double").alias("_w"))
+    known = (train.join(few, shard).groupBy(F.col(shard).cast("long").alias("_s"), "_w").agg(F.collect_list(row(code)).alias("_rows"))
+             .select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_tb"), "_s", "_w", "_rows"))
+    both = asked.unionByName(known).repartition(blocks, "_tb").sortWithinPartitions("_tb", "_s")  # a block comes before the shards
+    temperature, k, n = ctx.temperature, ctx.k, len(classes) + 1
+
+    def kernel(batches):
+        def finished(ids, total, held):
+            r, c = np.nonzero(held)
+            return pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(c.astype(np.int32)), pa.array(total[r, c])], names=["test_id", "c", "p"])
+
+        at = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here, rows = batch.column("_tb")[i].as_py(), batch.column("_rows")[i].values
+                ids, v = rows.field("id").to_numpy(), rows.field("v")
+                X = pc.list_flatten(v).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v) - v.null_count, -1)
+                if batch.column("_s")[i].as_py() < 0:
+                    if at is not None:
+                        yield finished(seen, total, held)
+                    order = np.argsort(ids, kind="stable")
+                    at, t_ids, Xt, seen = here, ids[order], X[order], np.unique(ids)
+                    total, held = np.zeros((len(seen), n)), np.zeros((len(seen), n), dtype=bool)
+                elif here == at:
+                    part = _Shard(ids, rows.field("c").to_numpy(), v.is_valid().to_numpy(zero_copy_only=False), X)
+                    if not len(part.ids):
+                        continue
+                    w = batch.column("_w")[i].as_py()
+                    for found, lse, codes, best in part.best(t_ids, Xt, k, scale):
+                        p, voted = _share(codes, best, lse, n, temperature)
+                        place = np.searchsorted(seen, found)
+                        total[place] += np.where(voted, p * w, 0.0)
+                        held[place] |= voted
+        if at is not None:
+            yield finished(seen, total, held)
+
+    name = F.element_at(F.array(*[F.lit(c).cast(kind) for c in classes], F.lit(None).cast(kind)), F.col("c") + 1)
+    return both.mapInArrow(kernel, "test_id long, c int, p double").select("test_id", name.alias("class"), "p")
+
+
 def _merge(blocks: DataFrame, keys: list[str], k: int | None) -> DataFrame:
     """Log-sum-exp over a test row's blocks, then the exact rank of their candidates.
 
@@ -262,14 +408,17 @@ def context_scores(test: DataFrame, train: DataFrame, vec_col: str,
 
 
 def top_k_context(test: DataFrame, train: DataFrame, vec_col: str, k: int,
-                  keys: list[str] | None = None, **kw) -> DataFrame:
+                  keys: list[str] | None = None, shard: str | None = None, **kw) -> DataFrame | ShardContexts:
     """Q4: the ``k`` best train rows of every test row (k clamped to [0, n]).
 
     Columns: keys, test_id, train_id, rank (1 = best), score, weight
-    (softmax over *all* train rows), lse, n_ctx.
+    (softmax over *all* train rows), lse, n_ctx.  With ``shard``, a column of the train rows, every test
+    row has a context in each shard; those are not a table, but what M1 and M6 sum votes from.
     """
     keys = _group_keys(keys)
     k = max(int(k), 0)
+    if shard is not None:
+        return ShardContexts(test, train, vec_col, k, shard, **kw)
     if k > FEW:
         kw.pop("block_rows", None)
         return whole_rows(test, train, vec_col, k, keys, **kw)

@@ -452,9 +452,7 @@ def m6_sharded_predict(spark, sf_dir):
     test, train = v.filter("split = 'test'"), v.filter("split = 'train'")
     sh = split.stratified_shards(train, 100)
     sizes = sh.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    shard_ids = sorted(r[0] for r in sizes.select("shard").collect())   # metadata: one id per shard
-    tst = test.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shard_ids])))
-    ctx = retrieve.top_k_context(tst, sh, "emb", K_CTX, keys=["shard"])
+    ctx = retrieve.top_k_context(test, sh, "emb", K_CTX, shard="shard")
     probs = predict.predict_classes(ctx, sh, TEMP, keys=["shard"])
     return predict.sharded_average(probs, sizes).select("test_id", "class", r6("p", "p"))
 
