@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ctxtab.operators import clean, encode, predict, rebalance, retrieve
 from ctxtab.operators.meta import PipelineSpec, shuffle_features
 from ctxtab.operators.scale import mean_impute, min_max_scale, standard_scale
+from ctxtab.session import cut_lineage
 
 CONTEXT = 200
 SCALERS = {"standard": standard_scale, "minmax": min_max_scale, None: lambda df, cols: df}
@@ -101,11 +102,13 @@ def score_by_group(test: DataFrame, train: DataFrame, assignment: DataFrame, ctx
     the global list ``classes``, of every class (p = 0 where the cluster does not know it).
     """
     known_ids, asked_ids = retrieve.cluster_contexts(ctx, assignment)
+    # kept: counts, packing, votes and names read them, and each would find all contexts once more
+    known_ids = cut_lineage(known_ids)
     known = (known_ids.join(train.select(F.col(id_col).alias("train_id"), F.col(label_col).alias("ctx_y"), vec_col), "train_id")
              .withColumnRenamed("train_id", "row_id"))
     known = encode.limit_classes(known, max_classes, "ctx_y", keys=["cluster_id"])
-    known = encode.local_relabel(known, group="cluster_id")
-    asked = (asked_ids.join(test.select(F.col(id_col).alias("test_id"), vec_col), "test_id").withColumnRenamed("test_id", "row_id"))
+    known = cut_lineage(encode.local_relabel(known, group="cluster_id"))
+    asked = cut_lineage(asked_ids.join(test.select(F.col(id_col).alias("test_id"), vec_col), "test_id").withColumnRenamed("test_id", "row_id"))
     near = retrieve.top_k_context(asked, known, vec_col, k, keys=["cluster_id"])
     local = predict.predict_classes(near, known, temperature, label_col="local_y", keys=["cluster_id"])
     if classes is None:
