@@ -14,6 +14,7 @@ import numpy as np
 
 TILE, LEAF = 256, 256  # test rows scored at once, train rows of the smallest box
 CELLS = 1 << 21  # scores held at once
+WHOLE_CELLS = 1 << 19  # of them where all pairs are scored: a tile is held several times over while its best are sought
 FEW = 512  # longest candidate lists for which boxes are sought; longer ones are handed on tile by tile
 SERIES_DIMS, REACH = 4, 2.0  # widest vectors and largest exponent (from a box's centre) for the series
 NOTHING = 80.0  # a score this far below the best one adds less than double precision holds, even 10^15 times
@@ -38,7 +39,7 @@ def best_columns(S: np.ndarray, K: int) -> np.ndarray:
         return np.broadcast_to(np.arange(n), (m, n))
     if K <= 0:
         return np.zeros((m, 0), dtype=np.int64)
-    kth = np.partition(S, n - K, axis=1)[:, n - K, None]
+    kth = np.partition(S, n - K, axis=1)[:, n - K, None].copy()  # not a view, which would hold all of the partition
     take = S >= kth
     many = take.sum(axis=1) > K
     if many.any():
@@ -151,7 +152,7 @@ def strip_scores(Xt: np.ndarray, Xr: np.ndarray, K: int, scale: float):
     finite = bool(np.isfinite(Xt).all() and np.isfinite(Xr).all())
     d = Xt.shape[1]
     if not finite or not 0 < d <= SERIES_DIMS or len(Xr) <= 4 * LEAF or K > FEW:
-        step = max(1, min(TILE, CELLS // len(Xr)))
+        step = max(1, min(TILE, WHOLE_CELLS // len(Xr)))
         for a in range(0, len(Xt), step):
             S = scores(Xt[a:a + step], Xr, scale)
             top = S.max(axis=1)

@@ -10,6 +10,7 @@ its group through an equi-join on the grid cell ``(group, rb, tb)`` (the block
 product of distributed matrix multiplication, so the shuffle moves blocks, not
 pairs, no block is a hot key, and nothing is broadcast).  Cells are dealt to as many
 partitions as there are cells, whatever their bytes: they are small and take long.
+Where all pairs are scored, a small test side is cut into more blocks, so that no worker idles.
 One Arrow task scores a cell with numpy (``functions/softmax.py``: with few
 dimensions without touching every pair) and emits, per test row, the strip's best
 score ``m``, ``z = sum exp(s - m)`` and the best ``K`` candidates -- never the pairs,
@@ -40,12 +41,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxtab.functions.exprs import id_hash
-from ctxtab.functions.softmax import FEW, BestOfStrips, best_columns, scores, strip_scores
+from ctxtab.functions.softmax import FEW, SERIES_DIMS, BestOfStrips, best_columns, scores, strip_scores
 
 DEFAULT_BLOCK_ROWS = 8192
 MAX_STRIP_ROWS = 65_536
 STRIP_BYTES = 4 << 20  # of a packed strip or block
 CELL_PARTITIONS = 4096  # most partitions over which the cells of the grid are dealt
+CELLS_SOUGHT, LEAST_BLOCK_ROWS = 48, 256  # cells below which blocks get smaller where all pairs are scored, and how small
 EMIT = 1 << 20  # candidates in one output batch
 HELD = 1 << 23  # scores that a task holds for a block of test rows with long contexts
 LONG_BLOCK_ROWS = 1024  # most test rows of a block with long contexts
@@ -117,18 +119,21 @@ def block_scores(test: DataFrame, train: DataFrame, vec_col: str, K: int,
     if scale is None:
         scale = 1.0 / math.sqrt(max(d, 1))
     fit = max(1, STRIP_BYTES // (8 + 8 * max(d, 1)))
-    strip_rows, block_rows = min(MAX_STRIP_ROWS, fit), block_rows or min(DEFAULT_BLOCK_ROWS, fit)
+    strip_rows, most_rows = min(MAX_STRIP_ROWS, fit), block_rows or min(DEFAULT_BLOCK_ROWS, fit)
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("long")
     if keys:
-        nb = rs.join(ts, keys).select(*keys, blocks(F.col("_nr"), strip_rows).alias("_br"), blocks(F.col("_nt"), block_rows).alias("_bt"))
+        nb = rs.join(ts, keys).select(*keys, blocks(F.col("_nr"), strip_rows).alias("_br"), blocks(F.col("_nt"), most_rows).alias("_bt"))
         cells = int(nb.agg(F.sum(F.col("_br") * F.col("_bt"))).first()[0] or 0)
         nb = F.broadcast(nb) if int(tot[2]) <= BROADCAST_GROUPS else nb
         test, train = test.join(nb, keys), train.join(nb, keys)
     else:  # one group: its block counts are literals, no join on a constant
         one = ts.first()
         n_test = int(one["_nt"]) if one else 0
-        cells = max(1, math.ceil(n_train / strip_rows)) * max(1, math.ceil(n_test / block_rows))
-        counts = {"_br": blocks(F.lit(n_train), strip_rows), "_bt": blocks(F.lit(n_test), block_rows)}
+        strips = max(1, math.ceil(n_train / strip_rows))
+        if not block_rows and d > SERIES_DIMS:
+            most_rows = min(most_rows, max(LEAST_BLOCK_ROWS, math.ceil(n_test * strips / CELLS_SOUGHT)))
+        cells = strips * max(1, math.ceil(n_test / most_rows))
+        counts = {"_br": blocks(F.lit(n_train), strip_rows), "_bt": blocks(F.lit(n_test), most_rows)}
         test, train = test.withColumns(counts), train.withColumns(counts)
     parts = max(1, min(cells, CELL_PARTITIONS))
 

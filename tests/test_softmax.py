@@ -57,3 +57,42 @@ def test_output_of_many_cells_is_handed_on_in_parts():
     out = list(retrieve._kernel_factory([], 1000, 1.0, [])([batch]))
     assert sum(b.num_rows for b in out) == 12 * 400
     assert max(b.nbytes for b in out) < 12 * 400 * 1000 * 16 / 4
+
+
+@pytest.mark.parametrize("values", ["distinct", "copies"])
+def test_all_pairs_are_scored_in_small_tiles(values):
+    """A strip of 8,000 rows: tiles of 16 MB, held three times and more, took 50 MB and more of a Python worker."""
+    import tracemalloc
+    Xt, Xr = R.normal(size=(600, 16)), R.normal(size=(8000, 16))
+    if values == "copies":
+        Xr = Xr[np.arange(8000) % 400]
+    tracemalloc.start()
+    try:
+        for _ in softmax.strip_scores(Xt, Xr, 15, 0.25):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 24e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_few_vectors_make_many_cells(spark, monkeypatch):
+    """800 test rows met 300 train rows in one cell, so one worker did all of the work."""
+    from ctxtab.operators import retrieve
+    side = lambda n: spark.createDataFrame([(i, [float(x) for x in R.normal(size=8)]) for i in range(n)], "row_id long, v array<double>")
+    test, train = side(800), side(300)
+    found = [sorted((r["test_id"], round(r["_m"], 9), round(r["_z"], 9), r["_cid"])
+                    for r in retrieve.block_scores(test, train, "v", 5, block_rows=rows).collect()) for rows in (None, 8192)]
+    assert len(found[0]) == 800 and found[0] == found[1]
+
+    def factory(*_):
+        def rows_of_cells(batches):
+            import pyarrow as pa
+            for batch in batches:
+                n = pa.array([len(x) for x in batch.column("_t")], pa.int64())
+                none = [pa.nulls(len(n), t) for t in (pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([n, *none], names=["test_id", "_m", "_z", "_n", "_cid", "_cs"])
+        return rows_of_cells
+
+    monkeypatch.setattr(retrieve, "_kernel_factory", factory)
+    cells = [r["test_id"] for r in retrieve.block_scores(test, train, "v", 5).collect()]
+    assert len(cells) == 4 and sum(cells) == 800
