@@ -13,8 +13,10 @@ up to.  Reading stops for a query when few candidates can still reach the k-th b
 included); their scores are resolved by reading the lists on to their ends and booking their entries
 alone.  Every score is a sum of entries read from lists; no vector is looked up.
 
-Blocks of queries meet blocks of candidates in cells of a grid; a cell returns k rows for each of
-its queries, and a ranked window keeps the best k of all cells.
+Blocks of queries meet blocks of candidates in cells of a grid, packed as the narrowest numbers that
+hold them and dealt to as many partitions as there are cells, so that a task holds a few blocks
+whatever the tables' size.  A cell reads its lists for a few queries at a time (``TILE``) and returns
+k rows for each of its queries; a ranked window keeps the best k of all cells.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 4096        # candidates of a cell
-QUERIES = 1024      # queries of a cell
+QUERIES = 4096      # queries of a cell
+TILE = 1 << 20      # bounds of scores held at once: queries x candidates
+PARTITIONS = 4096   # most partitions over which the cells are dealt
 SCALE = 256
 
 
@@ -76,7 +80,7 @@ def nra(queries: np.ndarray, lists: Lists, k: int, banned: np.ndarray, floor: np
     not be found.
     """
     n, kind = lists.n, queries.dtype
-    least = -np.inf if kind == np.float64 else np.iinfo(np.int64).min
+    least = -np.inf if kind.kind == "f" else np.iinfo(np.int64).min
     floor = np.full(len(queries), least, kind) if floor is None else floor
     sides = ((True, np.maximum(queries, 0)), (False, np.minimum(queries, 0)))
     low, high = lists.value[0], lists.value[-1]
@@ -120,11 +124,28 @@ def nra(queries: np.ndarray, lists: Lists, k: int, banned: np.ndarray, floor: np
 
 
 def _exact(queries: np.ndarray, cands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as doubles where these hold every partial sum exactly, else as 64-bit integers; no more than these hold is allowed."""
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(cands).max(initial=0)) * cands.shape[1]
+    """Both as floats or doubles where these hold every partial sum exactly, else as 64-bit integers; no more than these hold is allowed."""
+    peak = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    most = peak(queries) * peak(cands) * cands.shape[1]
     if most >= 2**62:
         raise ValueError(f"inner products of up to {most} are not sure to fit 64 bits")
-    return (queries, cands) if most < 2**52 else (queries.astype(np.int64), cands.astype(np.int64))
+    kind = np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64
+    return queries.astype(kind), cands.astype(kind)
+
+
+WIDTHS = {2: np.int16, 4: np.int32, 8: np.float64}  # bytes of a packed number
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Integers that are given as doubles in the narrowest type that holds them."""
+    top = np.abs(x).max(initial=0)
+    return x.astype(np.int16 if top < 2**15 else np.int32 if top < 2**31 else np.float64)
+
+
+def _unpacked(ids, vecs, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a block, views of the batch."""
+    ids, raw = np.frombuffer(ids.as_buffer(), np.int64), vecs.as_buffer()
+    return ids, np.frombuffer(raw, WIDTHS[raw.size // (len(ids) * dims)]).reshape(-1, dims)
 
 
 def _pack(batch_cols, schema):
@@ -133,7 +154,7 @@ def _pack(batch_cols, schema):
         vec = tbl["_vec"].combine_chunks()
         return pa.table([pa.array([tbl[c][0].as_py()]) for c in batch_cols] + [
             pa.array([tbl["_id"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
-            pa.array([vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()], pa.binary())], schema=schema)
+            pa.array([_narrow(vec.flatten().to_numpy(zero_copy_only=False)).tobytes()], pa.binary())], schema=schema)
     return fn
 
 
@@ -141,27 +162,35 @@ def _cell(k: int):
     def fn(batches):
         reached: dict = {}  # of a query block: the k-th scores that this task has seen for it
         for batch in batches:
-            q, c, s = [], [], []
-            for dims, block, qi, qv, ci, cv in zip(*(batch.column(x).to_pylist() for x in ("dims", "qb", "q_ids", "q_vecs", "c_ids", "c_vecs"))):
-                qi, ci = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-                qv, cv = _exact(np.frombuffer(qv).reshape(-1, dims), np.frombuffer(cv).reshape(-1, dims))
+            for i in range(batch.num_rows):
+                dims, block, qi, qv, ci, cv = (batch.column(x)[i] for x in ("dims", "qb", "q_ids", "q_vecs", "c_ids", "c_vecs"))
+                dims, block = dims.as_py(), block.as_py()
+                (qi, qv), (ci, cv) = _unpacked(qi, qv, dims), _unpacked(ci, cv, dims)
+                qv, cv = _exact(qv, cv)
                 # rows with the query's own id are no candidates; a repeated id is left out by asking for that many more
                 uniq, first, times = np.unique(ci, return_index=True, return_counts=True)
                 at = np.searchsorted(uniq, qi)
                 own = np.where((at < len(uniq)) & (uniq[np.minimum(at, len(uniq) - 1)] == qi), first[np.minimum(at, len(uniq) - 1)], -1)
                 more = int(times.max()) - 1
-                floor = reached.setdefault((dims, block), np.full(len(qi), -2.0**62))
-                for r, cand, score in nra(qv, Lists(cv), k + more, own, floor.astype(qv.dtype)):
-                    keep = ci[cand] != qi[r]
-                    cand, score = cand[keep], score[keep]
-                    best = np.lexsort((ci[cand], -score))[:k]
-                    q.append(np.full(len(best), qi[r]))
-                    c.append(ci[cand[best]])
-                    s.append(score[best])
-                    if len(best) == k and qv.dtype == np.float64:
-                        floor[r] = max(floor[r], score[best[-1]])
-            cols = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (q, c, s)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "vec_id", "score"])
+                if (dims, block) not in reached:
+                    reached = {(dims, block): np.full(len(qi), -2.0**62)}
+                floor, lists = reached[dims, block], Lists(cv)
+                q, c, s = [], [], []
+                step = max(1, TILE // len(ci))
+                for a in range(0, len(qi), step):
+                    tile = slice(a, a + step)
+                    for r, cand, score in nra(qv[tile], lists, k + more, own[tile], floor[tile].astype(qv.dtype)):
+                        r += a
+                        keep = ci[cand] != qi[r]
+                        cand, score = cand[keep], score[keep]
+                        best = np.lexsort((ci[cand], -score))[:k]
+                        q.append(np.full(len(best), qi[r]))
+                        c.append(ci[cand[best]])
+                        s.append(score[best])
+                        if len(best) == k and qv.dtype.kind == "f":
+                            floor[r] = max(floor[r], score[best[-1]])
+                cols = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (q, c, s)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "vec_id", "score"])
     return fn
 
 
@@ -188,8 +217,9 @@ def top_k(queries: DataFrame, cands: DataFrame, k: int = 5, id_col: str = "vec_i
 
     (q, nq), (c, nc) = ready(queries, "q", QUERIES), ready(cands, "c", BLOCK)
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    cells = (q.withColumnRenamed("block", "qb").withColumn("cb", every(nc))
-             .join(c.withColumnRenamed("block", "cb").withColumn("qb", every(nq)), ["dims", "qb", "cb"]))
+    cell, parts = ["dims", "qb", "cb"], min(nq * nc, PARTITIONS)
+    cells = (q.withColumnRenamed("block", "qb").withColumn("cb", every(nc)).repartition(parts, *cell).hint("shuffle_hash")
+             .join(c.withColumnRenamed("block", "cb").withColumn("qb", every(nq)).repartition(parts, *cell), cell))
     best = cells.select("dims", "qb", "q_ids", "q_vecs", "c_ids", "c_vecs").mapInArrow(_cell(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
