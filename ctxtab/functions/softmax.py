@@ -12,6 +12,8 @@ import math
 
 import numpy as np
 
+from ctxtab.functions.spool import Spool
+
 TILE, LEAF = 256, 256  # test rows scored at once, train rows of the smallest box
 CELLS = 1 << 21  # scores held at once
 WHOLE_CELLS = 1 << 19  # of them where all pairs are scored: a tile is held several times over while its best are sought
@@ -19,6 +21,7 @@ FEW = 512  # longest candidate lists for which boxes are sought; longer ones are
 SERIES_DIMS, REACH = 4, 2.0  # widest vectors and largest exponent (from a box's centre) for the series
 NOTHING = 80.0  # a score this far below the best one adds less than double precision holds, even 10^15 times
 SAVING = 50  # multiply-adds that cost as much as one exponential and its sums
+BOX_DIMS, PART = 8, 1 << 18  # widest vectors for which boxes of long contexts are made; train rows that are put into boxes together
 
 
 def scores(Xt: np.ndarray, Xr: np.ndarray, scale: float) -> np.ndarray:
@@ -197,6 +200,19 @@ def strip_scores(Xt: np.ndarray, Xr: np.ndarray, K: int, scale: float):
         yield np.concatenate([asked[r] for r in rows]), top[rows][at], z[rows][at], cols[at], best[at]
 
 
+def ranking(s: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order of falling scores, lower ids first among equals, scores that are no numbers last."""
+    down = np.where(np.isnan(s), np.inf, -s)
+    order = np.argsort(down)
+    level = down[order]
+    same = level[1:] == level[:-1]
+    if same.any():  # only what is tied is sorted by id
+        tied = np.nonzero(np.append(same, False) | np.append(False, same))[0]
+        part = order[tied]
+        order[tied] = part[np.lexsort((ids[part], level[tied]))]
+    return order
+
+
 class BestOfStrips:
     """The ``K`` best train rows of each row of ``Xt`` and the log-sum-exp over all, strip after strip.
 
@@ -257,8 +273,140 @@ class BestOfStrips:
             if not self.n:
                 continue
             s, ids = self.best[mine, :self.kept].ravel(), self.ids[mine, :self.kept].ravel()
-            order = np.lexsort((ids, np.where(np.isnan(s), np.inf, -s)))[:k]
+            order = ranking(s, ids)[:k]
             with np.errstate(invalid="ignore", divide="ignore"):
                 top = self.top[mine].max()
                 lse = top + np.log((self.z[mine] * np.exp(self.top[mine] - top)).sum())
             yield int(test_id), ids[order], s[order], float(lse), self.n * len(mine)
+
+
+class Voters:
+    """Train rows of a task and what their ids vote for, in boxes of near rows; however many, they wait in spools.
+
+    ``logits`` needs no normaliser over all train rows: it is the same for every class of a test row.
+    """
+
+    def __init__(self, Xt: np.ndarray, K: int, scale: float, classes: int):
+        self.Xt, self.K, self.scale, self.classes = Xt, K, scale, classes
+        self.X, self.ids, self.first, self.count, self.codes = (Spool() for _ in range(5))
+        self.low, self.high, self.sizes = [], [], []
+        self.waiting, self.held = [], 0
+        self.finite, self.single = bool(np.isfinite(Xt).all()), True
+        self.reach = np.abs(Xt).max(axis=0, initial=0)
+
+    def add(self, ids: np.ndarray, valid: np.ndarray, X: np.ndarray, codes: np.ndarray) -> None:
+        """All train rows of some ids: ``X`` has the vectors of the ``valid`` ones; rows that share an id vote together."""
+        by_id = np.argsort(ids, kind="stable")
+        known, mine = ids[by_id], ids[valid]
+        first = np.searchsorted(known, mine, "left")
+        count = np.searchsorted(known, mine, "right") - first
+        self.single &= bool((count == 1).all())
+        self.finite &= bool(np.isfinite(X).all())
+        self.waiting.append((X, mine, first + self.codes.n, count))
+        self.codes.add(codes[by_id].astype(np.int32))
+        self.held += len(mine)
+        if self.held >= PART:
+            self._box()
+
+    def _box(self) -> None:
+        X, ids, first, count = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting, self.held = [], 0
+        if self.finite and 0 < X.shape[1] <= BOX_DIMS:
+            # of rows that are all the same, the first ones are enough
+            cells = [c[np.argsort(ids[c], kind="stable")[:self.K]] if len(c) > LEAF else c
+                     for c in boxes(X, self.reach, lambda n, half: n <= max(LEAF, self.K // 16) or not half.any())]
+        else:
+            cells = [np.arange(len(X))] if len(X) else []
+        for rows in cells:
+            self.low.append(X[rows].min(axis=0))
+            self.high.append(X[rows].max(axis=0))
+            self.sizes.append(len(rows))
+        order = np.concatenate(cells) if cells else np.zeros(0, np.int64)
+        for spool, x in ((self.X, X), (self.ids, ids), (self.first, first), (self.count, count.astype(np.int32))):
+            spool.add(x[order])
+
+    def logits(self, t_ids: np.ndarray):
+        """(test ids, test ids x classes: log of the summed weights, up to a number of each row's own; which classes voted)."""
+        if self.waiting:
+            self._box()
+        if not self.X.n:
+            return
+        self.rows = [x.rows() for x in (self.X, self.ids, self.first, self.count, self.codes)]
+        low, high, self.sizes = np.array(self.low), np.array(self.high), np.array(self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.mid, self.half = (low + high) / 2, (high - low) / 2
+        most = abs(self.scale) * float(self.reach @ np.maximum(np.abs(low), np.abs(high)).max(axis=0))
+        boxed = self.finite and 0 < self.Xt.shape[1] <= BOX_DIMS and math.isfinite(most)
+        self.slack = 1e-12 * (1 + most)
+        at, back, times = np.unique(t_ids, return_inverse=True, return_counts=True)
+        alone = np.nonzero(times[back] == 1)[0]
+        if len(alone):  # test rows that are the same have the same results
+            U, place = np.unique(self.Xt[alone], axis=0, return_inverse=True)
+            step = 1 if boxed else max(1, CELLS // self.X.n)
+            found = [x for a in range(0, len(U), step) for x in ([self._near(U[a:a + 1])] if boxed else self._all(U[a:a + step]))]
+            logit, voted = (np.array(x)[place.ravel()] for x in zip(*found))
+            yield t_ids[alone], logit, voted
+        for i in np.nonzero(times > 1)[0]:  # rows that share an id count together
+            T = self.Xt[back == i]
+            logit, voted = self._near(T) if boxed else self._votes(np.concatenate([self._scored(T[j:j + 1]) for j in range(len(T))]), slice(None))
+            yield at[i:i + 1], logit[None], voted[None]
+
+    def _near(self, T: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the boxes that can hold one of the best rows: scored by falling bounds until no other box reaches the worst row kept."""
+        bound = ((T @ self.mid.T) * self.scale + (np.abs(T) @ self.half.T) * abs(self.scale)).max(axis=0) + self.slack
+        order = np.argsort(-bound)
+        ends, wanted = np.cumsum(self.sizes[order]), min(self.K, self.X.n)
+        S, done, until, rows = np.empty((len(T), 0)), 0, len(order), wanted + wanted // 4
+        while done < until:
+            more = min(until, max(done, int(np.searchsorted(ends, rows))) + 1)
+            S = np.concatenate([S, scores(T, self._taken(order[done:more], 0), self.scale)], axis=1)
+            kth = np.partition(S.ravel(), S.size - wanted)[S.size - wanted]
+            done, until, rows = more, max(more, int(np.searchsorted(-bound[order], -kth, "right"))), rows + rows // 2
+        first = order[:done]
+        return self._votes(S, np.arange(ends[done - 1]) + np.repeat(self.starts[first] - ends[:done] + self.sizes[first], self.sizes[first]))
+
+    def _taken(self, cells: np.ndarray, what: int) -> np.ndarray:
+        return np.concatenate([self.rows[what][a:a + n] for a, n in zip(self.starts[cells].tolist(), self.sizes[cells].tolist())])
+
+    def _scored(self, T: np.ndarray) -> np.ndarray:
+        S = np.empty((len(T), self.X.n))
+        with np.errstate(invalid="ignore", over="ignore"):
+            for b in range(0, self.X.n, LEAF * TILE):
+                S[:, b:b + LEAF * TILE] = scores(T, np.asarray(self.rows[0][b:b + LEAF * TILE]), self.scale)
+        return S
+
+    def _all(self, T: np.ndarray):
+        for s in self._scored(T):
+            yield self._votes(s[None], slice(None))
+
+    def _votes(self, S: np.ndarray, place) -> tuple[np.ndarray, np.ndarray]:
+        """Logits from the best of ``S`` (test rows x train rows at ``place``), lower ids first among equals."""
+        width, n = S.shape[1], self.classes
+        S = S.ravel()
+        K, ids = min(self.K, len(S)), self.rows[1][place]
+        if np.isfinite(S).all():
+            kth = np.partition(S, len(S) - K)[len(S) - K]
+            best, equal = np.nonzero(S > kth)[0], np.nonzero(S == kth)[0]
+            if len(best) + len(equal) > K:
+                equal = equal[np.argsort(ids[equal % width], kind="stable")[:K - len(best)]]
+            best = np.concatenate([best, equal])
+        else:
+            best = ranking(S, np.tile(ids, len(S) // width))[:K]
+        s, best = S[best], best % width
+        f = self.rows[2][place][best]
+        if not self.single:
+            times = self.rows[3][place][best]
+            f = np.repeat(f - np.cumsum(times) + times, times) + np.arange(times.sum())
+            s = np.repeat(s, times)
+        code = self.rows[4][f]
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            top = s.max()
+            total, voted = np.bincount(code, np.exp(s - top), n), np.bincount(code, minlength=n) > 0
+            logit = np.log(total)
+            if not (total[voted] > 1e-280).all():  # classes far below the best row: relative to their own best row, so none underflows
+                for c in np.nonzero(voted)[0]:
+                    mine = s[code == c]
+                    logit[c] = mine.max() - top + np.log(np.exp(mine - mine.max()).sum())
+            if not S.max() < np.inf:  # a score that is no number leaves no normaliser
+                logit[:] = np.nan
+        return logit, voted

@@ -51,7 +51,7 @@ def table_probs(table: DataFrame, order: Sequence[str], k: int, perm: list[int]
     if perm is not None:
         table, label = encode.apply_class_permutation(table, perm), "y_perm"
     test, train = table.where("split = 'test'"), table.where("split = 'train'")
-    ctx = retrieve.top_k_context(test, train, "v", k)
+    ctx = retrieve.top_k_context(test, train, "v", k, votes=True)
     probs = predict.predict_classes(ctx, train, temperature, label_col=label)
     return predict.undo_class_permutation(probs, perm) if perm is not None else probs
 

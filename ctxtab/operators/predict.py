@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxtab.functions.exprs import class_list
-from ctxtab.operators.retrieve import SHARD_ROWS, ShardContexts, summed_votes, top_k_context
+from ctxtab.operators.retrieve import SHARD_ROWS, LongContexts, ShardContexts, long_votes, summed_votes, top_k_context
 
 
 def class_logits(ctx: DataFrame, train: DataFrame, label_col: str = "y", id_col: str = "row_id",
@@ -53,10 +53,13 @@ def predict_classes(ctx: DataFrame, train: DataFrame, temperature: float = 0.9,
                     keys: list[str] | None = None) -> DataFrame:
     """M1 + M4: class probabilities ``(test_id, class, p)``.
 
-    Contexts of shards (``top_k_context`` with ``shard``) are voted on where they are found, when M6 sums them.
+    Contexts of shards (``top_k_context`` with ``shard``) are voted on where they are found, when M6 sums them;
+    long ones (with ``votes``) are too.
     """
     if isinstance(ctx, ShardContexts):
         return ctx.voted(label_col, temperature)
+    if isinstance(ctx, LongContexts):
+        return temperature_softmax(long_votes(ctx, train, label_col), temperature)
     return temperature_softmax(class_logits(ctx, train, label_col, id_col, keys), temperature, keys)
 
 

@@ -19,9 +19,11 @@ and never more than a bounded part of a cell at once.  A single shuffle on
 ranks the candidates.  Top-k is exact for ``K >= k``; ties break by train id.
 
 Long contexts (``whole_rows``).  Beyond ``FEW`` candidates, lists from every strip would outweigh
-the vectors by far.  Then a test block stays in one task, which the strips pass one after the
-other, and only its best ``K`` scores are held; blocks have as many rows as ``HELD`` scores allow.
-The ranked rows leave in bounded batches: no candidate is shuffled.
+the vectors by far.  Then a test block meets all strips in one task, which keeps them in a spool (a
+scratch file, if they are many) and ranks as many test rows at a time as ``HELD`` scores allow.
+The ranked rows leave in bounded batches: no candidate is shuffled, and the strips are copied for
+every test block, not for every few rows that are ranked together.  Long contexts that are only
+voted on (``LongContexts``) do not leave that task: it sums their votes (``long_votes``).
 
 Shards (``ShardContexts``).  When every test row meets every one of many small shards, the contexts
 outnumber the rows by the number of shards.  They are not made as a table: a test block stays in
@@ -41,7 +43,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxtab.functions.exprs import id_hash
-from ctxtab.functions.softmax import FEW, SERIES_DIMS, BestOfStrips, best_columns, scores, strip_scores
+from ctxtab.functions.softmax import FEW, SERIES_DIMS, BestOfStrips, Voters, best_columns, scores, strip_scores
+from ctxtab.functions.spool import Spool
 
 DEFAULT_BLOCK_ROWS = 8192
 MAX_STRIP_ROWS = 65_536
@@ -49,8 +52,8 @@ STRIP_BYTES = 4 << 20  # of a packed strip or block
 CELL_PARTITIONS = 4096  # most partitions over which the cells of the grid are dealt
 CELLS_SOUGHT, LEAST_BLOCK_ROWS = 48, 256  # cells below which blocks get smaller where all pairs are scored, and how small
 EMIT = 1 << 20  # candidates in one output batch
-HELD = 1 << 23  # scores that a task holds for a block of test rows with long contexts
-LONG_BLOCK_ROWS = 1024  # most test rows of a block with long contexts
+HELD = 1 << 22  # scores that a task holds for test rows with long contexts
+LONG_BLOCK_ROWS, LONG_BLOCKS, LEAST_LONG_ROWS = 4096, 48, 64  # most test rows of a block with long contexts; blocks sought before they grow, and how small they get
 ROWS_OUT = 1 << 17  # ranked context rows in one output batch
 SHARD_BLOCK_ROWS, SHARD_BLOCKS = 2048, 32  # most test rows of a block that all shards pass; blocks sought before they grow
 SHARD_ROWS = 4096  # most rows of a shard that passes the blocks as one row
@@ -62,12 +65,14 @@ def _group_keys(keys: list[str] | None) -> list[str]:
     return list(keys) if keys else []
 
 
-def _block_matrix(lst: pa.ListScalar | pa.Array):
+def _block_matrix(lst: pa.ListScalar | pa.Array, own: bool = False):
+    """(ids, matrix) of a packed block, as doubles or with the vectors' ``own`` width."""
     vals = lst.values if isinstance(lst, pa.ListScalar) else lst
     ids = vals.field("id").to_numpy(zero_copy_only=False).astype(np.int64)
     v = vals.field("v")
     n = len(ids)
-    flat = pc.list_flatten(v).to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = pc.list_flatten(v).to_numpy(zero_copy_only=False)
+    flat = flat if own and flat.dtype == np.float32 else flat.astype(np.float64)
     d = flat.size // n if n else 0
     return ids, flat.reshape(n, d)
 
@@ -157,24 +162,18 @@ def block_scores(test: DataFrame, train: DataFrame, vec_col: str, K: int,
     return pairs.mapInArrow(_kernel_factory(keys, K, float(scale), key_types), schema)
 
 
-def whole_rows(test: DataFrame, train: DataFrame, vec_col: str, k: int | None, keys: list[str] | None = None, id_col: str = "row_id",
-               scale: float | None = None, mass: float | None = None, least: int = 0) -> DataFrame:
-    """Ranked contexts of any length, best first: the ``k`` best train rows of every test row (None: all).
+def _met(test: DataFrame, train: DataFrame, vec_col: str, keys: list[str], id_col: str, more: list[tuple[str, object]] = ()) -> tuple[DataFrame, int, int]:
+    """(blocks of test rows, each before the strips of train rows it meets, all in one partition; most train rows of a group; vector width).
 
-    With ``mass``, cut after the row at which the weights reach it, though not before ``least`` rows;
-    the length is in ``ctx_len``.  A task holds ``HELD`` scores, or those of one test row if they are more.
+    ``more``: (name, expression) of what stands beside the train rows' vectors.  Rows without an id meet nothing.
     """
-    keys = _group_keys(keys)
     test = test.filter(F.col(vec_col).isNotNull())
-    train = train.filter(F.col(vec_col).isNotNull())
-    rs = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"), F.max(F.size(vec_col)).alias("_d"))
+    rs = train.groupBy(*keys).agg(F.count(vec_col).alias("_nr"), F.max(F.size(vec_col)).alias("_d")).where("_nr > 0")
     ts = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nt"))
-    most, d, groups = rs.agg(F.max("_nr"), F.max("_d"), F.count(F.lit(1))).first()
-    most, d = int(most or 0), int(d or 0)
-    scale = float(1.0 / math.sqrt(max(d, 1)) if scale is None else scale)
-    K = most if k is None else min(int(k), most)
+    most, d, groups, n_test = [*rs.agg(F.max("_nr"), F.max("_d"), F.count(F.lit(1))).first(), ts.agg(F.sum("_nt")).first()[0]]
+    most, d, n_test = int(most or 0), int(d or 0), int(n_test or 0)
     fit = max(1, STRIP_BYTES // (8 + 8 * max(d, 1)))
-    strip_rows, block_rows = min(MAX_STRIP_ROWS, fit), max(1, min(LONG_BLOCK_ROWS, fit, HELD // max(K, 1)))
+    strip_rows, block_rows = min(MAX_STRIP_ROWS, fit), min(LONG_BLOCK_ROWS, fit, max(LEAST_LONG_ROWS, math.ceil(n_test / LONG_BLOCKS)))
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("long")
     if keys:
         nb = rs.join(ts, keys).select(*keys, blocks(F.col("_nr"), strip_rows).alias("_br"), blocks(F.col("_nt"), block_rows).alias("_bt"))
@@ -182,21 +181,35 @@ def whole_rows(test: DataFrame, train: DataFrame, vec_col: str, k: int | None, k
         nb = F.broadcast(nb) if int(groups) <= BROADCAST_GROUPS else nb
         test, train = test.join(nb, keys), train.join(nb, keys)
     else:
-        one = ts.first()
-        n_test = int(one["_nt"]) if one else 0
         parts = math.ceil(n_test / block_rows)
         counts = {"_br": blocks(F.lit(most), strip_rows), "_bt": blocks(F.lit(n_test), block_rows)}
         test, train = test.withColumns(counts), train.withColumns(counts)
     parts = max(1, min(parts, CELL_PARTITIONS))
-    row = F.struct(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    row = lambda extra: F.struct(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), *extra)
     place = lambda count: F.pmod(id_hash(id_col, 11), F.col(count))
-    asked = test.groupBy(*keys, place("_bt").alias("_tb")).agg(F.collect_list(row).alias("_rows")).withColumn("_rb", F.lit(-1).cast("long"))
-    known = (train.groupBy(*keys, place("_br").alias("_rb"), "_bt").agg(F.collect_list(row).alias("_rows"))
+    nothing = [F.lit(None).cast(train.select(x).schema[0].dataType).alias(name) for name, x in more]
+    asked = (test.groupBy(*keys, place("_bt").alias("_tb")).agg(F.collect_list(row(nothing)).alias("_rows"))
+             .withColumn("_rb", F.lit(-1).cast("long")))
+    known = (train.groupBy(*keys, place("_br").alias("_rb"), "_bt").agg(F.collect_list(row([x.alias(name) for name, x in more])).alias("_rows"))
              .withColumn("_tb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bt") - 1))))
     cols = [*keys, "_tb", "_rb", "_rows"]
-    # a block comes before the strips it meets, all in one task; rows without an id meet nothing
     both = (asked.select(*cols).unionByName(known.select(*cols)).where(F.col("_tb").isNotNull() & F.col("_rb").isNotNull())
             .repartition(parts, *keys, "_tb").sortWithinPartitions(*keys, "_tb", "_rb"))
+    return both, most, d
+
+
+def whole_rows(test: DataFrame, train: DataFrame, vec_col: str, k: int | None, keys: list[str] | None = None, id_col: str = "row_id",
+               scale: float | None = None, mass: float | None = None, least: int = 0) -> DataFrame:
+    """Ranked contexts of any length, best first: the ``k`` best train rows of every test row (None: all).
+
+    With ``mass``, cut after the row at which the weights reach it, though not before ``least`` rows;
+    the length is in ``ctx_len``.  A task holds ``HELD`` scores, or those of one test row if they are more.
+    """
+    keys = _group_keys(keys)
+    both, most, d = _met(test, train.filter(F.col(vec_col).isNotNull()), vec_col, keys, id_col)
+    scale = float(1.0 / math.sqrt(max(d, 1)) if scale is None else scale)
+    K = most if k is None else min(int(k), most)
+    step = max(1, HELD // max(K, 1))
     schema = T.StructType([both.schema[c] for c in keys] + [
         T.StructField("test_id", T.LongType()), T.StructField("train_id", T.LongType()), T.StructField("rank", T.IntegerType()),
         T.StructField("score", T.DoubleType()), T.StructField("weight", T.DoubleType()), T.StructField("lse", T.DoubleType()),
@@ -212,9 +225,19 @@ def whole_rows(test: DataFrame, train: DataFrame, vec_col: str, k: int | None, k
                       pa.array(ranks, pa.int32()), pa.array(best), pa.array(np.exp(best - lse)), full(lse, pa.float64()), full(n, pa.int64())]
             return pa.RecordBatch.from_arrays(arrays + ([full(length, pa.int64())] if mass is not None else []), names=schema.names)
 
-        def finished(group, t_ids, state):
+        def ranked(t_ids, Xt, strips):
+            ends, a, b = np.append(np.nonzero(np.diff(t_ids))[0] + 1, len(t_ids)), 0, 0
+            while b < len(t_ids):  # rows that share an id stay together
+                a, b = b, int(ends[max(np.searchsorted(ends, b + step, "right") - 1, np.searchsorted(ends, b, "right"))])
+                state, at = BestOfStrips(Xt[a:b], K, scale), 0
+                for n in strips[0]:
+                    state.add(np.asarray(strips[1].rows()[at:at + n]), strips[2].rows()[at:at + n].astype(np.float64))
+                    at += n
+                yield from state.ranked(t_ids[a:b], limit)
+
+        def finished(group, t_ids, Xt, strips):
             pending, held = [], 0
-            for test_id, ids, best, lse, n in state.ranked(t_ids, limit):
+            for test_id, ids, best, lse, n in ranked(t_ids, Xt, strips):
                 length = len(ids)
                 if mass is not None:
                     below = np.cumsum(np.exp(best - lse)) < mass  # no number counts as reached, as in Spark
@@ -229,23 +252,77 @@ def whole_rows(test: DataFrame, train: DataFrame, vec_col: str, k: int | None, k
             if pending:
                 yield pa.Table.from_batches(pending).combine_chunks().to_batches()[0]
 
-        at = group = t_ids = state = None
+        at = group = t_ids = Xt = strips = None
         for batch in batches:
             for i in range(batch.num_rows):
                 here = [batch.column(c)[i].as_py() for c in [*keys, "_tb"]]
-                ids, X = _block_matrix(batch.column("_rows")[i])
+                ids, X = _block_matrix(batch.column("_rows")[i], own=True)
+                by_id = np.argsort(ids, kind="stable")
+                ids, X = ids[by_id], X[by_id]
                 if batch.column("_rb")[i].as_py() < 0:
-                    if state is not None:
-                        yield from finished(group, t_ids, state)
-                    at, group, t_ids, state = here, here[:-1], ids, BestOfStrips(X, K, scale)
+                    if at is not None:
+                        yield from finished(group, t_ids, Xt, strips)
+                    at, group, t_ids, Xt, strips = here, here[:-1], ids, X.astype(np.float64), ([], Spool(), Spool())
                 elif here == at:
-                    state.add(ids, X)
-        if state is not None:
-            yield from finished(group, t_ids, state)
+                    strips[0].append(len(ids))
+                    strips[1].add(ids)
+                    strips[2].add(X)
+        if at is not None:
+            yield from finished(group, t_ids, Xt, strips)
 
     return both.mapInArrow(kernel, schema)
 
 
+@dataclass(frozen=True)
+class LongContexts:
+    """The ``k`` best train rows of every test row, too many to be handed on: what votes are summed from."""
+    test: DataFrame
+    train: DataFrame
+    vec_col: str
+    k: int
+    id_col: str = "row_id"
+    scale: float | None = None
+
+
+def long_votes(ctx: LongContexts, train: DataFrame, label_col: str) -> DataFrame:
+    """``(test_id, class, logit)``: log of the summed weights of the context rows of each class.
+
+    Logits are relative to the best score of their test row; the normaliser is the same for all its
+    classes.  A block of test rows meets all strips in one task, and only a row for each class leaves
+    it.  ``train`` has the rows of the contexts and their labels; a missing label is a class of its own.
+    """
+    classes = sorted(r[0] for r in train.select(label_col).where(F.col(label_col).isNotNull()).distinct().collect())  # a value for each class
+    kind, n = train.schema[label_col].dataType, len(classes) + 1
+    code = (F.coalesce(F.array_position(F.array(*[F.lit(c).cast(kind) for c in classes]), F.col(label_col)), F.lit(n)) - 1
+            if classes else F.lit(0)).cast("int")
+    both, most, d = _met(ctx.test, train, ctx.vec_col, [], ctx.id_col, [("c", code)])
+    scale, K = float(1.0 / math.sqrt(max(d, 1)) if ctx.scale is None else ctx.scale), min(ctx.k, most)
+
+    def kernel(batches):
+        def finished(t_ids, voters):
+            for at, logit, voted in voters.logits(t_ids):
+                r, c = np.nonzero(voted)
+                yield pa.RecordBatch.from_arrays([pa.array(at[r]), pa.array(c.astype(np.int32)), pa.array(logit[r, c])], names=["test_id", "c", "logit"])
+
+        at = t_ids = voters = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here, rows = batch.column("_tb")[i].as_py(), batch.column("_rows")[i].values
+                ids, v = rows.field("id").to_numpy(), rows.field("v")
+                X = pc.list_flatten(v).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v) - v.null_count, -1)
+                if batch.column("_rb")[i].as_py() < 0:
+                    if at is not None:
+                        yield from finished(t_ids, voters)
+                    at, t_ids, voters = here, ids, Voters(X, K, scale, n)
+                elif here == at:
+                    voters.add(ids, v.is_valid().to_numpy(zero_copy_only=False), X, rows.field("c").to_numpy())
+        if at is not None:
+            yield from finished(t_ids, voters)
+
+    name = F.element_at(F.array(*[F.lit(c).cast(kind) for c in classes], F.lit(None).cast(kind)), F.col("c") + 1)
+    return both.mapInArrow(kernel, "test_id long, c int, logit double").select("test_id", name.alias("class"), "logit")
+
+
 @dataclass(frozen=True)
 class ShardContexts:
     """The ``k`` best train rows of every test row in each shard, not yet met: what votes are summed from."""
@@ -413,12 +490,13 @@ def context_scores(test: DataFrame, train: DataFrame, vec_col: str,
 
 
 def top_k_context(test: DataFrame, train: DataFrame, vec_col: str, k: int,
-                  keys: list[str] | None = None, shard: str | None = None, **kw) -> DataFrame | ShardContexts:
+                  keys: list[str] | None = None, shard: str | None = None, votes: bool = False, **kw) -> DataFrame | ShardContexts | LongContexts:
     """Q4: the ``k`` best train rows of every test row (k clamped to [0, n]).
 
     Columns: keys, test_id, train_id, rank (1 = best), score, weight
     (softmax over *all* train rows), lse, n_ctx.  With ``shard``, a column of the train rows, every test
-    row has a context in each shard; those are not a table, but what M1 and M6 sum votes from.
+    row has a context in each shard; those are not a table, but what M1 and M6 sum votes from.  Neither are
+    contexts of more than ``FEW`` rows of which only the ``votes`` are wanted (M1).
     """
     keys = _group_keys(keys)
     k = max(int(k), 0)
@@ -426,7 +504,7 @@ def top_k_context(test: DataFrame, train: DataFrame, vec_col: str, k: int,
         return ShardContexts(test, train, vec_col, k, shard, **kw)
     if k > FEW:
         kw.pop("block_rows", None)
-        return whole_rows(test, train, vec_col, k, keys, **kw)
+        return LongContexts(test, train, vec_col, k, **kw) if votes and not keys else whole_rows(test, train, vec_col, k, keys, **kw)
     return _merge(block_scores(test, train, vec_col, k, keys, **kw), keys, k)
 
 
